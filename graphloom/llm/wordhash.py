@@ -10,6 +10,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII white space, controls and punctuation.
+PUNCTUATION = np.array([b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -42,10 +44,12 @@ class Words:
     word; first: index of each text's first word, and the number of words at the end; hashes: one per word.
     """
 
-    def __init__(self, data, offsets, lower: bool = False, hashed: bool = True):
+    def __init__(self, data, offsets, lower: bool = False, hashed: bool = True, apart=None, prefixes: tuple = ()):
+        """apart: 256 booleans, bytes that separate words (default: ASCII white space). prefixes: for each length in
+        bytes, self.prefixes has hashes of the words' first bytes."""
         self.data, self.offsets = data, offsets
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~(_SPACE if apart is None else apart)[data]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:
@@ -57,9 +61,10 @@ class Words:
         self.starts = np.flatnonzero(word & ~before)
         self.ends = np.flatnonzero(word & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hash(lower) if hashed else None
+        self.prefixes = [np.empty(len(self.starts), np.uint64) for _ in prefixes]
+        self.hashes = self._hash(lower, prefixes) if hashed else None
 
-    def _hash(self, lower: bool) -> np.ndarray:
+    def _hash(self, lower: bool, prefixes: tuple) -> np.ndarray:
         out = np.empty(len(self.starts), np.uint64)
         i = 0
         while i < len(self.starts):
@@ -75,6 +80,9 @@ class Words:
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: b - a], out=sums[1:])
             s, e = self.starts[i:j] - a, self.ends[i:j] - a
             out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+            for k, length in enumerate(prefixes):
+                cut = np.minimum(s + length, e)
+                self.prefixes[k][i:j] = mix((sums[cut] - sums[s]) * inverse[s] + (cut - s + 64).astype(np.uint64))
             i = j
         return out
 
