@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -93,3 +94,9 @@ def slices(lengths, limit: int):
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps now instead of at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
