@@ -79,6 +79,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def text_of(docs: DataFrame, column: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))

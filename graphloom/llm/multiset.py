@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .wordhash import blocks, mix, ngram_hashes
 
 EXACT, SKETCH = 16, 256
@@ -218,4 +219,4 @@ def _borders(ids: DataFrame, parts: int) -> list[int]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row a document, with its fingerprint and that of its edited text (see SCHEMA)."""
-    return _with_neighbours(docs).mapInArrow(_run, SCHEMA)
+    return map_arrow(_with_neighbours(docs), _run, SCHEMA)

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 WINDOW = 1024
 END = 0
 #: Bounds of a shard: documents and tokens.
@@ -219,4 +221,4 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_json: str | None = Non
         yield batch()
 
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return map_arrow(rows, run, SCHEMA)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 from .components import components
 
 DISTANCE = 3
@@ -58,7 +58,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """doc_id, fp (signed 64 bits), one row a document."""
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return map_arrow(rows, _fingerprints, "doc_id bigint, fp bigint")
 
 
 def _mask(ranges) -> int:

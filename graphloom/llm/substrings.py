@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import cut, release, remove_folder, shared_folder
+from .common import cut, map_arrow, release, remove_folder, shared_folder
 from .wordhash import blocks, mix, ngram_hashes
 
 #: Words a window; words an anchor.
@@ -106,7 +106,7 @@ def _anchors(window: int):
 
 def _repeated(identified: DataFrame, window: int) -> DataFrame:
     """anchor, row, at: places of anchors that occur more than once."""
-    found = identified.mapInArrow(_anchors(window), "anchor bigint, row bigint, at bigint")
+    found = map_arrow(identified, _anchors(window), "anchor bigint, row bigint, at bigint")
     kind = F.col("at").bitwiseAND(F.lit(3).cast("bigint"))
     route = F.when(kind == 1, F.xxhash64("row", "at")).otherwise(F.col("anchor"))
     several = F.count(F.lit(1)).over(Window.partitionBy("route")) > 1
@@ -228,10 +228,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     marked = places.join(hot, "anchor", "left").select("row", F.struct("at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("place"))
     by_text = marked.groupBy(F.col("row").alias("place_row")).agg(F.array_sort(F.collect_set("place")).alias("places"))
     joined = identified.join(by_text, F.col("row") == F.col("place_row")).select("id", "row", "text", F.col("places.at").alias("ats"), F.col("places.hot").alias("hots"))
-    passages = joined.mapInArrow(_passages(window), "route bigint, id bigint, row bigint, start int, windows int, body binary")
+    passages = map_arrow(joined, _passages(window), "route bigint, id bigint, row bigint, start int, windows int, body binary")
     route = F.when(F.col("body").isNull(), F.xxhash64("row", "start")).otherwise(F.col("route"))
     routed = passages.withColumn("route", route).repartition("route").sortWithinPartitions("route", "id", "row", "start")
-    spans = routed.mapInArrow(_shards(window), "id bigint, row bigint, start int, length int")
+    spans = map_arrow(routed, _shards(window), "id bigint, row bigint, start int, length int")
     out = cut(spans.groupBy("id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans")))
     release(spark)
     remove_folder(spark, folder)
@@ -270,4 +270,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, digest: bool = False) ->
     joined = rows.join(spans, (rows["id"] == spans["span_id"]) & (rows["row"] == spans["span_row"]), "left")
     given = joined.select(F.nullif("id", F.lit(_LAST)).alias("doc_id"), "text", "spans")
     last = "kept_sha256" if digest else "kept"
-    return given.mapInArrow(_digested if digest else _apply, f"doc_id bigint, n_words bigint, n_removed bigint, {last} string")
+    return map_arrow(given, _digested if digest else _apply, f"doc_id bigint, n_words bigint, n_removed bigint, {last} string")

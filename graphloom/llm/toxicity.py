@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .wordhash import PUNCTUATION, Words, blocks, buffers
 
 CUT = 0.7
@@ -310,7 +311,7 @@ def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
@@ -324,4 +325,4 @@ def accepted(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) < CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
