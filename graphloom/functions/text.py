@@ -80,10 +80,16 @@ def strip_code_fences(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s*```\s*\z", ""))
 
 
+def _value(x: Column) -> Column:
+    """The JSON value of a whole text, else null. The parser stops after a first value; as a list's only member it cannot."""
+    listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def _object(x: Column) -> Column:
-    """The text itself if it parses as a JSON object, else null."""
-    value = F.try_parse_json(x)
-    return F.when(value.isNotNull() & F.schema_of_variant(value).startswith("OBJECT"), x)
+    """The text itself if it is a JSON object, else null."""
+    return F.when(F.startswith(F.schema_of_variant(_value(x)), F.lit("OBJECT")), x)
 
 
 def json_object(x: Column) -> Column:
@@ -95,7 +101,7 @@ def json_object(x: Column) -> Column:
     start = F.instr(bare, F.lit("{"))
     end = F.length(bare) - F.instr(F.reverse(bare), F.lit("}")) + 1
     inner = F.when((start > 0) & F.contains(bare, F.lit("}")) & (end > start), F.call_function("substring", bare, start, end - start + 1))
-    return F.when(bare == "", F.lit(None).cast("string")).when(F.try_parse_json(bare).isNotNull(), _object(bare)).otherwise(_object(inner))
+    return F.when(bare == "", F.lit(None).cast("string")).when(_value(bare).isNotNull(), _object(bare)).otherwise(_object(inner))
 
 
 def data_url_summary(x: Column) -> Column:

@@ -1,6 +1,6 @@
 """All queries over the driver tables, and their SQL."""
 
-from . import graph_queries  # noqa: F401
+from . import graph_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
