@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by order, all columns kept. One combine-able aggregate, no sort of a key's rows."""
@@ -25,8 +27,8 @@ def relation_entries(fields: list[tuple[str, DataFrame]], keys: list[str]) -> Da
 
 def relation_predicate(predicate: Column, label: Column) -> Column:
     """The predicate, or the one that a label stands for."""
-    label = F.lower(F.trim(label))
-    return F.coalesce(F.nullif(predicate, F.lit("")), F.when(F.endswith(label, F.lit("can be executed by")), F.lit("hsterms:isExecutedBy")))
+    label = F.lower(strip(label))
+    return F.coalesce(F.nullif(predicate, F.lit("")), F.when(label == "the content of this resource can be executed by", F.lit("hsterms:isExecutedBy")))
 
 
 def merge_relations(typed: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
