@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .wordhash import PUNCTUATION, Words, blocks, buffers
+from .wordhash import PUNCTUATION, Words, blocks
 
 CUT = 0.7
 WIDTHS = (1, 2, 3)
@@ -32,7 +32,7 @@ SIZE = 8
 #: Buckets of words, and of leading bytes by their number.
 BUCKETS = (1 << 17, 1 << 16, 1 << 16, 1 << 16)
 PREFIXES = (4, 6, 8)
-MAX_ROWS, MAX_BYTES = 4000, 32 << 20
+MAX_ROWS, MAX_BYTES = 3000, 20 << 20
 EPOCHS, BATCH = 10, 16
 
 # Function words that show a language.
@@ -142,15 +142,44 @@ class Model:
         return np.where(p >= cut, CUT + (1 - CUT) * (p - cut) / (1 - cut), np.minimum(CUT * p / cut, np.nextafter(CUT, 0)))
 
 
-def _log_odds(f: Features, toxic: np.ndarray) -> list[np.ndarray]:
-    """Shrunken log odds of each bucket, by texts that hold it."""
-    text = np.repeat(np.arange(len(f.first) - 1), np.diff(f.first))
+class Sample:
+    """Bucket numbers of the training texts, and what is known of each text. Hashed a block at a time."""
+
+    def __init__(self, texts):
+        channels, sizes, languages_ = [[] for _ in BUCKETS], [], []
+        for _, _, f in features(texts):
+            for kept, c in zip(channels, f.channels, strict=True):
+                kept.append(c)
+            sizes.append(np.diff(f.first))
+            languages_.append(languages(f))
+        self.channels = [np.concatenate(c) for c in channels]
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.languages = np.concatenate(languages_)
+
+    def part(self, rows: np.ndarray) -> Features:
+        """Features of some of the texts, in the order given."""
+        out = object.__new__(Features)
+        sizes = np.diff(self.first)[rows]
+        out.first = np.concatenate([[0], np.cumsum(sizes)])
+        index = np.arange(out.first[-1]) + np.repeat(self.first[rows] - out.first[:-1], sizes)
+        out.channels = [c[index] for c in self.channels]
+        return out
+
+
+def _log_odds(sample: Sample, rows: np.ndarray, toxic: np.ndarray) -> list[np.ndarray]:
+    """Shrunken log odds of each bucket, by the texts among rows that hold it."""
+    used = np.zeros(len(toxic), bool)
+    used[rows] = True
+    bad = toxic[rows].sum()
     out = []
-    for c, n in zip(f.channels, BUCKETS, strict=True):
-        seen = np.unique(text.astype(np.int64) * n + c)
-        bucket, bad = seen % n, toxic[seen // n]
-        ones, all_ = np.bincount(bucket, bad, n), np.bincount(bucket, minlength=n)
-        odds = np.log((ones + 0.5) / (toxic.sum() + 1)) - np.log((all_ - ones + 0.5) / ((1 - toxic).sum() + 1))
+    for c, n in zip(sample.channels, BUCKETS, strict=True):
+        ones, all_ = np.zeros(n), np.zeros(n)
+        for r in np.flatnonzero(used):
+            held = np.unique(c[sample.first[r] : sample.first[r + 1]])
+            all_[held] += 1
+            if toxic[r]:
+                ones[held] += 1
+        odds = np.log((ones + 0.5) / (bad + 1)) - np.log((all_ - ones + 0.5) / (len(rows) - bad + 1))
         out.append((odds * all_ / (all_ + 3)).astype(np.float32))
     return out
 
@@ -159,59 +188,47 @@ def train(texts, toxic: np.ndarray, seed: int = 11) -> Model | None:
     """A model from an Arrow array of texts and their 0/1 labels; None without both classes."""
     if toxic.sum() in (0, len(toxic)):
         return None
-    f = Features(Words(*buffers(texts), lower=True, apart=PUNCTUATION, prefixes=PREFIXES))
+    sample = Sample(texts)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(toxic))
     aside = np.zeros(len(toxic), bool)
     for label in (0, 1):
         own = order[toxic[order] == label]
         aside[own[: len(own) // 4]] = True
-
-    def subset(rows):
-        part = object.__new__(Features)
-        sizes = np.diff(f.first)[rows]
-        part.first = np.concatenate([[0], np.cumsum(sizes)])
-        index = np.concatenate([np.arange(f.first[r], f.first[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-        part.channels, part.hashes = [c[index] for c in f.channels], f.hashes[index]
-        return part
-
-    fit = np.flatnonzero(~aside)
-    fitted = subset(fit)
+    fit_rows, held = np.flatnonzero(~aside), np.flatnonzero(aside)
     embeddings = [rng.normal(0, 0.02, (n, SIZE)).astype(np.float32) for n in BUCKETS]
-    for e, odds in zip(embeddings, _log_odds(fitted, toxic[fit].astype(float)), strict=True):
+    for e, odds in zip(embeddings, _log_odds(sample, fit_rows, toxic), strict=True):
         e[:, 0] = 0.3 * odds
     filters = [rng.normal(0, 0.2, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
     for w in filters:
         w[:, 0, :] = np.abs(w[:, 0, :]) + 0.5
     width = len(WIDTHS) * FILTERS
     model = Model(embeddings, filters, np.zeros(width, np.float32), rng.normal(0, 0.1, width) + 0.05, -1.0, None)
-    _descend(model, fitted, toxic[fit], rng)
-    held = np.flatnonzero(aside)
-    rest = subset(held)
-    model.cuts = _cuts(model.probabilities(rest), toxic[held], languages(rest))
+    _descend(model, sample, fit_rows, toxic, rng)
+    probabilities = np.concatenate([model.probabilities(sample.part(held[k : k + 256])) for k in range(0, len(held), 256)] or [np.zeros(0)])
+    model.cuts = _cuts(probabilities, toxic[held], sample.languages[held])
     model.embeddings = [e.astype(np.float16) for e in model.embeddings]
     return model
 
 
-def _descend(model: Model, f: Features, toxic: np.ndarray, rng, rate: float = 0.05) -> None:
-    """Adagrad over minibatches; gradients flow through the maxima only."""
-    weight = np.where(toxic == 1, 0.5 / max(toxic.mean(), 1e-6), 0.5 / max(1 - toxic.mean(), 1e-6))
+def _descend(model: Model, sample: Sample, fit_rows: np.ndarray, toxic: np.ndarray, rng, rate: float = 0.05) -> None:
+    """Adagrad over minibatches of some of the texts; gradients flow through the maxima only."""
+    share = toxic[fit_rows].mean()
+    weight = np.where(toxic == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
     seen = [np.full(e.shape, 1e-3, np.float32) for e in model.embeddings]
     seen_filters = [np.full(w.shape, 1e-2, np.float32) for w in model.filters]
     seen_bias, seen_weights, seen_shift = np.full(model.bias.shape, 1e-2, np.float32), np.full(model.weights.shape, 1e-2), 1e-2
-    sizes = np.diff(f.first)
+    sizes = np.diff(sample.first)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(toxic))
+        order = rng.permutation(fit_rows)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             rows = rows[sizes[rows] > 0]
             if not len(rows):
                 continue
-            index = np.concatenate([np.arange(f.first[r], f.first[r + 1]) for r in rows])
-            starts = np.concatenate([[0], np.cumsum(sizes[rows])])
-            part = object.__new__(Features)
-            part.channels = [c[index] for c in f.channels]
-            x = model.vectors(part, 0, len(index))
+            part = sample.part(rows)
+            starts = part.first
+            x = model.vectors(part, 0, int(starts[-1]))
             r = model.responses(x, starts)
             peak = np.stack([starts[k] + r[starts[k] : starts[k + 1]].argmax(axis=0) for k in range(len(rows))])
             value = np.take_along_axis(r, peak, axis=0) + model.bias
