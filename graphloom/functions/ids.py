@@ -13,6 +13,8 @@ ROR = r"(?i)ror\.org/([a-z0-9]{9})"
 DOI = r"""(?i)(?:doi\.org/|doi:)?(10\.\d{4,9}/[^\s,;"'<>]+)"""
 RESOURCE = r"(?i)/resource/([0-9a-f]{32})"
 AUTHORITY = r"\A[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
+DOI_IN_TEXT = r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b"
+URL_IN_TEXT = r"""(https?://[^\s<>)\\\]"']+)"""
 CODE_HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
 
 
@@ -61,12 +63,12 @@ def is_repository_url(url: Column) -> Column:
 
 
 def url_bucket(url: Column, dataset_host: str = "datasets.example.org") -> Column:
-    """dataset, code, doi or other, by the first rule that holds."""
-    host = F.lower(authority(url))
+    """dataset, code, doi or other, by the first rule that holds anywhere in the address."""
+    low = F.lower(F.regexp_replace(url, r"[.,)]+\z", ""))
     return (
-        F.when(F.contains(host, F.lit(dataset_host)), "dataset")
-        .when(F.contains(host, F.lit("github.com")), "code")
-        .when(F.contains(host, F.lit("doi.org")) | url.rlike(r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b"), "doi")
+        F.when(F.contains(low, F.lit(dataset_host)), "dataset")
+        .when(F.contains(low, F.lit("github.com")), "code")
+        .when(F.contains(low, F.lit("doi.org/")) | low.rlike(DOI_IN_TEXT), "doi")
         .otherwise("other")
     )
 

@@ -98,8 +98,8 @@ def _variant() -> Column:
 @query(
     "url_buckets",
     rf"""WITH v AS (SELECT page_id, {_VARIANT_SQL} AS u FROM pages), h AS (SELECT page_id, u, lower(regexp_extract(u, '^[a-z]+://([^/?#]*)', 1)) AS host FROM v)
-    SELECT page_id, CASE WHEN contains(host, 'datasets.example.org') THEN 'dataset' WHEN contains(host, 'github.com') THEN 'code'
-      WHEN contains(host, 'doi.org') OR regexp_matches(u, '\b10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+\b') THEN 'doi' ELSE 'other' END AS bucket,
+    SELECT page_id, CASE WHEN contains(lower(u), 'datasets.example.org') THEN 'dataset' WHEN contains(lower(u), 'github.com') THEN 'code'
+      WHEN contains(lower(u), 'doi.org/') OR regexp_matches(u, '\b10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+\b') THEN 'doi' ELSE 'other' END AS bucket,
       nullif(lower(regexp_extract(u, '(?i)/resource/([0-9a-f]{{32}})', 1)), '') AS resource_id,
       contains(host, 'github.com') OR contains(host, 'gitlab.com') OR contains(host, 'bitbucket.org') AS is_repository FROM h""",
 )
