@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -103,6 +105,14 @@ def slices(lengths, limit: int):
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now instead of at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished steps now instead of at the driver's next collections.
+
+    Events that still wait for a listener hold the plans they tell of, so the queues are emptied first. What one
+    collection frees makes more unreachable, and the cleaner works beside the caller, so it takes rounds.
+    """
+    with contextlib.suppress(Exception):  # an internal interface; without it files stay somewhat longer
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    for _ in range(6):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
