@@ -11,14 +11,16 @@ from ..functions.text import limit_words, readme_key, section_body, strip, strip
 CHUNK_CAPS = {"Background": 3, "Research Goal": 5, "Problem": 5, "Method": 8, "Data": 6, "Result": 10, "Discussion-Limitation": 6, "Conclusion": 3}
 MOST_CHARS, LEAST_CHARS, MOST_QUOTE_WORDS = 1500, 120, 50
 
-HEADING = r"\A(#{1,6})[ \t]+(.*\S)\s*\z"
+HEADING = r"\A(#{1,6})\s+(.*\S)\s*\z"
+INTRODUCTION = "README Introduction"
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, section_id, parent_section_id, heading, heading_level, section_text, has_children.
+    """key, section_id, parent_section_id, heading, heading_level, heading_marker, section_text, has_children.
 
-    A heading's parent is the nearest heading before it of a lower level; text before the first heading is section of level 0.
-    Sections without text and children are dropped, but keep their number. Documents are windows of their own lines."""
+    A heading's parent is the nearest heading before it of a lower level; text before the first heading is an introduction of
+    level 0. Sections without text and children are dropped, but keep their number; those with children only show their
+    heading as text. Documents are windows of their own lines."""
     lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(unix_lines(F.col(text)), "\n", -1)).alias("line_no", "line"))
     level = F.length(F.regexp_extract("line", HEADING, 1))
     lines = lines.withColumn("level", level)
@@ -48,7 +50,17 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
         parent = F.when(F.col("heading_level") == k, F.nullif(best, F.lit(0))).otherwise(parent)
     grouped = grouped.withColumn("parent_section_id", parent).withColumn("has_children", F.coalesce((F.col("heading_level") > 0) & (F.col("following") > F.col("heading_level")), F.lit(False)))
     kept = grouped.filter((F.col("section_text") != "") | F.col("has_children"))
-    return kept.select(F.col("key").alias(key), "section_id", "parent_section_id", "heading", "heading_level", "section_text", "has_children")
+    top = F.col("heading_level") == 0
+    return kept.select(
+        F.col("key").alias(key),
+        "section_id",
+        "parent_section_id",
+        F.when(top, INTRODUCTION).otherwise(F.col("heading")).alias("heading"),
+        "heading_level",
+        F.when(~top, F.repeat(F.lit("#"), F.col("heading_level"))).alias("heading_marker"),
+        F.when(F.col("section_text") == "", F.col("heading")).otherwise(F.col("section_text")).alias("section_text"),
+        "has_children",
+    )
 
 
 def distinct_texts(docs: DataFrame, key: list[str], text: str, name: str) -> DataFrame:
