@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import compress_text, json_object, strip
 from ..functions.values import json_text
 from ..operators.documents import normalise_chunks
+from ..session import map_arrow
 
 #: Fallbacks of the parameters of a call, tried in turn.
 CALLS = ({"effort": True, "temperature": False}, {"effort": False, "temperature": True}, {"effort": False, "temperature": False})
@@ -43,7 +44,7 @@ def answered(asked: DataFrame, model: Callable[..., str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=["paper_id", "answer", "error"])
 
     kind = asked.schema["paper_id"].dataType.simpleString()
-    return asked.mapInArrow(run, f"paper_id {kind}, answer string, error string")
+    return map_arrow(asked, run, f"paper_id {kind}, answer string, error string")
 
 
 def replayed(asked: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions import ids, manifests, paths
 from ..functions.text import none_if_empty
 from ..operators.records import merge_dependencies
 from ..sources.files import files, json_or_default, tolerant_text
+from ..session import map_arrow
 
 METADATA = """id bigint, name string, full_name string, html_url string, description string, homepage string, default_branch string, language string, topics array<string>, fork boolean, archived boolean, disabled boolean,
 visibility string, created_at string, updated_at string, pushed_at string, size_kb bigint, stargazers_count bigint, watchers_count bigint, forks_count bigint, open_issues_count bigint,
@@ -101,7 +102,7 @@ def _findings(batches):
 
 def findings(manifest_files: DataFrame) -> DataFrame:
     """repo, path, place, kind, json of files (repo, path, file_role, text)."""
-    return manifest_files.select("repo", "path", "file_role", "text").mapInArrow(_findings, "repo string, path string, place int, kind string, json string")
+    return map_arrow(manifest_files.select("repo", "path", "file_role", "text"), _findings, "repo string, path string, place int, kind string, json string")
 
 
 def _source(path: Column, line: Column) -> Column:

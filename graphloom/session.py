@@ -1,8 +1,16 @@
-"""Session factory with the settings the engine expects."""
+"""Session factory with the settings the engine expects, and this package on the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "graphloom", **settings: str) -> SparkSession:
@@ -17,3 +25,28 @@ def session(name: str = "graphloom", **settings: str) -> SparkSession:
     for k, v in (base | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="graphloom-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "graphloom_ship.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

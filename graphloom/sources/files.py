@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import unix_lines
+from ..session import map_arrow
 
 
 def tolerant_text(content: Column) -> Column:
@@ -93,5 +94,5 @@ def zip_members(rows: DataFrame, key: str, content: str = "content") -> DataFram
                         columns = [pa.array([k.as_py()], batch.column(0).type), pa.array([path]), pa.array([path.rpartition("/")[2]]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())]
                         yield pa.RecordBatch.from_arrays(columns, names=["key", "path", "name", "size_bytes", "content"])
 
-    found = rows.select(F.col(key), F.col(content)).mapInArrow(run, f"key {kind}, path string, name string, size_bytes bigint, content binary")
+    found = map_arrow(rows.select(F.col(key), F.col(content)), run, f"key {kind}, path string, name string, size_bytes bigint, content binary")
     return found.withColumnRenamed("key", key)
