@@ -38,6 +38,8 @@ WINDOW, ANCHOR = 20, 8
 SHARD_WORDS = 30_000
 #: Anchors with more occurrences are routed by window.
 HOT_ANCHOR = 4096
+#: Hot anchors (9 bytes each) that are broadcast at most.
+MOST_BROADCAST = 200_000
 _LAST = (1 << 63) - 1
 
 
@@ -224,7 +226,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     _repeated(identified, window).write.parquet(folder)
     release(spark)
     places = spark.read.schema("anchor bigint, row bigint, at int").parquet(folder)
-    hot = places.groupBy("anchor").count().filter(F.col("count") > HOT_ANCHOR).select("anchor", F.lit(True).alias("hot"))
+    hot = cut(places.groupBy("anchor").count().filter(F.col("count") > HOT_ANCHOR).select("anchor", F.lit(True).alias("hot")))
+    if hot.count() <= MOST_BROADCAST:  # then the rows of a hot anchor need not meet; beyond, skewed joins are split
+        hot = F.broadcast(hot)
     marked = places.join(hot, "anchor", "left").select("row", F.struct("at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("place"))
     by_text = marked.groupBy(F.col("row").alias("place_row")).agg(F.array_sort(F.collect_set("place")).alias("places"))
     joined = identified.join(by_text, F.col("row") == F.col("place_row")).select("id", "row", "text", F.col("places.at").alias("ats"), F.col("places.hot").alias("hots"))
