@@ -1,21 +1,22 @@
-"""Shared helpers: input columns, lineage cuts, shipping of this package to executors."""
+"""Shared helpers: input columns, lineage cuts, shared folders."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
 import gc
-import os
 import shutil
 import tempfile
 import time
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_arrow, ship
+
+__all__ = ["SPACE", "WORD", "checkpoint_dir", "cut", "map_arrow", "release", "remove_folder", "shared_folder", "ship", "slices", "table", "text_of"]
+
 #: ASCII white space that separates words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -62,31 +63,6 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="graphloom-ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = os.path.join(folder, "graphloom_ship.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
-
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def text_of(docs: DataFrame, column: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))

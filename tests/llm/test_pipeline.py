@@ -2,7 +2,7 @@ import corpus_pipeline
 from graphloom.llm import mixing, packing, secrets, simhash, toxicity
 from graphloom.llm.common import table
 
-from .rows import documents
+from .rows import documents, empty
 from .test_packing import check
 from .test_secrets import base
 from .test_simhash import brute_components, brute_print
@@ -52,3 +52,30 @@ def test_clashing_columns_and_repeated_rows(spark, tmp_path):
         assert out.columns == docs.columns, name
         assert out.count() > 0
     assert packing.pack(docs).count() > 0 and simhash.deduplicated(docs).count() and secrets.redacted(docs).count() == docs.count()
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = empty(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_columns(spark, tmp_path):
+    """Rows that hold nothing but nulls, beside ordinary ones."""
+    rows = [(None, None, None, None, None, None, None, None)] * 3 + [(5, "some text here", "en", "src", 14, None, None, None)]
+    docs = spark.createDataFrame(rows, docs_schema())
+    spark.createDataFrame([(None, None, None), (5, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES:
+        sizes[name] = stage(spark, docs, str(tmp_path)).count()
+    assert sizes["toxicity"] == 4 and sizes["simhash"] == 2 and sizes["secrets"] == 4 and sizes["mixing"] >= 1 and sizes["packing"] >= 4
+
+
+def docs_schema():
+    from .rows import SCHEMA
+
+    return SCHEMA
