@@ -49,7 +49,7 @@ def file_name(path: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """With its dot; none for names that begin with their only dot or end in one."""
-    return F.regexp_extract(name, r"[^.](\.[^.]+)\z", 1)
+    return F.regexp_extract(name, r"(?s)\A.+(\.[^.]+)\z", 1)
 
 
 def first_folder(path: Column) -> Column:
