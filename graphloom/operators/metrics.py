@@ -74,3 +74,37 @@ def consolidation(nodes: DataFrame, name: str = "mentionCount") -> DataFrame:
 
 def has_mention_counts(nodes: DataFrame, name: str = "mentionCount") -> DataFrame:
     return nodes.agg(F.coalesce(F.bool_or(F.map_contains_key("attributes", name)), F.lit(False)).alias("explicit_counts"))
+
+
+def snapshot_record(nodes: DataFrame, edges: DataFrame, label: str, display_name: str | None = None, order: int | None = None, input_path: str | None = None, input_sha256: str | None = None, stage: str = "pre-consolidation", service: str = "service") -> dict:
+    """All metrics of a graph as one record; two small aggregates reach the driver (one row, and one a class)."""
+    excluded = administrative(service)
+    whole = structural(nodes, edges, excluded=excluded).first()
+    ratios = consolidation(nodes).collect()
+    ratio = lambda r: {"uniqueCanonicalEntities": r["entities"], "totalEntityMentions": r["mentions"], "ratio": r["ratio"]}
+    return {
+        "schemaVersion": "1.0.0",
+        "label": label,
+        "displayName": display_name or label,
+        "trajectoryOrder": order,
+        "input": {"path": input_path, "sha256": input_sha256},
+        "counts": {"nodes": whole["nodes"], "edges": edges.count()},
+        "metrics": {
+            "informationDensity": {
+                "combinedAveragePerNode": whole["information_density"],
+                "averageInformativeAttributesPerNode": whole["attributes_per_node"],
+                "averageIncidentEdgesPerNode": whole["incident_per_node"],
+                "totalInformativeAttributes": whole["informative_total"],
+                "totalIncidentEdgeOccurrences": whole["incident_total"],
+            },
+            "relationalRichness": {"averageDistinctRelationTypesPerNode": whole["relational_richness"], "totalPerNodeDistinctRelationTypes": whole["relation_type_total"]},
+            "consolidation": {
+                "stage": stage,
+                "mentionCountAttribute": "mentionCount",
+                "explicitMentionCounts": has_mention_counts(nodes).first()[0],
+                "global": next(ratio(r) for r in ratios if r["whole"]),
+                "perEntityType": {r["class"]: ratio(r) for r in sorted((r for r in ratios if not r["whole"]), key=lambda r: r["class"])},
+            },
+        },
+        "methodology": {"administrativeAttributeExclusionSet": sorted(excluded)},
+    }

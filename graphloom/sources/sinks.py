@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import json
-import os
 import re
 import shutil
 import tempfile
@@ -46,25 +45,19 @@ def write_json_records(df: DataFrame, path: str, order: list[str], name: str | N
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """{edges: [...], nodes: [...]} sorted by id, with attribute values as JSON values."""
-    parts = {}
-    for name, df in (("edges", edges), ("nodes", nodes)):
-        fd, part = tempfile.mkstemp(suffix=".json")
-        os.close(fd)
-        write_json_records(df, part, ["id"])
-        parts[name] = part
+    """{edges: [...], nodes: [...]} sorted by id. Fields that are null are left out of edges."""
     with open(path, "w", encoding="utf-8", newline="\n") as out:
-        out.write("{\n")
-        for k, (name, part) in enumerate(parts.items()):
-            out.write(f'  "{name}": ')
-            with open(part, encoding="utf-8") as given:
-                first = True
-                for line in given:
-                    out.write(("" if first else "  ") + line.rstrip("\n") + ("\n" if not line.startswith("]") else ""))
-                    first = False
-            out.write(",\n" if k == 0 else "\n")
-            os.remove(part)
-        out.write("}\n")
+        out.write("{")
+        for k, (name, df) in enumerate((("edges", edges), ("nodes", nodes))):
+            out.write(("," if k else "") + f'\n  "{name}": [')
+            options = {"ignoreNullFields": "true" if name == "edges" else "false"}
+            count = 0
+            for row in df.withColumn("_json", F.to_json(F.struct(*df.columns), options)).orderBy("id").select("_json").toLocalIterator():
+                text = json.dumps(json.loads(row["_json"]), ensure_ascii=False, indent=2, sort_keys=True)
+                out.write(("," if count else "") + "\n    " + text.replace("\n", "\n    "))
+                count += 1
+            out.write("\n  ]" if count else "]")
+        out.write("\n}\n")
 
 
 LABEL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
@@ -110,7 +103,8 @@ def trajectory_table(folder: str) -> str:
     rows = []
     for r in read_snapshots(folder):
         m = r["metrics"]
-        rows.append((r.get("displayName") or r["label"], r["counts"]["nodes"], r["counts"]["edges"], m["information_density"], m["relational_richness"], m["consolidation"]))
+        density, richness, merged = m["informationDensity"], m["relationalRichness"], m["consolidation"]["global"]
+        rows.append((r.get("displayName") or r["label"], r["counts"]["nodes"], r["counts"]["edges"], density["combinedAveragePerNode"], richness["averageDistinctRelationTypesPerNode"], merged["ratio"]))
     return markdown_table(["Snapshot", "Nodes", "Edges", "Information density", "Relational richness", "Consolidation"], rows)
 
 

@@ -7,9 +7,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph
+from graphloom.operators import graph, metrics
 from graphloom.plans import papers
-from graphloom.sources import files, service, sinks
+from graphloom.sources import files, graphs, service, sinks
 from graphloom.streaming import resume
 
 
@@ -64,7 +64,7 @@ def test_graph_writer(spark, tmp_path):
 
 def test_snapshots(tmp_path):
     for label, order in (("later", 2), ("first", 1), ("loose", None)):
-        sinks.write_snapshot({"label": label, "trajectoryOrder": order, "counts": {"nodes": 1, "edges": 2}, "metrics": {"information_density": 1.5, "relational_richness": 0.25, "consolidation": 1.0}}, str(tmp_path))
+        sinks.write_snapshot({"label": label, "trajectoryOrder": order, "counts": {"nodes": 1, "edges": 2}, "metrics": {"informationDensity": {"combinedAveragePerNode": 1.5}, "relationalRichness": {"averageDistinctRelationTypesPerNode": 0.25}, "consolidation": {"global": {"ratio": 1.0}}}}, str(tmp_path))
     assert [r["label"] for r in sinks.read_snapshots(str(tmp_path))] == ["first", "later", "loose"]
     assert sinks.trajectory_table(str(tmp_path)).splitlines()[2] == "| first | 1 | 2 | 1.500000 | 0.250000 | 1.000000 |"
     with pytest.raises(ValueError):
@@ -135,3 +135,25 @@ def test_graph_checks(spark):
     assert found == {("node without id", ""), ("repeated node id", "a"), ("repeated edge id", "e1"), ("node without class", "c"), ("edge without relation", "e1"), ("loose end", "e1")}
     with pytest.raises(ValueError):
         graph.check(spark.createDataFrame([("a", "K"), ("a", "K")], schema), edges)
+
+
+def test_graph_round_trip_and_metrics(spark, tmp_path):
+    """A graph document read, measured, written and read again."""
+    given = {
+        "nodes": [{"id": "b", "class": "X", "inventoryId": "1", "attributes": {"name": "n", "size": 1, "tags": ["t"], "url": "u", "blank": " "}, "evidence": None, "curationStatus": "curated"}, {"id": "a", "class": "Y", "inventoryId": "2", "attributes": {}, "evidence": None, "curationStatus": "referenced"}],
+        "edges": [{"id": "e", "relation": "r", "inventoryId": "3", "source": "a", "target": "b", "evidence": {"evidenceText": "t", "sourceLocation": "s", "extractionMethod": "m", "sourceArtifact": "x"}}],
+    }
+    (tmp_path / "g.json").write_text(json.dumps(given))
+    nodes, edges = graphs.read_graph(spark, str(tmp_path / "g.json"))
+    graph.check(nodes, edges)
+    record = metrics.snapshot_record(nodes, edges, "one", order=1)
+    assert record["metrics"]["informationDensity"]["totalInformativeAttributes"] == 3 and record["metrics"]["informationDensity"]["combinedAveragePerNode"] == 2.5
+    assert record["metrics"]["consolidation"]["perEntityType"]["X"]["ratio"] == 1.0 and record["counts"] == {"nodes": 2, "edges": 1}
+    sinks.write_snapshot(record, str(tmp_path / "snapshots"))
+    assert "| one | 2 | 1 | 2.500000 | 1.000000 | 1.000000 |" in sinks.trajectory_table(str(tmp_path / "snapshots"))
+    sinks.write_graph(*graphs.document(nodes, edges), str(tmp_path / "again.json"))
+    again = json.load(open(tmp_path / "again.json"))
+    assert again["edges"] == given["edges"] and again["nodes"] == sorted(given["nodes"], key=lambda n: n["id"])
+    (tmp_path / "bad.json").write_text('{"nodes": {}, "edges": []}')
+    with pytest.raises(ValueError, match="nodes must be a list"):
+        graphs.read_graph(spark, str(tmp_path / "bad.json"))
