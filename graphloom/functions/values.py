@@ -14,8 +14,7 @@ _BLANK = r"""(?U)\A"(?:\s|\\[nrtf]|\\u00(?:0[9a-dA-D]|1[c-fC-F]|20|85|[aA]0))*"\
 
 def json_text(x: Column) -> Column:
     """A string as JSON text; null stays null."""
-    quoted = F.to_json(F.array(x))
-    return F.when(x.isNotNull(), F.call_function("substring", quoted, F.lit(2), F.length(quoted) - 2))
+    return F.when(x.isNotNull(), F.regexp_replace(F.to_json(F.array(x)), r"\A\[|\]\z", ""))
 
 
 def json_number(x: Column) -> Column:

@@ -119,19 +119,19 @@ class Rules:
         one(filled(kind), self.edge("hasResourceType", "C-D01", r, type_key, type_said), edges, _EDGE)
         skip(~filled(kind), "missing:resource_type")
 
-        for field, named, relation, inventory in (("creators", "creator_identifiers", "hasCreator", "C-D03"), ("contributors", "contributor_identifiers", "hasContributor", "C-DC05/A-AG")):
-            each(field, lambda p, at, named=named: self._person(p, at, named), nodes, _NODE)
+        for field, relation, inventory in (("creators", "hasCreator", "C-D03"), ("contributors", "hasContributor", "C-DC05/A-AG")):
+            each(field, self._person, nodes, _NODE)
 
-            def authored(p, at, named=named, relation=relation, inventory=inventory, field=field):
+            def authored(p, at, relation=relation, inventory=inventory, field=field):
                 order = F.when(p["creator_order"].isNotNull(), F.create_map(F.lit("creatorOrder"), p["creator_order"].cast("string"))) if field == "creators" else None
-                return self.edge(relation, inventory, r, self._person_key(p, named)["id"], self.evidence(p["name"], at), F.coalesce(order, F.create_map().cast("map<string,string>")) if order is not None else None)
+                return self.edge(relation, inventory, r, p["key"]["id"], self.evidence(p["name"], at), F.coalesce(order, F.create_map().cast("map<string,string>")) if order is not None else None)
 
             each(field, authored, edges, _EDGE)
             has_org = lambda p: F.coalesce(p["organization"] != "", F.lit(False))
             org_said = lambda p, at: self.evidence(p["organization"], _cat(at, ".organization"))
-            org_key = lambda p: ids.organization_key(p["organization"], F.lit(None).cast("string"))
+            org_key = lambda p: p["org"]
             each(field, lambda p, at: self.node(org_key(p)["id"], "Organization", "A-AG02", _texts(name=p["organization"], identifierRegime=org_key(p)["regime"], ror=org_key(p)["ror"]), org_said(p, at)), nodes, _NODE, keep=has_org)
-            each(field, lambda p, at, named=named: self.edge("affiliatedWith", "A-AG-R1", self._person_key(p, named)["id"], org_key(p)["id"], org_said(p, at)), edges, _EDGE, keep=has_org)
+            each(field, lambda p, at: self.edge("affiliatedWith", "A-AG-R1", p["key"]["id"], org_key(p)["id"], org_said(p, at)), edges, _EDGE, keep=has_org)
 
         for field in ("identifier", "url"):
             value = F.col(field)
@@ -210,12 +210,22 @@ class Rules:
         listed = F.filter(F.coalesce(F.col(named), F.array().cast(_NAMED)), lambda i: (i["person_name"] == p["name"]) & (p["name"] != ""))
         return F.concat(F.coalesce(p["identifiers"], F.array().cast(_IDENT)), F.transform(listed, lambda i: F.struct(i["id_type"].alias("id_type"), i["url"].alias("url"))))
 
-    def _person_key(self, p: Column, named: str) -> Column:
-        return ids.person_key(p["name"], self._known(p, named))
+    def with_keys(self, records: DataFrame) -> DataFrame:
+        """Records whose people carry their key, all known identifiers and the key of their organization, found once."""
+        for field, named in (("creators", "creator_identifiers"), ("contributors", "contributor_identifiers")):
+            records = records.withColumn(field, self._keyed(field, named))
+        return records
 
-    def _person(self, p: Column, at: Column, named: str) -> Column:
-        key = self._person_key(p, named)
-        urls = F.filter(self._known(p, named), lambda i: i["url"] != "")
+    def _keyed(self, field: str, named: str) -> Column:
+        def keyed(p: Column) -> Column:
+            known = self._known(p, named)
+            return p.withField("known", known).withField("key", ids.person_key(p["name"], known)).withField("org", ids.organization_key(p["organization"], F.lit(None).cast("string")))
+
+        return F.transform(F.col(field), keyed)
+
+    def _person(self, p: Column, at: Column) -> Column:
+        key = p["key"]
+        urls = F.filter(p["known"], lambda i: i["url"] != "")
         shown = F.array_sort(F.array_distinct(F.transform(urls, lambda i: F.to_json(F.struct(none_if_empty(i["id_type"]).alias("idType"), i["url"].alias("url"))))))
         attributes = F.map_concat(_texts(name=p["name"], identifierRegime=key["regime"], orcid=key["orcid"]), F.create_map(F.lit(f"{self.service}UserId"), json_text(p["user_id"]), F.lit("identifiers"), _cat("[", F.array_join(shown, ","), "]")))
         return self.node(key["id"], "Person", "A-AG01", attributes, self.evidence(p["name"], at))
@@ -290,35 +300,62 @@ def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str])
     tool_target = F.coalesce(none_if_empty(F.col("explicit")), ids.resource_id(F.col("target")))
     entries = entries.withColumn("wanted", F.when(F.col("relation") == "isExecutedBy", tool_target).otherwise(dataset))
     corpus = records.select(F.col("resource_id").alias("known_id"), F.col("resource_type").alias("known_type"), F.col("title").alias("known_title"), F.coalesce("tool_config.app_home_page_url", F.lit("")).alias("known_launch"))
-    rows = entries.join(corpus, F.col("wanted") == F.col("known_id"), "left")
     found = reference_target(F.col("predicate"), F.col("explicit"), F.col("target"), F.col("urls"))
-    rows = rows.withColumn("found", found)
-    said, at, first, kind = F.col("found.said"), F.col("at"), F.col("found.first_url"), F.col("found.kind")
+    entries = entries.withColumn("found", found).withColumn("first", F.col("found.first_url")).withColumn("host", ids.authority(F.col("first"))).withColumn("repo_path", F.regexp_replace(ids.url_path(F.col("first")), r"\A/+|/+\z", ""))
     # an entry without a target is shown whole
-    shown = F.coalesce(none_if_empty(said), _spaced([("predicate_qname", json_text(F.col("predicate"))), ("target", json_text(F.col("target"))), ("target_resource_id", json_text(F.col("explicit"))), ("embedded_urls", F.to_json("urls"))]))
-    inside, status = F.col("known_id").isNotNull(), F.when(F.col("known_id").isNotNull(), CURATED).otherwise(REFERENCED)
-    host, launch, title, wanted = ids.authority(first), F.col("known_launch"), F.col("known_title"), F.col("wanted")
-    here = rules.evidence(shown, at)
-    refers, executes = F.col("relation") == "references", F.col("relation") == "isExecutedBy"
-    own_tool = executes & F.coalesce(F.col("known_type") == TOOL, F.lit(False))
-    regime = f"{rules.service}-resource-id"
-    repo_path = F.regexp_replace(ids.url_path(first), r"\A/+|/+\z", "")
-    tool_host = F.when(launch != "", ids.authority(launch))
-    choices = [
-        (own_tool, rules.node(ids.tool_key(launch, title), "Tool", "A-DOM02", F.map_concat(_texts(name=title, launchURL=launch, host=tool_host, identifierRegime=F.lit(f"{rules.service}-tool-resource")), F.create_map(F.lit(f"{rules.service}ResourceId"), json_text(wanted))), rules.evidence(F.coalesce(none_if_empty(launch), title), F.when(launch != "", "tool_config.app_home_page_url").otherwise("title"), wanted))),
-        (executes & wanted.isNotNull(), rules.node(_cat(f"tool:{rules.service}:", wanted), "Tool", "A-DOM02", F.map_concat(_texts(name=shown, identifierRegime=F.lit(regime)), F.create_map(F.lit(f"{rules.service}ResourceId"), json_text(wanted))), here, status)),
-        (executes & first.isNotNull(), rules.node(_cat("tool:url:", short_hash(first, 20)), "Tool", "A-DOM02", _texts(name=shown, url=first, host=host, identifierRegime=F.lit("external-url")), here, REFERENCED)),
-        (~executes & wanted.isNotNull(), rules.node(wanted, "DatasetResource", "A-D01", _texts(resourceId=wanted, identifierRegime=F.lit(regime), citation=shown), here, status)),
-        (refers & (kind == "paper"), rules.node(_cat("paper:doi:", slugify(F.col("found.doi"))), "Paper", "A-P01", _texts(identifierRegime=F.lit("DOI"), doi=F.col("found.doi"), citation=shown), here, REFERENCED)),
-        (refers & (kind == "repository"), rules.node(_cat("repository:url:", slugify(_cat(host, "/", repo_path))), "Repository", "A-C01", _texts(identifierRegime=F.lit("repository-url"), url=first, host=host, path=repo_path, citation=shown), here, REFERENCED)),
-        (refers & (kind == "external_dataset"), rules.node(_cat("dataset:url:", short_hash(first, 20)), "DatasetResource", "A-D01", _texts(identifierRegime=F.lit("external-url"), url=first, host=host, citation=shown), here, REFERENCED)),
-        (refers & (kind == "citation"), rules.node(_cat("paper:citation:", short_hash(shown, 20)), "Paper", "A-P01", _texts(identifierRegime=F.lit("citation-text"), citation=shown), here, REFERENCED)),
-    ]
+    whole = _spaced([("predicate_qname", json_text(F.col("predicate"))), ("target", json_text(F.col("target"))), ("target_resource_id", json_text(F.col("explicit"))), ("embedded_urls", F.to_json("urls"))])
+    entries = entries.withColumn("shown", F.coalesce(none_if_empty(F.col("found.said")), whole))
+    rows = entries.join(corpus, F.col("wanted") == F.col("known_id"), "left")
+    refers, executes, kind, wanted, first = F.col("relation") == "references", F.col("relation") == "isExecutedBy", F.col("found.kind"), F.col("wanted"), F.col("first")
+    case = (
+        F.when(executes & F.coalesce(F.col("known_type") == TOOL, F.lit(False)), "own_tool")
+        .when(executes & wanted.isNotNull(), "tool")
+        .when(executes & first.isNotNull(), "outside_tool")
+        .when(~executes & wanted.isNotNull(), "dataset")
+        .when(refers, F.nullif(kind, F.lit("dataset")))
+    )
+    rows = rows.withColumn("case", case)
+    choose = lambda **cs: F.coalesce(*[F.when(F.col("case") == k, v) for k, v in cs.items()])
+    launch, title, shown, host, said_doi = F.col("known_launch"), F.col("known_title"), F.col("shown"), F.col("host"), F.col("found.doi")
+    own = F.col("case") == "own_tool"
+    key = choose(
+        own_tool=ids.tool_key(launch, title),
+        tool=_cat(f"tool:{rules.service}:", wanted),
+        outside_tool=_cat("tool:url:", short_hash(first, 20)),
+        dataset=wanted,
+        paper=_cat("paper:doi:", slugify(said_doi)),
+        repository=_cat("repository:url:", slugify(_cat(host, "/", F.col("repo_path")))),
+        external_dataset=_cat("dataset:url:", short_hash(first, 20)),
+        citation=_cat("paper:citation:", short_hash(shown, 20)),
+    )
+    tools, cited = F.col("case").isin("tool", "outside_tool"), F.col("case").isin("dataset", "paper", "repository", "external_dataset", "citation")
+    outside = F.col("case").isin("outside_tool", "repository", "external_dataset")
+    regime = {"own_tool": f"{rules.service}-tool-resource", "tool": f"{rules.service}-resource-id", "dataset": f"{rules.service}-resource-id", "outside_tool": "external-url", "external_dataset": "external-url", "repository": "repository-url", "paper": "DOI", "citation": "citation-text"}
+    klass = {"own_tool": "Tool", "tool": "Tool", "outside_tool": "Tool", "dataset": "DatasetResource", "external_dataset": "DatasetResource", "paper": "Paper", "citation": "Paper", "repository": "Repository"}
+    inventory = {"Tool": "A-DOM02", "DatasetResource": "A-D01", "Paper": "A-P01", "Repository": "A-C01"}
+    named = lambda table: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("case"))
+    attributes = _texts(
+        name=F.when(own, title).when(tools, shown),
+        launchURL=F.when(own, launch),
+        host=F.when(own & (launch != ""), ids.authority(launch)).when(outside, host),
+        identifierRegime=named(regime),
+        resourceId=F.when(F.col("case") == "dataset", wanted),
+        url=F.when(outside, first),
+        path=F.when(F.col("case") == "repository", F.col("repo_path")),
+        doi=F.when(F.col("case") == "paper", said_doi),
+        citation=F.when(cited, shown),
+        **{f"{rules.service}ResourceId": F.when(F.col("case").isin("own_tool", "tool"), wanted)},
+    )
+    status = F.when(own | (F.col("case").isin("tool", "dataset") & F.col("known_id").isNotNull()), CURATED).otherwise(REFERENCED)
+    here = rules.evidence(shown, F.col("at"))
+    told = rules.evidence(
+        F.when(own, F.coalesce(none_if_empty(launch), title)).otherwise(shown),
+        F.when(own, F.when(launch != "", "tool_config.app_home_page_url").otherwise("title")).otherwise(F.col("at")),
+        F.when(own, wanted).otherwise(F.col("resource_id")),
+    )
     element = _NODE[6:-1]
-    node = None
-    for when, built in choices:
-        node = F.when(when, built.cast(element)) if node is None else node.when(when, built.cast(element))
-    resolved = rows.withColumn("node", node)
+    node = rules.node(key, "", "", attributes, told, status).withField("class", named(klass)).withField("inventory_id", named({c: inventory[k] for c, k in klass.items()}))
+    resolved = rows.withColumn("node", F.when(F.col("case").isNotNull(), node.cast(element)))
     ordered = F.struct("resource_id", "phase", (F.col("field_rank") * 1_000_000 + F.col("index")).alias("place"))
     hit = resolved.filter(F.col("node").isNotNull()).withColumn("ord", ordered)
     nodes = hit.select("node.*", "ord")
@@ -378,6 +415,7 @@ def extract(records: DataFrame, artifact: str = "dataset", service: str = "servi
     """The graph of dataset records (see RECORD). Columns beyond RECORD that hold something are told as skipped."""
     rules = Rules(artifact, service)
     required = records.withColumn("resource_id", F.when(F.col("resource_id") != "", F.col("resource_id")).otherwise(F.raise_error(F.lit("a record has no resource_id")).cast("string")))
+    required = rules.with_keys(required)
     nodes, edges, skips = rules.local()
     geo_nodes, geo_edges, geo_skips = rules.geospatial()
     known = {f.split()[0] for f in ("resource_id resource_type title abstract citation documentation language identifier url creators contributors creator_identifiers contributor_identifiers rights subjects spatial_coverage temporal_coverage awards files tool_config links typed_relations related_resources relations_from_meta geospatial_relations").split()} | set(handled)
