@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .patterns import SUB_PROPERTIES, class_closure, reachable
 from .registry import query
 from .research import CLASSES, PARENTS, RELATIONS, class_rows, edges, graph, relation_sql
+from .star import read
 
 
 def _count(df: DataFrame, *by: str, **named) -> DataFrame:
@@ -38,11 +39,10 @@ def e02(spark: SparkSession, sf: str) -> DataFrame:
     return used.join(only, "m", "left").select("m", "papers", F.coalesce("mentioned_only", F.lit(0)).alias("mentioned_only"))
 
 
-@query("cq_e03", relation_sql("implementsMethod", "reports") + "SELECT DISTINCT i.source AS r, i.target AS m FROM implementsMethod i JOIN reports p ON p.target = i.target WHERE p.source = 'paper:4' OR p.source LIKE 'paper:1%'")
+@query("cq_e03", relation_sql("implementsMethod", "reports") + "SELECT p.source AS p, i.target AS m, i.source AS r FROM implementsMethod i JOIN reports p ON p.target = i.target GROUP BY ALL")
 def e03(spark: SparkSession, sf: str) -> DataFrame:
-    """Repositories that implement a method of some papers."""
-    found = graph(spark, sf).match("r implementsMethod m", "p reports m")
-    return found.filter((F.col("p") == "paper:4") | F.startswith("p", F.lit("paper:1"))).select("r", "m").distinct()
+    """Repositories that implement a method of a paper."""
+    return graph(spark, sf).match("r implementsMethod m", "p reports m").select("p", "m", "r")
 
 
 @query("cq_e04", relation_sql("studiesFeature", "usesDataset") + "SELECT DISTINCT s.target AS w, d.target AS d FROM studiesFeature s JOIN usesDataset d ON d.source = s.source WHERE s.target LIKE 'watershed:%'")
@@ -50,10 +50,18 @@ def e04(spark: SparkSession, sf: str) -> DataFrame:
     return graph(spark, sf, True).match("p studiesFeature w", "p usesDataset d", classes={"w": "Watershed"}).select("w", "d").distinct()
 
 
-@query("cq_e05", relation_sql("describesTool", "implementedBy") + "SELECT d.source AS page, d.target AS t, i.target AS r FROM describesTool d JOIN implementedBy i ON i.source = d.target WHERE CAST(substr(i.target, 6) AS BIGINT) % 2 = 0")
+def _curated(spark: SparkSession, sf: str) -> DataFrame:
+    """Repositories of the corpus; the others are only referred to."""
+    return read(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.concat(F.lit("repo:"), F.col("s_suppkey").cast("string")).alias("r"))
+
+
+_CURATED_SQL = "(SELECT 'repo:' || s_suppkey FROM supplier WHERE s_acctbal > 5000)"
+
+
+@query("cq_e05", relation_sql("describesTool", "implementedBy") + f"SELECT d.source AS page, d.target AS t, i.target AS r FROM describesTool d JOIN implementedBy i ON i.source = d.target WHERE i.target IN {_CURATED_SQL}")
 def e05(spark: SparkSession, sf: str) -> DataFrame:
-    """Described tools with repositories of the corpus (here: even numbers)."""
-    return graph(spark, sf).match("page describesTool t", "t implementedBy r").filter("CAST(substr(r, 6) AS BIGINT) % 2 = 0").select("page", "t", "r")
+    """Described tools with their repositories of the corpus."""
+    return graph(spark, sf).match("page describesTool t", "t implementedBy r").join(_curated(spark, sf), "r", "left_semi").select("page", "t", "r")
 
 
 @query(
@@ -98,11 +106,11 @@ def e09(spark: SparkSession, sf: str) -> DataFrame:
     return own.join(listed, "procedure").select("t", "procedure", "steps")
 
 
-@query("cq_e10", relation_sql("describesTool", "implementedBy") + "SELECT DISTINCT target AS t FROM describesTool WHERE target NOT IN (SELECT source FROM implementedBy WHERE CAST(substr(target, 6) AS BIGINT) % 2 = 0)")
+@query("cq_e10", relation_sql("describesTool", "implementedBy") + f"SELECT DISTINCT target AS t FROM describesTool WHERE target NOT IN (SELECT source FROM implementedBy WHERE target IN {_CURATED_SQL})")
 def e10(spark: SparkSession, sf: str) -> DataFrame:
     """Described tools without a repository of the corpus."""
     g = graph(spark, sf)
-    known = g.match("t implementedBy r").filter("CAST(substr(r, 6) AS BIGINT) % 2 = 0")
+    known = g.match("t implementedBy r").join(_curated(spark, sf), "r", "left_semi")
     return g.match("page describesTool t").select("t").distinct().join(known, "t", "left_anti")
 
 
@@ -131,7 +139,7 @@ _DOCUMENTED_SQL = "docs AS (SELECT source, target FROM documentedBy UNION SELECT
 @query(
     "cq_e14",
     relation_sql("hasComponent", "implementedBy", "documentedBy", "describesTool", "describesModel", "referencesDataset", "describedInPaper").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
-    + f""", {_DOCUMENTED_SQL}, parts(start, t) AS (SELECT DISTINCT source, source FROM hasComponent WHERE source IN ('tool:1', 'tool:3', 'tool:7') UNION SELECT p.start, c.target FROM parts p JOIN hasComponent c ON c.source = p.t)
+    + f""", {_DOCUMENTED_SQL}, parts(start, t) AS (SELECT DISTINCT source, source FROM hasComponent UNION SELECT p.start, c.target FROM parts p JOIN hasComponent c ON c.source = p.t)
     SELECT start, 'repository' AS kind, i.target AS found FROM parts JOIN implementedBy i ON i.source = t
     UNION SELECT start, 'page', d.target FROM parts JOIN docs d ON d.source = t
     UNION SELECT start, 'dataset', r.target FROM parts JOIN docs d ON d.source = t JOIN referencesDataset r ON r.source = d.target
@@ -141,7 +149,7 @@ def e14(spark: SparkSession, sf: str) -> DataFrame:
     """All that belongs to a product: its components at any depth, their code, pages, datasets and papers."""
     g = graph(spark, sf)
     components = g.relation("hasComponent")
-    start = components.filter(F.col("source").isin("tool:1", "tool:3", "tool:7")).select(F.col("source").alias("id"))
+    start = components.select(F.col("source").alias("id"))
     parts = reachable(start, components).select(F.col("id").alias("start"), F.col("reached").alias("t"))
     pages = g.match("t documentedBy page")
     said = lambda kind, df, c: parts.join(df, "t").select("start", F.lit(kind).alias("kind"), F.col(c).alias("found"))
@@ -235,8 +243,6 @@ def e25(spark: SparkSession, sf: str) -> DataFrame:
 @query("cq_e26", relation_sql("archivedAs") + ", stubs AS (SELECT DISTINCT 'doi:10.1/' || (l_suppkey * 2) AS doi FROM lineitem) SELECT s.doi, a.source AS r FROM stubs s JOIN archivedAs a ON a.target = s.doi")
 def e26(spark: SparkSession, sf: str) -> DataFrame:
     """Stubs that are an archived repository: by the exact identifier, never by name."""
-    from .star import read
-
     stubs = read(spark, sf, "lineitem").select(F.concat(F.lit("doi:10.1/"), (F.col("l_suppkey") * 2).cast("string")).alias("doi")).distinct()
     return stubs.join(graph(spark, sf).match("r archivedAs doi"), "doi").select("doi", "r")
 

@@ -114,12 +114,12 @@ def curation_upgrade(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "graph_validate_dangling",
-    f"""{GRAPH_SQL}, kept AS (SELECT id FROM nodes WHERE class <> 'Part' OR CAST(substr(id, 6) AS BIGINT) % 7 <> 3),
+    f"""{GRAPH_SQL}, kept AS (SELECT id FROM nodes WHERE id NOT IN (SELECT 'part:' || p_partkey FROM part WHERE p_size > 45)),
     ends AS (SELECT relation, source, target, 'source' AS side, source AS missing FROM edges UNION ALL SELECT relation, source, target, 'target', target FROM edges)
     SELECT relation, side, count(*) AS loose_ends, count(DISTINCT missing) AS missing_nodes FROM ends WHERE missing NOT IN (SELECT id FROM kept) GROUP BY relation, side""",
 )
 def validate_dangling(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = star.nodes(spark, sf).filter("class <> 'Part' OR CAST(substr(id, 6) AS BIGINT) % 7 <> 3")
+    nodes = star.nodes(spark, sf).filter("class <> 'Part' OR CAST(attributes['size'] AS INT) <= 45")
     edges = star.edges(spark, sf).withColumn("id", F.to_json(F.struct("relation", "source", "target")))
     loose = graph.dangling(nodes, edges).withColumn("relation", F.get_json_object("edge", "$.relation"))
     return loose.groupBy("relation", "side").agg(F.count(F.lit(1)).alias("loose_ends"), F.countDistinct("missing").alias("missing_nodes"))

@@ -117,16 +117,16 @@ def resolve_reference_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "merge_relations_xml_meta",
-    """WITH x AS (SELECT l_orderkey AS r, 't' || l_partkey % 30 AS target, l_returnflag AS predicate, min(l_linenumber) AS ord FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL),
-    m AS (SELECT l_orderkey AS r, 't' || l_partkey % 30 AS target, l_linestatus || l_suppkey % 3 AS label, min(l_linenumber) AS ord FROM lineitem WHERE l_linenumber % 3 <> 1 GROUP BY ALL),
+    """WITH x AS (SELECT l_orderkey AS r, 't' || l_partkey % 30 AS target, l_returnflag AS predicate, min(l_linenumber) AS ord FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+    m AS (SELECT l_orderkey AS r, 't' || l_partkey % 30 AS target, l_linestatus || l_suppkey % 3 AS label, min(l_linenumber) AS ord FROM lineitem WHERE l_tax > 0.02 GROUP BY ALL),
     l AS (SELECT r, target, string_agg(label, ',' ORDER BY ord, label) AS labels FROM m GROUP BY r, target)
     SELECT x.r AS resource, x.target, x.predicate, coalesce(l.labels, '') AS labels, 'typed' AS origin FROM x LEFT JOIN l USING (r, target)
     UNION ALL SELECT r, target, NULL, label, 'stated' FROM m WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.r = m.r AND x.target = m.target)""",
 )
 def merge_relations(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("resource"), F.concat(F.lit("t"), (F.col("l_partkey") % 30).cast("string")).alias("target"), F.col("l_linenumber").alias("ord"), "l_returnflag", F.concat("l_linestatus", (F.col("l_suppkey") % 3).cast("string")).alias("label"))
-    typed = lines.filter("ord % 2 = 0").select("resource", "target", F.col("l_returnflag").alias("predicate"), "ord")
-    stated = lines.filter("ord % 3 <> 1").select("resource", "target", "label", "ord")
+    lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("resource"), F.concat(F.lit("t"), (F.col("l_partkey") % 30).cast("string")).alias("target"), F.col("l_linenumber").alias("ord"), "l_returnflag", "l_tax", F.concat("l_linestatus", (F.col("l_suppkey") % 3).cast("string")).alias("label"))
+    typed = lines.filter("l_returnflag <> 'N'").select("resource", "target", F.col("l_returnflag").alias("predicate"), "ord")
+    stated = lines.filter("l_tax > 0.02").select("resource", "target", "label", "ord")
     found = records.merge_relations(typed, stated, ["resource"])
     return found.select("resource", "target", "predicate", F.array_join("labels", ",").alias("labels"), "origin")
 
