@@ -5,6 +5,9 @@ blocks is a key of about 25 bits and every close pair meets under one of them. K
 fingerprints are refined: of four groups of the bits outside the key at least one agrees as well, so such rows
 meet under key and group instead, which loses no pair. Equal fingerprints are collapsed before any join.
 
+No pairs within a group are listed: first every fingerprint is compared with the least one of each of its keys, and what
+is close is grouped; then only fingerprints that share a key but not yet a group are compared, and give links of groups.
+
 Defined results: null and wordless texts have fingerprint zero and link like any other; repeated rows share a
 fingerprint; a null doc_id never is a component's name unless no other id is there; empty tables give empty results.
 """
@@ -79,8 +82,9 @@ def _tables() -> list[tuple[int, list[int]]]:
     return out
 
 
-def _keys(distinct: DataFrame) -> DataFrame:
-    """part (table and group), key, rest, fp: rows under which close fingerprints meet."""
+def keys(distinct: DataFrame) -> DataFrame:
+    """key, fp: keys (64-bit hashes of what is shared) under which close fingerprints meet. Keys that collide only make
+    more comparisons."""
     tables = _tables()
     both = lambda m: F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("part"), both(m).alias("key")) for t, (m, _) in enumerate(tables)])).alias("k")).select("k.part", "k.key", "fp")
@@ -89,27 +93,43 @@ def _keys(distinct: DataFrame) -> DataFrame:
     groups = F.element_at(F.array(*[F.array(*[F.lit(g).cast("bigint") for g in gs]) for _, gs in tables]), F.col("part") + 1)
     plain = F.array(F.struct(F.lit(-1).alias("group"), F.lit(0).cast("bigint").alias("rest")))
     finer: Column = F.transform(groups, lambda g, i: F.struct(i.alias("group"), g.bitwiseAND(F.col("fp")).alias("rest")))
-    return marked.select("part", "key", "fp", F.explode(F.when(F.col("hot_part").isNull(), plain).otherwise(finer)).alias("g")).select("part", "key", "g.group", "g.rest", "fp")
+    each = marked.select("part", "key", "fp", F.explode(F.when(F.col("hot_part").isNull(), plain).otherwise(finer)).alias("g"))
+    return each.select(F.xxhash64("part", "key", "g.group", "g.rest").alias("key"), "fp")
+
+
+def _close(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
+def _rooted(rows: DataFrame, column: str, links: DataFrame, left: str, right: str) -> DataFrame:
+    """rows with root: what the column's value is linked to, itself at least."""
+    roots = components(links, left, right)
+    return rows.join(roots, F.col(column) == F.col("node"), "left").withColumn("root", F.coalesce("root", column)).drop("node")
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """left, right: pairs of different fingerprints that differ in at most distance (3 or fewer) bits."""
+def groups(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """fp, root: fingerprints and the name of their group. distinct: fp, each once."""
     if distance > DISTANCE:
         raise ValueError("five blocks in pairs find up to 3 differing bits")
-    keyed = _keys(distinct)
-    a = keyed.select("part", "key", "group", "rest", F.col("fp").alias("left"))
-    b = keyed.select(*[F.col(c).alias(f"_{c}") for c in ("part", "key", "group", "rest")], F.col("fp").alias("right"))
-    same = (a["part"] == b["_part"]) & (a["key"] == b["_key"]) & (a["group"] == b["_group"]) & (a["rest"] == b["_rest"])
-    close = (F.col("left") < F.col("right")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance)
-    return a.join(b, same & close).select("left", "right").distinct()
+    keyed = cut(keys(distinct))
+    heads = keyed.groupBy("key").agg(F.min("fp").alias("head"))
+    stars = keyed.join(heads, "key").filter((F.col("fp") > F.col("head")) & _close("fp", "head", distance)).select("fp", "head").distinct()
+    first = cut(_rooted(distinct.select("fp"), "fp", stars, "fp", "head"))
+    # keys under which groups still meet
+    named = keyed.join(first, "fp")
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    apart = named.join(mixed, "key", "left_semi")
+    other = apart.select(F.col("key").alias("_key"), F.col("fp").alias("right"), F.col("root").alias("right_root"))
+    meet = (F.col("key") == F.col("_key")) & (F.col("root") < F.col("right_root")) & _close("fp", "right", distance)
+    links = apart.join(other, meet).select("root", "right_root").distinct()
+    return _rooted(first.withColumnRenamed("root", "near"), "near", links, "root", "right_root").select("fp", "root")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id among all documents reachable over links."""
     prints = cut(fingerprints(docs, id_column))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"), distance), "left", "right")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(groups(distinct.select("fp"), distance), "fp")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 

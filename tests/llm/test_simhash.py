@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,15 +66,24 @@ def test_awkward_rows(spark):
     assert ids == sorted({c if c is not None else -1 for *_, c in brute_components([(d, brute_print(t)) for d, t in TEXTS])})
 
 
-def test_links_in_dense_groups(spark, monkeypatch):
-    """Keys far over the limit are refined and lose no pair."""
-    monkeypatch.setattr(simhash, "HOT_KEY", 4)
+@pytest.mark.parametrize("hot", [4, 128])
+def test_dense_groups(spark, monkeypatch, hot):
+    """Groups in which many fingerprints are close to many; keys over the limit are refined and lose no link."""
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 20)]
-    prints = {b ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 5), replace=False)) for b in base for _ in range(40)}
-    got = {(r.left, r.right) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()}
-    want = {(a, b) for a in prints for b in prints if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
-    assert got == want and len(want) > 500
+    base += [b ^ 0b111 << int(rng.integers(0, 58)) ^ 0b11 << int(rng.integers(0, 58)) for b in base]
+    prints = {b ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 5), replace=False)) for b in base for _ in range(30)}
+    rows = simhash.groups(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()
+    assert len(rows) == len(prints)
+    got = defaultdict(set)
+    for r in rows:
+        got[r.root].add(r.fp % (1 << 64))
+    want = defaultdict(set)
+    for _, f, c in brute_components([(k, p % (1 << 64)) for k, p in enumerate(sorted(prints))]):
+        want[c].add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert 20 < len(want) < len(prints) / 2
 
 
 @settings(max_examples=60, deadline=None)
