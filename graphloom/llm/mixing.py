@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, text_of
+from .common import SPACE, WORD, cut, text_of
 
 #: Rows of a source that share one bucket of the seeded order, about.
 BUCKET_ROWS = 2048
@@ -73,10 +73,12 @@ def takes(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tup
         _draw(seed, F.coalesce(F.col(id_column).cast("string"), F.lit("")), text_of(docs)).alias("draw"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
     )
-    return _take(rows, docs, share, epochs, weights, source_column)
+    if not keep:  # without kept columns rows are small, and the texts are read once
+        rows = cut(rows)
+    return _take(rows, docs, share, epochs, weights)
 
 
-def _take(rows: DataFrame, docs: DataFrame, share: float, epochs: float, weights: tuple, source_column: str) -> DataFrame:
+def _take(rows: DataFrame, docs: DataFrame, share: float, epochs: float, weights: tuple) -> DataFrame:
     # rows / BUCKET_ROWS rounded up to a power of two; one cheap count over the table's metadata
     n = docs.select(F.lit(1)).count()
     bits = max(0, (max(n, 1) // BUCKET_ROWS).bit_length())
