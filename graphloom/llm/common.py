@@ -80,6 +80,14 @@ def slices(lengths, limit: int):
         yield start, len(lengths)
 
 
+def _shuffles_known(spark: SparkSession) -> int | None:
+    """How many shuffles the driver still keeps track of; None where it cannot be asked."""
+    try:
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    except Exception:
+        return None
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now instead of at the driver's next collections.
 
@@ -88,7 +96,9 @@ def release(spark: SparkSession) -> None:
     """
     with contextlib.suppress(Exception):  # an internal interface; without it files stay somewhat longer
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
-    for _ in range(6):
+    for _ in range(8):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.4)
+        if _shuffles_known(spark) == 0:
+            break
