@@ -58,12 +58,13 @@ def candidate_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, _spans(text, ACCESS, 1, same), _spans(text, HEX, 2, same), tokens))
 
 
-def _scan(docs: DataFrame, owner: str, keep: list[str]) -> DataFrame:
-    """Rows that have candidates: row (an own number), owner, spans with hashed values, and kept columns."""
+def _scan(docs: DataFrame, owner: str, keep: list[str], clean: bool = False) -> DataFrame:
+    """Rows that have candidates (clean: all rows): row (an own number), owner, spans with hashed values, kept columns."""
     spans = candidate_spans(text_of(docs))
     hashed = F.transform("spans", lambda s: F.struct(s["start"], s["rank"], s["end"], F.sha2(s["value"], 256).alias("value")))
     rows = docs.select(F.col(owner).cast("string").alias("owner"), spans.alias("spans"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    return rows.filter(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("row"), "owner", hashed.alias("spans"), *[f"keep_{c}" for c in keep])
+    rows = rows if clean else rows.filter(F.size("spans") > 0)
+    return rows.select(F.monotonically_increasing_id().alias("row"), "owner", hashed.alias("spans"), *[f"keep_{c}" for c in keep])
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -93,10 +94,11 @@ def _said(spans: Column) -> Column:
 
 def scan(docs: DataFrame, owner: str = "source", id_column: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
     """One row a document: counts by kind, base spans, all spans, and how many look live or copied."""
-    scanned = cut(_scan(docs, owner, [id_column]))
+    every = cut(_scan(docs, owner, [id_column], clean=True))  # spans without texts: the texts are read once
+    scanned = every.filter(F.size("spans") > 0)
     found = scanned.select("row", F.col(f"keep_{id_column}").alias("doc_id")).join(_judged(scanned, most_owners), "row").select("doc_id", "base", "judged")
-    clean_span = "array<struct<start:int,rank:int,end:int,live:boolean>>"
-    without = docs.select(F.col(id_column).alias("doc_id"), F.size(candidate_spans(text_of(docs))).alias("n")).filter("n = 0").select("doc_id", F.array().cast(clean_span).alias("base"), F.array().cast(clean_span).alias("judged"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,live:boolean>>")
+    without = every.filter(F.size("spans") == 0).select(F.col(f"keep_{id_column}").alias("doc_id"), none.alias("base"), none.alias("judged"))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint")
     return found.unionByName(without).select(
         "doc_id",
