@@ -28,6 +28,8 @@ def session(name: str = "graphloom", **settings: str) -> SparkSession:
 
 
 _shipped: set[str] = set()
+#: Rows that go to Python at a time, where the session has Spark's default: texts are large, and both sides hold a batch.
+ARROW_ROWS, _ARROW = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,6 +49,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow with this package on the executors."""
+    """df.mapInArrow with this package on the executors, in batches that suit texts."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_ARROW) == "10000":
+        df.sparkSession.conf.set(_ARROW, ARROW_ROWS)
     return df.mapInArrow(run, schema)
