@@ -38,6 +38,8 @@ WINDOW, ANCHOR = 20, 8
 SHARD_WORDS = 30_000
 #: Anchors with more occurrences are routed by window.
 HOT_ANCHOR = 4096
+#: Documents looked at together.
+BATCH_ROWS, BATCH_BYTES = 10_000, 64 << 20
 #: Hot anchors (9 bytes each) that are broadcast at most.
 MOST_BROADCAST = 200_000
 _LAST = (1 << 63) - 1
@@ -73,12 +75,25 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("row"), text.alias("text"))
 
 
+def _gathered(batches):
+    """Batches of at least BATCH_ROWS rows or BATCH_BYTES, so that repeats meet before they are shuffled."""
+    kept, rows, size = [], 0, 0
+    for batch in batches:
+        kept.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept, rows, size = [], 0, 0
+    if rows:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
 def _anchors(window: int):
     """Rows route, row, at (4 * word + kind). kind 0: the only one in its batch; 1: one of several, known to repeat,
     routed anywhere; 2: tells that an anchor occurs in this batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _gathered(batches):
             name = batch.column(1).to_numpy(zero_copy_only=False)
             rows, places, anchors = [], [], []
             for a, _, words in blocks(batch.column(2)):
@@ -120,7 +135,7 @@ def _passages(window: int):
     """Rows route, id, row, start, windows, body of passages; without body: known to repeat."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _gathered(batches):
             ids, names = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             places, hots = batch.column(3), batch.column(4)
             routes, who, starts, counts, bodies = [], [], [], [], []
