@@ -1,11 +1,15 @@
 """Packing by lexical retrieval: a sharded BM25 inverted index gives unused neighbours that fill a seed's window.
 
-A shard is a bounded run of the documents of one input partition, so packing needs no shuffle, and a lost task
-packs its partition again to the same result. Of each document whole windows are cut first; what remains (its
-rest) is an item of the shard's index, with its token ids as terms. The first unused item is the seed of a
-window; its heaviest terms query the index, and the best scored unused items follow until the window is full. An
-item that does not fit is cut there, and its second piece is the seed of the next window. The last open window of a
-shard is carried into the next; that of a partition is split into sequences of powers of two, which need no padding.
+Of each document whole windows are cut first; what remains (its rest) is an item of the index, with its token ids as
+terms. Numbers of documents by term are counted over the whole corpus. Items are dealt to shards by their rarest shared
+terms: they are put in the order of those terms over the whole corpus (a range shuffle), and a shard is a bounded run of
+that order, so related documents meet wherever they stand in the input. The first unused item is the seed of a window;
+its heaviest terms query the index, then all its terms, then those of the other items of the window, and the best scored
+unused items follow; only when no unused item of the shard scores above 0 the next item in order is taken. An item that
+does not fit is cut there, and its second piece is the seed of the next window. The last open window of a shard is carried
+into the next; that of a partition is split into sequences of powers of two, which need no padding.
+
+A seed queries its own shard: items that share none but terms that are not among their rarest may lie in others.
 
 Defined results: null and empty texts are one end token; repeated rows are packed each; a null doc_id is carried;
 an empty table gives an empty result. Strings of special tokens in a text are ordinary text.
@@ -23,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, shared_folder
 
 WINDOW = 1024
 END = 0
 #: Bounds of a shard: documents and tokens.
 SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 22
 QUERY_TERMS = 8
+#: Rarest shared terms that put an item in order.
+ROUTE_TERMS = 4
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Code points over which both tokenizer libraries split alike (checked by a test); other texts take the slower one.
@@ -76,10 +82,26 @@ def encoder(json: str | None, ranks: str | None) -> Encoder:
     return _encoders[json, ranks]
 
 
+class Corpus:
+    """What is counted over all items: their number, mean size, and number by term."""
+
+    def __init__(self, items: int, tokens: int, terms: np.ndarray, df: np.ndarray):
+        self.items, self.mean = items, tokens / max(items, 1)
+        self.df = np.zeros(int(terms.max()) + 1 if len(terms) else 1, np.int64)
+        self.df[terms] = df
+
+    def route(self, ids: np.ndarray) -> bytes:
+        """The rarest terms that another item shares; sorts as bytes."""
+        terms = np.unique(ids)
+        df = self.df[terms]
+        terms, df = terms[df > 1], df[df > 1]
+        return terms[np.lexsort((terms, df))[:ROUTE_TERMS]].astype(">u4").tobytes()
+
+
 class Index:
-    """BM25 inverted index over the items of one shard."""
+    """BM25 inverted index over the items of one shard, weighed by the counts of the corpus (else of the shard)."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, items: list[np.ndarray], corpus: Corpus | None = None):
         n = len(items)
         sizes = np.array([len(x) for x in items], np.int64)
         owner = np.repeat(np.arange(n), sizes)
@@ -88,30 +110,26 @@ class Index:
         term, self.item = keys // max(n, 1), keys % max(n, 1)
         self.terms, self.at, df = np.unique(term, return_index=True, return_counts=True)
         self.until = self.at + df
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean() if n else 1, 1e-9))
+        count, mean, wide = (corpus.items, corpus.mean, corpus.df[self.terms]) if corpus else (n, sizes.mean() if n else 1, df)
+        idf = np.log1p((count - wide + 0.5) / (wide + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(mean, 1e-9))
         slot = np.repeat(np.arange(len(self.terms)), df)
         self.weight = (idf[slot] * tf * (K1 + 1) / (tf + norm[self.item])).astype(np.float32)
         self.scores = np.zeros(n, np.float32)
-        # each item's heaviest terms that another item shares
-        shared = (df[slot] > 1) & (df[slot] <= max(2, n // 4))
+        # each item's terms that another item shares, heaviest first
+        shared = df[slot] > 1
         order = np.lexsort((slot[shared], -self.weight[shared], self.item[shared]))
-        own, slots = self.item[shared][order], slot[shared][order]
-        first = np.searchsorted(own, np.arange(n))
-        rank = np.arange(len(own)) - first[own]
-        top = rank < QUERY_TERMS
-        self.query, self.query_at = slots[top], np.searchsorted(own[top], np.arange(n + 1))
-
-    def ranked(self, seed: int, unused: np.ndarray, k: int) -> np.ndarray:
-        """Up to k best unused items that share a query term with the seed, best first."""
+        self.query, self.query_at = slot[shared][order], np.searchsorted(self.item[shared][order], np.arange(n + 1))
+
+    def ranked(self, seed: int, unused: np.ndarray, terms: int | None = QUERY_TERMS) -> np.ndarray:
+        """All unused items that share one of the seed's heaviest terms (None: any term), best first."""
         scores = self.scores
         scores[:] = 0
-        for s in self.query[self.query_at[seed] : self.query_at[seed + 1]]:
-            scores[self.item[self.at[s] : self.until[s]]] += self.weight[self.at[s] : self.until[s]]
+        query = self.query[self.query_at[seed] : self.query_at[seed + 1]][:terms]
+        for a, b in zip(self.at[query].tolist(), self.until[query].tolist(), strict=True):
+            scores[self.item[a:b]] += self.weight[a:b]
         found = np.flatnonzero((scores > 0) & unused)
-        if len(found) > k:
-            found = found[np.argpartition(-scores[found], k - 1)[:k]]
-        return found[np.lexsort((found, -scores[found]))]
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 class Packer:
@@ -140,35 +158,43 @@ class Packer:
 
     def shard(self, docs: list[tuple]) -> None:
         """docs: doc_id, ids (with the end token)."""
-        items, rests = [], []
+        items = []
         for doc_id, ids in docs:
             whole = len(ids) // self.window * self.window
             for at in range(0, whole, self.window):
                 self._write([(doc_id, at, ids[at : at + self.window], len(ids))])
             if whole < len(ids):
                 items.append((doc_id, whole, ids[whole:], len(ids)))
-                rests.append(ids[whole:])
-        index, unused = Index(rests), np.ones(len(items), bool)
+        self.fill(items)
+
+    def fill(self, items: list[tuple], corpus: Corpus | None = None) -> None:
+        """items: doc_id, start, ids of the rest, doc_tokens."""
+        index, unused = Index([x[2] for x in items], corpus), np.ones(len(items), bool)
         following = 0
-        seed, queue = None, iter(())
+        queries: list[tuple] = []  # of the items of the open window; each first by its heaviest terms, then by all
+        queue = iter(())
         while True:
-            nxt = next((j for j in queue if unused[j]), None) if self.filled else None
+            nxt = next((j for j in queue if unused[j]), None)
+            while nxt is None and queries:
+                queue = iter(index.ranked(*queries.pop(0)).tolist())
+                nxt = next(queue, None)
             if nxt is None:
                 while following < len(items) and not unused[following]:
                     following += 1
                 if following == len(items):
                     return
                 nxt = following
-                if not self.filled or seed is None:
-                    seed = nxt
-                    unused[nxt] = False
-                    queue = iter(index.ranked(seed, unused, 16))
             unused[nxt] = False
+            own = [(nxt, unused, QUERY_TERMS), (nxt, unused, None)]
             doc_id, start, ids, total = items[nxt]
             put = self.place(doc_id, start, ids, total)
             if put < len(ids):  # the second piece opens the next window and is its seed
                 self.place(doc_id, start + put, ids[put:], total)
-                seed, queue = nxt, iter(index.ranked(nxt, unused, 16))
+                queries, queue = own, iter(())
+            elif not self.filled:
+                queries, queue = [], iter(())
+            else:
+                queries += own
 
     def close(self) -> None:
         """Splits the open window into sequences of powers of two."""
@@ -192,33 +218,99 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer_json: str | None = None, tokenizer_ranks: str | None = None, id_column: str = "doc_id") -> DataFrame:
-    """One row a piece; sequence_id is the partition's number times 2**40 plus a running number."""
-    types = ["int64"] * 7
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+def _cutter(window: int, encode_with: tuple):
+    """Rows doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of whole windows, and doc_id, start,
+    doc_tokens, rest of what remains (rest: ids of 32 bits)."""
 
     def run(batches):
-        encode = encoder(tokenizer_json, tokenizer_ranks)
+        encode = encoder(*encode_with)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
-        shard, tokens = [], 0
-
-        def batch():
-            rows = packer.taken()
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
         for given in batches:
+            rows = []
             for doc_id, text in zip(given.column(0).to_pylist(), given.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END))
-                shard.append((doc_id, ids))
-                tokens += len(ids)
+                whole = len(ids) // window * window
+                for at in range(0, whole, window):
+                    packer._write([(doc_id, at, ids[at : at + window], len(ids))])
+                if whole < len(ids):
+                    rows.append((doc_id, whole, None, None, len(ids), None, None, ids[whole:].astype("<u4").tobytes()))
+            yield _batch([(*r, None) for r in packer.taken()] + rows, [*TYPES, "binary"], [*NAMES, "rest"])
+
+    return run
+
+
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+TYPES = ["int64"] * 7
+
+
+def _batch(rows: list[tuple], types=TYPES, names=NAMES) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _ids(rest) -> np.ndarray:
+    return np.frombuffer(rest, "<u4")
+
+
+def _counted(batches):
+    """term, items, tokens: items by term; under term -1 all items and their tokens."""
+    df, items, tokens = np.zeros(0, np.int64), 0, 0
+    for batch in batches:
+        for rest in batch.column(0).to_pylist():
+            terms = np.unique(_ids(rest))
+            if terms[-1] >= len(df):
+                df = np.append(df, np.zeros(max(int(terms[-1]) + 1 - len(df), len(df)), np.int64))
+            df[terms] += 1
+            items, tokens = items + 1, tokens + len(rest) // 4
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.append(held, -1)), pa.array(np.append(df[held], items)), pa.array(np.append(np.zeros(len(held), np.int64), tokens))],
+        names=["term", "items", "tokens"],
+    )
+
+
+def _corpus(rests: DataFrame) -> Corpus:
+    """Counts of the corpus: one row a term of the vocabulary at most."""
+    parts = map_arrow(rests.select("rest"), _counted, "term bigint, items bigint, tokens bigint")
+    got = parts.groupBy("term").agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens")).toArrow()
+    term, items, tokens = (got[c].to_numpy() for c in ("term", "items", "tokens"))
+    real = term >= 0
+    return Corpus(int(items[~real].sum()), int(tokens.sum()), term[real], items[real])
+
+
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer_json: str | None = None, tokenizer_ranks: str | None = None, id_column: str = "doc_id") -> DataFrame:
+    """One row a piece; sequence_id is the partition's number times 2**40 plus a running number, for windows with
+    rests 2**62 more. Tokens lie in the shared checkpoint folder between the passes."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    folder = shared_folder(spark, "tokens")
+    schema = f"{SCHEMA}, rest binary"
+    map_arrow(rows, _cutter(window, (tokenizer_json, tokenizer_ranks)), schema).write.option("compression", "zstd").parquet(folder)
+    cut_rows = spark.read.schema(schema).parquet(folder)
+    rests = cut_rows.filter("rest is not null").select("doc_id", "start", "doc_tokens", "rest")
+    corpus = _corpus(rests)
+
+    def routed(batches):
+        for batch in batches:
+            routes = [corpus.route(_ids(x)) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes, pa.binary())], names=["doc_id", "start", "doc_tokens", "rest", "route"])
+
+    def run(batches):
+        packer = Packer(window, (1 << 62) + (TaskContext.get().partitionId() << 40))
+        shard, tokens = [], 0
+        for given in batches:
+            for doc_id, start, total, rest in zip(*(given.column(k).to_pylist() for k in range(4)), strict=True):
+                shard.append((doc_id, start, _ids(rest), total))
+                tokens += len(rest) // 4
                 if len(shard) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                    packer.shard(shard)
+                    packer.fill(shard, corpus)
                     shard, tokens = [], 0
-                    yield batch()
-        packer.shard(shard)
+                    yield _batch(packer.taken())
+        packer.fill(shard, corpus)
         packer.close()
-        yield batch()
+        yield _batch(packer.taken())
 
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, SCHEMA)
+    keyed = map_arrow(rests, routed, "doc_id bigint, start bigint, doc_tokens bigint, rest binary, route binary")
+    keyed = keyed.withColumn("draw", F.xxhash64("doc_id", "rest"))  # equal routes: spread by a hash
+    ordered = keyed.repartitionByRange("route", "draw").sortWithinPartitions("route", "draw")
+    return cut_rows.filter("rest is null").drop("rest").unionByName(map_arrow(ordered.select("doc_id", "start", "doc_tokens", "rest"), run, SCHEMA))

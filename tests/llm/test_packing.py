@@ -81,6 +81,36 @@ def test_neighbours_share_a_window():
     assert {1, 4} <= window
 
 
+def test_related_items_fill_the_window():
+    """All unused items that score above 0 come before the next one in order, however many there are."""
+    items = [(2 * i + k, np.array([100 + k, 1000 + 2 * i + k], np.uint32)) for i in range(40) for k in (0, 1)]
+    packer = packing.Packer(80, 0)
+    packer.shard(items)
+    packer.close()
+    first = [r[0] for r in packer.taken() if r[5] == 0]
+    assert sorted(first) == list(range(0, 80, 2))
+
+
+def test_common_terms_are_queried():
+    """A term that most items share still retrieves them."""
+    packer = packing.Packer(6, 0)
+    packer.shard([(1, np.array([7, 11], np.uint32)), (2, np.array([12, 13], np.uint32)), (3, np.array([7, 14], np.uint32)), (4, np.array([7, 15], np.uint32))])
+    assert {r[0] for r in packer.taken() if r[5] == 0} == {1, 3, 4}
+
+
+def test_related_documents_meet_across_partitions(spark):
+    """Each document's partner stands in another input partition."""
+    word = lambda k, i: "".join(chr(97 + (k * 7919 + i * 104729) // 26**p % 26) for p in range(5))
+    texts = [(half * 100 + k, " ".join(word(k, i) for i in range(8))) for half in (0, 1) for k in range(20)]
+    docs = documents(spark, texts).repartitionByRange(2, "doc_id")
+    rows = packing.pack(docs, window=64).collect()
+    check(rows, texts, 64)
+    where = defaultdict(set)
+    for r in rows:
+        where[r.doc_id].add(r.sequence_id)
+    assert sum(bool(where[k] & where[100 + k]) for k in range(20)) >= 18
+
+
 def test_encoders_agree():
     """Over the code points taken as alike the fast encoder gives the same ids; else the slow one is used."""
     encode = packing.Encoder()
