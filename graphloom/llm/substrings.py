@@ -40,7 +40,7 @@ SHARD_WORDS = 30_000
 HOT_ANCHOR = 4096
 #: Documents looked at together.
 BATCH_ROWS, BATCH_BYTES = 10_000, 64 << 20
-#: Hot anchors (9 bytes each) that are broadcast at most.
+#: Hot anchors (9 bytes each), or names of repeated rows (16), that are broadcast at most.
 MOST_BROADCAST = 200_000
 _LAST = (1 << 63) - 1
 
@@ -75,6 +75,19 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("row"), text.alias("text"))
 
 
+def _distinct(identified: DataFrame) -> DataFrame:
+    """Each (id, row) once. Only the texts of repeated rows are shuffled, if their names are few enough to broadcast."""
+    several = cut(identified.groupBy("id", "row").count().filter("count > 1").select(F.col("id").alias("_id"), F.col("row").alias("_row")))
+    found = several.count()
+    if not found:
+        return identified
+    if found > MOST_BROADCAST:
+        return identified.dropDuplicates(["id", "row"])
+    same = (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row"))
+    repeated = identified.join(F.broadcast(several), same, "left_semi").dropDuplicates(["id", "row"])
+    return identified.join(F.broadcast(several), same, "left_anti").unionByName(repeated)
+
+
 def _gathered(batches):
     """Batches of at least BATCH_ROWS rows or BATCH_BYTES, so that repeats meet before they are shuffled."""
     kept, rows, size = [], 0, 0
@@ -236,7 +249,7 @@ def _shards(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, row, spans: the word spans to remove of each text that has any."""
     spark = docs.sparkSession
-    identified = _identified(docs)
+    identified = _distinct(_identified(docs))
     folder = shared_folder(spark, "anchors")
     _repeated(identified, window).write.parquet(folder)
     release(spark)

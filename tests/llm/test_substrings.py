@@ -70,6 +70,17 @@ def test_awkward_rows(spark):
     assert substrings.deduplicated(empty(spark)).collect() == []
 
 
+def test_repeated_rows_keep_their_text(spark, monkeypatch):
+    """Equal rows of one doc_id count as one: each copy keeps what the one would keep."""
+    part = " ".join(f"p{i}" for i in range(30))
+    twice = [(9, LONG), (9, LONG), (3, part), (3, part), (50, part)]
+    want = sorted([*brute([(3, part), (9, LONG), (50, part)]), *brute([(9, LONG)]), *brute([(3, part)])], key=repr)
+    docs = documents(spark, twice).repartition(2)
+    assert got(substrings.deduplicated(docs, digest=True)) == want
+    monkeypatch.setattr(substrings, "MOST_BROADCAST", 0)
+    assert got(substrings.deduplicated(docs, digest=True)) == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="abc", max_size=25), max_size=6))
 def test_matching_statistics(sequences):
