@@ -55,7 +55,7 @@ def _fingerprints(batches):
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         found = [fingerprint(t.as_py() or b"") for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -139,8 +139,14 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document a component: the one the component is named after (rows that share that id: one)."""
-    found = near_duplicates(docs, distance=distance)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("bigint").eqNullSafe(keep["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one document a component: that of the least doc_id (null last), of several the least hash of the text."""
+    text, ident = docs["text"].cast("string"), docs["doc_id"].cast("bigint")
+    mark = F.xxhash64(F.coalesce(text, F.lit("")))
+    prints = map_arrow(docs.select(ident.alias("doc_id"), text.alias("text"), mark.alias("mark")), _fingerprints, "doc_id bigint, fp bigint, mark bigint")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark"))
+    distinct = cut(prints.groupBy("fp").agg(first.alias("first")))
+    rooted = distinct.join(groups(distinct.select("fp"), distance), "fp")
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.mark").alias("_kept_mark"))
+    named = docs.withColumn("_id", ident).withColumn("_mark", mark)
+    kept = named.join(keep, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
+    return kept.dropDuplicates(["_id", "_mark"]).drop("_id", "_mark")  # equal texts are of one component

@@ -66,6 +66,15 @@ def test_awkward_rows(spark):
     assert ids == sorted({c if c is not None else -1 for *_, c in brute_components([(d, brute_print(t)) for d, t in TEXTS])})
 
 
+def test_one_document_of_each_component_stays(spark):
+    """Unlike documents stay though they share an id or have none; of like ones the least id stays."""
+    unlike = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdefg"]
+    texts = [(None, unlike[0]), (None, unlike[1]), (None, unlike[1]), (5, unlike[2]), (5, unlike[3]), (5, unlike[3]), (None, unlike[4]), (8, unlike[4]), (7, unlike[4]), (7, unlike[5]), (3, unlike[5])]
+    kept = sorted([(r.doc_id, r.text) for r in simhash.deduplicated(documents(spark, texts)).collect()], key=repr)
+    want = [(None, unlike[0]), (None, unlike[1]), (5, unlike[2]), (5, unlike[3]), (7, unlike[4]), (3, unlike[5])]
+    assert kept == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("hot", [4, 128])
 def test_dense_groups(spark, monkeypatch, hot):
     """Groups in which many fingerprints are close to many; keys over the limit are refined and lose no link."""
