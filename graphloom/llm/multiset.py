@@ -5,7 +5,7 @@ powers of two, lane by lane. So the order of paragraphs does not matter, and a p
 subtracting its vector alone. A vector has two parts:
 
 - EXACT lanes of 32 bits, uniform and keyed by the whole paragraph: equality of multisets of paragraphs;
-- SKETCH lanes of 16 bits: each run of three words of the paragraph adds +1 or -1 to a lane of its hash. The sum is a count
+- SKETCH lanes of 32 bits: each run of three words of the paragraph adds +1 or -1 to a lane of its hash. The sum is a count
   sketch of the document's runs, so the cosine of two fingerprints estimates how much text they share.
 
 Paragraphs are the lines of a text, as they are; the line ends are not part of them. An empty text has no paragraph. Texts
@@ -83,7 +83,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             slot = (row - base) * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64)
             some = np.bincount(slot, sign).astype(np.int64)
             sketch.reshape(-1)[base * SKETCH : base * SKETCH + len(some)] += some
-    return exact, sketch.astype(np.int16)
+    return exact, sketch.astype(np.int32)
 
 
 def add(a: str, b: str, sign: int = 1) -> str:
@@ -93,12 +93,12 @@ def add(a: str, b: str, sign: int = 1) -> str:
 
 
 def encoded(exact: np.ndarray, sketch: np.ndarray) -> str:
-    return base64.b64encode(exact.astype("<u4").tobytes() + sketch.astype("<i2").tobytes()).decode()
+    return base64.b64encode(exact.astype("<u4").tobytes() + sketch.astype("<i4").tobytes()).decode()
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw, "<u4", EXACT).copy(), np.frombuffer(raw, "<i2", SKETCH, EXACT * 4).copy()
+    return np.frombuffer(raw, "<u4", EXACT).copy(), np.frombuffer(raw, "<i4", SKETCH, EXACT * 4).copy()
 
 
 def fingerprint(text: str) -> str:

@@ -57,3 +57,10 @@ def test_homomorphism():
     assert multiset.add(whole, multiset.fingerprint(rest), -1) == multiset.fingerprint(one)
     assert multiset.fingerprint("\n".join(lines[:-1])) != whole
     assert len({multiset.fingerprint(x) for x in ("", " ", "\n", "a", "a ", "b", LONG)}) == 7
+
+
+def test_long_repetitive_texts_stay_alike():
+    """A run that occurs 40000 times does not wrap its lane."""
+    a, b = ([multiset.decoded(multiset.fingerprint("a b c " * n))] for n in (20_000, 40_000))
+    pair = [tuple(v[None] for v in x[0]) for x in (a, b)]
+    assert multiset.likeness(*pair)[0] > 0.99
