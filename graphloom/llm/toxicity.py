@@ -8,7 +8,7 @@ training, by the language that a few function words in the text show (never by a
 that each language's threshold lies at 0.7.
 
 Training reads a bounded sample: at most max_rows labelled rows of each class, in the order of a hash of their id,
-and max_bytes of text. Everything else covers all rows.
+and max_bytes of text; texts that do not fit are skipped. Everything else covers all rows.
 
 Defined results: null, empty and wordless texts get the score of no evidence; without labels of both classes all
 scores are 0; several labels of one id: toxic if any is; repeated rows are scored alike; an empty table gives an
@@ -295,6 +295,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _chosen(rows: list[tuple], max_bytes: int) -> list[int]:
+    """Ids to learn from. rows: (draw, id, label, bytes). In the order of draw; a text that does not fit is skipped. The
+    class of fewer bytes may take half of them, the other what is left."""
+    classes = sorted((sorted(r for r in rows if r[2] == k) for k in (0, 1)), key=lambda c: sum(r[3] for r in c))
+    chosen, left = [], max_bytes
+    for own, room in zip(classes, (max_bytes // 2, max_bytes), strict=True):
+        room, before = min(room, left), len(chosen)
+        for _, ident, _, size in own:
+            if size <= room:
+                chosen.append(ident)
+                room, left = room - size, left - size
+        if own and len(chosen) == before and all(classes):
+            raise ValueError(f"no text of label {own[0][2]} fits in max_bytes={max_bytes}")
+    return chosen
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model | None:
     """Trains on a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("label")).dropna().filter(~held_out(F.col("label_id")))
@@ -303,13 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     picks = [known.filter(F.col("label") == k).withColumn("draw", draw).orderBy("draw", "label_id").limit(max_rows) for k in (0, 1)]
     ids = F.broadcast(picks[0].union(picks[1]))  # 2 * max_rows rows at most
     rows = docs.select(F.col("doc_id").cast("bigint").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("words")).join(ids, "label_id")
-    measured = rows.groupBy("label_id").agg(F.first("draw").alias("draw"), F.max(F.octet_length("words")).alias("bytes")).collect()
-    chosen, total = [], 0
-    for r in sorted(measured, key=lambda r: (r["draw"], r["label_id"])):
-        total += r["bytes"]
-        if total > max_bytes:
-            break
-        chosen.append(r["label_id"])
+    measured = rows.groupBy("label_id").agg(F.first("draw").alias("draw"), F.first("label").alias("label"), F.max(F.octet_length("words")).alias("bytes")).collect()
+    chosen = _chosen([(r["draw"], r["label_id"], r["label"], r["bytes"]) for r in measured], max_bytes)
     if not chosen:
         return None
     some = docs.sparkSession.createDataFrame(pa.table({"chosen": pa.array(chosen, pa.int64())}))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from graphloom.llm import queries, toxicity
 
@@ -65,3 +66,17 @@ def test_score_ignores_what_stands_beside():
 def test_best_cut():
     p = np.array([0.9, 0.8, 0.3, 0.2])
     assert abs(toxicity._best_cut(p, np.array([1, 1, 0, 0])) - 0.55) < 1e-9
+
+
+def test_long_texts_do_not_end_the_sample(spark):
+    """Texts over the bound are skipped wherever they stand; a class of which none fits is an error."""
+    rows = [(k, k, k % 2, 100_000 if k < 4 else 50) for k in range(40)]
+    assert sorted(toxicity._chosen(rows, 10_000)) == list(range(4, 40))
+    rows += [(k, k, 0, 4000) for k in range(100, 110)]
+    assert {k for k in toxicity._chosen(rows, 10_000) if k < 40 and k % 2} == set(range(5, 40, 2))
+    texts = [(i, f"{'vile' if i % 4 == 0 else 'kind'} words here {i} " + "long " * (5000 if i % 5 == 0 else 0)) for i in range(200)]
+    docs, known = documents(spark, texts), labels(spark, [(i, 1, int(i % 4 == 0), "x") for i in range(200)])
+    rows = toxicity.score(docs, known, max_bytes=20_000).collect()
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in rows if r.doc_id % 5]) > 0.9
+    with pytest.raises(ValueError, match="label 1"):
+        toxicity.fit(docs.filter("doc_id % 4 > 0 or doc_id % 5 = 0"), known, max_bytes=20_000)
