@@ -3,12 +3,13 @@ pooling, and thresholds by language.
 
 A word's vector is the sum of embeddings of the hashed word and of its hashed leading bytes. Filters of widths 1 to
 3 slide over whole texts; the maximum of each filter over a text feeds a logistic unit. Embeddings start from
-smoothed log odds of their bucket in the training texts. Thresholds are fitted on labelled rows kept out of
-training, by the language that a few function words in the text show (never by a column), and scores are mapped so
+smoothed log odds of their bucket in the training texts. Thresholds are fitted on all labelled rows kept out of
+training, weighted to the classes' sizes among all labelled rows, by the language that a few function words in the text show (never by a column), and scores are mapped so
 that each language's threshold lies at 0.7.
 
 Training reads a bounded sample: at most max_rows labelled rows of each class, in the order of a hash of their id,
-and max_bytes of text; texts that do not fit are skipped. Everything else covers all rows.
+and max_bytes of text; texts that do not fit are skipped. Everything else covers all rows; thresholds are read off
+counts of labelled rows by language, step of evidence and label.
 
 Defined results: null, empty and wordless texts get the score of no evidence; without labels of both classes all
 scores are 0; several labels of one id: toxic if any is; repeated rows are scored alike; an empty table gives an
@@ -34,6 +35,10 @@ BUCKETS = (1 << 17, 1 << 16, 1 << 16, 1 << 16)
 PREFIXES = (4, 6, 8)
 MAX_ROWS, MAX_BYTES = 3000, 20 << 20
 EPOCHS, BATCH = 10, 16
+#: Steps of evidence (log odds) a unit, in which labelled rows are counted for thresholds.
+BINS = 64
+#: Labels that are broadcast at most.
+MOST_BROADCAST = 500_000
 
 # Function words that show a language.
 FUNCTION_WORDS = {
@@ -128,8 +133,11 @@ class Model:
             i = j
         return out
 
+    def evidence(self, f: Features) -> np.ndarray:
+        return np.clip(self.pooled(f).astype(np.float64) @ self.weights + self.shift, -30, 30)
+
     def probabilities(self, f: Features) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.pooled(f).astype(np.float64) @ self.weights + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-self.evidence(f)))
 
     def scores(self, texts) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -208,6 +216,7 @@ def train(texts, toxic: np.ndarray, seed: int = 11) -> Model | None:
     probabilities = np.concatenate([model.probabilities(sample.part(held[k : k + 256])) for k in range(0, len(held), 256)] or [np.zeros(0)])
     model.cuts = _cuts(probabilities, toxic[held], sample.languages[held])
     model.embeddings = [e.astype(np.float16) for e in model.embeddings]
+    model.learned = fit_rows
     return model
 
 
@@ -268,28 +277,64 @@ def _descend(model: Model, sample: Sample, fit_rows: np.ndarray, toxic: np.ndarr
             model.shift -= rate * grad_shift / np.sqrt(seen_shift)
 
 
-def _best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+def _best_cut(p: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> float:
     """Probability between two rows that gives the best F1; the middle of the gap."""
+    weight = np.ones(len(p)) if weight is None else weight
     order = np.argsort(-p, kind="stable")
-    p, hits = p[order], np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + toxic.sum())
+    p, hits, marked = p[order], np.cumsum((toxic * weight)[order]), np.cumsum(weight[order])
+    f1 = 2 * hits / (marked + hits[-1])
     f1[np.append(p[1:] == p[:-1], False)] = -1  # no cut between equal rows
     best = int(f1.argmax())
     below = p[best + 1] if best + 1 < len(p) else 0.0
     return float(np.clip((p[best] + below) / 2, 1e-4, 1 - 1e-4))
 
 
-def _cuts(p: np.ndarray, toxic: np.ndarray, language: np.ndarray, least: int = 8) -> np.ndarray:
-    """A cut by language; languages with few labelled rows of either class take the common one."""
-    common = _best_cut(p, toxic) if toxic.any() else 0.5
+def _cuts(p: np.ndarray, toxic: np.ndarray, language: np.ndarray, rows: np.ndarray | None = None, weight: np.ndarray | None = None, least: int = 8) -> np.ndarray:
+    """A cut by language; languages with few labelled rows of either class take the common one. An entry stands for
+    rows rows that weigh weight together."""
+    rows = np.ones(len(p)) if rows is None else rows
+    weight = rows if weight is None else weight
+    common = _best_cut(p, toxic, weight) if (toxic * rows).any() else 0.5
     cuts = np.full(len(FUNCTION_WORDS) + 1, common)
     for k in range(len(FUNCTION_WORDS)):
         own = language == k
-        if toxic[own].sum() >= least and (1 - toxic[own]).sum() >= least:
-            cuts[k] = _best_cut(p[own], toxic[own])
+        if (toxic * rows)[own].sum() >= least and ((1 - toxic) * rows)[own].sum() >= least:
+            cuts[k] = _best_cut(p[own], toxic[own], weight[own])
     return cuts
 
 
+def _counts(model: Model, rows: DataFrame, known: DataFrame, learned: DataFrame) -> pa.Table:
+    """language, bin, label, learned, count: over all labelled rows. bin: evidence in steps of 1 / BINS."""
+    few = known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    labelled = rows.join(F.broadcast(known) if few else known, "label_id").join(F.broadcast(learned), F.col("label_id") == F.col("learned_id"), "left")
+
+    def run(batches):
+        for batch in batches:
+            bins, language = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for a, b, f in features(batch.column(2)):
+                bins[a:b], language[a:b] = np.rint(model.evidence(f) * BINS), languages(f)
+            yield pa.RecordBatch.from_arrays([pa.array(language), pa.array(bins), batch.column(0), batch.column(1)], names=["language", "bin", "label", "learned"])
+
+    given = labelled.select("label", F.col("learned_id").isNotNull().alias("learned"), "words")
+    binned = map_arrow(given, run, "language bigint, bin bigint, label int, learned boolean")
+    return binned.groupBy("language", "bin", "label", "learned").count().orderBy("language", "bin", "label", "learned").toArrow()
+
+
+def _fitted_cuts(counts: pa.Table) -> np.ndarray | None:
+    """Cuts from the rows that were not learned from; rows of a language and class weigh as many as all of it."""
+    language, bins, label, learned, count = (counts[c].to_numpy() for c in ("language", "bin", "label", "learned", "count"))
+    weight = np.zeros(len(count))
+    free = ~learned.astype(bool)
+    for k in np.unique(language):
+        for y in (0, 1):
+            own = (language == k) & (label == y)
+            if (own & free).any():
+                weight[own & free] = count[own & free] * (count[own].sum() / count[own & free].sum())
+    if not (free & (label == 1)).any() or not (free & (label == 0)).any():
+        return None
+    return _cuts(1 / (1 + np.exp(-bins[free] / BINS)), label[free].astype(np.int64), language[free], count[free], weight[free])
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
@@ -312,13 +357,14 @@ def _chosen(rows: list[tuple], max_bytes: int) -> list[int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model | None:
-    """Trains on a bounded sample of the labelled rows that are not held out."""
+    """Trains on a bounded sample of the labelled rows that are not held out; thresholds are fitted on all others."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("label")).dropna().filter(~held_out(F.col("label_id")))
     known = known.groupBy("label_id").agg(F.max("label").alias("label"))
     draw = F.xxhash64("label_id")
     picks = [known.filter(F.col("label") == k).withColumn("draw", draw).orderBy("draw", "label_id").limit(max_rows) for k in (0, 1)]
     ids = F.broadcast(picks[0].union(picks[1]))  # 2 * max_rows rows at most
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("words")).join(ids, "label_id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("words"))
+    rows = texts.join(ids, "label_id")
     measured = rows.groupBy("label_id").agg(F.first("draw").alias("draw"), F.first("label").alias("label"), F.max(F.octet_length("words")).alias("bytes")).collect()
     chosen = _chosen([(r["draw"], r["label_id"], r["label"], r["bytes"]) for r in measured], max_bytes)
     if not chosen:
@@ -326,7 +372,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     some = docs.sparkSession.createDataFrame(pa.table({"chosen": pa.array(chosen, pa.int64())}))
     sample = rows.join(F.broadcast(some), F.col("label_id") == F.col("chosen"), "left_semi").select("label_id", "label", "words").dropDuplicates(["label_id"])
     got = sample.toArrow().sort_by("label_id")
-    return train(got["words"], got["label"].to_numpy().astype(np.int64))
+    model = train(got["words"], got["label"].to_numpy().astype(np.int64))
+    if model is None:
+        return None
+    learned = docs.sparkSession.createDataFrame(pa.table({"learned_id": got["label_id"].to_numpy()[model.learned]}))
+    del got, model.learned
+    cuts = _fitted_cuts(_counts(model, texts, known, learned))
+    model.cuts = model.cuts if cuts is None else cuts
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:

@@ -80,3 +80,13 @@ def test_long_texts_do_not_end_the_sample(spark):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in rows if r.doc_id % 5]) > 0.9
     with pytest.raises(ValueError, match="label 1"):
         toxicity.fit(docs.filter("doc_id % 4 > 0 or doc_id % 5 = 0"), known, max_bytes=20_000)
+
+
+def test_thresholds_follow_all_labels(spark):
+    """A balanced sample of rare toxic rows does not lower the cut: a word of all toxic and many clean rows is no proof."""
+    vile = lambda i: i % 20 == 0 or i % 4 == 1
+    texts = [(i, f"{'vile' if vile(i) else 'kind'} words{' awful' if i % 20 == 0 and i % 3 else ''} stand here") for i in range(3000)]
+    known = labels(spark, [(i, 1, int(i % 20 == 0), "x") for i in range(3000)])
+    rows = toxicity.score(documents(spark, texts), known, max_rows=60).collect()
+    assert np.mean([r.predicted for r in rows if r.doc_id % 20]) < 0.02
+    assert np.mean([r.predicted for r in rows if r.doc_id % 20 == 0]) > 0.5
