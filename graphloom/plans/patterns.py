@@ -100,7 +100,7 @@ def reachable(start: DataFrame, edges: DataFrame, most_steps: int = 64) -> DataF
     """id, reached: everything that a path of edges (source, target) leads to, the start itself included.
 
     The frontier holds only pairs not seen before, so cycles end. Each step is cut off by a checkpoint."""
-    from ..sources.sinks import cut
+    from ..session import cut
 
     seen = cut(start.select(F.col("id"), F.col("id").alias("reached")).distinct())
     frontier = seen

@@ -1,12 +1,9 @@
-"""Writers: ordered JSON, Markdown tables, labelled snapshots, and lineage cuts."""
+"""Writers: ordered JSON, Markdown tables and labelled snapshots."""
 
 from __future__ import annotations
 
-import atexit
 import json
 import re
-import shutil
-import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -14,19 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the checkpoint folder that the session names; one of our own only where it names none."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
-
-
 def write_json_records(df: DataFrame, path: str, order: list[str], name: str | None = None, sort_keys: bool = True) -> int:
     """One JSON document with the rows of df in order, the same bytes for the same rows: indented, sorted keys (or the
     columns' order), a line feed at the end. Rows come to the driver one by one, not all at once; for large tables write
