@@ -70,7 +70,7 @@ def merge_dependencies(declared: DataFrame, keys: list[str], ranks: dict[str, in
     first = F.min_by(F.struct(F.lit(0).alias("_"), *rest), "ord")
     out = declared.groupBy(*keys).agg(
         first.alias("_first"),
-        F.max_by("dep_group", F.struct(group_rank(F.col("dep_group"), ranks), -F.col("ord"))).alias("dep_group"),
+        F.min_by("dep_group", F.struct(-group_rank(F.col("dep_group"), ranks), F.col("ord"))).alias("dep_group"),
         F.array_sort(F.collect_list(F.struct("manifest_path", "raw_line"))).alias("sources"),
     )
     return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest], "dep_group", "sources")

@@ -4,7 +4,7 @@ Rules that need nothing but the record build one array of node mentions and one
 Relations are exploded, deduplicated by key in the order of their fields, and joined once with the corpus to tell datasets and
 tools of the corpus from outside ones. Identifiers of people are joined with the people mentioned before them.
 
-ord of a mention is (resource_id, phase, place): first always means first in this order.
+ord of a mention is (resource_id, phase, rank, place): first always means first in this order.
 """
 
 from __future__ import annotations
@@ -356,7 +356,7 @@ def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str])
     element = _NODE[6:-1]
     node = rules.node(key, "", "", attributes, told, status).withField("class", named(klass)).withField("inventory_id", named({c: inventory[k] for c, k in klass.items()}))
     resolved = rows.withColumn("node", F.when(F.col("case").isNotNull(), node.cast(element)))
-    ordered = F.struct("resource_id", "phase", (F.col("field_rank") * 1_000_000 + F.col("index")).alias("place"))
+    ordered = F.struct("resource_id", "phase", F.col("field_rank").alias("rank"), F.col("index").alias("place"))
     hit = resolved.filter(F.col("node").isNotNull()).withColumn("ord", ordered)
     nodes = hit.select("node.*", "ord")
     edges = hit.select("relation", F.col("inventory").alias("inventory_id"), F.col("resource_id").alias("source"), F.col("node.id").alias("target"), here.alias("evidence"), _texts(predicateQName=F.col("predicate")).alias("attributes"), "ord")
@@ -379,12 +379,12 @@ def _person_identifiers(records: DataFrame, people: DataFrame, rules: Rules) ->
         def row(i: Column, k: Column) -> Column:
             same = F.filter(all_, lambda x: (x["person_name"] == i["person_name"]) & (i["person_name"] != ""))
             fallback = ids.person_key(i["person_name"], F.transform(same, lambda x: F.struct(x["id_type"].alias("id_type"), x["url"].alias("url"))))["id"]
-            return F.struct((F.lit(rank * 1_000_000) + k).alias("place"), _cat(f"{field}[", k.cast("string"), "]").alias("at"), i.alias("i"), fallback.alias("fallback"))
+            return F.struct(F.lit(rank).alias("rank"), k.alias("place"), _cat(f"{field}[", k.cast("string"), "]").alias("at"), i.alias("i"), fallback.alias("fallback"))
 
         return F.transform(all_, row)
 
     fields = [listed(rank, field) for rank, field in enumerate(("creator_identifiers", "contributor_identifiers"))]
-    rows = records.select("resource_id", F.explode(F.concat(*fields)).alias("e")).select("resource_id", F.struct("resource_id", F.lit(1).alias("phase"), "e.place").alias("ord"), "e.at", "e.i.*", "e.fallback")
+    rows = records.select("resource_id", F.explode(F.concat(*fields)).alias("e")).select("resource_id", F.struct("resource_id", F.lit(1).alias("phase"), "e.rank", "e.place").alias("ord"), "e.at", "e.i.*", "e.fallback")
     known, value = F.coalesce(F.col("id_type").isin(*PERSON_IDENTIFIERS), F.lit(False)), none_if_empty(F.col("url"))
     orcid = F.when(F.col("id_type") == "ORCID", ids.orcid(F.col("url")))
     bad = (
@@ -426,7 +426,7 @@ def extract(records: DataFrame, artifact: str = "dataset", service: str = "servi
 
     def mentions(column: str, phase) -> DataFrame:
         rows = local.select("resource_id", F.posexplode(column).alias("place", "m")).select("m.*", "resource_id", "place")
-        at = F.struct("resource_id", F.lit(phase).alias("phase") if isinstance(phase, int) else phase(rows).alias("phase"), "place")
+        at = F.struct("resource_id", F.lit(phase).alias("phase") if isinstance(phase, int) else phase(rows).alias("phase"), F.lit(0).alias("rank"), "place")
         return rows.withColumn("ord", at).drop("resource_id", "place")
 
     early = lambda rows: F.when(F.col("class").isin("DatasetResource", "ResourceType", "Person") | ((F.col("class") == "Organization") & ~F.contains("evidence.sourceLocation", F.lit(":awards["))), 0).otherwise(1)

@@ -118,7 +118,7 @@ def dependencies(found: DataFrame) -> DataFrame:
         F.col("n.url").isNotNull().alias("is_vcs"),
         F.coalesce("n.url", F.lit("")).alias("vcs_url"),
         F.col("n.group").alias("dep_group"),
-        (F.col("file_no").cast("bigint") * 1_000_000 + F.col("place")).alias("ord"),
+        F.struct("file_no", "place").alias("ord"),
         F.col("path").alias("manifest_path"),
         F.col("n.line").alias("raw_line"),
         *[F.col(f"n.{c}").alias(a) for c, a in (("raw", "raw"), ("version", "version_spec"), ("extras", "extras"), ("marker", "marker"), ("ecosystem", "ecosystem"), ("ref", "ref"), ("subdirectory", "subdirectory"), ("egg", "egg"))],
