@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, manifests, paths
+from ..functions import ids, manifests, paths, requirements
 from ..functions.text import none_if_empty
 from ..operators.records import merge_dependencies
 from ..sources.files import files, json_or_default, tolerant_text
@@ -84,13 +84,13 @@ def _findings(batches):
     """Rows repo, path, place, kind, json: what manifests and citation files say."""
     for batch in batches:
         out: list[tuple] = []
-        for repo, path, role, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for repo, path, role, text, locked in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if role == "citation_cff":
                 found, issues = parse_citation(path, text or "")
                 rows = [("citation", found), *(("issue", i) for i in issues)]
             else:
                 rows = []
-                for f in manifests.findings(path, text or ""):
+                for f in manifests.findings(path, text or "", locked):
                     kind = type(f).__name__.lower()
                     if kind == "need" and not manifests.wanted(f):
                         continue
@@ -102,7 +102,10 @@ def _findings(batches):
 
 def findings(manifest_files: DataFrame) -> DataFrame:
     """repo, path, place, kind, json of files (repo, path, file_role, text)."""
-    return map_arrow(manifest_files.select("repo", "path", "file_role", "text"), _findings, "repo string, path string, place int, kind string, json string")
+    name = F.lower(F.substring_index("path", "/", -1))
+    listed = F.startswith(name, F.lit("requirements")) & F.endswith(name, F.lit(".txt"))
+    locked = F.coalesce(listed & (requirements.verdict(F.col("text")) == "lock"), F.lit(False))
+    return map_arrow(manifest_files.select("repo", "path", "file_role", "text", locked.alias("locked")), _findings, "repo string, path string, place int, kind string, json string")
 
 
 def _source(path: Column, line: Column) -> Column:

@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions import manifests as m
+from graphloom.functions import requirements
 from graphloom.plans import repositories as r
 
 REQUIREMENTS = "numpy>=1.2  # fast\n-r other.txt\n-e .\nrequests[socks]==2.0; python_version > '3'\ngit+https://github.com/Org/Tool.git@v1#egg=tool-x&subdirectory=sub\n???\npip\n"
@@ -49,8 +51,42 @@ def test_findings():
     assert needs("Pipfile", '[packages]\nflask = "*"\n[dev-packages]\ntox = ">3"\n') == {("flask", "runtime", None), ("tox", "dev", ">3")}
     lock = [f for f in m.findings("Pipfile.lock", '{"default": {"b": 1, "a": 2}, "develop": {"c": 1}}') if isinstance(f, m.Environment)][0]
     assert lock.pins == ["b", "a", "c"]
-    assert m.requirements_verdict(["a; python_version > '3'"]) == "lock" and m.requirements_verdict(["a", "b"]) == "direct"
-    assert m.requirements_verdict([f"p{i}==1" for i in range(60)] + ["six==1", "idna==2"]) == "lock"
+    lock = [f for f in m.findings("requirements.txt", "a==1\n# c\n\nb==2\n", locked=True)]
+    assert lock == [m.Verdict("lock"), m.Environment("requirements_lock", pins=["a==1", "b==2"])]
+
+
+def test_verdicts(spark):
+    pins = [f"p{i}==1" for i in range(60)]
+    cases = {"a; python_version > '3'": "lock", "a\nb": "direct", "": "direct", "# x\n-r y\n-e .": "direct", "\n".join([*pins, "six==1", "idna==2"]): "lock", "\n".join([*pins, "six==1"]): "direct", "\n".join([*pins[:57], "six==1", "idna==2"]): "direct", "\n".join(["a; python_version > '3'"] * 4 + ["b"] * 2): "lock", "\n".join(["a; python_version > '3'"] * 3 + ["b"] * 2): "direct"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", requirements.verdict(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in rows} == cases
+
+
+LINES = {
+    "git+https://github.com/Org/Tool.git@v1#egg=tool-x&subdirectory=sub": ("tool-x", "https://github.com/Org/Tool", "v1", "sub", "tool-x"),
+    "Name_X @ git+https://h.org/o/r.git@feature/y": ("name-x", "https://h.org/o/r", "feature/y", None, None),
+    "git+ssh://git@h.org/o/r.git": ("r", "ssh://git@h.org/o/r", None, None, None),
+    "git+https://u@h.org/o/a.b/": ("a-b", "https://u@h.org/o/a.b", None, None, None),
+    "git+https://h.org/o/r@a@b": ("r@a", "https://h.org/o/r", "b", None, None),
+    "git+https://h.org/o/r?x=1#subdirectory=s%20t": ("r", "https://h.org/o/r?x=1", None, "s t", None),
+    "numpy>1": None,
+    "https://h.org/o/r": None,
+}
+
+
+def test_one_grammar_for_both(spark):
+    """Columns and whole manifests take the same parts from a line, and clean it alike."""
+    odd = ["a # b", "a#b", "  x  # y # z", "git+https://h/o#egg=n # c", "# only", "http://x # c", "a\t#c", "git+https://h.org/o/r.git@v1", "git@github.com:o/r.git", " https://h.org/r/ ", "https://h.org/r.git/@v2", "https://u@h.org/r", "https://h.org/r@v1/", "ssh://g@r.git", "h.org/r.git", ""]
+    rows = spark.createDataFrame([(t,) for t in [*LINES, *odd]], "t string")
+    got = rows.select("t", requirements.uncommented(F.col("t")).alias("bare"), requirements.repository_url(F.col("t")).alias("url"), requirements.repository_parts(F.col("t")).alias("parts")).collect()
+    for r in got:
+        assert r.bare == m.uncommented(r.t) and r.url == m.repository_url(r.t), r.t
+        assert (r.parts.asDict() if r.parts else None) == m.from_repository(r.t), r.t
+        if r.t in LINES:
+            assert (tuple(r.parts) if r.parts else None) == LINES[r.t]
+    assert {r.t: r.bare for r in got if r.t in odd[:7]} == {"a # b": "a", "a#b": "a#b", "  x  # y # z": "x", "git+https://h/o#egg=n # c": "git+https://h/o#egg=n # c", "# only": "# only", "http://x # c": "http://x", "a\t#c": "a"}
+    want = {"git+https://h.org/o/r.git@v1": "https://h.org/o/r", "git@github.com:o/r.git": "https://github.com/o/r", " https://h.org/r/ ": "https://h.org/r", "https://h.org/r.git/@v2": "https://h.org/r", "https://u@h.org/r": "https://u@h.org/r", "https://h.org/r@v1/": "https://h.org/r@v1", "ssh://g@r.git": "ssh://g@r", "h.org/r.git": "h.org/r"}
+    assert {r.t: r.url for r in got if r.t in want} == want
 
 
 @pytest.mark.parametrize(
