@@ -1,17 +1,18 @@
 """RDF/XML metadata of a dataset resource: relations, collection members and tool settings.
 
-Spark's xpath functions lose namespaces, so one Arrow function parses a document a row."""
+Spark's xpath functions lose namespaces, so one Arrow function goes over the parser's events and tells each element of the
+resource with its place: the number and tag of the container that holds it, the number of the branch below that, its depth.
+What the elements mean is column expressions over these rows."""
 
 from __future__ import annotations
 
-import json
-import re
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_text, none_if_empty
 from ..session import map_arrow
 
 # Namespaces. That of the service's own terms is a parameter.
@@ -21,107 +22,135 @@ KINDS = ("CompositeResource", "CollectionResource", "ToolResource")
 SETTINGS = {"app_home_page_url": "AppHomePageUrl", "request_url_base": "RequestUrlBase", "request_url_base_file": "RequestUrlBaseFile", "tool_version": "ToolVersion", "testing_protocol_url": "TestingProtocolUrl"}
 LISTS = {"supported_file_extensions": "SupportedFileExtensions", "supported_resource_types": "SupportedResTypes", "supported_sharing_status": "SupportedSharingStatus"}
 
-_RELATION = "struct<predicate_qname:string,predicate_uri:string,target:string,rdf_object_kind:string>"
-SEMANTICS = f"""struct<resource_xml_type:string,typed_relations:array<{_RELATION}>,geospatial_relations:array<struct<name:string,predicate_qname:string,predicate_uri:string,target:string,rdf_object_kind:string>>,
-tool_config:struct<app_home_page_url:string,request_url_base:string,request_url_base_file:string,tool_version:string,testing_protocol_url:string,tool_icon_url:string,tool_icon_data_url:string,
-supported_file_extensions:array<string>,supported_resource_types:array<string>,supported_sharing_status:array<string>>,error:string>"""
+_FIELDS = [("container", pa.int32()), ("holder", pa.string()), ("branch", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("address", pa.string()), ("text", pa.string())]
+_ROWS = "array<struct<container:int,holder:string,branch:int,depth:int,tag:string,address:string,text:string>>"
+_DEEP = 2  # below a container: branch 1, member 2
+
+
+def elements(document: str, kinds: frozenset[str]) -> tuple[str | None, list[dict]]:
+    """Tag of the first child of the root that is of a kind, and the elements below it in the order of their ends."""
+    parser = ET.XMLPullParser(("start", "end"))
+    parser.feed(document)
+    parser.close()
+    kind, rows, path, seen = None, [], [], [0]
+    for event, e in parser.read_events():
+        if event == "start":
+            path.append((e.tag, seen[-1]))
+            seen[-1] += 1
+            seen.append(0)
+            if len(path) == 2 and kind is None and e.tag in kinds:
+                kind, inside = e.tag, path[1]
+            continue
+        if kind and len(path) > 2 and path[1] is inside:
+            rows.append({"container": path[2][1], "holder": path[2][0], "branch": path[3][1] if len(path) > 3 else None, "depth": len(path) - 3, "tag": e.tag, "address": e.get(f"{{{NAMESPACES['rdf']}}}resource"), "text": "".join(e.itertext())})
+        path.pop()
+        seen.pop()
+    return kind, rows
+
+
+def _parsed(kinds: frozenset[str]):
+    def run(batches):
+        for batch in batches:
+            found, errors = [], []
+            for document in batch.column(1).to_pylist():
+                try:
+                    found.append(elements(document, kinds) if document else (None, []))
+                    errors.append(None)
+                except ET.ParseError as error:
+                    found.append((None, []))
+                    errors.append(str(error))
+            rows = pa.array([r for _, r in found], pa.list_(pa.struct(_FIELDS)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.string()), rows, pa.array(errors, pa.string())], names=["key", "kind", "rows", "error"])
 
+    return run
 
-def clean(value: str | None) -> str | None:
-    """As functions.text.clean_text."""
-    if value is None:
-        return None
-    value = re.sub("[­​‌‍﻿]", "", value).replace("\r\n", "\n").replace("\r", "\n")
-    return re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", value)).strip() or None
 
+class _Meaning:
+    """Columns over kind and rows (see elements)."""
 
-class Document:
-    def __init__(self, text: str, terms: str = TERMS):
+    def __init__(self, terms: str):
         self.spaces = NAMESPACES | {"hsterms": terms}
-        self.prefix = {iri: p for p, iri in self.spaces.items()}
-        root = ET.fromstring(text)
-        self.resource = next((c for c in root if self.qname(c) in {f"hsterms:{k}" for k in KINDS}), None)
 
-    def iri(self, name: str) -> str:
+    def tag(self, name: str) -> Column:
         prefix, _, local = name.partition(":")
-        return f"{{{self.spaces[prefix]}}}{local}"
-
-    def qname(self, e: ET.Element) -> str:
-        space, found, local = e.tag.rpartition("}")
-        prefix = self.prefix.get(space[1:]) if found else None
-        return f"{prefix}:{local}" if prefix else local
-
-    def value(self, e: ET.Element | None) -> tuple[str | None, str | None]:
+        return F.lit(f"{{{self.spaces[prefix]}}}{local}")
+
+    def name(self, tag: Column) -> Column:
+        """Compact name; of an unknown namespace the local one."""
+        out = F.regexp_replace(tag, r"\A\{[^}]*\}", "")
+        local = out
+        for prefix, iri in self.spaces.items():
+            out = F.when(F.startswith(tag, F.lit(f"{{{iri}}}")), F.concat(F.lit(f"{prefix}:"), local)).otherwise(out)
+        return out
+
+    @staticmethod
+    def value(e: Column) -> Column:
         """A referenced address, else the text."""
-        if e is None:
-            return None, None
-        if address := e.get(self.iri("rdf:resource")):
-            return clean(address), "uri_ref"
-        text = clean("".join(e.itertext()))
-        return (text, "literal") if text else (None, None)
-
-    def _relation(self, e: ET.Element) -> dict | None:
-        target, kind = self.value(e)
-        return {"predicate_qname": self.qname(e), "predicate_uri": e.tag.replace("{", "").replace("}", "") if "}" in e.tag else None, "target": target, "rdf_object_kind": kind} if target else None
-
-    def typed_relations(self) -> list[dict]:
-        found = {}
-        for container in self.resource.findall(self.iri("dc:relation")):
-            for e in next(iter(container), ()):
-                if r := self._relation(e):
-                    found.setdefault((r["predicate_qname"], r["target"]), r)
-        return list(found.values())
-
-    def geospatial_relations(self) -> list[dict]:
-        found = {}
-        for container in self.resource.findall(self.iri("hsterms:geospatialRelation")):
-            name = last = None
-            for e in next(iter(container), ()):
-                if self.qname(e) == "hsterms:relation_name":
-                    name = clean("".join(e.itertext()))
-                else:
-                    last = self._relation(e) or last
-            if last:
-                found.setdefault((name, last["target"]), {"name": name} | last)
-        return list(found.values())
-
-    def _setting(self, name: str, leaf: str = "value") -> list[str]:
-        parent = self.resource.find(self.iri(f"hsterms:{name}"))
-        values = [] if parent is None else [self.value(e)[0] for e in parent.iter(self.iri(f"hsterms:{leaf}"))]
-        return list(dict.fromkeys(v for v in values if v))
-
-    def tool_config(self) -> dict | None:
-        first = lambda xs: next(iter(xs), None)
-        told = {k: first(self._setting(n)) for k, n in SETTINGS.items()}
-        for k in ("request_url_base", "request_url_base_file"):
-            told[k] = told[k] and told[k].replace("%0A", "")
-        told |= {"tool_icon_url": first(self._setting("ToolIcon")), "tool_icon_data_url": first(self._setting("ToolIcon", "data_url"))}
-        told |= {k: self._setting(n) for k, n in LISTS.items()}
-        return told if any(told.values()) else None
-
-
-def semantics(text: str | None, terms: str = TERMS) -> dict:
-    """What a document says; a missing one says nothing, a broken one its error."""
-    if not text:
-        return {"typed_relations": [], "geospatial_relations": []}
-    try:
-        doc = Document(text, terms)
-    except ET.ParseError as error:
-        return {"typed_relations": [], "geospatial_relations": [], "error": str(error)}
-    if doc.resource is None:
-        return {"typed_relations": [], "geospatial_relations": []}
-    kind = doc.qname(doc.resource).removeprefix("hsterms:")
-    return {"resource_xml_type": kind, "typed_relations": doc.typed_relations(), "geospatial_relations": doc.geospatial_relations(), "tool_config": doc.tool_config() if kind == "ToolResource" else None}
+        return clean_text(F.coalesce(none_if_empty(e["address"]), e["text"]))
+
+    def relation(self, e: Column) -> Column:
+        uri = F.when(F.startswith(e["tag"], F.lit("{")), F.translate(e["tag"], "{}", ""))
+        kind = F.when(none_if_empty(e["address"]).isNotNull(), "uri_ref").otherwise("literal")
+        return F.struct(self.name(e["tag"]).alias("predicate_qname"), uri.alias("predicate_uri"), self.value(e).alias("target"), kind.alias("rdf_object_kind"))
+
+    def members(self, holder: str) -> Column:
+        """Elements of the first branch of each such container."""
+        return F.filter("rows", lambda e: (e["holder"] == self.tag(holder)) & (e["branch"] == 0) & (e["depth"] == _DEEP))
+
+    @staticmethod
+    def once(values: Column, key) -> Column:
+        """The first member of each key."""
+        keys = F.transform(values, lambda v: key(v))
+        return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == i + 1)
+
+    def typed_relations(self) -> Column:
+        told = F.filter(F.transform(self.members("dc:relation"), self.relation), lambda r: r["target"].isNotNull())
+        return self.once(told, lambda r: F.concat_ws("\u0000", r["predicate_qname"], r["target"]))
+
+    def geospatial_relations(self) -> Column:
+        """One a container: its last name and its last relation."""
+        rows, is_name = self.members("hsterms:geospatialRelation"), lambda e: e["tag"] == self.tag("hsterms:relation_name")
+
+        def told(container: Column) -> Column:
+            own = F.filter(rows, lambda e: e["container"] == container)
+            name = F.try_element_at(F.transform(F.filter(own, is_name), lambda e: clean_text(e["text"])), F.lit(-1))
+            last = F.try_element_at(F.filter(F.transform(F.filter(own, lambda e: ~is_name(e)), self.relation), lambda r: r["target"].isNotNull()), F.lit(-1))
+            return F.struct(name.alias("name"), *[last[c].alias(c) for c in ("predicate_qname", "predicate_uri", "target", "rdf_object_kind")])
+
+        found = F.filter(F.transform(F.array_distinct(F.transform(rows, lambda e: e["container"])), told), lambda r: r["target"].isNotNull())
+        return self.once(found, lambda r: F.concat_ws("\u0000", F.coalesce(r["name"], F.lit("\u0001")), r["target"]))
+
+    def setting(self, name: str, leaf: str = "value") -> Column:
+        """Values below the first container of that name, each once."""
+        own = F.filter("rows", lambda e: e["holder"] == self.tag(f"hsterms:{name}"))
+        first = F.array_min(F.transform(own, lambda e: e["container"]))
+        values = F.transform(F.filter(own, lambda e: (e["container"] == first) & (e["tag"] == self.tag(f"hsterms:{leaf}")) & (e["depth"] > 0)), self.value)
+        return F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
+
+    def tool_config(self) -> Column:
+        first = lambda values: F.try_element_at(values, F.lit(1))
+        plain = lambda k, v: F.replace(v, F.lit("%0A"), F.lit("")) if k.startswith("request_url") else v
+        single = [plain(k, first(self.setting(n))).alias(k) for k, n in SETTINGS.items()]
+        single += [first(self.setting("ToolIcon")).alias("tool_icon_url"), first(self.setting("ToolIcon", "data_url")).alias("tool_icon_data_url")]
+        lists = [self.setting(n).alias(k) for k, n in LISTS.items()]
+        config = F.struct(*single, *lists)
+        names = [*SETTINGS, "tool_icon_url", "tool_icon_data_url"]
+        any_ = F.coalesce(*[none_if_empty(config[k]) for k in names]).isNotNull()
+        for k in LISTS:
+            any_ = any_ | (F.size(config[k]) > 0)
+        return F.when(F.endswith("kind", F.lit("}ToolResource")) & any_, config)
 
 
 def with_semantics(rows: DataFrame, key: str, text: str, terms: str = TERMS) -> DataFrame:
-    """key, semantics of a column of RDF/XML documents."""
-
-    def run(batches):
-        for batch in batches:
-            said = [json.dumps(semantics(x, terms), ensure_ascii=False) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["key", "json"])
-
+    """key, semantics of a column of RDF/XML documents: a missing one says nothing, a broken one its error."""
     kind = rows.schema[key].dataType.simpleString()
-    found = map_arrow(rows.select(key, text), run, f"key {kind}, json string")
-    return found.select(F.col("key").alias(key), F.from_json("json", SEMANTICS).alias("semantics"))
+    parsed = map_arrow(rows.select(key, text), _parsed(frozenset(f"{{{terms}}}{k}" for k in KINDS)), f"key {kind}, kind string, rows {_ROWS}, error string")
+    m = _Meaning(terms)
+    said = F.struct(
+        F.regexp_replace("kind", r"\A\{[^}]*\}", "").alias("resource_xml_type"),
+        m.typed_relations().alias("typed_relations"),
+        m.geospatial_relations().alias("geospatial_relations"),
+        m.tool_config().alias("tool_config"),
+        F.col("error").alias("error"),
+    )
+    return parsed.select(F.col("key").alias(key), said.alias("semantics"))

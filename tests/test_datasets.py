@@ -7,7 +7,7 @@ import pytest
 from graphloom.operators.documents import sections
 from graphloom.plans import datasets
 from graphloom.plans.extraction import extract
-from graphloom.sources.rdf import semantics
+from graphloom.sources.rdf import with_semantics
 
 A, B = "a" * 32, "b" * 32
 T = "https://terms.example.org/"
@@ -77,8 +77,28 @@ def test_graph_of_records(built):
     assert datasets.failures(records).count() == 2
 
 
-def test_semantics():
-    assert semantics(None)["typed_relations"] == [] and "error" in semantics("<x")
-    assert semantics(XML)["geospatial_relations"][0]["name"] == "Gage"
-    other = semantics(XML.replace(T, "https://other.org/"), "https://other.org/")
-    assert other["resource_xml_type"] == "ToolResource" and other["tool_config"]["tool_icon_data_url"].startswith("data:")
+def test_semantics(spark):
+    docs = {"none": None, "empty": "", "broken": "<x", "whole": XML, "other": XML.replace(T, "https://other.org/"), "bare": "<a xmlns:b='http://b.org/'><b:c/></a>"}
+    rows = spark.createDataFrame(list(docs.items()), "k string, xml string")
+    got = {r.k: r.semantics for r in with_semantics(rows, "k", "xml", T).collect()}
+    for k in ("none", "empty", "bare", "other"):
+        assert got[k].resource_xml_type is None and got[k].typed_relations == [] and got[k].geospatial_relations == [] and got[k].tool_config is None and got[k].error is None
+    assert "syntax" in got["broken"].error or "token" in got["broken"].error or got["broken"].error
+    assert got["whole"].geospatial_relations[0].name == "Gage" and got["whole"].geospatial_relations[0].rdf_object_kind == "uri_ref"
+    said = [(r.predicate_qname, r.predicate_uri, r.target, r.rdf_object_kind) for r in got["whole"].typed_relations]
+    assert said == [("dcterms:references", "http://purl.org/dc/terms/references", "See https://y.org/1). and https://y.org/1", "literal"), ("odd", "http://x.org/odd", f"http://s.org/resource/{B}", "uri_ref")]
+    config = got["whole"].tool_config
+    assert (config.app_home_page_url, config.request_url_base, config.supported_resource_types, config.tool_version) == ("https://app.org/x", "https://r.org/q", ["One", "Two"], None)
+    other = {r.k: r.semantics for r in with_semantics(rows, "k", "xml", "https://other.org/").collect()}["other"]
+    assert other.resource_xml_type == "ToolResource" and other.tool_config.tool_icon_data_url.startswith("data:")
+
+
+def test_elements_hold_their_place(spark):
+    """Only the first branch of a container counts, of a geospatial one the last name and relation; nested text is joined."""
+    ns = f'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:h="{T}"'
+    geo = '<h:geospatialRelation><rdf:Description><h:relation_name>A</h:relation_name><h:relation>one</h:relation><h:relation_name> B </h:relation_name><h:relation>two</h:relation></rdf:Description></h:geospatialRelation>'
+    xml = f"<rdf:RDF {ns}><rdf:Other/><h:CollectionResource><dc:relation><rdf:Description><dcterms:hasPart>a <b>c</b>\n\n\n\nd</dcterms:hasPart><dcterms:hasPart> </dcterms:hasPart></rdf:Description><rdf:Description><dcterms:hasPart>second</dcterms:hasPart></rdf:Description></dc:relation>{geo}{geo}<h:ToolVersion><rdf:Description><h:value>9</h:value></rdf:Description></h:ToolVersion></h:CollectionResource><h:ToolResource><dc:relation><rdf:Description><dcterms:hasPart>late</dcterms:hasPart></rdf:Description></dc:relation></h:ToolResource></rdf:RDF>"
+    got = with_semantics(spark.createDataFrame([(1, xml)], "k int, xml string"), "k", "xml", T).first().semantics
+    assert [(r.predicate_qname, r.target) for r in got.typed_relations] == [("dcterms:hasPart", "a c\n\nd")]
+    assert [(r.name, r.target) for r in got.geospatial_relations] == [("B", "two")]
+    assert got.resource_xml_type == "CollectionResource" and got.tool_config is None
