@@ -51,3 +51,17 @@ class SuffixAutomaton:
             seen.append(length[link[new]])
         self.words += len(seen)
         return seen
+
+    def statistics(self, words) -> list[int]:
+        """For each word of a sequence, how many words up to and with it stand somewhere in the text fed. Adds nothing."""
+        step, link, length = self.next, self.link, self.length
+        state, n, out = 0, 0, []
+        for word in words:
+            while state and word not in step[state]:
+                state = link[state]
+                n = length[state]
+            if word in step[state]:
+                state = step[state][word]
+                n += 1
+            out.append(n)
+        return out

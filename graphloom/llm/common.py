@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
-import shutil
-import tempfile
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import map_arrow, ship
+from ..session import checkpoint_dir, cut, map_arrow, ship, small_batches, stored
 
-__all__ = ["SPACE", "WORD", "checkpoint_dir", "cut", "map_arrow", "release", "remove_folder", "shared_folder", "ship", "slices", "table", "text_of"]
+__all__ = ["SPACE", "WORD", "checkpoint_dir", "cut", "map_arrow", "meet", "remove_folder", "shared_folder", "ship", "slices", "small_batches", "stored", "table", "text_of"]
 
 #: ASCII white space that separates words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -26,32 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    own = sc._jsc.sc().getCheckpointDir()
-    if named:
-        if not own.isDefined():
-            sc.setCheckpointDir(named)
-        return named
-    if not own.isDefined():
-        made = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        sc.setCheckpointDir(made)
-        return made
-    return own.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small table in the shared checkpoint folder and cut its lineage there.
-
-    With spark.cleaner.referenceTracking.cleanCheckpoints the files go when the table is no longer referenced.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name (not yet created) below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/graphloom-{label}-{uuid.uuid4().hex}"
@@ -68,6 +36,19 @@ def text_of(docs: DataFrame, column: str = "text"):
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def meet(table: DataFrame, side: DataFrame, same: Column, rows: str, most: int) -> DataFrame:
+    """table beside its row of side, which holds every key of table once and, in column rows, how many rows of table have it.
+
+    A side of up to most rows is broadcast. Of a larger one only the keys with the most rows are, fewer than most by
+    counting, and the others meet in a shuffle in which no key is hot. side should be materialised."""
+    if side.count() <= most:
+        return table.join(F.broadcast(side), same)
+    bound = max(side.agg(F.sum(rows)).first()[0] // max(most, 1), 1)
+    marked = table.join(F.broadcast(side.filter(F.col(rows) > bound).withColumn("_met", F.lit(True))), same, "left")
+    rest = marked.filter("_met is null").drop("_met", *side.columns)
+    return marked.filter("_met").drop("_met").unionByName(rest.join(side, same))
+
+
 def slices(lengths, limit: int):
     """(start, stop) runs of rows whose lengths add up to about limit; a longer row stands alone."""
     start, total = 0, 0
@@ -78,27 +59,3 @@ def slices(lengths, limit: int):
         total += n
     if start < len(lengths):
         yield start, len(lengths)
-
-
-def _shuffles_known(spark: SparkSession) -> int | None:
-    """How many shuffles the driver still keeps track of; None where it cannot be asked."""
-    try:
-        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
-    except Exception:
-        return None
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now instead of at the driver's next collections.
-
-    Events that still wait for a listener hold the plans they tell of, so the queues are emptied first. What one
-    collection frees makes more unreachable, and the cleaner works beside the caller, so it takes rounds.
-    """
-    with contextlib.suppress(Exception):  # an internal interface; without it files stay somewhat longer
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
-    for _ in range(8):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-        if _shuffles_known(spark) == 0:
-            break

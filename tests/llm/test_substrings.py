@@ -77,8 +77,66 @@ def test_repeated_rows_keep_their_text(spark, monkeypatch):
     want = sorted([*brute([(3, part), (9, LONG), (50, part)]), *brute([(9, LONG)]), *brute([(3, part)])], key=repr)
     docs = documents(spark, twice).repartition(2)
     assert got(substrings.deduplicated(docs, digest=True)) == want
-    monkeypatch.setattr(substrings, "MOST_BROADCAST", 0)
-    assert got(substrings.deduplicated(docs, digest=True)) == want
+    texts = {(r.doc_id, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.deduplicated(docs).collect()}
+    assert texts == {(r[0], r[3]) for r in want}
+
+
+def test_largest_and_least_ids(spark):
+    """The largest id stands before a null one and comes back as it is; so do zero and the least."""
+    part = " ".join(f"p{i}" for i in range(30))
+    ids = [2**63 - 1, None, 0, -(2**63), -1]
+    texts = [(i, f"{part} tail{k}") for k, i in enumerate(ids)]
+    rows = {r.doc_id: r.n_removed for r in substrings.deduplicated(documents(spark, texts), digest=True).collect()}
+    assert rows == {-(2**63): 0, -1: 30, 0: 30, 2**63 - 1: 30, None: 30}
+    only = [(2**63 - 1, part), (None, part)]
+    assert {r.doc_id: r.n_removed for r in substrings.deduplicated(documents(spark, only), digest=True).collect()} == {2**63 - 1: 0, None: 30}
+
+
+def test_most_hot_anchors(spark, monkeypatch):
+    """Where too many anchors are hot, only the hottest are split; the result stays."""
+    texts = passages()
+    monkeypatch.setattr(substrings, "HOT_ANCHOR", 1)
+    monkeypatch.setattr(substrings, "MOST_HOT", 3)
+    assert got(substrings.deduplicated(documents(spark, texts).repartition(5), digest=True)) == brute(texts)
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """Places must be joined with texts, and spans with texts: both by one shuffle of the texts."""
+    docs = documents(spark, [(i, f"{i} {LONG[: 400 * (i % 50)]}") for i in range(2000)])
+    docs.write.parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substrings.deduplicated(spark.read.parquet(str(tmp_path / "d")))
+        out.write.mode("overwrite").format("noop").save()
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 2000 and "ReusedExchange" in plan
+
+
+def test_broadcast_reference(spark):
+    """Spans of documents that stand in a bounded reference, whatever its shards; a larger reference is refused."""
+    texts = passages()
+    reference = [(i, t) for i, t in texts if i % 7 == 0] + [(900, None), (901, ""), (902, "short")]
+    held = {tuple(w[i : i + 20]) for _, t in reference for w in [(t or "").split()] for i in range(len(w) - 19)}
+    want = {}
+    for i, t in texts:
+        words = t.split()
+        gone = set()
+        for k in range(len(words) - 19):
+            if tuple(words[k : k + 20]) in held:
+                gone |= set(range(k, k + 20))
+        want[i] = gone
+    for shard_words in (30, 10_000):
+        got_ = {i: set() for i, _ in texts}
+        for r in substrings.matched(documents(spark, texts), documents(spark, reference), shard_words=shard_words).collect():
+            got_[r.doc_id] |= set(range(r.start, r.start + r.length))
+        assert got_ == want
+    import pytest
+
+    with pytest.raises(ValueError, match="broadcast at most"):
+        substrings.matched(documents(spark, texts), documents(spark, texts), most_words=10)
 
 
 @settings(max_examples=150, deadline=None)
