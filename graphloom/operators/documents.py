@@ -63,12 +63,14 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def distinct_texts(docs: DataFrame, key: list[str], text: str, name: str) -> DataFrame:
-    """One row a different text of each key (line ends and outer blanks aside): the first by lower-case name."""
+def distinct_texts(docs: DataFrame, key: list[str], text: str, name: str, copies: str | None = None) -> DataFrame:
+    """One row a different text of each key (line ends and outer blanks aside): the first by lower-case name. copies: name of
+    a column that tells how many rows have the text."""
     marked = docs.withColumn("_same", F.sha2(readme_key(F.col(text)), 256))
     rest = [c for c in docs.columns if c not in key]
-    picked = marked.groupBy(*key, "_same").agg(F.min_by(F.struct(*rest), F.struct(F.lower(name), F.col(name))).alias("_first"))
-    return picked.select(*key, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*docs.columns)
+    picked = marked.groupBy(*key, "_same").agg(F.min_by(F.struct(*rest), F.struct(F.lower(name), F.col(name))).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    more = [F.col("_copies").alias(copies)] if copies else []
+    return picked.select(*key, *[F.col(f"_first.{c}").alias(c) for c in rest], *more).select(*docs.columns, *([copies] if copies else []))
 
 
 def primary_text(docs: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -91,6 +93,7 @@ def normalise_chunks(chunks: DataFrame, caps: dict[str, int] | None = None, key:
     for kind, n in caps.items():
         most = F.when(F.col("chunk_type") == kind, n).otherwise(most)
     place = F.row_number().over(Window.partitionBy(key, "chunk_type").orderBy("ord"))
-    rows = rows.withColumn("place", place).filter(F.col("place") <= most)
+    # a number first, so that no task ranks more of a group than that
+    rows = rows.withColumn("place", place).filter(F.col("place") <= max(caps.values(), default=0)).filter(F.col("place") <= most)
     name = F.concat_ws("__", F.col(key).cast("string"), F.translate("chunk_type", " -", "__"), F.col("place").cast("string"))
     return rows.select(key, "chunk_type", "text", "supporting_quote", "section_hint", name.alias("chunk_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import cut
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -96,6 +97,21 @@ def difference(old: DataFrame, new: DataFrame, keys: list[str], by: list[str]) -
     return flags.groupBy(*by).agg(F.count_if((F.col("o") == 1) & (F.col("n") == 0)).alias("removed"), F.count_if((F.col("o") == 0) & (F.col("n") == 1)).alias("added"), F.count_if((F.col("o") == 1) & (F.col("n") == 1)).alias("kept"))
 
 
+def placed(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df with place: the number of each row within its group (all rows without by), in order.
+
+    Rows are dealt to ranges of group and order; those of a range are numbered where they lie, after the rows that the
+    ranges before it have of the group. So no task sees a whole group, however large."""
+    names = [f"_order{k}" for k in range(len(order))]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)])
+    dealt = cut(keyed.repartitionByRange(*by, *names).withColumn("_range", F.spark_partition_id()))
+    ahead = F.coalesce(F.sum("_rows").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows")).select(F.struct(*by, "_range").alias("_own"), ahead.alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*names))
+    numbered = dealt.withColumn("_inside", inside).join(starts, F.struct(*by, "_range").eqNullSafe(F.col("_own")))
+    return numbered.select(*df.columns, (F.col("_ahead") + F.col("_inside")).alias("place"))
+
+
 def top_in_order(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group by order, with their place."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .patterns import SUB_PROPERTIES, class_closure, reachable
+from .patterns import SUB_PROPERTIES, class_closure, transitive
 from .registry import query
-from .research import CLASSES, PARENTS, RELATIONS, class_rows, edges, graph, relation_sql
+from .research import CLASSES, PARENTS, RELATIONS, class_of, class_rows, edges, graph, relation_sql
 from .star import read
 
 
@@ -47,7 +47,7 @@ def e03(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cq_e04", relation_sql("studiesFeature", "usesDataset") + "SELECT DISTINCT s.target AS w, d.target AS d FROM studiesFeature s JOIN usesDataset d ON d.source = s.source WHERE s.target LIKE 'watershed:%'")
 def e04(spark: SparkSession, sf: str) -> DataFrame:
-    return graph(spark, sf, True).match("p studiesFeature w", "p usesDataset d", classes={"w": "Watershed"}).select("w", "d").distinct()
+    return graph(spark, sf).match("p studiesFeature w", "p usesDataset d", classes={"w": "Watershed"}).select("w", "d").distinct()
 
 
 def _curated(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +116,7 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cq_e11", relation_sql("studiesFeature", "mentionsVariable") + "SELECT s.target AS reach, v.target AS v, count(*) AS papers FROM studiesFeature s JOIN mentionsVariable v ON v.source = s.source WHERE s.target LIKE 'reach:%' GROUP BY 1, 2")
 def e11(spark: SparkSession, sf: str) -> DataFrame:
-    return _count(graph(spark, sf, True).match("p studiesFeature reach", "p mentionsVariable v", classes={"reach": "RiverReach"}), "reach", "v", papers=_n())
+    return _count(graph(spark, sf).match("p studiesFeature reach", "p mentionsVariable v", classes={"reach": "RiverReach"}), "reach", "v", papers=_n())
 
 
 @query("cq_e12", relation_sql("generatedBy") + "SELECT source AS d, target AS r, attribute AS said FROM generatedBy WHERE attribute IS NOT NULL")
@@ -149,8 +149,8 @@ def e14(spark: SparkSession, sf: str) -> DataFrame:
     """All that belongs to a product: its components at any depth, their code, pages, datasets and papers."""
     g = graph(spark, sf)
     components = g.relation("hasComponent")
-    start = components.select(F.col("source").alias("id"))
-    parts = reachable(start, components).select(F.col("id").alias("start"), F.col("reached").alias("t"))
+    own = components.select(F.col("source").alias("start"), F.col("source").alias("t"))
+    parts = transitive(components).select(F.col("source").alias("start"), F.col("target").alias("t")).unionByName(own.distinct()).distinct()
     pages = g.match("t documentedBy page")
     said = lambda kind, df, c: parts.join(df, "t").select("start", F.lit(kind).alias("kind"), F.col(c).alias("found"))
     return (
@@ -220,9 +220,8 @@ def e22(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cq_e23", relation_sql("appliesTo", "usesAlgorithm") + "SELECT a.source AS m, a.target AS model, CASE WHEN a.target LIKE 'mlmodel:%' THEN 'MLModel' ELSE 'ComputationalModel' END AS kind, u.target AS a FROM appliesTo a LEFT JOIN usesAlgorithm u ON u.source = a.source")
 def e23(spark: SparkSession, sf: str) -> DataFrame:
-    g = graph(spark, sf, True)
-    found = g.match("m appliesTo model", "m usesAlgorithm a?")
-    return found.join(g.members("ComputationalModel").select(F.col("id").alias("model"), F.col("class").alias("kind")), "model").select("m", "model", "kind", "a")
+    found = graph(spark, sf).match("m appliesTo model", "m usesAlgorithm a?", classes={"model": "ComputationalModel"})
+    return found.select("m", "model", class_of(F.col("model")).alias("kind"), "a")
 
 
 @query("cq_e24", relation_sql("evaluates", "reportsMetric") + "SELECT e.target AS model, r.target AS metric, r.source AS x, r.attribute AS value FROM evaluates e JOIN reportsMetric r ON r.target = e.source")
@@ -235,9 +234,9 @@ def e24(spark: SparkSession, sf: str) -> DataFrame:
 @query("cq_e25", relation_sql("hasParameter") + "SELECT source AS x, count(*) AS parameters FROM hasParameter WHERE attribute = 'calibrated' GROUP BY source")
 def e25(spark: SparkSession, sf: str) -> DataFrame:
     """Calibrated parameters of models of any kind."""
-    g = graph(spark, sf, True)
+    g = graph(spark, sf)
     rows = g.relation("hasParameter", "attribute").filter("attribute = 'calibrated'")
-    return _count(rows.join(g.members("ComputationalModel").select(F.col("id").alias("source")), "source", "left_semi"), F.col("source").alias("x"), parameters=_n())
+    return _count(g.of_class(rows, "source", "ComputationalModel"), F.col("source").alias("x"), parameters=_n())
 
 
 @query("cq_e26", relation_sql("archivedAs") + ", stubs AS (SELECT DISTINCT 'doi:10.1/' || (l_suppkey * 2) AS doi FROM lineitem) SELECT s.doi, a.source AS r FROM stubs s JOIN archivedAs a ON a.target = s.doi")
@@ -269,8 +268,9 @@ def place_closure(spark: SparkSession, sf: str) -> DataFrame:
     from . import star
 
     edges = star.edges(spark, sf).filter("relation = 'partOf' OR (relation = 'locatedIn' AND source LIKE 'customer:%')")
-    pairs = reachable(edges.select(F.col("source").alias("id")), edges)
-    return _count(pairs, "reached", places=_n())
+    own = edges.select(F.col("source"), F.col("source").alias("target")).distinct()
+    pairs = transitive(edges).unionByName(own).distinct()
+    return _count(pairs, F.col("target").alias("reached"), places=_n())
 
 
 @query(
@@ -303,7 +303,7 @@ def conformance(spark: SparkSession, sf: str) -> DataFrame:
     """Edges whose ends are of no class that the relation allows, subclasses included."""
     from .ontology import violations
 
-    g = graph(spark, sf, True)
+    g = graph(spark, sf, *_DOMAINS)
     allowed = spark.createDataFrame([(r, side, k) for r, (a, b) in _DOMAINS.items() for side, k in (("domain", a), ("range", b))], "relation string, side string, class string")
     return _count(violations(g.nodes, edges(spark, sf, tuple(_DOMAINS)), allowed, g.closure), "relation", "side", "found", n=_n())
 

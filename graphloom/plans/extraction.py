@@ -237,12 +237,18 @@ def dataset_target(explicit: Column, target: Column, urls: Column) -> Column:
     return F.coalesce(none_if_empty(explicit), ids.resource_id(target), in_urls)
 
 
-def reference_target(predicate: Column, explicit: Column, target: Column, urls: Column) -> Column:
-    """Struct kind, id of what a reference means; both null if it cannot be told. Only the first address counts."""
-    dataset = dataset_target(explicit, target, urls)
+def reference_parts(explicit: Column, target: Column, urls: Column) -> Column:
+    """Struct dataset, said, first_url, doi: what of a reference is sought by patterns. To be a column of its own, so that each
+    pattern is sought once and not in every branch of reference_target."""
     said = F.coalesce(strip(target), F.lit(""))
     first = F.try_element_at(ids.embedded_urls(target, urls), F.lit(1))
-    doi = F.coalesce(ids.doi(said), ids.doi(first))
+    return F.struct(dataset_target(explicit, target, urls).alias("dataset"), said.alias("said"), first.alias("first_url"), F.coalesce(ids.doi(said), ids.doi(first)).alias("doi"))
+
+
+def reference_target(predicate: Column, parts: Column) -> Column:
+    """Struct kind, id of what a reference means; both null if it cannot be told. Only the first address counts. parts: see
+    reference_parts."""
+    dataset, said, first, doi = (parts[c] for c in ("dataset", "said", "first_url", "doi"))
     place = _cat(ids.authority(first), "/", F.regexp_replace(ids.url_path(first), r"\A/+|/+\z", ""))
     rules = [
         ("dataset", dataset.isNotNull(), _cat("dataset:", dataset)),
@@ -251,11 +257,11 @@ def reference_target(predicate: Column, explicit: Column, target: Column, urls:
         ("external_dataset", first.isNotNull(), _cat("dataset:url:", short_hash(first, 20))),
         ("citation", (predicate == "hsterms:isDescribedBy") & (said != ""), _cat("paper:citation:", short_hash(said, 20))),
     ]
-    kind = key = None
+    found = None
     for name, rule, value in rules:
-        kind = F.when(rule, name) if kind is None else kind.when(rule, name)
-        key = F.when(rule, value) if key is None else key.when(rule, value)
-    return F.struct(kind.alias("kind"), key.alias("id"), first.alias("first_url"), doi.alias("doi"), said.alias("said"))
+        told = F.struct(F.lit(name).alias("kind"), value.alias("id"))
+        found = F.when(rule, told) if found is None else found.when(rule, told)
+    return found
 
 
 #: phase, relation, inventory id, fields in order, predicates
@@ -300,11 +306,11 @@ def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str])
     tool_target = F.coalesce(none_if_empty(F.col("explicit")), ids.resource_id(F.col("target")))
     entries = entries.withColumn("wanted", F.when(F.col("relation") == "isExecutedBy", tool_target).otherwise(dataset))
     corpus = records.select(F.col("resource_id").alias("known_id"), F.col("resource_type").alias("known_type"), F.col("title").alias("known_title"), F.coalesce("tool_config.app_home_page_url", F.lit("")).alias("known_launch"))
-    found = reference_target(F.col("predicate"), F.col("explicit"), F.col("target"), F.col("urls"))
-    entries = entries.withColumn("found", found).withColumn("first", F.col("found.first_url")).withColumn("host", ids.authority(F.col("first"))).withColumn("repo_path", F.regexp_replace(ids.url_path(F.col("first")), r"\A/+|/+\z", ""))
+    entries = entries.withColumn("parts", reference_parts(F.col("explicit"), F.col("target"), F.col("urls")))
+    entries = entries.withColumn("found", reference_target(F.col("predicate"), F.col("parts"))).withColumn("first", F.col("parts.first_url")).withColumn("host", ids.authority(F.col("first"))).withColumn("repo_path", F.regexp_replace(ids.url_path(F.col("first")), r"\A/+|/+\z", ""))
     # an entry without a target is shown whole
     whole = _spaced([("predicate_qname", json_text(F.col("predicate"))), ("target", json_text(F.col("target"))), ("target_resource_id", json_text(F.col("explicit"))), ("embedded_urls", F.to_json("urls"))])
-    entries = entries.withColumn("shown", F.coalesce(none_if_empty(F.col("found.said")), whole))
+    entries = entries.withColumn("shown", F.coalesce(none_if_empty(F.col("parts.said")), whole))
     rows = entries.join(corpus, F.col("wanted") == F.col("known_id"), "left")
     refers, executes, kind, wanted, first = F.col("relation") == "references", F.col("relation") == "isExecutedBy", F.col("found.kind"), F.col("wanted"), F.col("first")
     case = (
@@ -316,7 +322,7 @@ def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str])
     )
     rows = rows.withColumn("case", case)
     choose = lambda **cs: F.coalesce(*[F.when(F.col("case") == k, v) for k, v in cs.items()])
-    launch, title, shown, host, said_doi = F.col("known_launch"), F.col("known_title"), F.col("shown"), F.col("host"), F.col("found.doi")
+    launch, title, shown, host, said_doi = F.col("known_launch"), F.col("known_title"), F.col("shown"), F.col("host"), F.col("parts.doi")
     own = F.col("case") == "own_tool"
     key = choose(
         own_tool=ids.tool_key(launch, title),

@@ -63,11 +63,8 @@ def edge_ids(spark: SparkSession, sf: str) -> DataFrame:
     FROM lineitem GROUP BY l_orderkey, l_partkey""",
 )
 def edge_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read(spark, sf, "lineitem").select(star.node_key("Order", F.col("l_orderkey")).alias("source"), star.node_key("Part", F.col("l_partkey")).alias("target"), F.col("l_linenumber").cast("bigint").alias("ord"))
-    mentions = lines.select(graph.edge_id(F.col("source"), F.lit("contains"), F.col("target"), F.lit("R-contains")).alias("id"), "*")
-    first = graph.dedup_edges(mentions)
-    times = mentions.groupBy("id").agg(F.count(F.lit(1)).alias("mentions"))
-    return first.join(times, "id").select("source", "target", F.col("ord").alias("first_line"), "mentions")
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").cast("bigint").alias("first_line"), F.count(F.lit(1)).alias("mentions"))
+    return lines.select(star.node_key("Order", F.col("l_orderkey")).alias("source"), star.node_key("Part", F.col("l_partkey")).alias("target"), "first_line", "mentions")
 
 
 def _part_mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,8 +117,8 @@ def curation_upgrade(spark: SparkSession, sf: str) -> DataFrame:
 )
 def validate_dangling(spark: SparkSession, sf: str) -> DataFrame:
     nodes = star.nodes(spark, sf).filter("class <> 'Part' OR CAST(attributes['size'] AS INT) <= 45")
-    edges = star.edges(spark, sf).withColumn("id", F.to_json(F.struct("relation", "source", "target")))
-    loose = graph.dangling(nodes, edges).withColumn("relation", F.get_json_object("edge", "$.relation"))
+    edges = star.edges(spark, sf).withColumn("id", F.col("relation"))  # all that is asked of an edge here
+    loose = graph.dangling(nodes, edges).withColumnRenamed("edge", "relation")
     return loose.groupBy("relation", "side").agg(F.count(F.lit(1)).alias("loose_ends"), F.countDistinct("missing").alias("missing_nodes"))
 
 
@@ -133,11 +130,29 @@ def validate_duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
     return graph.duplicate_ids(read(spark, sf, "lineitem").select(star.node_key("Order", F.col("l_orderkey")).alias("id")))
 
 
-@query("graph_violations", f"{GRAPH_SQL} SELECT 'loose end' AS issue, 0::BIGINT AS n FROM nodes WHERE 1 = 0 GROUP BY 1")
-def no_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """The star graph breaks no rule: an empty result."""
-    found = graph.violations(star.nodes(spark, sf), star.edges(spark, sf, with_id=True))
-    return found.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+@query(
+    "graph_violations",
+    f"""{GRAPH_SQL}, lost AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_size > 45 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0),
+    ends AS (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges)
+    SELECT 'node without id' AS issue, count(*) AS n FROM supplier WHERE s_suppkey % 10 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'repeated node id', count(*) + (SELECT (count(*) > 1)::INT FROM supplier WHERE s_suppkey % 10 = 0) FROM nation WHERE n_nationkey % 5 = 0
+    UNION ALL SELECT 'node without class', count(*) FROM region
+    UNION ALL SELECT 'edge without id', 2 * count(*) FROM nation WHERE n_nationkey = 3
+    UNION ALL SELECT 'repeated edge id', count(*) FROM nation
+    UNION ALL SELECT 'edge without relation', 2 * count(*) FROM nation WHERE n_nationkey < 3
+    UNION ALL SELECT 'loose end', count(*) FROM ends WHERE id IN (SELECT id FROM lost)""",
+)
+def violations(spark: SparkSession, sf: str) -> DataFrame:
+    """The star graph, broken in every way that a graph can be."""
+    lost, part_of = F.col("id").rlike("\\Asupplier:[0-9]*0\\z"), F.col("relation") == "partOf"
+    nodes = star.nodes(spark, sf).select("id", "class", "attributes").filter("class <> 'Part' OR CAST(attributes['size'] AS INT) <= 45")
+    nodes = nodes.select(F.when(lost, "").otherwise(F.col("id")).alias("id"), F.when(F.col("class") == "Region", "").otherwise(F.col("class")).alias("class"))
+    nodes = nodes.union(read(spark, sf, "nation").filter("n_nationkey % 5 = 0").select(star.node_key("Nation", F.col("n_nationkey")), F.lit("Nation")))
+    edges = star.edges(spark, sf, with_id=True)
+    few = lambda *keys: F.col("source").isin([f"nation:{k}" for k in keys])
+    edges = edges.select(F.when(part_of & few(3), "").otherwise(F.col("id")).alias("id"), F.when(part_of & few(0, 1, 2), "").otherwise(F.col("relation")).alias("relation"), "source", "target")
+    edges = edges.union(edges.filter(F.startswith("source", F.lit("nation:"))))
+    return graph.violations(nodes, edges).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("metric_incident", f"{INCIDENCE_SQL} SELECT class, CAST(sum(incident) AS BIGINT) AS incident_total, max(incident) AS most, count(*) FILTER (WHERE incident = 0) AS isolated FROM every GROUP BY class")
@@ -193,9 +208,12 @@ def consolidation(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.consolidation(_counted_parts(spark, sf))
 
 
-@query("metric_explicit_counts", "SELECT count(*) > 0 AS explicit_counts FROM lineitem")
+@query("metric_explicit_counts", "SELECT 'counted' AS nodes, count(*) > 0 AS explicit_counts FROM part JOIN lineitem ON p_partkey = l_partkey UNION ALL SELECT 'plain', false")
 def explicit_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.has_mention_counts(_counted_parts(spark, sf))
+    counted = _counted_parts(spark, sf)
+    plain = counted.withColumn("attributes", F.map_filter("attributes", lambda k, _: k != "mentionCount"))
+    found = lambda name, nodes: metrics.has_mention_counts(nodes).select(F.lit(name).alias("nodes"), "explicit_counts")
+    return found("counted", counted).unionByName(found("plain", plain))
 
 
 @query(

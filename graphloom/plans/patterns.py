@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Axioms of the schema.
 INVERSES = {"hasMember": "isMemberOf", "isExecutedBy": "executes", "hasSubPage": "isPartOf", "documentedBy": "describes"}
 SUB_PROPERTIES = {"describesTool": "describes", "describesModel": "describes"}
@@ -67,6 +69,10 @@ class TypedGraph:
             return self.nodes.filter(F.col("class") == kind)
         return self.nodes.join(F.broadcast(kinds), "class", "left_semi")  # classes of the schema: tens of rows
 
+    def of_class(self, step: DataFrame, variable: str, kind: str) -> DataFrame:
+        """Rows of a step whose variable is a node of a class or of one of its subclasses."""
+        return step.join(self.members(kind).select(F.col("id").alias(variable)), variable, "left_semi")
+
     def match(self, *patterns: str, classes: dict[str, str] | None = None) -> DataFrame:
         """Bindings of the variables of patterns 'a relation b'; 'a relation b?' need not hold. One row a binding."""
         out, bound = None, set()
@@ -75,7 +81,7 @@ class TypedGraph:
             step = self.relation(relation).select(F.col("source").alias(a), F.col("target").alias(b))
             for v in (a, b):
                 if classes and v in classes and v not in bound:
-                    step = step.join(self.members(classes[v]).select(F.col("id").alias(v)), v, "left_semi")
+                    step = self.of_class(step, v, classes[v])
             if out is None:
                 out = step
             else:
@@ -96,18 +102,30 @@ def class_closure(spark: SparkSession, parents: DataFrame) -> DataFrame:
     )
 
 
-def reachable(start: DataFrame, edges: DataFrame, most_steps: int = 64) -> DataFrame:
+def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
     """id, reached: everything that a path of edges (source, target) leads to, the start itself included.
 
-    The frontier holds only pairs not seen before, so cycles end. Each step is cut off by a checkpoint."""
-    from ..session import cut
-
-    seen = cut(start.select(F.col("id"), F.col("id").alias("reached")).distinct())
-    frontier = seen
-    for _ in range(most_steps):
-        step = frontier.join(edges.select(F.col("source").alias("reached"), F.col("target").alias("next")), "reached").select("id", F.col("next").alias("reached")).distinct()
-        frontier = cut(step.join(seen, ["id", "reached"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError(f"paths are longer than {most_steps} steps")
+    For few starts: one step a round. Each round's new pairs are a table of their own, cut off by a checkpoint; pairs seen
+    before are not written again, and not followed again, so cycles end."""
+    step = edges.select(F.col("source").alias("reached"), F.col("target").alias("next"))
+    frontier = cut(start.select(F.col("id"), F.col("id").alias("reached")).distinct())
+    seen = frontier
+    while not frontier.isEmpty():
+        further = frontier.join(step, "reached").select("id", F.col("next").alias("reached")).distinct()
+        frontier = cut(further.join(seen, ["id", "reached"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def transitive(edges: DataFrame) -> DataFrame:
+    """source, target of all paths of one edge or more, for every start at once. Each round joins the paths found last with all
+    paths so far, so paths of length n take about log2(n) rounds; cycles end since no pair is new."""
+    paths = cut(edges.select("source", "target").distinct())
+    new = paths
+    while not new.isEmpty():
+        ahead = paths.select(F.col("source").alias("target"), F.col("target").alias("end"))
+        behind = paths.select(F.col("source").alias("begin"), F.col("target").alias("source"))
+        joined = new.join(ahead, "target").select("source", F.col("end").alias("target")).unionByName(behind.join(new, "source").select(F.col("begin").alias("source"), "target"))
+        new = cut(joined.distinct().join(paths, ["source", "target"], "left_anti"))
+        paths = paths.unionByName(new)
+    return paths

@@ -9,7 +9,7 @@ from ..functions.text import json_object
 from ..functions.values import json_text
 from ..operators import documents, records
 from ..streaming.resume import pending
-from .extraction import reference_target
+from .extraction import reference_parts, reference_target
 from .registry import query
 from .star import read
 
@@ -111,8 +111,9 @@ def resolve_reference_cascade(spark: SparkSession, sf: str) -> DataFrame:
     )
     urls = F.when(k == 2, F.array(cat("https://doi.org/10.5555/q", c), F.lit("https://github.com/other"))).otherwise(F.array().cast("array<string>"))
     predicate = F.when(k == 5, "hsterms:isDescribedBy").otherwise("dcterms:references")
-    found = reference_target(predicate, F.lit(None).cast("string"), target, urls)
-    return read(spark, sf, "orders").select("o_orderkey", found["kind"].alias("kind"), found["id"].alias("target"))
+    parts = read(spark, sf, "orders").select("o_orderkey", predicate.alias("predicate"), reference_parts(F.lit(None).cast("string"), target, urls).alias("parts"))
+    found = reference_target(F.col("predicate"), F.col("parts"))
+    return parts.select("o_orderkey", found["kind"].alias("kind"), found["id"].alias("target"))
 
 
 @query(
@@ -138,11 +139,7 @@ def merge_relations(spark: SparkSession, sf: str) -> DataFrame:
 )
 def readme_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("source", F.concat(F.lower("lang"), F.lit("-"), _key("doc_id"), F.lit(".md")).alias("name"), "text")
-    from ..functions.text import readme_key
-
-    kept = documents.distinct_texts(docs, ["source"], "text", "name")
-    copies = docs.groupBy("source", F.sha2(readme_key(F.col("text")), 256).alias("same")).agg(F.count(F.lit(1)).alias("copies"))
-    return kept.withColumn("same", F.sha2(readme_key(F.col("text")), 256)).join(copies, ["source", "same"]).select("source", "name", "copies")
+    return documents.distinct_texts(docs, ["source"], "text", "name", copies="copies").select("source", "name", "copies")
 
 
 @query(
@@ -211,9 +208,7 @@ def contributors_topk(spark: SparkSession, sf: str) -> DataFrame:
 def contributors_sorted(spark: SparkSession, sf: str) -> DataFrame:
     user = F.col("user_id")
     people = read(spark, sf, "events").select((user % 20).alias("repo"), F.when(user % 7 != 0, user).alias("id"), F.concat(F.lit("u"), user.cast("string")).alias("login"), (F.col("event_type") == "click").alias("is_bot")).distinct()
-    # the list of a repository, in its order
-    listed = people.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("zero"), "login", "is_bot", "id"))).alias("all"))
-    return listed.select("repo", F.posexplode("all").alias("at", "c")).select("repo", "c.id", "c.login", "c.is_bot", (F.col("at") + 1).cast("bigint").alias("place"))
+    return records.placed(people, ["repo"], [F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("login"), F.col("is_bot")])
 
 
 @query("resume_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -254,5 +249,4 @@ def numeric_first_order(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.files import numeric_first
 
     ids = read(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise((F.col("n_nationkey") * 7 % 23).cast("string")).alias("id"))
-    listed = ids.agg(F.array_sort(F.collect_list(numeric_first(F.col("id")))).alias("all"))
-    return listed.select(F.posexplode("all").alias("at", "s")).select((F.col("at") + 1).cast("bigint").alias("place"), "s.id")
+    return records.placed(ids, [], [numeric_first(F.col("id"))]).select("place", "id")

@@ -61,7 +61,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, relation, inventory_id, source, target, ord; lines that state the same edge again are mentions of it."""
+    """relation, inventory_id, source, target, ord; lines that state the same edge again are mentions of it."""
     out = None
     for relation, table, source, source_key, target, target_key in RELATIONS:
         df = read(spark, sf_dir, table)
@@ -73,11 +73,14 @@ def edge_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_linenumber") if table == "lineitem" else F.lit(0)).cast("bigint").alias("ord"),
         )
         out = part if out is None else out.unionByName(part)
-    return out.select(edge_id(F.col("source"), F.col("relation"), F.col("target"), F.col("inventory_id")).alias("id"), "*")
+    return out
 
 
 def edges(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
     """Distinct edges. The id is a hash of the other columns; without it they are compared themselves."""
-    if with_id:
-        return dedup_edges(edge_mentions(spark, sf_dir))
-    return edge_mentions(spark, sf_dir).select("relation", "source", "target").distinct()
+    mentions = edge_mentions(spark, sf_dir)
+    if not with_id:
+        return mentions.select("relation", "source", "target").distinct()
+    # the natural key first, so that an edge is hashed once
+    first = mentions.groupBy("relation", "inventory_id", "source", "target").agg(F.min("ord").alias("ord"))
+    return first.select(edge_id(F.col("source"), F.col("relation"), F.col("target"), F.col("inventory_id")).alias("id"), "*")

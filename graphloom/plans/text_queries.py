@@ -235,32 +235,35 @@ def manifest_type(spark: SparkSession, sf: str) -> DataFrame:
     return _samples(spark, sf).select("p_partkey", paths.manifest_type(F.col("path")).alias("kind"))
 
 
-def _sql_list(xs) -> str:
-    return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+#: Paths with a number put in, and what each is kept for; told one by one, not derived.
+KEPT_FOR = {
+    "README.md": "allowed_exact_filename", "p%d/license.txt": "allowed_exact_filename", "p%d/pyproject.toml": "allowed_exact_filename", "CITATION.cff": "allowed_exact_filename", "My-Demos %d/readme.rst": "allowed_exact_filename", "a%d/Pipfile.lock": "allowed_exact_filename", "SECURITY.md": "allowed_exact_filename", "vendor/p%d/license.txt": "allowed_exact_filename",
+    "docs/guide%d.md": "allowed_path_prefix", "docs/p%d.py": "allowed_path_prefix", "notebooks/n%d.ipynb": "allowed_path_prefix", "docs/p%d.rst": "allowed_path_prefix", "./docs/rel%d.md": "allowed_path_prefix", "workshop/intro%d.toml": "allowed_path_prefix", "Examples/e%d.YAML": "allowed_path_prefix", "documentation/api_%d/x.md": "allowed_path_prefix",
+    "labs/week_%d/03-exercise/task.txt": "allowed_semantic_folder", "x%d/01.tutorial/run.ipynb": "allowed_semantic_folder", "training/plan%d.md": "allowed_semantic_folder", "My-Demos %d/use.md": "allowed_semantic_folder", "src/lesson_%d/a.cff": "allowed_semantic_folder", "2 - workflows/w%d.rst": "allowed_semantic_folder",
+    "notes%d.markdown": "allowed_top_level_doc", "top%d.cff": "allowed_top_level_doc", "p%d.RST": "allowed_top_level_doc", "top%d.ipynb": "allowed_top_level_notebook",
+    "build/p%d.md": None, ".github/w%d.yml": None, "docs/tmp_%d.md": None, "docs/reference/p%d.rst": None, "repo.p%d.rst": None, "x/vendor/p%d/license.txt": None, "src/p%d.py": None, "data/p%d.csv": None, "scripts/run%d.sh": None, "data%d/.ipynb_checkpoints/x.ipynb": None, "a/b%d.md": None, "deep/checkpoint%d.md": None,
+    "laboratory/p%d.md": None, "docs/p%d.csv": None, "site/docs/p%d.md": None, "examples/backup%d.md": None, "p%d.toml": None, "labs/p%d.py": None,
+}
+_REASON_SQL = f"""WITH t AS (SELECT unnest({list(KEPT_FOR)!r}) AS template, unnest([{', '.join('NULL' if v is None else repr(v) for v in KEPT_FOR.values())}]) AS reason, unnest(range({len(KEPT_FOR)})) AS place),
+q AS (SELECT p_partkey, replace(template, '%d', p_partkey::VARCHAR) AS path, reason FROM part JOIN t ON p_partkey % {len(KEPT_FOR)} = place)"""
 
 
-_REASON_SQL = rf"""{_SAMPLE_SQL}, r AS (SELECT *, regexp_replace(low, '^\./', '') AS rel FROM x),
-w AS (SELECT *, len(list_filter(string_split(rel, '/')[1:-2], lambda f: list_has_any(string_split(trim(regexp_replace(regexp_replace(f, '^[0-9]+[._ -]*', ''), '[._ -]+', ' ', 'g')), ' '),
-  [{', '.join(f"'{v}'" for v in paths.FOLDER_WORDS)}]))) > 0 AS telling FROM r),
-q AS (SELECT p_partkey, path, CASE WHEN regexp_matches(rel, '^({'|'.join(f.replace('.', chr(92) + '.') for f in paths.SKIPPED_FOLDERS)})') OR contains(rel, '/.ipynb_checkpoints/') THEN NULL
-  WHEN regexp_matches(name, '{'|'.join(paths.EXCLUDED_NAME_PARTS)}') THEN NULL WHEN ext = '.rst' AND regexp_matches(rel, '/api/|/reference/|/generated/|_build/') THEN NULL WHEN ext = '.rst' AND starts_with(name, 'repo.') THEN NULL
-  WHEN name = 'license.txt' AND regexp_matches(rel, '_build/|/vendor/|/vendors/|/third_party/|/third-party/|/site-packages/|/dist/|/build/') THEN NULL
-  WHEN name IN {_sql_list(paths.ALLOWED_NAMES)} THEN 'allowed_exact_filename'
-  WHEN regexp_matches(rel, '^({'|'.join(paths.ALLOWED_FOLDERS)})') AND ext IN {_sql_list(paths.ALLOWED_FORMATS)} THEN 'allowed_path_prefix'
-  WHEN telling AND ext IN {_sql_list(paths.FOLDER_FORMATS)} THEN 'allowed_semantic_folder'
-  WHEN NOT contains(rel, '/') AND ext IN ('.md', '.markdown', '.rst', '.cff') THEN 'allowed_top_level_doc' WHEN NOT contains(rel, '/') AND ext = '.ipynb' THEN 'allowed_top_level_notebook' END AS reason FROM w)"""
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    template = F.element_at(F.array(*[F.lit(t) for t in KEPT_FOR]), (F.col("p_partkey") % len(KEPT_FOR) + 1).cast("int"))
+    path = F.replace(template, F.lit("%d"), F.col("p_partkey").cast("string"))
+    return read(spark, sf, "part").select("p_partkey", path.alias("path")).withColumn("reason", paths.selection_reason(F.col("path"), F.lit("Repo")))
 
 
 @query("file_selection_reason", f"{_REASON_SQL} SELECT p_partkey, path, reason FROM q")
 def file_selection_reason(spark: SparkSession, sf: str) -> DataFrame:
-    return _samples(spark, sf).select("p_partkey", "path", paths.selection_reason(F.col("path"), F.lit("Repo")).alias("reason"))
+    return _kept(spark, sf)
 
 
 @query("selection_histogram", f"{_REASON_SQL} SELECT coalesce(reason, 'None') AS reason, count(*) AS n FROM q GROUP BY 1")
 def selection_histogram(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.records import histogram
 
-    return histogram(_samples(spark, sf).select(paths.selection_reason(F.col("path"), F.lit("Repo")).alias("reason")), "reason")
+    return histogram(_kept(spark, sf), "reason")
 
 
 @query(
