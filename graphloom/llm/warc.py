@@ -1,7 +1,7 @@
 """WARC archives written and read as a chunked record table.
 
-Payloads travel as rows of record identifier and chunk number, so no step holds a whole record but the scan of the table it
-comes from. The writer turns a stream of chunk rows into gzip members, one a record, in archives of bounded size; the reader
+Payloads travel as rows of record identifier and chunk number, cut where the table is scanned, so no later step holds a whole
+record, and no shuffle moves one. The writer turns a stream of chunk rows into gzip members, one a record, in archives of bounded size; the reader
 streams archives back into chunk rows that carry the digest of the payload so far, and checks it at the last chunk.
 
 Records whose payloads are equal and of some size are written once: the one with the largest page_id as a response, the others
@@ -12,7 +12,8 @@ its own files, and only files listed by the attempt that succeeded are read: a l
 
 Defined results: null html is an empty payload; a null url becomes about:blank; a null page_id is written without one, and never
 is what revisits refer to unless no other id is there: then all are responses; rows that share the largest page_id of a group
-are all responses; an empty table gives no archive and an empty result.
+are all responses; very long payloads are written and read chunk by chunk; other columns are not read; an empty table gives no
+archive and an empty result.
 """
 
 from __future__ import annotations
@@ -33,28 +34,50 @@ CHUNK = 1 << 16
 #: Rows that go to Python at a time hold this much at most: CHUNK times the batch size must stay small.
 ARCHIVE_BYTES = 32 << 20
 LEAST_REVISIT = 1000
+#: Payloads that several records share (40 bytes each) that are broadcast at most.
+MOST_BROADCAST = 500_000
+#: Bytes of archives that a task reads, about.
+READ_BYTES = 256 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 CHUNK_SCHEMA = "page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, chunk int, last boolean, data binary, digest string"
 
 
-def chunk_table(pages: DataFrame, chunk: int = CHUNK, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, sha1, chunk, chunks, data: chunks of a record stand together."""
+def _groups(rows: DataFrame, least_revisit: int) -> DataFrame:
+    """group_key, keep: payloads that several records share, and the largest page_id of them. Only keys and ids are
+    shuffled, and those of one payload are compared where they lie first."""
+    large = rows.filter(F.col("payload_bytes") >= least_revisit)
+    groups = large.groupBy("key").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    return groups.filter("n > 1 AND keep IS NOT NULL").select(F.col("key").alias("group_key"), "keep")
+
+
+def chunk_table(pages: DataFrame, chunk: int = CHUNK, least_revisit: int = LEAST_REVISIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """page_id, url, record_type, refers_to, payload_bytes, sha1, chunk, chunks, data: chunks of a record stand together.
+
+    Records are cut into chunks where they are read. What payloads repeat is told by a table of keys: where that is small
+    enough to broadcast, no payload is shuffled; beyond, chunk rows meet their keys in a shuffle, chunk by chunk."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("key", F.sha2("payload", 256))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    groups = cut(_groups(rows, least_revisit))
     large = F.col("payload_bytes") >= least_revisit
-    # ids of equal payloads: counted and compared before they are shuffled
-    groups = rows.filter(large).groupBy("key").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("group_key"), "keep")
-    joined = rows.join(groups, rows["key"] == groups["group_key"], "left")
     revisit = F.coalesce(large & F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")), F.lit(False))
-    kind = F.when(revisit, "revisit").otherwise("response")
-    chunks = F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int")
-    parts = joined.select("page_id", "url", kind.alias("record_type"), F.when(revisit, F.col("keep")).alias("refers_to"), "payload_bytes", F.sha1("payload").alias("sha1"), chunks.alias("chunks"), "payload")
-    each = parts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    data = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.call_function("substring", F.col("payload"), F.col("chunk") * chunk + 1, F.lit(chunk)))
-    return each.select("page_id", "url", "record_type", "refers_to", "payload_bytes", "sha1", "chunk", "chunks", data.alias("data"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk)).cast("int")
+    part = F.call_function("substring", F.col("payload"), F.col("chunk") * chunk + 1, F.lit(chunk))
+    columns = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "sha1", "chunk", "chunks", "data"]
+    if groups.count() <= most_broadcast:
+        joined = rows.join(F.broadcast(groups), rows["key"] == groups["group_key"], "left").withColumn("revisit", revisit)
+        each = joined.withColumn("sha1", F.sha1("payload")).withColumn("chunks", F.when(F.col("revisit"), F.lit(1)).otherwise(pieces)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        marked = each.withColumn("data", F.when(F.col("revisit"), F.lit(b"")).otherwise(part))
+    else:
+        cut_rows = rows.withColumn("record", F.monotonically_increasing_id()).withColumn("sha1", F.sha1("payload")).withColumn("chunks", pieces).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        cut_rows = cut_rows.withColumn("data", part).drop("payload")
+        marked = cut_rows.join(groups, F.col("key") == F.col("group_key"), "left").withColumn("revisit", revisit).filter(~F.col("revisit") | (F.col("chunk") == 0))
+        marked = marked.withColumn("data", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("data"))).withColumn("chunks", F.when(F.col("revisit"), F.lit(1)).otherwise(F.col("chunks")))
+        marked = marked.repartition("record").sortWithinPartitions("record", "chunk")
+    kind = F.when(F.col("revisit"), "revisit").otherwise("response")
+    return marked.withColumn("record_type", kind).withColumn("refers_to", F.when(F.col("revisit"), F.col("keep"))).select(*columns)
 
 
 def _record_id(page_id) -> str:
@@ -135,7 +158,7 @@ class _Archives:
             self.out, self.records = None, 0
 
 
-def write(pages: DataFrame, folder: str, chunk: int = CHUNK, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE, least_revisit: int = LEAST_REVISIT) -> DataFrame:
+def write(pages: DataFrame, folder: str, chunk: int = CHUNK, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE, least_revisit: int = LEAST_REVISIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Writes archives of pages (page_id, url, html) into folder; the manifest: archive, records."""
 
     def run(batches):
@@ -152,7 +175,7 @@ def write(pages: DataFrame, folder: str, chunk: int = CHUNK, archive_bytes: int
         archives.finish()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in archives.done], pa.string()), pa.array([n for _, n in archives.done], pa.int64())], names=["archive", "records"])
 
-    return cut(map_arrow(chunk_table(pages, chunk, least_revisit), run, "archive string, records bigint"))
+    return cut(map_arrow(chunk_table(pages, chunk, least_revisit, most_broadcast), run, "archive string, records bigint"))
 
 
 def _headers(stream) -> dict[str, str] | None:
@@ -209,6 +232,11 @@ def records(stream, chunk: int = CHUNK):
                 break
 
 
+def _read_tasks(archives: int, cores: int, archive_bytes: int = ARCHIVE_BYTES) -> int:
+    """One archive a task while there are cores, then several of READ_BYTES together."""
+    return max(1, min(archives, max(4 * cores, -(-archives * archive_bytes // READ_BYTES))))
+
+
 def read_chunks(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
     """Chunk rows (CHUNK_SCHEMA) of all archives of a manifest; with_data False leaves data empty."""
 
@@ -227,7 +255,8 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = True)
                             rows, held = [], 0
                 yield _rows(rows)
 
-    spread = manifest.select("archive").repartition(max(1, manifest.count()), "archive")
+    tasks = _read_tasks(manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism)
+    spread = manifest.select("archive").repartition(tasks, "archive")
     return map_arrow(spread, run, CHUNK_SCHEMA)
 
 

@@ -45,6 +45,25 @@ def test_awkward_rows(spark):
     assert warc.round_trip(spark, pages(spark, [])).collect() == []
 
 
+def test_keys_beyond_the_broadcast_bound(spark):
+    """Chunk rows meet their keys in a shuffle; records that are equal in all columns stay apart."""
+    folder = shared_folder(spark, "test")
+    rows = PAGES * 2
+    manifest = warc.write(pages(spark, rows).repartition(3), folder, chunk=700, most_broadcast=0)
+    last = warc.read_chunks(manifest, with_data=False).filter("last").withColumnRenamed("digest", "payload_digest")
+    assert got(last) == brute(rows)
+
+
+def test_read_tasks():
+    assert warc._read_tasks(0, 8) == 1 and warc._read_tasks(20, 8) == 20 and warc._read_tasks(100, 8) == 32
+    assert warc._read_tasks(1_000_000, 100) == 125_000
+
+
+def test_no_payload_is_shuffled(spark, sf_dir):
+    table = warc.chunk_table(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    assert "hashpartitioning" not in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_archives_and_chunks(spark):
     folder = shared_folder(spark, "test")
     manifest = warc.write(pages(spark).coalesce(1), folder, chunk=1000, archive_bytes=2000)
