@@ -12,21 +12,23 @@ Paragraphs are the lines of a text, as they are; the line ends are not part of t
 that differ only in the order of lines have equal fingerprints.
 
 Defined results: null is the empty text; likeness of two texts without words is 1, of one with and one without 0; repeated
-rows stand next to each other in the order of ids (by text); a null doc_id comes last; an empty table gives an empty result.
+rows stand next to each other in the order of ids (by a hash of the text); a null doc_id comes last; very long texts are hashed
+whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import cut, map_arrow
 from .wordhash import blocks, mix, ngram_hashes
 
 EXACT, SKETCH = 16, 256
@@ -34,8 +36,9 @@ RUN = 3
 #: Documents of a range of the order of ids, about.
 RANGE_ROWS = 8192
 #: Ranges at most; beyond, ranges are longer, and are still streamed.
-MOST_RANGES = 4096
-_LEAST = -(1 << 63)
+MOST_RANGES = 1 << 16
+#: Keys of repeated rows that are broadcast at most.
+MOST_BROADCAST = 200_000
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -116,20 +119,21 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return np.where(same | both_bare, 1.0, np.clip(cosine, 0, 1))
 
 
-def _rows(batches) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True)
-
-
 def _pairs(batches) -> Iterator[tuple]:
-    """(doc_id, text, next text) along sorted rows; a row that only looks ahead ends its range."""
+    """(doc_id, text, next text, times) along sorted rows; a row that only looks ahead ends its range. Equal rows come as one
+    with their number: each but the last has its own text as the next."""
     before = None
-    for part, ahead, ident, text in _rows(batches):
-        if before is not None and before[0] == part:
-            yield before[1], before[2], text
-            before = None if ahead else (part, ident, text)
-        elif not ahead:
-            before = (part, ident, text)
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(4)] + [batch.column(4).cast(pa.binary()).to_pylist()]
+        for part, ahead, ident, count, text in zip(*columns, strict=True):
+            if before is not None and before[0] == part:
+                yield before[1], before[2], text, 1
+                before = None
+            if ahead:
+                continue
+            if count > 1:
+                yield ident, text, text, count - 1
+            before = part, ident, text
 
 
 def _edited(text: str, following: str) -> str:
@@ -151,7 +155,7 @@ def _run(batches):
 
 
 def _batch(group: list) -> pa.RecordBatch:
-    ids, texts, following = zip(*group, strict=True)
+    ids, texts, following, times = zip(*group, strict=True)
     strings = [t.decode() for t in texts]
     edited = [_edited(t, f.decode()).encode() for t, f in zip(strings, following, strict=True)]
     n = len(group)
@@ -171,6 +175,7 @@ def _batch(group: list) -> pa.RecordBatch:
         "edited_fingerprint": pa.array([encoded(exact[n + k], sketch[n + k]) for k in range(n)]),
         "near_edited": pa.array(likeness(own, other)),
         "near_next": pa.array(likeness(own, after)),
+        "times": pa.array(times, pa.int64()),
     }
     return pa.RecordBatch.from_pydict(columns)
 
@@ -178,45 +183,63 @@ def _batch(group: list) -> pa.RecordBatch:
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _with_neighbours(docs: DataFrame) -> DataFrame:
-    """part, ahead, doc_id, text, sorted: ranges of the descending order of ids, each with the first row of the next.
-
-    The ids alone are read first, for the borders of ranges; texts are shuffled once."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+def _key(docs: DataFrame) -> Column:
+    """Sorts as the descending order of ids, null last, then by a hash of the text."""
     ident = docs["doc_id"].cast("bigint")
-    key = F.coalesce(F.col("id"), F.lit(_LEAST))
-    ids = docs.select(ident.alias("id")).select(key.alias("key"))
-    count = ids.count()
-    parts = min(MOST_RANGES, max(1, -(-count // RANGE_ROWS)))
-    borders = _borders(ids, parts)
-    rows = docs.select(ident.alias("id"), text.alias("text")).withColumn("key", key)
-    # part 0 holds the largest ids
-    edges = F.array(*[F.lit(b).cast("bigint") for b in borders])
-    part = F.size(F.filter(edges, lambda b: b > F.col("key"))) if borders else F.lit(0)
-    firsts = ids.withColumn("part", part).groupBy("part").agg(F.max("key").alias("first")).orderBy("part").collect()
-    starts = {r["first"]: k for k, r in enumerate(firsts)}
-    # the first rows of each range also end the range before; those of the first range end the last
-    names = [r["part"] for r in firsts]
-    look = F.create_map(*[x for first, k in starts.items() for x in (F.lit(first).cast("bigint"), F.lit(names[k - 1]))]) if starts else None
-    rows = rows.withColumn("part", part)
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead"))
-    if look is None:
-        places = F.array(own)
-    else:
-        places = F.when(F.element_at(look, F.col("key")).isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.element_at(look, F.col("key")).alias("part"), F.lit(True).alias("ahead"))))
-    placed = rows.select("id", "text", F.explode(places).alias("p")).select("p.part", "p.ahead", F.col("id").alias("doc_id"), "text")
-    order = ["part", "ahead", F.col("doc_id").desc_nulls_last(), "text"]
-    return placed.repartitionById(max(1, len(names)), F.col("part").cast("int")).sortWithinPartitions(*order)
+    return F.struct(ident.isNull().alias("nameless"), F.bitwise_not(F.coalesce(ident, F.lit(0).cast("bigint"))).alias("rid"), F.xxhash64(_text(docs)).alias("mark"))
+
 
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
-def _borders(ids: DataFrame, parts: int) -> list[int]:
-    """Ids that split the table into about equal parts."""
-    if parts == 1:
-        return []
-    got = ids.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 50 * parts)).first()[0]
-    return sorted(set(got or []))
+
+def _ranges(spark: SparkSession, firsts: list) -> tuple[DataFrame, Column, Column]:
+    """For the sorted first keys of ranges: a table wide, fine (the keys in runs of about their square root), a column wide
+    (the run of column key), and a column range once both are joined."""
+    step = math.isqrt(max(len(firsts) - 1, 0)) + 1
+    runs = [firsts[k : k + step] for k in range(0, len(firsts), step)]
+    literal = lambda r: F.struct(F.lit(r["nameless"]).alias("nameless"), F.lit(r["rid"]).cast("bigint").alias("rid"), F.lit(r["mark"]).cast("bigint").alias("mark"))
+    passed = lambda keys: F.size(F.filter(keys, lambda k: k <= F.col("key"))) - 1
+    table = spark.createDataFrame([(k, [tuple(r) for r in run]) for k, run in enumerate(runs)], "wide int, fine array<struct<nameless:boolean,rid:bigint,mark:bigint>>")
+    return table, passed(F.array(*[literal(r[0]) for r in runs])), F.col("wide") * step + passed(F.col("fine"))
+
+
+def _once(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """rows (key, text) with times; those of keys in several (key, times) once."""
+    found = several.count()
+    if not found:
+        return rows.withColumn("times", F.lit(1).cast("bigint"))
+    held = several.select(F.col("key").alias("_key"), F.col("times"))
+    marked = rows.join(F.broadcast(held) if found <= MOST_BROADCAST else held, F.col("key") == F.col("_key"), "left").drop("_key")
+    once = marked.filter("times is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("times").alias("times"))
+    return marked.filter("times is null").withColumn("times", F.lit(1).cast("bigint")).unionByName(once)
+
+
+def _with_neighbours(docs: DataFrame) -> DataFrame:
+    """part, ahead, doc_id, times, text, sorted: ranges of the order of keys, each followed by the first row of the next.
+
+    Keys alone are read first, counted and dealt to ranges by a range shuffle, which gives the first key of each range; so
+    texts are shuffled once, and equal rows not at all."""
+    spark = docs.sparkSession
+    counted = docs.select(_key(docs).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    parts = min(MOST_RANGES, max(1, -(-docs.select(F.lit(1)).count() // RANGE_ROWS)))
+    dealt = cut(counted.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()))
+    firsts = [r["key"] for r in dealt.groupBy("part").agg(F.min("key").alias("key")).orderBy("key").collect()]
+    if not firsts:
+        return spark.createDataFrame([], "part int, ahead boolean, doc_id bigint, times bigint, text string")
+    table, wide, place = _ranges(spark, firsts)
+    rows = _once(docs.select(_key(docs).alias("key"), _text(docs).alias("text")), dealt.filter("times > 1").select("key", "times"))
+    placed = rows.withColumn("wide", wide).join(F.broadcast(table), "wide").withColumn("part", place)
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead"))
+    # the first row of a range also ends the range before; that of the first range ends the last
+    before = F.struct(((F.col("part") + len(firsts) - 1) % len(firsts)).alias("part"), F.lit(True).alias("ahead"))
+    places = F.when(F.exists("fine", lambda k: k == F.col("key")), F.array(own, before)).otherwise(F.array(own))
+    each = placed.select("key", "times", "text", F.explode(places).alias("p")).select("p.part", "p.ahead", "key", "times", "text")
+    order = each.repartitionById(len(firsts), F.col("part").cast("int")).sortWithinPartitions("part", "ahead", "key")
+    return order.select("part", "ahead", F.when(~F.col("key.nameless"), F.bitwise_not("key.rid")).alias("doc_id"), "times", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row a document, with its fingerprint and that of its edited text (see SCHEMA)."""
-    return map_arrow(_with_neighbours(docs), _run, SCHEMA)
+    found = map_arrow(_with_neighbours(docs), _run, f"{SCHEMA}, times bigint")
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).drop("times")
