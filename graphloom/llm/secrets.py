@@ -1,17 +1,22 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame operations only.
 
-Candidates are credential assignments, access keys and long hex runs (base kinds), and long opaque tokens that
-mix letters and digits (kind token). Each candidate value is hashed and counted over the whole corpus by distinct
-owners and distinct repositories. A value that many owners share is a copied example; a value that stays with few
-owners looks live. Opaque tokens become spans only when they look live and touch no base span.
-
-Defined results: null text is empty; a null owner counts as one owner; repeated rows are rows of their own and
-each counts as a repository; an empty table gives an empty result. Spans are code points, end exclusive.
+Candidates are credential assignments, access keys and long hex runs (base kinds), and long opaque tokens that mix letters
+and digits (kind token). Each candidate value is hashed and counted over the whole corpus by distinct owners and distinct
+repositories. A value that many owners share, or that stands in many repositories of few owners, is a widely copied
+example; any other looks live. Opaque tokens become spans when they look live and do not lie within a base span.
+
+Matches become rows with the lengths of what lies before them; running sums by text and kind give their places, so the work is
+linear in matches. Values with very many matches meet their counts by a broadcast of bounded size, all others in a
+shuffle in which no value has more than HOT_VALUE rows.
+
+Defined results: null text is empty, a very long one is scanned whole; a null owner counts as one owner, and null ids as one
+repository; repeated rows are rows of their own but one repository; other columns pass through redacted() and are not read
+by scan(); an empty table gives an empty result. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
@@ -23,68 +28,80 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run that fails holds no other start that coul
 HEX = r"[0-9a-f]{16,}"  # the same runs as [0-9a-f]+ of 16 characters or more
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 LEAST_VALUE = 12
-#: A value that more owners than this share is a copied example.
-MOST_OWNERS = 2
+#: A value that more owners, or more repositories, than these hold is a copied example.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 20
+#: Values with more matches are hot; so many (50 bytes each) are broadcast at most, beyond that only the hottest.
+HOT_VALUE, MOST_HOT = 10_000, 500_000
+#: Texts with live spans, and their spans, that are broadcast at most.
+MOST_CHANGED, MOST_PIECES = 200_000, 2_000_000
 MARK = "[SECRET]"
+_BLOCK = 64
 
-_SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
+def _matches(text: Column, pattern: str, rank: int, value) -> Column:
+    """For each match: rank, its number, lengths of what lies before it and of itself, and the hash of its value (null: fails)."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    found = F.transform(
+        F.filter(pairs, lambda x: x["match"].isNotNull()),
+        lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("number"), F.length(x["before"]).alias("gap"), F.length(x["match"]).alias("size"), F.sha2(value(x["match"]), 256).alias("value")),
+    )
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<rank:int,number:int,gap:int,size:int,value:string>>"))
 
-def _none() -> Column:
-    return F.array().cast(_SPAN)
 
+def candidates(text: Column) -> Column:
+    """Matches of all kinds in a text."""
 
-def _spans(text: Column, pattern: str, rank: int, value) -> Column:
-    """Spans of all matches: lengths of what lies between matches and of the matches add up to positions."""
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), _none().alias("found"))
+    def assigned(match: Column) -> Column:
+        found = F.regexp_extract(match, rf"\A{ASSIGN}", 2)
+        return F.when(F.length(found) >= LEAST_VALUE, found)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        got = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), value(x["match"]).alias("value")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], got)).alias("found"))
+    whole = lambda m: m
+    mixed = lambda m: F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]"), m)
+    return F.concat(_matches(text, ASSIGN, 0, assigned), _matches(text, ACCESS, 1, whole), _matches(text, HEX, 2, whole), _matches(text, TOKEN, 3, mixed))
 
-    pairs = F.arrays_zip(between.alias("between"), matches.alias("match"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["found"])).otherwise(_none())
 
+def _scanned(docs: DataFrame, owner: str, id_column: str) -> DataFrame:
+    """row (an own number), doc_id, owner, mark and chars (hash and length of the text), matches. Materialised: texts are
+    read once."""
+    text = text_of(docs)
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_column].alias("doc_id"), docs[owner].cast("string").alias("owner"), F.xxhash64(text).alias("mark"), F.length(text).alias("chars"), candidates(text).alias("matches")))
 
-def candidate_spans(text: Column) -> Column:
-    """Base spans and opaque tokens of a text, by start, then kind."""
-    assign = F.filter(_spans(text, ASSIGN, 0, lambda m: F.regexp_extract(m, rf"\A{ASSIGN}", 2)), lambda s: F.length(s["value"]) >= LEAST_VALUE)
-    same = lambda m: m
-    tokens = F.filter(_spans(text, TOKEN, 3, same), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    return F.array_sort(F.concat(assign, _spans(text, ACCESS, 1, same), _spans(text, HEX, 2, same), tokens))
 
+def _spans(scanned: DataFrame) -> DataFrame:
+    """row, doc_id, owner, rank, start, end, value. Materialised."""
+    each = scanned.filter(F.size("matches") > 0).select("row", "doc_id", "owner", F.explode("matches").alias("m")).select("row", "doc_id", "owner", "m.*")
+    before = Window.partitionBy("row", "rank").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("size")).over(before).cast("int")
+    return cut(each.withColumn("end", end).filter("value is not null").select("row", "doc_id", "owner", "rank", (F.col("end") - F.col("size")).alias("start"), "end", "value"))
 
-def _scan(docs: DataFrame, owner: str, keep: list[str], clean: bool = False) -> DataFrame:
-    """Rows that have candidates (clean: all rows): row (an own number), owner, spans with hashed values, kept columns."""
-    spans = candidate_spans(text_of(docs))
-    hashed = F.transform("spans", lambda s: F.struct(s["start"], s["rank"], s["end"], F.sha2(s["value"], 256).alias("value")))
-    rows = docs.select(F.col(owner).cast("string").alias("owner"), spans.alias("spans"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    rows = rows if clean else rows.filter(F.size("spans") > 0)
-    return rows.select(F.monotonically_increasing_id().alias("row"), "owner", hashed.alias("spans"), *[f"keep_{c}" for c in keep])
 
+def ownership(spans: DataFrame) -> DataFrame:
+    """value, owners, repositories (both distinct), matches: over all rows, each step summed before the next shuffle."""
+    by_repository = spans.groupBy("value", "owner", "doc_id").agg(F.count(F.lit(1)).alias("matches"))
+    by_owner = by_repository.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("matches").alias("matches"))
+    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("matches").alias("matches"))
 
-def ownership(scanned: DataFrame) -> DataFrame:
-    """value, owners, repositories: counted over all rows; each (value, owner) is summed before values meet."""
-    values = scanned.select("owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    by_owner = values.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("rows"))
-    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("rows").alias("repositories"))
 
+def _counted(spans: DataFrame) -> DataFrame:
+    """spans with owners and repositories of their values."""
+    known = ownership(spans)
+    hot = cut(known.filter(F.col("matches") > HOT_VALUE))
+    bound = HOT_VALUE
+    while hot.filter(F.col("matches") > bound).count() > MOST_HOT:
+        bound *= 2
+    known = known.drop("matches")
+    marked = spans.join(F.broadcast(hot.filter(F.col("matches") > bound).drop("matches")), "value", "left")
+    rest = marked.filter("owners is null").drop("owners", "repositories").join(known, "value")
+    return marked.filter("owners is not null").unionByName(rest)
 
-def _judged(scanned: DataFrame, most_owners: int) -> DataFrame:
-    """row, spans with live or not; opaque tokens only if live and apart from base spans."""
-    each = scanned.select("row", F.explode("spans").alias("span")).select("row", "span", F.col("span.value").alias("value"))
-    known = ownership(scanned).select("value", (F.col("owners") <= most_owners).alias("live"))
-    grouped = each.join(known, "value").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("span.start").alias("start"), F.col("span.rank").alias("rank"), F.col("span.end").alias("end"), "live"))).alias("all")
-    )
-    base = F.filter("all", lambda s: s["rank"] < 3)
-    apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("all", lambda s: (s["rank"] == 3) & s["live"] & apart(s))
-    return grouped.withColumn("base", base).select("row", "base", F.array_sort(F.concat("base", added)).alias("judged"))
+
+def _judged(spans: DataFrame, most_owners: int, most_repositories: int) -> DataFrame:
+    """row, rank, start, end, owners, repositories, live; opaque tokens only if live and not within a base span."""
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    judged = _counted(spans).withColumn("live", live).filter("rank < 3 or live")
+    ahead = Window.partitionBy("row").orderBy("start", F.col("rank") == 3).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("rank") < 3, F.col("end"))).over(ahead)
+    return judged.withColumn("reach", reach).filter("rank < 3 or reach is null or reach < end").select("row", "rank", "start", "end", "owners", "repositories", "live")
 
 
 def _said(spans: Column) -> Column:
@@ -92,43 +109,58 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", id_column: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row a document: counts by kind, base spans, all spans, and how many look live or copied."""
-    every = cut(_scan(docs, owner, [id_column], clean=True))  # spans without texts: the texts are read once
-    scanned = every.filter(F.size("spans") > 0)
-    found = scanned.select("row", F.col(f"keep_{id_column}").alias("doc_id")).join(_judged(scanned, most_owners), "row").select("doc_id", "base", "judged")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,live:boolean>>")
-    without = every.filter(F.size("spans") == 0).select(F.col(f"keep_{id_column}").alias("doc_id"), none.alias("base"), none.alias("judged"))
-    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint")
-    return found.unionByName(without).select(
+def scan(docs: DataFrame, owner: str = "source", id_column: str = "doc_id", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+    """One row a document: counts by kind, base spans, all spans, how many look live or copied, and the most owners and
+    repositories that share one of its values."""
+    scanned = _scanned(docs, owner, id_column)
+    judged = _judged(_spans(scanned), most_owners, most_repositories)
+    by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "live"))).alias("all"), F.max("owners").alias("owners"), F.max("repositories").alias("repositories"))
+    joined = scanned.select("row", "doc_id").join(by_row, "row", "left").withColumn("all", F.coalesce("all", F.array().cast(by_row.schema["all"].dataType)))
+    base = F.filter("all", lambda s: s["rank"] < 3)
+    count = lambda test: F.size(F.filter("all", test)).cast("bigint")
+    of = lambda rank: count(lambda s: s["rank"] == rank)
+    return joined.select(
         "doc_id",
-        count(0).alias("n_assign"),
-        count(1).alias("n_access"),
-        count(2).alias("n_hex"),
-        F.sha2(_said(F.col("base")), 256).alias("base_sha256"),
-        _said(F.col("judged")).alias("spans"),
-        F.size(F.filter("judged", lambda s: s["live"])).cast("bigint").alias("n_live"),
-        F.size(F.filter("judged", lambda s: ~s["live"])).cast("bigint").alias("n_copied"),
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(_said(base), 256).alias("base_sha256"),
+        _said(F.col("all")).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"),
+        count(lambda s: ~s["live"]).alias("n_copied"),
+        F.coalesce("owners", F.lit(0)).alias("owners"),
+        F.coalesce("repositories", F.lit(0)).alias("repositories"),
     )
 
 
-def redacted(docs: DataFrame, owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """docs with live-looking credentials replaced by a mark; copied examples stay. n_chars follows the text."""
-    scanned = cut(_scan(docs, owner, docs.columns))
-    live = F.filter("judged", lambda s: s["live"])
-    text = F.col("keep_text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.call_function("substring", text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["text"], gap, F.lit(MARK)).alias("text"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["text"].alias("text"))
-        )
-
-    rest = F.aggregate(live, zero, step, lambda acc: F.concat(acc["text"], F.call_function("substring", text, acc["at"] + 1, F.lit(2**31 - 1))))
-    changed = scanned.drop("spans").join(_judged(scanned, most_owners), "row").withColumn("new_text", F.when(F.size(live) > 0, rest).otherwise(text))
-    columns = {c: F.col(f"keep_{c}") for c in docs.columns} | {"text": F.col("new_text")}
+def _cut_out(text: Column, gaps: Column, tail: Column) -> Column:
+    """What lies in the gaps (structs to, since; sorted) and after tail, joined by the mark. Gaps are read off blocks of the
+    text, since a place in a long text is found by walking there."""
+    part = lambda t, since, to: F.call_function("substring", t, since + 1, to - since)
+    numbers = F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / _BLOCK).cast("int"))
+    own = F.transform(numbers, lambda b: F.slice(gaps, b * _BLOCK + 1, F.lit(_BLOCK)))
+    blocks = F.transform(own, lambda g: F.struct(g.alias("gaps"), g[0]["since"].alias("base"), part(text, g[0]["since"], F.element_at(g, -1)["to"]).alias("text")))
+    kept = F.transform(blocks, lambda b: F.array_join(F.transform(b["gaps"], lambda g: part(b["text"], g["since"] - b["base"], g["to"] - b["base"])), MARK))
+    return F.concat(F.array_join(kept, MARK), F.lit(MARK), F.call_function("substring", text, tail + 1, F.lit(2**31 - 1)))
+
+
+def redacted(docs: DataFrame, owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES, id_column: str = "doc_id") -> DataFrame:
+    """docs with live-looking credentials replaced by a mark; copied examples stay. n_chars follows the text. Patterns are
+    sought once; texts with live spans are found again by id, hash and length of the text."""
+    scanned = _scanned(docs, owner, id_column)
+    live = _judged(_spans(scanned), most_owners, most_repositories).filter("live")
+    ahead = Window.partitionBy("row").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    since = F.coalesce(F.max("end").over(ahead), F.lit(0))
+    gaps = live.withColumn("since", since).groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("since"), F.struct(F.col("start").alias("to"), "since")))).alias("gaps"), F.max("end").alias("tail"))
+    names = scanned.select("row", F.col("doc_id").alias("_secret_id"), F.col("mark").alias("_secret_mark"), F.col("chars").alias("_secret_chars"))
+    changed = cut(names.join(gaps, "row").drop("row").dropDuplicates(["_secret_id", "_secret_mark", "_secret_chars"]))
+    size = changed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("gaps")), F.lit(0)).alias("pieces")).first()
+    if size["rows"] <= MOST_CHANGED and size["pieces"] <= MOST_PIECES:
+        changed = F.broadcast(changed)
+    text = text_of(docs)
+    same = docs[id_column].eqNullSafe(F.col("_secret_id")) & (F.xxhash64(text) == F.col("_secret_mark")) & (F.length(text) == F.col("_secret_chars"))
+    joined = docs.join(changed, same, "left")
+    columns = {c: docs[c] for c in docs.columns} | {"text": F.when(F.col("gaps").isNotNull(), _cut_out(text, F.col("gaps"), F.col("tail"))).otherwise(docs["text"])}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.size(live) > 0, F.length("new_text")).otherwise(F.col("keep_n_chars")).cast(docs.schema["n_chars"].dataType)
-    without = docs.filter(F.size(candidate_spans(text_of(docs))) == 0)
-    return without.unionByName(changed.select(*[x.alias(c) for c, x in columns.items()]))
+        columns["n_chars"] = F.when(F.col("gaps").isNotNull(), F.length(columns["text"])).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[x.alias(c) for c, x in columns.items()])

@@ -24,22 +24,27 @@ def said(spans):
 
 def brute(rows):
     """rows: (doc_id, text, source)."""
-    every, owners = [], defaultdict(set)
-    for _, text, source in rows:
+    every, owners, repositories = [], defaultdict(set), defaultdict(set)
+    for doc_id, text, source in rows:
         tokens = [(m.start(), 3, m.end(), m[0]) for m in TOKEN.finditer(text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
         every.append((base(text), tokens))
         for s in [*every[-1][0], *tokens]:
             owners[s[3]].add(source)
+            repositories[s[3]].add((source, doc_id))
+    live = lambda v: len(owners[v]) <= 2 and len(repositories[v]) <= 20
     out = []
     for (doc_id, _, _), (spans, tokens) in zip(rows, every, strict=True):
-        added = [t for t in tokens if len(owners[t[3]]) <= 2 and not any(b[0] < t[2] and t[0] < b[2] for b in spans)]
+        added = [t for t in tokens if live(t[3]) and not any(b[0] <= t[0] and t[2] <= b[2] for b in spans)]
         n = [sum(s[1] == k for s in spans) for k in range(3)]
-        out.append((doc_id, *n, hashlib.sha256(said(spans).encode()).hexdigest(), said(sorted([*spans, *added]))))
+        shown = sorted([*spans, *added])
+        alive = sum(live(s[3]) for s in shown)
+        most = [max((len(c[s[3]]) for s in shown), default=0) for c in (owners, repositories)]
+        out.append((doc_id, *n, hashlib.sha256(said(spans).encode()).hexdigest(), said(shown), alive, len(shown) - alive, *most))
     return sorted(out, key=repr)
 
 
 def got(df):
-    return sorted([(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in df.collect()], key=repr)
+    return sorted(map(tuple, df.collect()), key=repr)
 
 
 def test_whole_table_equals_brute_force(spark, sf_dir):
@@ -66,6 +71,47 @@ def test_awkward_rows(spark):
     assert secrets.scan(empty(spark)).collect() == []
 
 
+def test_hot_values(spark, monkeypatch):
+    """Values with many matches meet their counts by broadcast, or, where too many are hot, in the shuffle."""
+    docs = documents(spark, ODD * 3)
+    want = brute([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    monkeypatch.setattr(secrets, "HOT_VALUE", 2)
+    assert got(secrets.scan(docs)) == want
+    monkeypatch.setattr(secrets, "MOST_HOT", 1)
+    assert got(secrets.scan(docs)) == want
+
+
+def test_many_repositories_of_one_owner(spark):
+    """A value in many documents of one source is an example; one in few of them looks live. Repeated rows count once."""
+    texts = [(i, f"key Yy8Yy8Yy8Yy8Yy8Yy8Yy8 {i}") for i in range(21)] + [(100, "key Xx7Xx7Xx7Xx7Xx7Xx7Xx7")] * 30
+    rows = {r.doc_id: r for r in secrets.scan(documents(spark, texts, source=lambda i: "one")).collect()}
+    assert rows[3].spans == "" and rows[100].spans == "token:4:25" and rows[100].repositories == 1
+
+
+def test_many_matches_in_one_text(spark):
+    """Places stay right over thousands of matches and characters beyond the basic plane."""
+    text = "".join(f"é😀 token=abcdefghijkl{i} {'x' * (i % 7)} {i:020x}z\n" for i in range(9000))
+    docs = documents(spark, [(1, text), (2, "nothing")])
+    assert got(secrets.scan(docs)) == brute([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    out = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert out[2] == "nothing" and out[1] == "".join(f"é😀 [SECRET] {'x' * (i % 7)} [SECRET]\n" for i in range(9000))
+
+
+def test_a_token_around_a_hex_run_is_cut_as_a_whole(spark):
+    docs = documents(spark, [(1, "see QQ7-0123456789abcdef0-Zk3wXy end"), (2, "plain")], source=lambda i: f"s{i}")
+    rows = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert rows[1].spans == "token:4:32,hex:8:25"
+    assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()} == {1: "see [SECRET] end", 2: "plain"}
+
+
+def test_changes_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = documents(spark, ODD * 2)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = key(secrets.redacted(docs))
+    monkeypatch.setattr(secrets, "MOST_CHANGED", 0)
+    assert key(secrets.redacted(docs)) == want and len(want) == 2 * len(ODD)
+
+
 def test_redaction(spark):
     docs = documents(spark, ODD)
     out = secrets.redacted(docs)
