@@ -49,7 +49,7 @@ def test_whole_table(spark, sf_dir):
 def test_sql_agrees(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
-    want = sorted(con.execute(queries.OP10_SQL).fetchall())
+    want = sorted(con.execute(queries.oracle_sql()["op10_mixing"]).fetchall())
     assert sorted(map(tuple, queries.queries()["op10_mixing"](spark, sf_dir).collect())) == want
 
 
@@ -58,8 +58,32 @@ def test_buckets_change_nothing(spark, monkeypatch):
     texts = [(i, "w " * rng.randrange(0, 40)) for i in range(600)]
     docs = documents(spark, texts, lambda i: f"s{min(i % 9, 3)}")
     one = sorted(map(tuple, mixing.takes(docs).collect()))
+    whole = sorted(r.text for r in mixing.mixed_documents(docs).collect())
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
     assert sorted(map(tuple, mixing.takes(docs).collect())) == one
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 2)
+    assert sorted(map(tuple, mixing.takes(docs).collect())) == one
+    assert sorted(r.text for r in mixing.mixed_documents(docs).collect()) == whole
+
+
+def test_many_sources(spark):
+    """Ranks and the level come out alike however the sources are dealt to tasks; capped ones in several rounds."""
+    rng = random.Random(8)
+    sizes = {f"s{rng.randrange(10**6)}é"[: rng.randrange(3, 9)]: int(10 ** rng.uniform(0, 5)) for _ in range(400)} | {None: 77, "": 5}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    got = {r.source: r.target for r in mixing.targets(rows.repartition(5), share=1.9).collect()}
+    want = brute_targets(sizes, share=1.9)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * want[s] for s in want)
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """Only rows of the borders' buckets move."""
+    documents(spark, [(i, f"{i} " * 30) for i in range(5000)]).write.parquet(str(tmp_path / "d"))
+    out = mixing.mixed_documents(spark.read.parquet(str(tmp_path / "d")))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_awkward_rows(spark):
