@@ -8,8 +8,10 @@ meet under key and group instead, which loses no pair. Equal fingerprints are co
 No pairs within a group are listed: first every fingerprint is compared with the least one of each of its keys, and what
 is close is grouped; then only fingerprints that share a key but not yet a group are compared, and give links of groups.
 
-Defined results: null and wordless texts have fingerprint zero and link like any other; repeated rows share a
-fingerprint; a null doc_id never is a component's name unless no other id is there; empty tables give empty results.
+Defined results: null and wordless texts have fingerprint zero and link like any other; very long texts are hashed whole;
+repeated rows share a fingerprint, and deduplicated() keeps one row a component, of ties the least hash of the text; a null
+doc_id never is a component's name unless no other id is there; other columns, whatever their names, pass through
+deduplicated() and are not read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -146,7 +148,8 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark"))
     distinct = cut(prints.groupBy("fp").agg(first.alias("first")))
     rooted = distinct.join(groups(distinct.select("fp"), distance), "fp")
-    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.mark").alias("_kept_mark"))
-    named = docs.withColumn("_id", ident).withColumn("_mark", mark)
-    kept = named.join(keep, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
-    return kept.dropDuplicates(["_id", "_mark"]).drop("_id", "_mark")  # equal texts are of one component
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    # rows of one id and text are one already before the shuffle; equal texts are of one component
+    name = lambda i, m: F.struct(i.isNull().alias("nameless"), F.coalesce(i, F.lit(0).cast("bigint")).alias("id"), m.alias("mark"))
+    once = docs.select(name(ident, mark).alias("name"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("name").agg(F.first("row").alias("row"))
+    return once.join(keep.select(name(F.col("first.doc_id"), F.col("first.mark")).alias("name")), "name", "left_semi").select("row.*")
