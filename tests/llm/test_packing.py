@@ -1,8 +1,11 @@
+import math
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphloom.llm import packing, queries
@@ -11,9 +14,7 @@ from .rows import LONG, TEXTS, documents, empty
 
 
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, texts, window=1024):
@@ -119,4 +120,88 @@ def test_encoders_agree():
     assert encode.other(text) is None
     for part in [text, *(f"x{chr(p)}y {chr(p)}'s  {chr(p)}7{chr(p)}\t{chr(p)}" for p in points), LONG]:
         assert encode(part).tolist() == encode.slow(part).tolist()
-    assert encode("漢字 <|endoftext|>").tolist() == tokenizer().encode("漢字 <|endoftext|>", add_special_tokens=False).ids
+
+
+def test_special_strings():
+    encode, plain = packing.Encoder(), tokenizer()
+    for text in ("漢字 <|endoftext|>", "hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "<|endoftext |>", "é <|endoftext|>\n"):
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert encode("hi <|endoftext|> there").tolist().count(50256) == 1
+
+
+def test_encoders_agree_on_a_whole_table(spark):
+    encode, plain = packing.Encoder(), tokenizer()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert encode(r.text or "").tolist() == plain.encode(r.text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=60))
+def test_encoders_agree_on_any_text(text):
+    assert ENCODER(text).tolist() == ENCODER.slow(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=[chr(p) for p in (*range(0x240), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC)], max_size=80))
+def test_encoders_agree_over_alike_points(text):
+    assert ENCODER(text).tolist() == ENCODER.slow(text).tolist()
+
+
+def brute_bm25(items, query, unused):
+    """Scores by the formula, from counts over all items; all terms of the query."""
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    scores = {}
+    for j in unused:
+        total = 0.0
+        for term in set(items[query]):
+            tf = items[j].count(term)
+            df = sum(term in x for x in items)
+            if tf and df > 1:
+                total += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(items[j]) / mean))
+        if total > 0:
+            scores[j] = total
+    return scores
+
+
+def test_ranking_equals_the_formula():
+    rng = np.random.default_rng(4)
+    items = [rng.zipf(1.4, rng.integers(3, 30)).clip(max=60).astype(np.uint32) for _ in range(80)]
+    index, lists = packing.Index(items), [x.tolist() for x in items]
+    unused = rng.random(80) < 0.7
+    for q in range(80):
+        want = brute_bm25(lists, q, [j for j in np.flatnonzero(unused).tolist()])
+        got = index.ranked(q, unused, None).tolist()
+        assert set(got) == set(want)
+        assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_windows_follow_the_ranking():
+    """Each item after a window's seed is the best unused one for the seed's heaviest terms, then for all its terms."""
+    rng = np.random.default_rng(6)
+    items = [rng.choice(np.arange(k % 6 * 40, k % 6 * 40 + 60), 5, replace=False).astype(np.uint32) for k in range(60)]
+    packer = packing.Packer(10**6, 0)
+    packer.shard([(k, x) for k, x in enumerate(items)])
+    packer.close()
+    order = [r[0] for r in sorted(packer.taken(), key=lambda r: (r[5], r[6])) if r[1] == 0]
+    lists, unused = [x.tolist() for x in items], set(range(1, 60))
+    for k in range(1, 10):
+        want = brute_bm25(lists, 0, unused)  # five terms: all are among the heaviest
+        if not want:
+            break
+        assert want[order[k]] >= max(want.values()) - 1e-4
+        unused.discard(order[k])
+    assert sorted(set(order)) == list(range(60))
+
+
+def test_nothing_stays_in_the_shared_folder(spark, sf_dir):
+    import os
+
+    from graphloom.llm.common import checkpoint_dir
+
+    held = lambda: {f for f in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if f.startswith("graphloom-")}
+    before = held()
+    packing.pack(documents(spark)).count()
+    assert held() == before
+
+
+ENCODER, PLAIN = packing.Encoder(), tokenizer()
