@@ -8,22 +8,27 @@ training, weighted to the classes' sizes among all labelled rows, by the languag
 that each language's threshold lies at 0.7.
 
 Training reads a bounded sample: at most max_rows labelled rows of each class, in the order of a hash of their id,
-and max_bytes of text; texts that do not fit are skipped. Everything else covers all rows; thresholds are read off
-counts of labelled rows by language, step of evidence and label.
-
-Defined results: null, empty and wordless texts get the score of no evidence; without labels of both classes all
-scores are 0; several labels of one id: toxic if any is; repeated rows are scored alike; an empty table gives an
-empty result.
+and max_bytes of text; texts that do not fit are skipped. It runs in one executor task; the driver sees the model's bytes
+and counts. Everything else covers all rows; thresholds are read off counts of labelled rows by language, step of evidence
+and label.
+
+Defined results: null, empty and wordless texts get the score of no evidence; very long texts are read whole, in runs of
+words; without labels of both classes all scores are 0; several labels of one id: toxic if any is; repeated rows are scored
+alike, and of unlike texts of one id one is learned from; other columns pass through accepted() and are not read by score();
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, ship, small_batches
 from .wordhash import PUNCTUATION, Words, blocks
 
 CUT = 0.7
@@ -33,7 +38,7 @@ SIZE = 8
 #: Buckets of words, and of leading bytes by their number.
 BUCKETS = (1 << 17, 1 << 16, 1 << 16, 1 << 16)
 PREFIXES = (4, 6, 8)
-MAX_ROWS, MAX_BYTES = 3000, 20 << 20
+MAX_ROWS, MAX_BYTES = 4000, 32 << 20
 EPOCHS, BATCH = 10, 16
 #: Steps of evidence (log odds) a unit, in which labelled rows are counted for thresholds.
 BINS = 64
@@ -59,7 +64,7 @@ class Features:
 
     def __init__(self, words: Words):
         self.first = words.first
-        self.channels = [(h & np.uint64(n - 1)).astype(np.int32) for h, n in zip([words.hashes, *words.prefixes], BUCKETS, strict=True)]
+        self.channels = [(h & np.uint64(n - 1)).astype(np.uint16 if n <= 1 << 16 else np.int32) for h, n in zip([words.hashes, *words.prefixes], BUCKETS, strict=True)]
         self.hashes = words.hashes
 
 
@@ -80,9 +85,24 @@ def languages(f: Features) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, embeddings, filters, bias, weights, shift, cuts):
+    NAMES = ("bias", "weights", "shift", "cuts", "learned")
+
+    def __init__(self, embeddings, filters, bias, weights, shift, cuts, learned=()):
         #: filters: by width, array (width, SIZE, FILTERS); cuts: raw probability by language that maps to CUT
-        self.embeddings, self.filters, self.bias, self.weights, self.shift, self.cuts = embeddings, filters, bias, weights, shift, cuts
+        self.embeddings, self.filters, self.bias, self.weights, self.shift, self.cuts, self.learned = embeddings, filters, bias, weights, shift, cuts, learned
+
+    def packed(self) -> bytes:
+        """The model as bytes; the embeddings in half precision."""
+        out = io.BytesIO()
+        lists = {f"e{k}": e.astype(np.float16) for k, e in enumerate(self.embeddings)} | {f"f{k}": w for k, w in enumerate(self.filters)}
+        np.savez(out, **lists, **{n: np.asarray(getattr(self, n)) for n in self.NAMES})
+        return out.getvalue()
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Model:
+        with np.load(io.BytesIO(raw)) as z:
+            own = {n: z[n] for n in Model.NAMES}
+            return Model([z[f"e{k}"] for k in range(len(BUCKETS))], [z[f"f{k}"] for k in range(len(WIDTHS))], **own)
 
     def vectors(self, f: Features, a: int, b: int) -> np.ndarray:
         x = self.embeddings[0][f.channels[0][a:b]].astype(np.float32)
@@ -125,7 +145,9 @@ class Model:
             if j == i + 1 and b - a > step:
                 for c in range(a, b, step):
                     d = min(b, c + step + max(WIDTHS) - 1)
-                    out[full[i]] = np.maximum(out[full[i]], np.maximum(0, (self.responses(self.vectors(f, c, d), np.array([0, d - c])) + self.bias).max(axis=0)))
+                    r = self.responses(self.vectors(f, c, d), np.array([0, d - c]))
+                    whole = r if d == b else r[:step]  # windows that a run's end cuts belong to the next run
+                    out[full[i]] = np.maximum(out[full[i]], whole.max(axis=0) + self.bias)
             else:
                 starts = f.first[full[i:j]] - a
                 r = self.responses(self.vectors(f, a, b), np.append(starts, b - a))
@@ -193,10 +215,10 @@ def _log_odds(sample: Sample, rows: np.ndarray, toxic: np.ndarray) -> list[np.nd
 
 
 def train(texts, toxic: np.ndarray, seed: int = 11) -> Model | None:
-    """A model from an Arrow array of texts and their 0/1 labels; None without both classes."""
+    """A model from an Arrow array of texts (or a Sample) and their 0/1 labels; None without both classes."""
     if toxic.sum() in (0, len(toxic)):
         return None
-    sample = Sample(texts)
+    sample = texts if isinstance(texts, Sample) else Sample(texts)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(toxic))
     aside = np.zeros(len(toxic), bool)
@@ -215,9 +237,8 @@ def train(texts, toxic: np.ndarray, seed: int = 11) -> Model | None:
     _descend(model, sample, fit_rows, toxic, rng)
     probabilities = np.concatenate([model.probabilities(sample.part(held[k : k + 256])) for k in range(0, len(held), 256)] or [np.zeros(0)])
     model.cuts = _cuts(probabilities, toxic[held], sample.languages[held])
-    model.embeddings = [e.astype(np.float16) for e in model.embeddings]
     model.learned = fit_rows
-    return model
+    return Model.unpacked(model.packed())
 
 
 def _descend(model: Model, sample: Sample, fit_rows: np.ndarray, toxic: np.ndarray, rng, rate: float = 0.05) -> None:
@@ -303,12 +324,13 @@ def _cuts(p: np.ndarray, toxic: np.ndarray, language: np.ndarray, rows: np.ndarr
     return cuts
 
 
-def _counts(model: Model, rows: DataFrame, known: DataFrame, learned: DataFrame) -> pa.Table:
+def _counts(raw: bytes, rows: DataFrame, known: DataFrame, learned: DataFrame) -> pa.Table:
     """language, bin, label, learned, count: over all labelled rows. bin: evidence in steps of 1 / BINS."""
     few = known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     labelled = rows.join(F.broadcast(known) if few else known, "label_id").join(F.broadcast(learned), F.col("label_id") == F.col("learned_id"), "left")
 
     def run(batches):
+        model = Model.unpacked(raw)
         for batch in batches:
             bins, language = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for a, b, f in features(batch.column(2)):
@@ -317,7 +339,8 @@ def _counts(model: Model, rows: DataFrame, known: DataFrame, learned: DataFrame)
 
     given = labelled.select("label", F.col("learned_id").isNotNull().alias("learned"), "words")
     binned = map_arrow(given, run, "language bigint, bin bigint, label int, learned boolean")
-    return binned.groupBy("language", "bin", "label", "learned").count().orderBy("language", "bin", "label", "learned").toArrow()
+    with small_batches(rows.sparkSession):
+        return binned.groupBy("language", "bin", "label", "learned").count().orderBy("language", "bin", "label", "learned").toArrow()
 
 
 def _fitted_cuts(counts: pa.Table) -> np.ndarray | None:
@@ -356,8 +379,21 @@ def _chosen(rows: list[tuple], max_bytes: int) -> list[int]:
     return chosen
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model | None:
-    """Trains on a bounded sample of the labelled rows that are not held out; thresholds are fitted on all others."""
+def _trained(batches):
+    """One row model, learned (ids): from all rows label_id, label, words that reach this task."""
+    got = pa.Table.from_batches(list(batches), pa.schema([("label_id", pa.int64()), ("label", pa.int32()), ("words", pa.string())])).sort_by("label_id")
+    names, toxic = got["label_id"].to_numpy(), got["label"].to_numpy().astype(np.int64)
+    sample = Sample(got["words"]) if got.num_rows else None
+    del got, batches  # the texts are not needed any more
+    model = train(sample, toxic) if sample else None
+    ids = [] if model is None else names[model.learned].tolist()
+    raw = None if model is None else model.packed()
+    yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names=["model", "learned"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[bytes, np.ndarray] | None:
+    """A packed model and its cuts. Trains in one executor task, on a bounded sample of the labelled rows that are not held
+    out; thresholds are fitted on all others. Of texts that share an id the one of the least hash is learned from."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("label")).dropna().filter(~held_out(F.col("label_id")))
     known = known.groupBy("label_id").agg(F.max("label").alias("label"))
     draw = F.xxhash64("label_id")
@@ -369,24 +405,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     chosen = _chosen([(r["draw"], r["label_id"], r["label"], r["bytes"]) for r in measured], max_bytes)
     if not chosen:
         return None
-    some = docs.sparkSession.createDataFrame(pa.table({"chosen": pa.array(chosen, pa.int64())}))
-    sample = rows.join(F.broadcast(some), F.col("label_id") == F.col("chosen"), "left_semi").select("label_id", "label", "words").dropDuplicates(["label_id"])
-    got = sample.toArrow().sort_by("label_id")
-    model = train(got["words"], got["label"].to_numpy().astype(np.int64))
-    if model is None:
+    spark = docs.sparkSession
+    some = spark.createDataFrame([(x,) for x in chosen], "chosen bigint")
+    sample = rows.join(F.broadcast(some), F.col("label_id") == F.col("chosen"), "left_semi").groupBy("label_id", "label").agg(F.min_by("words", F.struct(F.xxhash64("words"), "words")).alias("words"))
+    with small_batches(spark):
+        made = map_arrow(sample.repartition(1), _trained, "model binary, learned array<bigint>").first()
+    if made is None or made["model"] is None:
+        return None
+    raw = bytes(made["model"])
+    learned = spark.createDataFrame([(x,) for x in made["learned"]], "learned_id bigint")
+    cuts = _fitted_cuts(_counts(raw, texts, known, learned))
+    return raw, Model.unpacked(raw).cuts if cuts is None else cuts
+
+
+def _model(fitted: tuple[bytes, np.ndarray] | None) -> Model | None:
+    if fitted is None:
         return None
-    learned = docs.sparkSession.createDataFrame(pa.table({"learned_id": got["label_id"].to_numpy()[model.learned]}))
-    del got, model.learned
-    cuts = _fitted_cuts(_counts(model, texts, known, learned))
-    model.cuts = model.cuts if cuts is None else cuts
+    model = Model.unpacked(fitted[0])
+    model.cuts = fitted[1]
     return model
 
 
 def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model = fit(docs, labels, **bounds)
+    fitted = fit(docs, labels, **bounds)
 
     def run(batches):
+        model = _model(fitted)
         for batch in batches:
             found = model.scores(batch.column(2)) if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -397,13 +442,15 @@ def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """docs without those predicted toxic."""
-    model = fit(docs, labels, **bounds)
-    if model is None:
+    fitted = fit(docs, labels, **bounds)
+    if fitted is None:
         return docs
-    at = docs.columns.index("text")
+    ship(docs.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(at)) < CUT))
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = _model(fitted)
+        for batch in texts:
+            yield pa.array(model.scores(batch))
 
-    return map_arrow(docs, run, docs.schema)
+    return docs.filter(scored(docs["text"].cast("string")) < CUT)  # only texts go to Python, and scores come back

@@ -90,3 +90,22 @@ def test_thresholds_follow_all_labels(spark):
     rows = toxicity.score(documents(spark, texts), known, max_rows=60).collect()
     assert np.mean([r.predicted for r in rows if r.doc_id % 20]) < 0.02
     assert np.mean([r.predicted for r in rows if r.doc_id % 20 == 0]) > 0.5
+
+
+def test_runs_of_a_long_text_add_no_windows():
+    """The border between two runs of words cuts windows that do not exist in the text: they do not count."""
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 70_000)]
+    model = toxicity.train(pa.array([f"{'vile ' if i % 3 == 0 else ''}plain w{i}" for i in range(90)]), np.array([int(i % 3 == 0) for i in range(90)]))
+    model.filters = [rng.normal(0, 1, w.shape).astype(np.float32) for w in model.filters]
+    ((_, _, f),) = toxicity.features(pa.array([" ".join(words)]))
+    whole = model.responses(model.vectors(f, 0, len(words)), np.array([0, len(words)])).max(axis=0)
+    assert np.allclose(model.pooled(f)[0], np.maximum(0, whole + model.bias), atol=1e-4)
+
+
+def test_unlike_texts_of_one_id(spark):
+    """Which of several texts is learned from does not depend on their order."""
+    texts = [(i, f"{'vile' if i % 4 == 0 else 'kind'} words {i}") for i in range(120)] + [(i, f"other text {i}") for i in range(0, 120, 3)]
+    known = labels(spark, [(i, 1, int(i % 4 == 0), "x") for i in range(120)])
+    order = lambda df: df.orderBy("doc_id", "score").collect()
+    assert order(toxicity.score(documents(spark, texts), known)) == order(toxicity.score(documents(spark, texts[::-1]).repartition(3), known))
