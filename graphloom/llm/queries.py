@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, multiset, packing, quality, rules, secrets, simhash, substrings, toxicity, warc
 from .common import ship, table
+from .oracles import ORACLES
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6_fingerprints SQL can express."""
+    return op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    own = {k: v for k, v in globals().items() if k.startswith(("op", "fingerprint_")) and callable(v)}
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,37 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: shipped(v) for k, v in own.items()}
 
 
-OP10_SQL = r"""
-WITH rows AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS draw
-  FROM documents),
-sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
-ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM sizes),
-weighed AS (
-  SELECT *, CASE rnk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
-         source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total FROM ranked),
-levels AS (
-  SELECT *, cap / weight AS rate,
-         (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-           / sum(weight) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM weighed),
-chosen AS (SELECT level FROM levels WHERE level <= rate ORDER BY rate, rnk LIMIT 1),
-goal AS (
-  SELECT source, source_size,
-         CASE WHEN (SELECT count(*) FROM chosen) = 0 THEN cap ELSE least(cap, (SELECT level FROM chosen) * weight) END AS target
-  FROM levels),
-ahead AS (
-  SELECT r.doc_id, r.size, g.source_size, g.target,
-         CASE WHEN g.source_size > 0 THEN CAST(floor(g.target / g.source_size) AS BIGINT) ELSE 0 END AS whole,
-         coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.draw, r.doc_id, r.size
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM rows r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * whole + greatest(0, least(size, CAST(round(target) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken
-FROM ahead
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return dict(ORACLES)
