@@ -97,6 +97,19 @@ def difference(old: DataFrame, new: DataFrame, keys: list[str], by: list[str]) -
     return flags.groupBy(*by).agg(F.count_if((F.col("o") == 1) & (F.col("n") == 0)).alias("removed"), F.count_if((F.col("o") == 0) & (F.col("n") == 1)).alias("added"), F.count_if((F.col("o") == 1) & (F.col("n") == 1)).alias("kept"))
 
 
+def differing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, change: the distinct keys that only the old (removed) or only the new (added) holds, by name. One shuffle."""
+    both = old.select(*keys, F.lit(1).alias("_o"), F.lit(0).alias("_n")).unionByName(new.select(*keys, F.lit(0).alias("_o"), F.lit(1).alias("_n")))
+    flags = both.groupBy(*keys).agg(F.max("_o").alias("_o"), F.max("_n").alias("_n"))
+    return flags.filter("_o <> _n").select(*keys, F.when(F.col("_o") == 1, "removed").otherwise("added").alias("change"))
+
+
+def missing_keys(present: Column, required: tuple[str, ...]) -> Column:
+    """Required names that are not among present ones, sorted; null if none is missing."""
+    missing = F.array_sort(F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(present, F.array().cast("array<string>"))))
+    return F.when(F.size(missing) > 0, missing)
+
+
 def placed(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """df with place: the number of each row within its group (all rows without by), in order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.text import clean_list, clean_text, data_url_summary, extract_urls, looks_like_url, none_if_empty
+from ..functions.text import clean_list, clean_text, data_url_summary, extract_urls, looks_like_url, none_if_empty, readme_key
 from ..functions.values import falsy_coalesce
 from ..operators.documents import distinct_texts, primary_text, sections
 from ..operators.records import histogram
@@ -135,7 +135,8 @@ def build(raw: DataFrame, terms: str = TERMS, address: str = "https://datasets.e
 def documentation(raw: DataFrame) -> DataFrame:
     """resource_id, documentation: the different readme files of a resource, with their sections."""
     readmes = raw.filter(F.lower("name").isin("readme.md", "readme.txt")).select("resource_id", "name", "text")
-    kept = distinct_texts(readmes, ["resource_id"], "text", "name")
+    # an empty file is no readme; one under two names has one text
+    kept = distinct_texts(readmes.filter(readme_key(F.col("text")) != ""), ["resource_id"], "text", "name")
     parts = sections(kept.withColumn("key", F.struct("resource_id", "name")), "key", "text")
     section = F.struct(*[c for c in parts.columns if c != "key"])
     trees = parts.groupBy("key").agg(F.array_sort(F.collect_list(section)).alias("readme_sections"))

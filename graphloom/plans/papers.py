@@ -13,9 +13,11 @@ from ..functions.text import compress_text, json_object, strip
 from ..functions.values import json_text
 from ..operators.documents import normalise_chunks
 from ..session import map_arrow
+from ..sources.files import numeric_first
+from ..sources.service import paced
 
-#: Fallbacks of the parameters of a call, tried in turn.
-CALLS = ({"effort": True, "temperature": False}, {"effort": False, "temperature": True}, {"effort": False, "temperature": False})
+#: Which parameters a call sends, tried in turn: models may reject some.
+CALLS = ({"effort": True, "temperature": True}, {"effort": True, "temperature": False}, {"effort": False, "temperature": False})
 METADATA = "title string, abstract string, keywords array<string>, authors array<struct<author:string,affiliation:string,email:string,orcid:string,is_corresponding:boolean>>"
 
 
@@ -25,22 +27,25 @@ def prompts(papers: DataFrame, instruction: str, head: int = 80_000, tail: int =
     return papers.select("paper_id", text.alias("prompt"))
 
 
-def answered(asked: DataFrame, model: Callable[..., str]) -> DataFrame:
-    """paper_id, answer, error: what the model says to each prompt. A call that fails with all parameters gives its error."""
+def called(model: Callable[..., str], prompt: str) -> tuple[str | None, str | None]:
+    """The answer of the first call that the model accepts, else the errors of all."""
+    failed = []
+    for k, options in enumerate(CALLS, 1):
+        try:
+            return model(prompt, **options), None
+        except Exception as e:
+            failed.append(f"[attempt{k}] {type(e).__name__}: {e}")
+    return None, "\n".join(failed)
+
+
+def answered(asked: DataFrame, model: Callable[..., str], pause: float = 0.0) -> DataFrame:
+    """paper_id, answer, error: what the model says to each prompt. A call that fails with all parameters gives its errors.
+    pause: seconds between the calls of a task, for models with a limit."""
+    model = paced(model, pause)
 
     def run(batches):
         for batch in batches:
-            answers, errors = [], []
-            for prompt in batch.column(1).to_pylist():
-                said = error = None
-                for options in CALLS:
-                    try:
-                        said, error = model(prompt, **options), None
-                        break
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                answers.append(said)
-                errors.append(error)
+            answers, errors = zip(*[called(model, p) for p in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ([], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=["paper_id", "answer", "error"])
 
     kind = asked.schema["paper_id"].dataType.simpleString()
@@ -88,7 +93,14 @@ def markdown_path(base: Column | str, paper_id: Column) -> Column:
     return F.concat(base, F.lit("/"), paper_id, F.lit("/markdown/"), paper_id, F.lit("_md.md"))
 
 
-def read_papers(spark: SparkSession, base: str) -> DataFrame:
-    """paper_id, text of the papers below base that have a markdown file."""
+def read_papers(spark: SparkSession, base: str, limit: int = 0) -> DataFrame:
+    """paper_id, text of the papers below base that have a markdown file. limit: the first so many by id (numbers by value, then
+    the rest by text); 0 for all."""
     rows = spark.read.option("pathGlobFilter", "*_md.md").option("recursiveFileLookup", "true").text(base, wholetext=True)
-    return rows.select(F.regexp_extract("_metadata.file_name", r"\A(.*)_md\.md\z", 1).alias("paper_id"), F.col("value").alias("text"))
+    papers = rows.select(F.regexp_extract("_metadata.file_name", r"\A(.*)_md\.md\z", 1).alias("paper_id"), F.col("value").alias("text"))
+    return first_papers(papers, limit)
+
+
+def first_papers(papers: DataFrame, limit: int) -> DataFrame:
+    """The first papers by id; all if limit is 0."""
+    return papers.orderBy(numeric_first(F.col("paper_id"))).limit(limit) if limit else papers

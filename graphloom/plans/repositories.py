@@ -39,10 +39,11 @@ RECORD_FIELDS = (
 )
 
 
-def raw_files(spark: SparkSession, root: str) -> DataFrame:
-    """repo, path (below contents/, or a file of the repository's own), text."""
+def raw_files(spark: SparkSession, root: str, names: tuple[str, ...] | None = None) -> DataFrame:
+    """repo, path (below contents/, or a file of the repository's own), text. names: of the repositories to read, else all."""
     rows = files(spark, root)
     repo = F.substring_index("path", "/", 1)
+    rows = rows if names is None else rows.filter(repo.isin(*names))  # before any content is read as text
     rest = F.expr("substring(path, instr(path, '/') + 1)")
     return rows.select(repo.alias("repo"), F.regexp_replace(rest, r"\Acontents/", "").alias("path"), F.startswith(rest, F.lit("contents/")).alias("is_content"), tolerant_text(F.col("content")).alias("text"))
 
@@ -246,26 +247,56 @@ def _assembled(j: DataFrame) -> DataFrame:
 
 
 def issues(corpus: DataFrame) -> DataFrame:
-    """name, issue of records that contradict themselves."""
-    deps = F.concat("dependencies", "repo_dependencies")
-    locks = F.transform(F.filter("execution_environment", lambda e: e["is_lock"]), lambda e: e["source_path"])
+    """name, issue of records that contradict themselves, or lack what every record has."""
+    columns = set(corpus.columns)
+    absent = [c for c in RECORD_FIELDS if c not in columns]
+    if absent:
+        told = F.lit(f"missing keys [{', '.join(repr(c) for c in sorted(absent))}]")
+        return corpus.select((F.col("name") if "name" in columns else F.lit(None).cast("string")).alias("name"), told.alias("issue"))
+    none = F.array().cast("array<string>")
+    when = lambda test, said: F.when(test, F.array(F.lit(said) if isinstance(said, str) else said)).otherwise(none)
+    unknown = lambda at, c: when(c.isNull(), f"{at} is not boolean")
+    empty = lambda c: F.coalesce(c == "", F.lit(True))
+    each = lambda rows, test, said: F.transform(F.filter(F.coalesce(rows, F.array().cast(rows_type(rows))), test), said)
+
+    def rows_type(rows: Column):
+        return corpus.select(rows.alias("x")).schema["x"].dataType
+
+    named = lambda said: lambda d: F.concat(F.lit(f"{said}: "), F.coalesce(d["name"], F.lit("None")))
+    always = lambda said: lambda _: F.lit(said)
+    deps = F.concat(F.coalesce("dependencies", F.array().cast(corpus.schema["dependencies"].dataType)), F.coalesce("repo_dependencies", F.array().cast(corpus.schema["repo_dependencies"].dataType)))
+    environments = F.col("execution_environment")
+    locks = F.transform(F.filter(environments, lambda e: F.coalesce(e["is_lock"], F.lit(False)) & ~empty(e["source_path"])), lambda e: e["source_path"])
     fed = F.filter(locks, lambda p: F.exists("dependencies", lambda d: F.exists(d["sources"], lambda s: F.contains(s["manifest_path"], p))))
-    when = lambda test, said: F.when(test, F.array(F.lit(said))).otherwise(F.array().cast("array<string>"))
+    citation = F.col("citation")
+    blank = lambda a: empty(F.concat_ws("", *[a[f.name].cast("string") for f in corpus.schema["citation"].dataType["software_authors"].dataType.elementType.fields]))
     found = F.concat(
-        when(F.col("files.downloaded_count") != F.size("files.downloaded"), "downloaded_count mismatch"),
-        when(F.col("files.total_count") != F.aggregate(F.map_values("files.selection_reason_histogram"), F.lit(0).cast("bigint"), lambda a, b: a + b), "selection_reason_histogram mismatch"),
-        F.transform(F.filter(deps, lambda d: F.size(d["sources"]) == 0), lambda d: F.concat(F.lit("dependency lacks sources: "), d["name"])),
-        F.transform(F.filter(deps, lambda d: d["is_vcs"] & d["vcs_url"].isNull()), lambda d: F.concat(F.lit("VCS dependency lacks vcs_url: "), d["name"])),
+        *[unknown(c, F.col(c)) for c in ("fork", "archived", "disabled")],
+        when(F.col("license").isNotNull() & F.col("license.is_spdx").isNull(), "license.is_spdx is not boolean"),
+        unknown("files.has_dockerfile", F.col("files.has_dockerfile")),
+        when(~F.col("files.downloaded_count").eqNullSafe(F.size(F.coalesce(F.col("files.downloaded"), F.array()))), "downloaded_count mismatch"),
+        when(~F.col("files.total_count").eqNullSafe(F.aggregate(F.coalesce(F.map_values("files.selection_reason_histogram"), F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, b: a + b)), "selection_reason_histogram mismatch"),
+        each(deps, lambda d: d["is_vcs"].isNull(), named("dependency is_vcs is not boolean")),
+        each(deps, lambda d: F.coalesce(F.size(d["sources"]) <= 0, F.lit(True)), named("dependency lacks sources")),
+        each(deps, lambda d: F.coalesce(d["is_vcs"], F.lit(False)) & empty(d["vcs_url"]), named("VCS dependency lacks vcs_url")),
+        each(deps, lambda d: ~F.coalesce(d["is_vcs"], F.lit(False)) & empty(d["ecosystem"]), named("package dependency lacks ecosystem")),
+        each(F.flatten(F.transform(deps, lambda d: F.coalesce(d["sources"], F.array()))), lambda s: empty(s["manifest_path"]) | empty(s["manifest_scope"]), always("dependency source lacks path/scope")),
+        each(F.col("identifiers"), lambda i: empty(i["source_path"]), always("identifier lacks source_path")),
+        *[unknown(f"citation.{c}", citation[c]) for c in ("present", "placeholder")],
+        *[when(F.col("citation_md").isNotNull() & F.col(f"citation_md.{c}").isNull(), f"citation_md.{c} is not boolean") for c in ("present", "deferred_to_llm")],
+        each(citation["software_authors"], blank, always("empty software_author")),
+        each(environments, lambda e: e["is_lock"].isNull(), lambda e: F.concat(F.lit("execution_environment.is_lock is not boolean: "), F.coalesce(e["source_path"], F.lit("None")))),
         F.transform(fed, lambda p: F.concat(F.lit("lock manifest contributed package deps: "), p)),
     )
     return corpus.select("name", F.explode(found).alias("issue"))
 
 
-def report(corpus: DataFrame) -> DataFrame:
-    """Totals over all records, one row."""
+def report(corpus: DataFrame, expected: int | None = None) -> DataFrame:
+    """Totals over all records, one row: with warnings by issue, how many records contradict themselves, and whether the corpus
+    is valid. expected: how many records there should be."""
     of = lambda v: F.size(F.filter(F.map_values("provenance.manifest_classifications"), lambda x: x == v))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return corpus.agg(
+    totals = corpus.agg(
         F.count(F.lit(1)).alias("repo_count"),
         total(F.size("dependencies")).alias("dependency_count"),
         total(F.size("repo_dependencies")).alias("repo_dependency_count"),
@@ -274,6 +305,14 @@ def report(corpus: DataFrame) -> DataFrame:
         total(of("lock")).alias("lock_manifest_count"),
         total(F.size("provenance.parse_warnings")).alias("parse_warning_count"),
     )
+    warned = corpus.select(F.explode("provenance.parse_warnings").alias("w")).groupBy(F.col("w.issue").alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+    by_issue = warned.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("issue", "n")))).alias("parse_warning_counts"))  # one row an issue
+    found = issues(corpus).agg(F.count(F.lit(1)).alias("issue_count"))
+    want = F.lit(expected).cast("bigint")
+    counted = totals.withColumn("expected_repo_count", F.coalesce(want, F.col("repo_count")))
+    whole = counted.join(by_issue).join(found)  # each has one row
+    mismatch = F.col("repo_count") != F.col("expected_repo_count")
+    return whole.withColumn("issue_count", F.col("issue_count") + mismatch.cast("bigint")).withColumn("valid", F.col("issue_count") == 0)
 
 
 def ordered(corpus: DataFrame) -> DataFrame:

@@ -54,18 +54,31 @@ def _fields(schema: str) -> str:
     return StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
 
 
-def json_or_default(rows: DataFrame, column: str, schema: str) -> DataFrame:
-    """Adds value (parsed by schema, null where text is missing or broken) and issue (invalid_json where it is broken)."""
+def json_or_default(rows: DataFrame, column: str, schema: str, default: Column | None = None) -> DataFrame:
+    """Adds value (parsed by schema; the default, else null, where text is missing or broken) and issue (invalid_json where it is
+    broken)."""
     value = F.from_json(column, schema, {"mode": "PERMISSIVE"})
     broken = F.col(column).isNotNull() & F.try_parse_json(column).isNull()
-    return rows.withColumn("value", F.when(~broken, value)).withColumn("issue", F.when(broken, "invalid_json"))
+    value = F.when(~broken, value)
+    if default is not None:
+        value = F.when(F.col(column).isNull() | broken, default).otherwise(value)
+    return rows.withColumn("value", value).withColumn("issue", F.when(broken, "invalid_json"))
 
 
-def id_list(spark: SparkSession, path: str, length: int = 32) -> DataFrame:
-    """id, ord: the first of each id of a file with one a line (any case, first field counts); others are left out."""
+def _listed_ids(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\A\ufeff", ""), "\r?\n")).alias("ord", "line"))
-    ids = lines.select(F.lower(F.trim(F.split("line", ",")[0])).alias("id"), "ord").filter(F.length("id") == length)
-    return ids.groupBy("id").agg(F.min("ord").alias("ord"))
+    return lines.select(F.lower(F.trim(F.split("line", ",")[0])).alias("id"), "ord")
+
+
+def id_list(spark: SparkSession, path: str, length: int = 32) -> DataFrame:
+    """id, ord: the first of each id of a file with one a line (any case, first field counts); for others see odd_ids."""
+    return _listed_ids(spark, path).filter(F.length("id") == length).groupBy("id").agg(F.min("ord").alias("ord"))
+
+
+def odd_ids(spark: SparkSession, path: str, length: int = 32) -> DataFrame:
+    """id, ord, warning of the lines that id_list leaves out; empty lines are no warning."""
+    odd = _listed_ids(spark, path).filter((F.length("id") != length) & (F.col("id") != ""))
+    return odd.withColumn("warning", F.concat(F.lit("anomalous id skipped: "), "id"))
 
 
 def numeric_first(x: Column) -> Column:

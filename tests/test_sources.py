@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph, metrics
 from graphloom.plans import papers
 from graphloom.sources import files, graphs, service, sinks
+from graphloom.sources.files import id_list, json_or_default, odd_ids, zip_members
 from graphloom.streaming import resume
 
 
@@ -120,7 +122,7 @@ def test_papers(spark, tmp_path):
 
     rows = papers.answered(asked, model)
     got = {r.paper_id: r for r in rows.collect()}
-    assert got["1"].error is None and got["2"].error == "RuntimeError: down"
+    assert got["1"].error is None and got["2"].error.endswith("[attempt3] RuntimeError: down")
     found = papers.chunks(rows).collect()
     assert [(r.chunk_id, r.supporting_quote) for r in found] == [("1__Method__1", ["q"])]
     assert {r.paper_id: r.title for r in papers.metadata(rows).collect()} == {"1": "T", "2": ""}
@@ -157,3 +159,75 @@ def test_graph_round_trip_and_metrics(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"nodes": {}, "edges": []}')
     with pytest.raises(ValueError, match="nodes must be a list"):
         graphs.read_graph(spark, str(tmp_path / "bad.json"))
+
+
+def test_commits_archives_and_parts(spark, tmp_path):
+    """Connectors over files: an empty repository has no commit, a part that fails does not stop the others."""
+    for name, sha in (("o/one", "abc"), ("o/two", "def")):
+        place = tmp_path / "api" / service.commit_path(name, "main")
+        place.mkdir(parents=True)
+        (place / "1.json").write_text(json.dumps({"sha": sha, "commit": {}}))
+    heads = spark.createDataFrame([("o/one", "main"), ("o/two", "main"), ("o/none", "main")], "full_name string, branch string")
+    commits = service.head_commits(spark, heads, folder=str(tmp_path / "api"))
+    assert {r.full_name: r.sha for r in commits.collect()} == {"o/one": "abc", "o/two": "def", "o/none": None}
+    assert service.head_commits(spark, heads.limit(0), folder=str(tmp_path / "api")).collect() == []
+    with zipfile.ZipFile(tmp_path / "abc.zip", "w") as z:
+        z.writestr("top/a.txt", "hello")
+    (tmp_path / "zips" / "o").mkdir(parents=True)
+    (tmp_path / "zips" / "o" / "one@abc").write_bytes((tmp_path / "abc.zip").read_bytes())
+    get = service.bytes_from_files(str(tmp_path / "zips"))
+    got = service.archives(commits.select("full_name", "sha"), lambda name, sha: get(f"{name}@{sha}"))
+    rows = {r.full_name: r for r in got.collect()}
+    assert {n: r.status for n, r in rows.items()} == {"o/one": "success", "o/two": "failed", "o/none": "skipped"} and "FileNotFoundError" in rows["o/two"].error
+    members = zip_members(got.filter("status = 'success'"), "full_name").collect()
+    assert [(m.path, bytes(m.content)) for m in members] == [("a.txt", b"hello")]
+    counts, others = service.download_report(got, "full_name")
+    assert {r.status: r.n for r in counts.collect()} == {"success": 1, "failed": 1, "skipped": 1} and {r.full_name for r in others.collect()} == {"o/two", "o/none"}
+
+
+def test_dataset_parts(spark, tmp_path):
+    for name, text in (("meta_dump.json", "{}"), ("file_inventory.json", json.dumps([{"file_name": "ReadMe.md", "extension": ".md"}, {"file_name": "readme.pdf", "extension": ".pdf"}, {"file_name": "README.txt", "extension": ".TXT"}])), ("ReadMe.md", "# Hi")):
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / name).write_text(text)
+    ids = spark.createDataFrame([("a",), ("b",)], "resource_id string")
+    rows = {(r.resource_id, r.name): (r.text, bool(r.error)) for r in service.dataset_parts(ids, service.bytes_from_files(str(tmp_path))).collect()}
+    assert rows["a", "meta_dump.json"] == ("{}", False) and rows["a", "raw_metadata.xml"] == (None, True)
+    assert rows["a", "ReadMe.md"] == ("# Hi", False) and rows["a", "README.txt"] == (None, True) and ("a", "readme.pdf") not in rows
+    assert rows["b", "file_inventory.json"] == ("[]", True) and len(rows) == 10
+
+
+def test_paced():
+    times = []
+    call = service.paced(lambda: times.append(time.monotonic()), 0.05)
+    for _ in range(3):
+        call()
+    assert times[2] - times[0] >= 0.1 and service.paced(len, 0) is len
+
+
+def test_odd_ids_and_defaults(spark, tmp_path):
+    (tmp_path / "ids.csv").write_text("﻿" + "A" * 32 + "\nshort\n\n" + "b" * 32 + ",x\n" + "a" * 32 + "\n" + "c" * 33)
+    assert [r.id for r in id_list(spark, str(tmp_path / "ids.csv")).orderBy("ord").collect()] == ["a" * 32, "b" * 32]
+    assert [r.warning for r in odd_ids(spark, str(tmp_path / "ids.csv")).orderBy("ord").collect()] == ["anomalous id skipped: short", "anomalous id skipped: " + "c" * 33]
+    rows = spark.createDataFrame([(1, '{"a": 2}'), (2, None), (3, "{")], "k int, j string")
+    got = {r.k: (r.value.a, r.issue) for r in json_or_default(rows, "j", "struct<a:int>", F.struct(F.lit(7).alias("a"))).collect()}
+    assert got == {1: (2, None), 2: (7, None), 3: (7, "invalid_json")}
+
+
+def test_call_fallbacks():
+    """All parameters first, then without temperature, then without either; what failed is told of every call."""
+    asked = []
+
+    def model(prompt, effort, temperature):
+        asked.append((effort, temperature))
+        if effort or prompt == "bad":
+            raise ValueError(f"no {len(asked)}")
+        return "fine"
+
+    assert papers.called(model, "good") == ("fine", None) and asked == [(True, True), (True, False), (False, False)]
+    said, error = papers.called(model, "bad")
+    assert said is None and error == "[attempt1] ValueError: no 4\n[attempt2] ValueError: no 5\n[attempt3] ValueError: no 6"
+
+
+def test_first_papers(spark):
+    rows = spark.createDataFrame([(i,) for i in ("10", "9", "b", "a", "100")], "paper_id string")
+    assert [r[0] for r in papers.first_papers(rows, 4).collect()] == ["9", "10", "100", "a"] and papers.first_papers(rows, 0).count() == 5
