@@ -153,7 +153,15 @@ def primary_readme(spark: SparkSession, sf: str) -> DataFrame:
     return documents.primary_text(read(spark, sf, "documents").select("source", name.alias("name")), ["source"], "name")
 
 
-@query("readme_sections")
+@query(
+    "readme_sections",
+    r"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 > 0 THEN text ELSE '' END AS own FROM conversations),
+    n AS (SELECT *, lead(turn) OVER w AS next_turn, lead(own) OVER w AS next_own FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    s AS (SELECT conv_id, (turn - turn // 4)::INT AS section_id, (turn % 4)::INT AS heading_level, role AS heading, next_turn % 4 > turn % 4 AS deeper,
+      regexp_replace(own || CASE WHEN next_turn % 4 = 0 THEN chr(10) || next_own ELSE '' END, '^\s+|\s+$', '', 'g') AS body FROM n WHERE turn % 4 > 0)
+    SELECT conv_id, section_id, CASE WHEN heading_level > 1 THEN section_id - 1 END AS parent_section_id, heading, heading_level, repeat('#', heading_level) AS heading_marker, CASE WHEN body = '' THEN heading ELSE body END AS section_text, coalesce(deeper, false) AS has_children
+    FROM s WHERE body <> '' OR coalesce(deeper, false)""",
+)
 def readme_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as documents: a turn is a heading, its depth from the turn's number, followed by its text."""
     turns = read(spark, sf, "conversations")
