@@ -7,17 +7,52 @@ import re
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class StoreFile:
+    """A new file in any store that Spark can write to, by path or URI. Text goes out in UTF-8, a buffer at a time."""
+
+    BUFFER = 1 << 20
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(str(path))
+        self.out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        self.held = bytearray()
+
+    def write(self, text: str | bytes) -> None:
+        self.held += text.encode() if isinstance(text, str) else text
+        if len(self.held) >= self.BUFFER:
+            self.flush()
+
+    def flush(self) -> None:
+        self.out.write(self.held)
+        self.held = bytearray()
+
+    def __enter__(self) -> StoreFile:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.flush()
+        self.out.close()
+
+
+def write_files(spark: SparkSession, folder: str, contents: dict[str, str | bytes]) -> None:
+    """Small files below a folder, by their relative paths."""
+    for path, content in contents.items():
+        with StoreFile(spark, f"{folder.rstrip('/')}/{path}") as out:
+            out.write(content)
+
+
 def write_json_records(df: DataFrame, path: str, order: list[str], name: str | None = None, sort_keys: bool = True) -> int:
     """One JSON document with the rows of df in order, the same bytes for the same rows: indented, sorted keys (or the
     columns' order), a line feed at the end. Rows come to the driver one by one, not all at once; for large tables write
     Parquet instead. Rows written."""
     count = 0
     rows = df.withColumn("_json", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).orderBy(*order).select("_json")
-    with open(path, "w", encoding="utf-8", newline="\n") as out:
+    with StoreFile(df.sparkSession, path) as out:
         out.write(f"{{\n  {json.dumps(name)}: [" if name else "[")
         for row in rows.toLocalIterator():
             text = json.dumps(json.loads(row["_json"]), ensure_ascii=False, indent=2, sort_keys=sort_keys)
@@ -30,7 +65,7 @@ def write_json_records(df: DataFrame, path: str, order: list[str], name: str | N
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """{edges: [...], nodes: [...]} sorted by id. Fields that are null are left out of edges."""
-    with open(path, "w", encoding="utf-8", newline="\n") as out:
+    with StoreFile(nodes.sparkSession, path) as out:
         out.write("{")
         for k, (name, df) in enumerate((("edges", edges), ("nodes", nodes))):
             out.write(("," if k else "") + f'\n  "{name}": [')
