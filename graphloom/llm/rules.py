@@ -10,7 +10,8 @@ stratum. Where labels are too few to show this, the rule rejects nothing.
 Base rules stand before: under 50 words, or over half of the words in repeated runs of three.
 
 Defined results: null text has no words and fails the base rules; a null stratum is one; several labels of one id: bad if
-any is; repeated rows are judged alike; without labels only the base rules hold; an empty table gives an empty result.
+any is; very long texts are measured whole; repeated rows are judged alike; ratios equal to a cutoff pass; other columns are
+not read; without labels only the base rules hold; an empty table gives an empty result.
 """
 
 from __future__ import annotations
