@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, ship, small_batches
+from .common import cut, map_arrow, ship, small_batches
 from .wordhash import PUNCTUATION, Words, blocks
 
 CUT = 0.7
@@ -95,7 +95,7 @@ class Model:
         """The model as bytes; the embeddings in half precision."""
         out = io.BytesIO()
         lists = {f"e{k}": e.astype(np.float16) for k, e in enumerate(self.embeddings)} | {f"f{k}": w for k, w in enumerate(self.filters)}
-        np.savez(out, **lists, **{n: np.asarray(getattr(self, n)) for n in self.NAMES})
+        np.savez_compressed(out, **lists, **{n: np.asarray(getattr(self, n)) for n in self.NAMES})
         return out.getvalue()
 
     @staticmethod
@@ -235,6 +235,8 @@ def train(texts, toxic: np.ndarray, seed: int = 11) -> Model | None:
     width = len(WIDTHS) * FILTERS
     model = Model(embeddings, filters, np.zeros(width, np.float32), rng.normal(0, 0.1, width) + 0.05, -1.0, None)
     _descend(model, sample, fit_rows, toxic, rng)
+    for e, c in zip(model.embeddings, sample.channels, strict=True):
+        e[np.bincount(c, minlength=len(e)) == 0] = 0  # what no text holds says nothing, and takes no room
     probabilities = np.concatenate([model.probabilities(sample.part(held[k : k + 256])) for k in range(0, len(held), 256)] or [np.zeros(0)])
     model.cuts = _cuts(probabilities, toxic[held], sample.languages[held])
     model.learned = fit_rows
@@ -395,10 +397,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     """A packed model and its cuts. Trains in one executor task, on a bounded sample of the labelled rows that are not held
     out; thresholds are fitted on all others. Of texts that share an id the one of the least hash is learned from."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("label")).dropna().filter(~held_out(F.col("label_id")))
-    known = known.groupBy("label_id").agg(F.max("label").alias("label"))
+    known = cut(known.groupBy("label_id").agg(F.max("label").alias("label")))
     draw = F.xxhash64("label_id")
     picks = [known.filter(F.col("label") == k).withColumn("draw", draw).orderBy("draw", "label_id").limit(max_rows) for k in (0, 1)]
-    ids = F.broadcast(picks[0].union(picks[1]))  # 2 * max_rows rows at most
+    ids = F.broadcast(cut(picks[0].union(picks[1]).coalesce(1)))  # 2 * max_rows rows at most
     texts = docs.select(F.col("doc_id").cast("bigint").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("words"))
     rows = texts.join(ids, "label_id")
     measured = rows.groupBy("label_id").agg(F.first("draw").alias("draw"), F.first("label").alias("label"), F.max(F.octet_length("words")).alias("bytes")).collect()

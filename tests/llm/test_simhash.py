@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm import queries, simhash
+from graphloom.llm import components, queries, simhash
 
 from .rows import TEXTS, documents, empty
 
@@ -75,10 +75,32 @@ def test_one_document_of_each_component_stays(spark):
     assert kept == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("hot", [4, 128])
-def test_dense_groups(spark, monkeypatch, hot):
+@pytest.mark.parametrize("most_local", [0, 200_000])
+def test_components(spark, monkeypatch, most_local):
+    """Chains, cycles, stars and repeated links, in one task and by rounds."""
+    monkeypatch.setattr(components, "MOST_LOCAL", most_local)
+    rng = np.random.default_rng(7)
+    links = [(i, i + 1) for i in range(-40, 0)] + [(100, k) for k in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (202, 200), (300, 300)] + [tuple(map(int, rng.integers(1000, 1200, 2))) for _ in range(90)]
+    above = {x: x for link in links for x in link}
+
+    def find(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        above[high] = low
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(3), "a", "b").collect()}
+    assert got == {x: find(x) for x in above if find(x) != x}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").collect() == []
+
+
+@pytest.mark.parametrize("hot,most_local", [(4, 0), (128, 0), (128, 200_000)])
+def test_dense_groups(spark, monkeypatch, hot, most_local):
     """Groups in which many fingerprints are close to many; keys over the limit are refined and lose no link."""
     monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    monkeypatch.setattr(components, "MOST_LOCAL", most_local)
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 20)]
     base += [b ^ 0b111 << int(rng.integers(0, 58)) ^ 0b11 << int(rng.integers(0, 58)) for b in base]
