@@ -16,46 +16,54 @@ def _cat(*xs) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
 
 
-K = F.col("s_suppkey")
-#: kind of manifest by the key's rest by 8: path, text
-MANIFESTS = (
-    ("requirements.txt", _cat("Num_Py>=1.", K, "  # fast\nrequests[socks]==2.0; python_version > '3'\ngit+https://github.com/Org/Tool", K, ".git@v1#egg=tool-x&subdirectory=sub\n-r other.txt\n-e .\n???\npip\n")),
-    ("env/environment.yml", _cat("name: env", K, "\nchannels: [forge]\ndependencies:\n  - python=3.", K % 10, "\n  - Net_CDF=4.1\n  - pip:\n    - xarray>", K % 5, "\n")),
-    ("pyproject.toml", _cat('[project]\nname = "Pkg', K, '"\nversion = "0.', K, '"\ndependencies = ["NumPy", "scipy>1"]\nrequires-python = ">=3.9"\nauthors = [{name = "B", email = "b@x"}, {name = "A"}]\n[project.optional-dependencies]\ntest = ["pytest", "numpy"]\n[tool.poetry.dependencies]\npython = "^3.8"\nrich = "*"\nfork = {git = "https://github.com/o/fork.git", tag = "t"}\n[tool.poetry.group.dev.dependencies]\nblack = {version = "^23"}\n[build-system]\nrequires = ["setuptools", "cython"]\n')),
-    ("setup.cfg", _cat("[options]\ninstall_requires =\n  a", K, "\n  b<2\npython_requires = >=3.", K % 10, "\n[options.extras_require]\ndoc = sphinx\n[metadata]\nname = n", K, "\nauthor = A\nlicense = MIT\n")),
-    ("setup.py", _cat("from setuptools import setup\nsetup(install_requires=['a', 'b>", K, "'], extras_require={'x': ['c']})\n")),
-    ("Pipfile", _cat('[packages]\nflask = "*"\n[dev-packages]\ntox = ">', K, '"\n[requires]\npython_version = "3.', K % 10, '"\n')),
-    ("Pipfile.lock", _cat('{"default": {"b', K, '": 1, "a": 2}, "develop": {"c": 1}}')),
-    ("conda/requirements-lock.txt", _cat("a==", K, "; python_version > '3'\n# note\nb==1; python_version > '3'\n")),
-)
-README = _cat("# Repo ", K, "\nSee https://github.com/org/r", K, "). Data https://datasets.example.org/resource/x, https://doi.org/10.1234/ab", K, " and http://other.org/a. Also 10.5555/zz", K, ".")
-CFF = F.when(K % 2 == 0, _cat("cff-version: 1.2.0\ntitle: Soft ", K, "\ndoi: 10.1/", K, "\nauthors:\n  - family-names: F", K, "\n    given-names: G\n  - orcid: x\nkeywords: [b, a]\n")).otherwise(F.lit("title: FIXME\nauthors:\n  - family-names: FIXME\n"))
+def _manifests(key: Column) -> tuple:
+    """Kind of manifest by the key's rest by 8: path, text."""
+    return (
+        ("requirements.txt", _cat("Num_Py>=1.", key, "  # fast\nrequests[socks]==2.0; python_version > '3'\ngit+https://github.com/Org/Tool", key, ".git@v1#egg=tool-x&subdirectory=sub\n-r other.txt\n-e .\n???\npip\n")),
+        ("env/environment.yml", _cat("name: env", key, "\nchannels: [forge]\ndependencies:\n  - python=3.", key % 10, "\n  - Net_CDF=4.1\n  - pip:\n    - xarray>", key % 5, "\n")),
+        ("pyproject.toml", _cat('[project]\nname = "Pkg', key, '"\nversion = "0.', key, '"\ndependencies = ["NumPy", "scipy>1"]\nrequires-python = ">=3.9"\nauthors = [{name = "B", email = "b@x"}, {name = "A"}]\n[project.optional-dependencies]\ntest = ["pytest", "numpy"]\n[tool.poetry.dependencies]\npython = "^3.8"\nrich = "*"\nfork = {git = "https://github.com/o/fork.git", tag = "t"}\n[tool.poetry.group.dev.dependencies]\nblack = {version = "^23"}\n[build-system]\nrequires = ["setuptools", "cython"]\n')),
+        ("setup.cfg", _cat("[options]\ninstall_requires =\n  a", key, "\n  b<2\npython_requires = >=3.", key % 10, "\n[options.extras_require]\ndoc = sphinx\n[metadata]\nname = n", key, "\nauthor = A\nlicense = MIT\n")),
+        ("setup.py", _cat("from setuptools import setup\nsetup(install_requires=['a', 'b>", key, "'], extras_require={'x': ['c']})\n")),
+        ("Pipfile", _cat('[packages]\nflask = "*"\n[dev-packages]\ntox = ">', key, '"\n[requires]\npython_version = "3.', key % 10, '"\n')),
+        ("Pipfile.lock", _cat('{"default": {"b', key, '": 1, "a": 2}, "develop": {"c": 1}}')),
+        ("conda/requirements-lock.txt", _cat("a==", key, "; python_version > '3'\n# note\nb==1; python_version > '3'\n")),
+    )
+
+
+def _readme(key: Column) -> Column:
+    return _cat("# Repo ", key, "\nSee https://github.com/org/r", key, "). Data https://datasets.example.org/resource/x, https://doi.org/10.1234/ab", key, " and http://other.org/a. Also 10.5555/zz", key, ".")
+
+
+def _cff(key: Column) -> Column:
+    return F.when(key % 2 == 0, _cat("cff-version: 1.2.0\ntitle: Soft ", key, "\ndoi: 10.1/", key, "\nauthors:\n  - family-names: F", key, "\n    given-names: G\n  - orcid: x\nkeywords: [b, a]\n")).otherwise(F.lit("title: FIXME\nauthors:\n  - family-names: FIXME\n"))
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """repo, path, is_content, text: see repositories.raw_files."""
-    place = K % len(MANIFESTS)
-    manifest = F.element_at(F.array(*[F.lit(p) for p, _ in MANIFESTS]), (place + 1).cast("int"))
-    body = F.element_at(F.array(*[t for _, t in MANIFESTS]), (place + 1).cast("int"))
-    licence = F.when(K % 4 == 0, '{"key":"mit","name":"MIT","spdx_id":"MIT","url":"u"}').when(K % 4 == 1, '{"key":"other","spdx_id":"NOASSERTION"}').when(K % 4 == 3, '{"key":"x","spdx_id":"Bad Id"}').otherwise("null")
-    flag = lambda by: F.when(K % by == 0, "true").otherwise("false")
-    address = F.when(K % 10 != 9, _cat('"https://github.com/org/r', K, '/"')).otherwise("null")
-    metadata = F.when(K % 25 == 0, "{").otherwise(_cat('{"id":', K, ',"name":"Repo', K, '","full_name":"org/r', K, '","html_url":', address, ',"default_branch":"main","language":"Python","topics":["t', K % 3, '"],"fork":', flag(2), ',"archived":', flag(3), ',"size_kb":', K * 2, ',"license":', licence, "}"))
+    key = F.col("s_suppkey")
+    manifests = _manifests(key)
+    place = key % len(manifests)
+    manifest = F.element_at(F.array(*[F.lit(p) for p, _ in manifests]), (place + 1).cast("int"))
+    body = F.element_at(F.array(*[t for _, t in manifests]), (place + 1).cast("int"))
+    licence = F.when(key % 4 == 0, '{"key":"mit","name":"MIT","spdx_id":"MIT","url":"u"}').when(key % 4 == 1, '{"key":"other","spdx_id":"NOASSERTION"}').when(key % 4 == 3, '{"key":"x","spdx_id":"Bad Id"}').otherwise("null")
+    flag = lambda by: F.when(key % by == 0, "true").otherwise("false")
+    address = F.when(key % 10 != 9, _cat('"https://github.com/org/r', key, '/"')).otherwise("null")
+    metadata = F.when(key % 25 == 0, "{").otherwise(_cat('{"id":', key, ',"name":"Repo', key, '","full_name":"org/r', key, '","html_url":', address, ',"default_branch":"main","language":"Python","topics":["t', key % 3, '"],"fork":', flag(2), ',"archived":', flag(3), ',"size_kb":', key * 2, ',"license":', licence, "}"))
     entry = lambda path, size, got, reason: _cat('{"path":"', path, '","file_name":"', F.substring_index(F.lit(path) if isinstance(path, str) else path, "/", -1), '","extension":"', F.regexp_extract(F.lit(path) if isinstance(path, str) else path, r"[^/.](\.[^./]+)$", 1), '","size_bytes":', size, ',"downloaded":', got, ',"selection_reason":', reason, "}")
-    citation = F.when(K % 3 == 0, _cat(",", entry("CITATION.cff", K, "true", '"allowed_exact_filename"'))).when(K % 3 == 1, _cat(",", entry("CITATION.md", K, "true", '"allowed_exact_filename"'))).otherwise("")
-    manifest_entry = entry(manifest, K + 5, "true", '"allowed_exact_filename"')
-    listed = _cat("[", entry("README.md", K + 10, "true", '"allowed_exact_filename"'), ",", manifest_entry, ",", entry("docker/Dockerfile", 7 + K % 2, flag(2), "null"), citation, "]")
-    people = _cat('[{"id":', K + 1, ',"login":"Bob","type":"User","contributions":5},{"id":null,"login":"bot","type":"Bot","contributions":1},{"id":', K, ',"login":"Ann","type":"User","contributions":9}]')
+    citation = F.when(key % 3 == 0, _cat(",", entry("CITATION.cff", key, "true", '"allowed_exact_filename"'))).when(key % 3 == 1, _cat(",", entry("CITATION.md", key, "true", '"allowed_exact_filename"'))).otherwise("")
+    manifest_entry = entry(manifest, key + 5, "true", '"allowed_exact_filename"')
+    listed = _cat("[", entry("README.md", key + 10, "true", '"allowed_exact_filename"'), ",", manifest_entry, ",", entry("docker/Dockerfile", 7 + key % 2, flag(2), "null"), citation, "]")
+    people = _cat('[{"id":', key + 1, ',"login":"Bob","type":"User","contributions":5},{"id":null,"login":"bot","type":"Bot","contributions":1},{"id":', key, ',"login":"Ann","type":"User","contributions":9}]')
     own = [("repo_metadata.json", metadata), ("files_manifest.json", listed), ("contributors.json", people)]
     rows = [F.struct(F.lit(p).alias("path"), F.lit(False).alias("is_content"), t.alias("text")) for p, t in own]
-    rows += [F.struct(p.alias("path"), F.lit(True).alias("is_content"), t.alias("text")) for p, t in ((F.lit("README.md"), README), (manifest, body))]
+    rows += [F.struct(p.alias("path"), F.lit(True).alias("is_content"), t.alias("text")) for p, t in ((F.lit("README.md"), _readme(key)), (manifest, body))]
     some = lambda test, path, content, text: F.when(test, F.array(F.struct(F.lit(path).alias("path"), F.lit(content).alias("is_content"), text.alias("text")))).otherwise(F.array())
     more = [
-        some(K % 7 != 0, "archive_info.json", False, _cat('{"frozen_commit_sha":"sha', K, '","archive_format":"zip"}')),
-        some(K % 3 == 0, "CITATION.cff", True, CFF),
-        some(K % 3 == 1, "CITATION.md", True, F.lit("cite me")),
+        some(key % 7 != 0, "archive_info.json", False, _cat('{"frozen_commit_sha":"sha', key, '","archive_format":"zip"}')),
+        some(key % 3 == 0, "CITATION.cff", True, _cff(key)),
+        some(key % 3 == 1, "CITATION.md", True, F.lit("cite me")),
     ]
-    found = read(spark, sf, "supplier").select(_cat("repo", K).alias("repo"), F.explode(F.concat(F.array(*rows), *more)).alias("f"))
+    found = read(spark, sf, "supplier").select(_cat("repo", key).alias("repo"), F.explode(F.concat(F.array(*rows), *more)).alias("f"))
     return found.select("repo", "f.*")
 
 

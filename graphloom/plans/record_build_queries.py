@@ -15,29 +15,29 @@ def _cat(*xs) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
 
 
-K, N, NAME = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_name")
 RDF = f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:hsterms="{TERMS}">'
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """resource_id, name, text: what a customer's key leaves after division decides what is in its folder."""
-    left = lambda by, rest, yes, no: F.when(K % by == rest, yes).otherwise(no)
-    spatial = left(4, 0, _cat(',"spatial_coverage":{"type":"box","northlimit":0.0,"north":', N, '.5,"southlimit":', K, ',"units":"[\'m\', \' km \']"}'), F.lit(""))
+    key, nation, name = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_name")
+    left = lambda by, rest, yes, no: F.when(key % by == rest, yes).otherwise(no)
+    spatial = left(4, 0, _cat(',"spatial_coverage":{"type":"box","northlimit":0.0,"north":', nation, '.5,"southlimit":', key, ',"units":"[\'m\', \' km \']"}'), F.lit(""))
     meta = _cat(
-        '{"title":"  Title  ', K, ' ","abstract":', left(3, 0, F.lit("null"), _cat('"A\\r\\nb ', K, '"')), ',"type":', left(5, 0, F.lit('""'), F.lit('"CompositeResource"')), ',"url":', left(2, 0, F.lit("null"), _cat('"http://u.org/', K, '"')),
-        ',"subjects":["Water"," Water ","","', N, '"],"creators":[{"name":" ', NAME, ' ","creator_order":1,"identifiers":{"ORCID":"http://orcid.org/', K, '","Blank":" "}}],"relations":[{"type":"Is part of","value":"http://s.org/resource/', F.md5(K.cast("string")), '"},{"type":"Note","value":"see http://x.org/', N, '."},{"type":"Empty","value":" "}]', spatial, "}",
+        '{"title":"  Title  ', key, ' ","abstract":', left(3, 0, F.lit("null"), _cat('"A\\r\\nb ', key, '"')), ',"type":', left(5, 0, F.lit('""'), F.lit('"CompositeResource"')), ',"url":', left(2, 0, F.lit("null"), _cat('"http://u.org/', key, '"')),
+        ',"subjects":["Water"," Water ","","', nation, '"],"creators":[{"name":" ', name, ' ","creator_order":1,"identifiers":{"ORCID":"http://orcid.org/', key, '","Blank":" "}}],"relations":[{"type":"Is part of","value":"http://s.org/resource/', F.md5(key.cast("string")), '"},{"type":"Note","value":"see http://x.org/', nation, '."},{"type":"Empty","value":" "}]', spatial, "}",
     )
-    system = _cat('{"resource_title":"System ', K, '","resource_type":"CollectionResource","abstract":"System abstract ', K, '","resource_url":"http://sys.org/', K, '"}')
-    inventory = _cat('[{"file_name":"a.CSV","extension":".CSV"},{"file_name":"b', K, '.csv","extension":".csv"},{"file_name":"README.md","extension":".md"}', left(3, 1, F.lit(',{"file_name":"g.tif","extension":".tif"}'), F.lit("")), "]")
-    part = _cat('<dc:relation><rdf:Description><dcterms:isPartOf rdf:resource="http://s.org/resource/', F.md5(K.cast("string")), '"/></rdf:Description></dc:relation><dc:relation><rdf:Description><dcterms:references>Book ', N, "</dcterms:references></rdf:Description></dc:relation>")
-    config = _cat("<hsterms:AppHomePageUrl><rdf:Description><hsterms:value>https://app", N, ".org</hsterms:value></rdf:Description></hsterms:AppHomePageUrl><hsterms:RequestUrlBase><rdf:Description><hsterms:value>https://r.org/%0Aq</hsterms:value></rdf:Description></hsterms:RequestUrlBase><hsterms:ToolIcon><rdf:Description><hsterms:data_url>data:image/png;base64,AA", N, "</hsterms:data_url></rdf:Description></hsterms:ToolIcon>")
-    kind = F.when(K % 6 == 1, "ToolResource").when(K % 6 == 2, "CollectionResource").otherwise("CompositeResource")
-    member = F.when(K % 6 == 2, _cat('<dc:relation><rdf:Description><dcterms:hasPart rdf:resource="http://s.org/resource/', F.md5(_cat("m", K)), '"/></rdf:Description></dc:relation>')).otherwise("")
-    xml = F.when(K % 10 == 7, "<broken").otherwise(_cat(RDF, "<hsterms:", kind, ">", part, member, F.when(K % 6 == 1, config).otherwise(""), "</hsterms:", kind, "></rdf:RDF>"))
-    files = [("meta_dump.json", left(20, 0, F.lit("{"), meta)), ("sys_meta_dump.json", system), ("file_inventory.json", inventory), ("raw_metadata.xml", xml), ("README.md", _cat("# Head ", N, "\nbody"))]
+    system = _cat('{"resource_title":"System ', key, '","resource_type":"CollectionResource","abstract":"System abstract ', key, '","resource_url":"http://sys.org/', key, '"}')
+    inventory = _cat('[{"file_name":"a.CSV","extension":".CSV"},{"file_name":"b', key, '.csv","extension":".csv"},{"file_name":"README.md","extension":".md"}', left(3, 1, F.lit(',{"file_name":"g.tif","extension":".tif"}'), F.lit("")), "]")
+    part = _cat('<dc:relation><rdf:Description><dcterms:isPartOf rdf:resource="http://s.org/resource/', F.md5(key.cast("string")), '"/></rdf:Description></dc:relation><dc:relation><rdf:Description><dcterms:references>Book ', nation, "</dcterms:references></rdf:Description></dc:relation>")
+    config = _cat("<hsterms:AppHomePageUrl><rdf:Description><hsterms:value>https://app", nation, ".org</hsterms:value></rdf:Description></hsterms:AppHomePageUrl><hsterms:RequestUrlBase><rdf:Description><hsterms:value>https://r.org/%0Aq</hsterms:value></rdf:Description></hsterms:RequestUrlBase><hsterms:ToolIcon><rdf:Description><hsterms:data_url>data:image/png;base64,AA", nation, "</hsterms:data_url></rdf:Description></hsterms:ToolIcon>")
+    kind = F.when(key % 6 == 1, "ToolResource").when(key % 6 == 2, "CollectionResource").otherwise("CompositeResource")
+    member = F.when(key % 6 == 2, _cat('<dc:relation><rdf:Description><dcterms:hasPart rdf:resource="http://s.org/resource/', F.md5(_cat("m", key)), '"/></rdf:Description></dc:relation>')).otherwise("")
+    xml = F.when(key % 10 == 7, "<broken").otherwise(_cat(RDF, "<hsterms:", kind, ">", part, member, F.when(key % 6 == 1, config).otherwise(""), "</hsterms:", kind, "></rdf:RDF>"))
+    files = [("meta_dump.json", left(20, 0, F.lit("{"), meta)), ("sys_meta_dump.json", system), ("file_inventory.json", inventory), ("raw_metadata.xml", xml), ("README.md", _cat("# Head ", nation, "\nbody"))]
     rows = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in files])
-    twin = F.when(K % 4 == 1, F.array(F.struct(F.lit("readme.txt").alias("name"), _cat("# Head ", N, "\r\nbody\n").alias("text")))).when(K % 4 == 2, F.array(F.struct(F.lit("readme.txt").alias("name"), F.lit("other").alias("text")))).when(K % 4 == 3, F.array(F.struct(F.lit("readme.txt").alias("name"), F.lit(" \n").alias("text")))).otherwise(F.array())
-    return read(spark, sf, "customer").select(F.md5(_cat("r", K)).alias("resource_id"), F.explode(F.concat(rows, twin)).alias("f")).select("resource_id", "f.*")
+    twin = F.when(key % 4 == 1, F.array(F.struct(F.lit("readme.txt").alias("name"), _cat("# Head ", nation, "\r\nbody\n").alias("text")))).when(key % 4 == 2, F.array(F.struct(F.lit("readme.txt").alias("name"), F.lit("other").alias("text")))).when(key % 4 == 3, F.array(F.struct(F.lit("readme.txt").alias("name"), F.lit(" \n").alias("text")))).otherwise(F.array())
+    return read(spark, sf, "customer").select(F.md5(_cat("r", key)).alias("resource_id"), F.explode(F.concat(rows, twin)).alias("f")).select("resource_id", "f.*")
 
 
 def built(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +61,7 @@ def record_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dataset_record_coverage",
-    f"""WITH {_C} SELECT resource_id, 'box' AS kind, CASE WHEN n = 0 THEN 0.5 ELSE n + 0.5 END AS northlimit, k::DOUBLE AS southlimit, '["m","km"]' AS units FROM c WHERE NOT broken AND k % 4 = 0""",
+    f"""WITH {_C} SELECT resource_id, 'box' AS kind, n + 0.5::DOUBLE AS northlimit, k::DOUBLE AS southlimit, '["m","km"]' AS units FROM c WHERE NOT broken AND k % 4 = 0""",
 )
 def record_coverage(spark: SparkSession, sf: str) -> DataFrame:
     s = lambda c: F.col(f"spatial_coverage.{c}")
