@@ -66,6 +66,15 @@ def dedup_edges(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("id").agg(F.min_by(F.struct(*columns), "ord").alias("first")).select("id", *[F.col(f"first.{c}").alias(c) for c in columns])
 
 
+def merge_edges(mentions: DataFrame) -> DataFrame:
+    """The first mention of each edge, with its id: compared by what the id is a hash of, so that an edge is hashed once and
+    columns that nobody reads are not carried."""
+    keys = ["source", "relation", "target", "inventory_id"]
+    rest = [c for c in mentions.columns if c not in keys]
+    merged = mentions.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("first"))
+    return merged.select(edge_id(*[F.col(c) for c in keys]).alias("id"), "relation", "inventory_id", "source", "target", *[F.col(f"first.{c}").alias(c) for c in rest])
+
+
 def duplicate_ids(rows: DataFrame) -> DataFrame:
     """id, times of ids that occur more than once."""
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")

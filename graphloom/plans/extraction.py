@@ -10,6 +10,7 @@ ord of a mention is (resource_id, phase, rank, place): first always means first
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import none_if_empty, short_hash, slugify, strip
 from ..functions.values import json_text
-from ..operators.graph import CURATED, REFERENCED, dedup_edges, edge_id, merge_nodes
+from ..operators.graph import CURATED, REFERENCED, merge_edges, merge_nodes
 from ..operators.records import first_rows, histogram
 
 # Vocabularies of the records.
@@ -44,6 +45,9 @@ tool_config struct<app_home_page_url:string,request_url_base:string,request_url_
 links {_RELATION}, typed_relations {_RELATION}, related_resources {_RELATION}, relations_from_meta {_RELATION},
 geospatial_relations array<struct<name:string,predicate_qname:string,target:string,embedded_urls:array<string>>>"""
 
+#: Relations of the graph.
+RELATIONS = ("hasResourceType", "hasCreator", "hasContributor", "affiliatedWith", "hasIdentifier", "hasLicense", "hasSubject", "hasSpatialCoverage", "coversPeriod", "fundedBy", "hasFile", "hasToolConfig", "launchesApp", "hasMember", "isMemberOf", "derivedFrom", "references", "isExecutedBy", "referencesFeature")
+
 _EVIDENCE = "struct<evidenceText:string,sourceLocation:string,extractionMethod:string,sourceArtifact:string>"
 _NODE = f"array<struct<id:string,class:string,inventory_id:string,attributes:map<string,string>,evidence:{_EVIDENCE},curation_status:string>>"
 _EDGE = f"array<struct<relation:string,inventory_id:string,source:string,target:string,evidence:{_EVIDENCE},attributes:map<string,string>>>"
@@ -71,14 +75,29 @@ def _spaced(pairs: list[tuple[str, Column]]) -> Column:
     return _cat("{", F.concat_ws(", ", *parts), "}")
 
 
+def _all(arrays: list[Column]) -> Column | None:
+    return F.concat(*arrays) if arrays else None
+
+
+def _union(parts: list[DataFrame | None]) -> DataFrame | None:
+    given = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, given) if given else None
+
+
 class Rules:
     """Builds mention structs for records whose columns are in scope."""
 
-    def __init__(self, artifact: str = "dataset", service: str = "service"):
-        self.artifact, self.service = artifact, service
+    def __init__(self, artifact: str = "dataset", service: str = "service", only: frozenset[str] | None = None, told: bool = True):
+        """only: the classes and relations that are asked for (None: all); told: whether evidence and attributes are, too."""
+        self.artifact, self.service, self.only, self.told = artifact, service, only, told
         self.resource = F.col("resource_id")
 
+    def wants(self, *names: str) -> bool:
+        return self.only is None or not self.only.isdisjoint(names)
+
     def evidence(self, said: Column, place: Column | str, resource: Column | None = None) -> Column:
+        if not self.told:
+            return F.lit(None).cast(_EVIDENCE)
         place = F.lit(place) if isinstance(place, str) else place
         resource = self.resource if resource is None else resource
         return F.struct(F.coalesce(strip(said), F.lit("")).alias("evidenceText"), _cat(resource, ":", place).alias("sourceLocation"), F.lit("deterministic").alias("extractionMethod"), _cat(f"{self.artifact}:", resource).alias("sourceArtifact"))
@@ -89,21 +108,25 @@ class Rules:
 
     def edge(self, relation: str, inventory: str, source: Column, target: Column, evidence: Column, attributes: Column | None = None) -> Column:
         none = F.create_map().cast("map<string,string>")
+        attributes = attributes if self.told else None
         return F.struct(F.lit(relation).alias("relation"), F.lit(inventory).alias("inventory_id"), source.alias("source"), target.alias("target"), evidence.alias("evidence"), (none if attributes is None else attributes).alias("attributes"))
 
-    def local(self) -> tuple[Column, Column, Column]:
-        """Arrays of node mentions, edge mentions and skip reasons that a record gives by itself."""
+    def local(self) -> tuple[Column | None, Column | None, Column]:
+        """Arrays of node mentions, edge mentions and skip reasons that a record gives by itself; None where no rule is asked for."""
         nodes, edges, skips = [], [], []
         r, filled = self.resource, lambda c: F.coalesce(c != "", F.lit(False))
 
-        def one(when: Column, column: Column, to: list, kind: str) -> None:
-            to.append(F.when(when, F.array(column)).otherwise(F.array()).cast(kind))
+        def one(name: str, when: Column, build, to: list, kind: str) -> None:
+            if self.wants(name):
+                to.append(F.when(when, F.array(build())).otherwise(F.array()).cast(kind))
 
         def skip(when: Column, reason) -> None:
             skips.append(F.when(when, F.array(F.lit(reason) if isinstance(reason, str) else reason)).otherwise(F.array().cast("array<string>")))
 
-        def each(field: str, build, to: list, kind: str, when: Column | None = None, keep=None) -> None:
+        def each(name: str, field: str, build, to: list, kind: str, when: Column | None = None, keep=None) -> None:
             """One mention a member of a list; keep filters members by what they hold."""
+            if not self.wants(name):
+                return
             rows = F.transform(F.coalesce(F.col(field), F.array()), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
             if keep is not None:
                 rows = F.filter(rows, lambda s: keep(s["x"]))
@@ -113,67 +136,67 @@ class Rules:
         kind, title = F.col("resource_type"), F.col("title")
         skip(~F.coalesce(kind.isin(COMPOSITE, COLLECTION, TOOL), F.lit(False)), _cat("unknown_resource_type:", F.coalesce(none_if_empty(kind), F.lit("missing"))))
         own = _texts(resourceId=r, resourceType=kind, title=title, citation=F.col("citation"), abstract=F.col("abstract"), documentation=F.col("documentation"), language=F.col("language"), identifier=F.col("identifier"), url=F.col("url"))
-        one(F.lit(True), self.node(r, "DatasetResource", "A-D01", own, self.evidence(_spaced([("title", json_text(title)), ("abstract", json_text(F.col("abstract")))]), "$")), nodes, _NODE)
+        one("DatasetResource", F.lit(True), lambda: self.node(r, "DatasetResource", "A-D01", own, self.evidence(_spaced([("title", json_text(title)), ("abstract", json_text(F.col("abstract")))]), "$")), nodes, _NODE)
         type_key, type_said = _cat("resource-type:", slugify(kind)), self.evidence(kind, "resource_type")
-        one(filled(kind), self.node(type_key, "ResourceType", "A-D02", _texts(label=kind), type_said), nodes, _NODE)
-        one(filled(kind), self.edge("hasResourceType", "C-D01", r, type_key, type_said), edges, _EDGE)
+        one("ResourceType", filled(kind), lambda: self.node(type_key, "ResourceType", "A-D02", _texts(label=kind), type_said), nodes, _NODE)
+        one("hasResourceType", filled(kind), lambda: self.edge("hasResourceType", "C-D01", r, type_key, type_said), edges, _EDGE)
         skip(~filled(kind), "missing:resource_type")
 
         for field, relation, inventory in (("creators", "hasCreator", "C-D03"), ("contributors", "hasContributor", "C-DC05/A-AG")):
-            each(field, self._person, nodes, _NODE)
+            each("Person", field, self._person, nodes, _NODE)
 
             def authored(p, at, relation=relation, inventory=inventory, field=field):
                 order = F.when(p["creator_order"].isNotNull(), F.create_map(F.lit("creatorOrder"), p["creator_order"].cast("string"))) if field == "creators" else None
                 return self.edge(relation, inventory, r, p["key"]["id"], self.evidence(p["name"], at), F.coalesce(order, F.create_map().cast("map<string,string>")) if order is not None else None)
 
-            each(field, authored, edges, _EDGE)
+            each(relation, field, authored, edges, _EDGE)
             has_org = lambda p: F.coalesce(p["organization"] != "", F.lit(False))
             org_said = lambda p, at: self.evidence(p["organization"], _cat(at, ".organization"))
             org_key = lambda p: p["org"]
-            each(field, lambda p, at: self.node(org_key(p)["id"], "Organization", "A-AG02", _texts(name=p["organization"], identifierRegime=org_key(p)["regime"], ror=org_key(p)["ror"]), org_said(p, at)), nodes, _NODE, keep=has_org)
-            each(field, lambda p, at: self.edge("affiliatedWith", "A-AG-R1", p["key"]["id"], org_key(p)["id"], org_said(p, at)), edges, _EDGE, keep=has_org)
+            each("Organization", field, lambda p, at: self.node(org_key(p)["id"], "Organization", "A-AG02", _texts(name=p["organization"], identifierRegime=org_key(p)["regime"], ror=org_key(p)["ror"]), org_said(p, at)), nodes, _NODE, keep=has_org)
+            each("affiliatedWith", field, lambda p, at: self.edge("affiliatedWith", "A-AG-R1", p["key"]["id"], org_key(p)["id"], org_said(p, at)), edges, _EDGE, keep=has_org)
 
         for field in ("identifier", "url"):
             value = F.col(field)
             new = filled(value) if field == "identifier" else filled(value) & ~F.coalesce(value == F.col("identifier"), F.lit(False))
             said = self.evidence(value, field)
-            one(new, self.node(ids.identifier_key(value), "Identifier", "A-ID01", _texts(identifierValue=value, identifierType=F.lit("URL")), said), nodes, _NODE)
-            one(new, self.edge("hasIdentifier", "C-D04", r, ids.identifier_key(value), said), edges, _EDGE)
+            one("Identifier", new, lambda value=value, said=said: self.node(ids.identifier_key(value), "Identifier", "A-ID01", _texts(identifierValue=value, identifierType=F.lit("URL")), said), nodes, _NODE)
+            one("hasIdentifier", new, lambda value=value, said=said: self.edge("hasIdentifier", "C-D04", r, ids.identifier_key(value), said), edges, _EDGE)
 
         statement, rights_url = F.col("rights.statement"), F.col("rights.url")
         licensed = F.col("rights").isNotNull() & (statement.isNotNull() | rights_url.isNotNull())
         license_said = self.evidence(F.coalesce(none_if_empty(statement), rights_url), "rights")
         license_key = ids.license_key(rights_url, statement)
-        one(licensed, self.node(license_key, "License", "A-D05", _texts(statement=statement, url=rights_url, spdxId=ids.spdx_of_url(rights_url)), license_said), nodes, _NODE)
-        one(licensed, self.edge("hasLicense", "C-D05", r, license_key, license_said), edges, _EDGE)
+        one("License", licensed, lambda: self.node(license_key, "License", "A-D05", _texts(statement=statement, url=rights_url, spdxId=ids.spdx_of_url(rights_url)), license_said), nodes, _NODE)
+        one("hasLicense", licensed, lambda: self.edge("hasLicense", "C-D05", r, license_key, license_said), edges, _EDGE)
 
-        each("subjects", lambda s, at: self.node(ids.subject_key(s), "Subject", "A-D06", _texts(label=s), self.evidence(s, at)), nodes, _NODE)
-        each("subjects", lambda s, at: self.edge("hasSubject", "C-D06", r, ids.subject_key(s), self.evidence(s, at)), edges, _EDGE)
+        each("Subject", "subjects", lambda s, at: self.node(ids.subject_key(s), "Subject", "A-D06", _texts(label=s), self.evidence(s, at)), nodes, _NODE)
+        each("hasSubject", "subjects", lambda s, at: self.edge("hasSubject", "C-D06", r, ids.subject_key(s), self.evidence(s, at)), edges, _EDGE)
 
         for field, suffix, klass, inventory, relation, edge_inventory in (("spatial_coverage", ":spatial", "SpatialCoverage", "A-D07→A-DOM09", "hasSpatialCoverage", "C-D07"), ("temporal_coverage", ":temporal", "TemporalCoverage", "A-D08→A-DOM10", "coversPeriod", "C-D08")):
             parts = [(n, F.col(f"{field}.{n}").cast("string") if n.endswith("limit") else json_text(F.col(f"{field}.{n}"))) for n in (("eastlimit", "northlimit", "projection", "southlimit", "type", "units", "westlimit") if field == "spatial_coverage" else ("end", "start"))]
             said, key = self.evidence(_spaced(parts), field), _cat(r, suffix)
-            one(F.col(field).isNotNull(), self.node(key, klass, inventory, F.create_map(*[x for n, v in parts for x in (F.lit(n), v)]), said), nodes, _NODE)
-            one(F.col(field).isNotNull(), self.edge(relation, edge_inventory, r, key, said), edges, _EDGE)
+            one(klass, F.col(field).isNotNull(), lambda key=key, klass=klass, inventory=inventory, parts=parts, said=said: self.node(key, klass, inventory, F.create_map(*[x for n, v in parts for x in (F.lit(n), v)]), said), nodes, _NODE)
+            one(relation, F.col(field).isNotNull(), lambda key=key, relation=relation, edge_inventory=edge_inventory, said=said: self.edge(relation, edge_inventory, r, key, said), edges, _EDGE)
 
         award_key = lambda a: ids.award_key(a["funding_agency_name"], a["number"], a["title"])
         whole_award = lambda a: _spaced([(n, json_text(a[n])) for n in ("funding_agency_name", "funding_agency_url", "number", "title")])
         award_said = lambda a, at: self.evidence(F.coalesce(none_if_empty(a["title"]), none_if_empty(a["number"]), whole_award(a)), at)
-        each("awards", lambda a, at: self.node(award_key(a), "Award", "A-D09", _texts(title=a["title"], number=a["number"], fundingAgencyName=a["funding_agency_name"], fundingAgencyUrl=a["funding_agency_url"]), award_said(a, at)), nodes, _NODE)
-        each("awards", lambda a, at: self.edge("fundedBy", "C-D09 / A-AG-R2", r, award_key(a), award_said(a, at)), edges, _EDGE)
+        each("Award", "awards", lambda a, at: self.node(award_key(a), "Award", "A-D09", _texts(title=a["title"], number=a["number"], fundingAgencyName=a["funding_agency_name"], fundingAgencyUrl=a["funding_agency_url"]), award_said(a, at)), nodes, _NODE)
+        each("fundedBy", "awards", lambda a, at: self.edge("fundedBy", "C-D09 / A-AG-R2", r, award_key(a), award_said(a, at)), edges, _EDGE)
         agency = lambda a: ids.organization_key(a["funding_agency_name"], a["funding_agency_url"])
         has_agency = lambda a: F.coalesce(a["funding_agency_name"] != "", F.lit(False))
         agency_said = lambda a, at: self.evidence(a["funding_agency_name"], _cat(at, ".funding_agency_name"))
-        each("awards", lambda a, at: self.node(agency(a)["id"], "Organization", "A-AG02", _texts(name=a["funding_agency_name"], identifierRegime=agency(a)["regime"], ror=agency(a)["ror"], url=a["funding_agency_url"]), agency_said(a, at)), nodes, _NODE, keep=has_agency)
-        each("awards", lambda a, at: self.edge("fundedBy", "A-AG-R2", award_key(a), agency(a)["id"], agency_said(a, at)), edges, _EDGE, keep=has_agency)
+        each("Organization", "awards", lambda a, at: self.node(agency(a)["id"], "Organization", "A-AG02", _texts(name=a["funding_agency_name"], identifierRegime=agency(a)["regime"], ror=agency(a)["ror"], url=a["funding_agency_url"]), agency_said(a, at)), nodes, _NODE, keep=has_agency)
+        each("fundedBy", "awards", lambda a, at: self.edge("fundedBy", "A-AG-R2", award_key(a), agency(a)["id"], agency_said(a, at)), edges, _EDGE, keep=has_agency)
 
         composite, tool = F.coalesce(kind == COMPOSITE, F.lit(False)), F.coalesce(kind == TOOL, F.lit(False))
         whole_file = lambda f: _spaced([(n, json_text(f[n])) for n in ("checksum", "extension", "file_name", "file_path")])
         compact = lambda f: F.to_json(f, {"ignoreNullFields": "false"})
         file_key = lambda f: ids.file_key(r, f["file_path"], f["file_name"], compact(f))
         file_said = lambda f, at: self.evidence(F.coalesce(none_if_empty(f["file_name"]), whole_file(f)), at)
-        each("files", lambda f, at: self.node(file_key(f), "DatasetFile", "A-D03", _texts(fileName=f["file_name"], filePath=f["file_path"], extension=f["extension"], checksum=f["checksum"]), file_said(f, at)), nodes, _NODE, composite)
-        each("files", lambda f, at: self.edge("hasFile", "C-D02", r, file_key(f), file_said(f, at)), edges, _EDGE, composite)
+        each("DatasetFile", "files", lambda f, at: self.node(file_key(f), "DatasetFile", "A-D03", _texts(fileName=f["file_name"], filePath=f["file_path"], extension=f["extension"], checksum=f["checksum"]), file_said(f, at)), nodes, _NODE, composite)
+        each("hasFile", "files", lambda f, at: self.edge("hasFile", "C-D02", r, file_key(f), file_said(f, at)), edges, _EDGE, composite)
         shown = F.coalesce(kind, F.lit("None"))
         skip(~composite & (F.size(F.coalesce(F.col("files"), F.array())) > 0), _cat("unexpected_files_for_type:", shown))
 
@@ -186,13 +209,13 @@ class Rules:
         listed = lambda c: F.to_json(F.col(f"tool_config.{c}"))
         texts = {"descriptor": descriptor, "launchURL": launch} | {n: F.col(f"tool_config.{c}") for n, c in (("requestUrlBase", "request_url_base"), ("requestUrlBaseFile", "request_url_base_file"), ("toolVersion", "tool_version"), ("testingProtocolUrl", "testing_protocol_url"), ("toolIconUrl", "tool_icon_url"))}
         lists = F.create_map(F.lit("supportedFileExtensions"), listed("supported_file_extensions"), F.lit("supportedResourceTypes"), listed("supported_resource_types"), F.lit("supportedSharingStatus"), listed("supported_sharing_status"))
-        one(configured, self.node(config_key, "ToolConfiguration", "A-D10", F.map_concat(_texts(**texts), lists), config_said), nodes, _NODE)
-        one(configured, self.edge("hasToolConfig", "C-D10", r, config_key, config_said), edges, _EDGE)
+        one("ToolConfiguration", configured, lambda: self.node(config_key, "ToolConfiguration", "A-D10", F.map_concat(_texts(**texts), lists), config_said), nodes, _NODE)
+        one("hasToolConfig", configured, lambda: self.edge("hasToolConfig", "C-D10", r, config_key, config_said), edges, _EDGE)
         launched, host = configured & filled(launch), ids.authority(launch)
         launch_said = self.evidence(launch, "tool_config.app_home_page_url")
-        one(launched, self.node(ids.tool_key(launch, title), "Tool", "A-DOM02", _texts(name=F.coalesce(none_if_empty(title), host), launchURL=launch, host=host), launch_said), nodes, _NODE)
-        one(launched, self.edge("launchesApp", "C-D11", config_key, ids.tool_key(launch, title), launch_said), edges, _EDGE)
-        return F.concat(*nodes), F.concat(*edges), F.concat(*skips)
+        one("Tool", launched, lambda: self.node(ids.tool_key(launch, title), "Tool", "A-DOM02", _texts(name=F.coalesce(none_if_empty(title), host), launchURL=launch, host=host), launch_said), nodes, _NODE)
+        one("launchesApp", launched, lambda: self.edge("launchesApp", "C-D11", config_key, ids.tool_key(launch, title), launch_said), edges, _EDGE)
+        return _all(nodes), _all(edges), F.concat(*skips)
 
     def geospatial(self) -> tuple[Column, Column, Column]:
         """Mentions of the geospatial relations, which come after other relations."""
@@ -211,7 +234,8 @@ class Rules:
         return F.concat(F.coalesce(p["identifiers"], F.array().cast(_IDENT)), F.transform(listed, lambda i: F.struct(i["id_type"].alias("id_type"), i["url"].alias("url"))))
 
     def with_keys(self, records: DataFrame) -> DataFrame:
-        """Records whose people carry their key, all known identifiers and the key of their organization, found once."""
+        """Records whose people carry their key, all known identifiers and the key of their organization, found once; each only
+        where a rule that is asked for reads it."""
         for field, named in (("creators", "creator_identifiers"), ("contributors", "contributor_identifiers")):
             records = records.withColumn(field, self._keyed(field, named))
         return records
@@ -219,7 +243,13 @@ class Rules:
     def _keyed(self, field: str, named: str) -> Column:
         def keyed(p: Column) -> Column:
             known = self._known(p, named)
-            return p.withField("known", known).withField("key", ids.person_key(p["name"], known)).withField("org", ids.organization_key(p["organization"], F.lit(None).cast("string")))
+            if self.wants("Person"):
+                p = p.withField("known", known)
+            if self.wants("Person", "hasCreator", "hasContributor", "affiliatedWith", "hasIdentifier"):
+                p = p.withField("key", ids.person_key(p["name"], known))
+            if self.wants("Organization", "affiliatedWith"):
+                p = p.withField("org", ids.organization_key(p["organization"], F.lit(None).cast("string")))
+            return p
 
         return F.transform(F.col(field), keyed)
 
@@ -274,8 +304,12 @@ _RELATION_RULES = (
 )
 
 
-def _entries(records: DataFrame, service_fields: dict[str, str]) -> DataFrame:
-    """One row a relation entry and rule, the first of each key."""
+#: classes of the nodes that a relation's targets are
+_TARGETS = {"hasMember": ("DatasetResource",), "isMemberOf": ("DatasetResource",), "derivedFrom": ("DatasetResource",), "references": ("DatasetResource", "Paper", "Repository"), "isExecutedBy": ("Tool",)}
+
+
+def _entries(records: DataFrame, rules: Rules, service_fields: dict[str, str]) -> DataFrame:
+    """One row a relation entry and rule that is asked for, the first of each key."""
     def asked(phase: int, relation: str, inventory: str, rank: int, field: str, predicates: tuple[str, ...]) -> Column:
         def row(e: Column, i: Column) -> Column:
             predicate = F.coalesce(none_if_empty(e["predicate_qname"]), F.when(F.lower(strip(e["relation_label"])) == EXECUTED_LABEL, EXECUTED))
@@ -294,14 +328,14 @@ def _entries(records: DataFrame, service_fields: dict[str, str]) -> DataFrame:
 
         return F.filter(F.transform(F.coalesce(F.col(field), F.array()), row), lambda s: s["predicate"].isin(*predicates))
 
-    asked = [asked(phase, relation, inventory, rank, field, predicates) for phase, relation, inventory, fields, predicates in _RELATION_RULES for rank, field in enumerate(fields)]
+    asked = [asked(phase, relation, inventory, rank, field, predicates) for phase, relation, inventory, fields, predicates in _RELATION_RULES if rules.wants(relation, *_TARGETS[relation]) for rank, field in enumerate(fields)]
     rows = records.select("resource_id", "resource_type", F.explode(F.concat(*asked)).alias("e")).select("resource_id", "resource_type", "e.*")
     rows = rows.filter((F.col("relation") != "hasMember") | (F.col("resource_type") == COLLECTION))
     return first_rows(rows, ["resource_id", "phase", "predicate", "explicit", "target"], ["field_rank", "index"])
 
 
 def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    entries = _entries(records, service_fields)
+    entries = _entries(records, rules, service_fields)
     dataset = dataset_target(F.col("explicit"), F.col("target"), F.col("urls"))
     tool_target = F.coalesce(none_if_empty(F.col("explicit")), ids.resource_id(F.col("target")))
     entries = entries.withColumn("wanted", F.when(F.col("relation") == "isExecutedBy", tool_target).otherwise(dataset))
@@ -311,7 +345,10 @@ def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str])
     # an entry without a target is shown whole
     whole = _spaced([("predicate_qname", json_text(F.col("predicate"))), ("target", json_text(F.col("target"))), ("target_resource_id", json_text(F.col("explicit"))), ("embedded_urls", F.to_json("urls"))])
     entries = entries.withColumn("shown", F.coalesce(none_if_empty(F.col("parts.said")), whole))
-    rows = entries.join(corpus, F.col("wanted") == F.col("known_id"), "left")
+    if rules.wants("isExecutedBy", *(c for cs in _TARGETS.values() for c in cs)):
+        rows = entries.join(corpus, F.col("wanted") == F.col("known_id"), "left")
+    else:  # an edge to a dataset has its id as target, in the corpus or not
+        rows = entries.select("*", *[F.lit(None).cast("string").alias(c) for c in corpus.columns])
     refers, executes, kind, wanted, first = F.col("relation") == "references", F.col("relation") == "isExecutedBy", F.col("found.kind"), F.col("wanted"), F.col("first")
     case = (
         F.when(executes & F.coalesce(F.col("known_type") == TOOL, F.lit(False)), "own_tool")
@@ -361,21 +398,20 @@ def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str])
     )
     element = _NODE[6:-1]
     node = rules.node(key, "", "", attributes, told, status).withField("class", named(klass)).withField("inventory_id", named({c: inventory[k] for c, k in klass.items()}))
-    resolved = rows.withColumn("node", F.when(F.col("case").isNotNull(), node.cast(element)))
     ordered = F.struct("resource_id", "phase", F.col("field_rank").alias("rank"), F.col("index").alias("place"))
-    hit = resolved.filter(F.col("node").isNotNull()).withColumn("ord", ordered)
-    nodes = hit.select("node.*", "ord")
-    edges = hit.select("relation", F.col("inventory").alias("inventory_id"), F.col("resource_id").alias("source"), F.col("node.id").alias("target"), here.alias("evidence"), _texts(predicateQName=F.col("predicate")).alias("attributes"), "ord")
+    hit = rows.filter(F.col("case").isNotNull()).withColumn("ord", ordered)
+    nodes = hit.select(node.cast(element).alias("node"), "ord").select("node.*", "ord")
+    edges = hit.select("relation", F.col("inventory").alias("inventory_id"), F.col("resource_id").alias("source"), key.alias("target"), here.alias("evidence"), _texts(predicateQName=F.col("predicate")).alias("attributes"), "ord")
     reason = (
         F.when(refers, _cat("deferred_to_llm:reference_target:", F.col("predicate")))
         .when(executes, F.lit("deferred_to_llm:isExecutedBy_target"))
         .when(F.col("relation") == "derivedFrom", _cat("unresolved_derivedFrom_target:", F.col("predicate")))
         .otherwise(_cat("unresolved_", F.col("relation"), "_target"))
     )
-    return nodes, edges, resolved.filter(F.col("node").isNull()).select(reason.alias("reason"))
+    return nodes, edges, rows.filter(F.col("case").isNull()).select(reason.alias("reason"))
 
 
-def _person_identifiers(records: DataFrame, people: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _person_identifiers(records: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Identifiers of people, and the edges from the person that was first mentioned under the name until then.
 
     A person's name is the first one given; once another is given for the same person, the name matches no more."""
@@ -400,7 +436,17 @@ def _person_identifiers(records: DataFrame, people: DataFrame, rules: Rules) ->
     )
     rows = rows.withColumn("bad", bad).withColumn("orcid", orcid)
     good = rows.filter(F.col("bad").isNull())
-    stated = people.select("id", F.get_json_object(_cat('{"n":', F.coalesce(F.col("attributes")["name"], F.lit("null")), "}"), "$.n").alias("name"), "ord")
+    said = rules.evidence(F.col("url"), F.col("at"))
+    key = ids.identifier_key(F.col("url"))
+    element = _NODE[6:-1]
+    nodes = good.select(rules.node(key, "Identifier", "A-ID01", _texts(identifierValue=F.col("url"), identifierType=F.col("id_type"), normalizedValue=F.col("orcid")), said).cast(element).alias("n"), "ord").select("n.*", "ord")
+    edges = _person_edges(records, good, key, said) if rules.wants("hasIdentifier") else None
+    return nodes, edges, rows.filter(F.col("bad").isNotNull()).select(F.col("bad").alias("reason"))
+
+
+def _person_edges(records: DataFrame, good: DataFrame, key: Column, said: Column) -> DataFrame:
+    named = [F.transform(F.coalesce(F.col(field), F.array()), lambda p: F.struct(p["key"]["id"].alias("id"), p["name"].alias("name"))) for field in ("creators", "contributors")]
+    stated = records.select("resource_id", F.posexplode(F.concat(*named)).alias("place", "p")).select("p.*", F.struct("resource_id", F.lit(0).alias("phase"), F.lit(0).alias("rank"), "place").alias("ord"))
     first = stated.groupBy("id").agg(F.min("ord").alias("since"), F.min_by(F.struct("name", "ord"), "ord").alias("_"), F.min(F.when(F.col("name").isNotNull(), F.struct("ord", "name"))).alias("named"))
     other = stated.join(first.select(F.col("id").alias("_id"), F.col("named.name").alias("_name")), F.col("id") == F.col("_id")).filter(F.col("name") != F.col("_name")).groupBy("id").agg(F.min("ord").alias("until"))
     valid = first.join(other, "id", "left")
@@ -408,18 +454,12 @@ def _person_identifiers(records: DataFrame, people: DataFrame, rules: Rules) ->
     # people without a name match rows without one
     joined = good.join(valid, good["person_name"].eqNullSafe(valid["valid_name"]) & (valid["from"] < good["ord"]) & (valid["until"].isNull() | (valid["until"] > good["ord"])), "left")
     picked = joined.groupBy(*good.columns).agg(F.min_by("person", "since").alias("person"))
-    said = rules.evidence(F.col("url"), F.col("at"))
-    key = ids.identifier_key(F.col("url"))
-    element = _NODE[6:-1]
-    nodes = picked.select(rules.node(key, "Identifier", "A-ID01", _texts(identifierValue=F.col("url"), identifierType=F.col("id_type"), normalizedValue=F.col("orcid")), said).cast(element).alias("n"), "ord").select("n.*", "ord")
     none = F.create_map().cast("map<string,string>")
-    edges = picked.select(F.lit("hasIdentifier").alias("relation"), F.lit("A-ID01 (ID-R1)").alias("inventory_id"), F.coalesce("person", "fallback").alias("source"), key.alias("target"), said.alias("evidence"), none.alias("attributes"), "ord")
-    return nodes, edges, rows.filter(F.col("bad").isNotNull()).select(F.col("bad").alias("reason"))
+    return picked.select(F.lit("hasIdentifier").alias("relation"), F.lit("A-ID01 (ID-R1)").alias("inventory_id"), F.coalesce("person", "fallback").alias("source"), key.alias("target"), said.alias("evidence"), none.alias("attributes"), "ord")
 
 
-def extract(records: DataFrame, artifact: str = "dataset", service: str = "service", handled: tuple[str, ...] = (), field_names: dict[str, str] | None = None) -> Graph:
-    """The graph of dataset records (see RECORD). Columns beyond RECORD that hold something are told as skipped."""
-    rules = Rules(artifact, service)
+def _mentions(records: DataFrame, rules: Rules, handled: tuple[str, ...] = (), field_names: dict[str, str] | None = None) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """Mentions of nodes and of edges that the rules asked for give (None: no rule), and the reasons of what is skipped."""
     required = records.withColumn("resource_id", F.when(F.col("resource_id") != "", F.col("resource_id")).otherwise(F.raise_error(F.lit("a record has no resource_id")).cast("string")))
     required = rules.with_keys(required)
     nodes, edges, skips = rules.local()
@@ -427,20 +467,46 @@ def extract(records: DataFrame, artifact: str = "dataset", service: str = "servi
     known = {f.split()[0] for f in ("resource_id resource_type title abstract citation documentation language identifier url creators contributors creator_identifiers contributor_identifiers rights subjects spatial_coverage temporal_coverage awards files tool_config links typed_relations related_resources relations_from_meta geospatial_relations").split()} | set(handled)
     spare = [F.when(F.coalesce(~F.col(f.name).cast("string").isin("", "[]", "{}"), F.lit(False)), _cat("unmapped_top_level_field:", F.coalesce(none_if_empty(F.col("resource_type")), F.lit("unknown")), f":{f.name}")) for f in records.schema.fields if f.name not in known]
     spare = F.filter(F.array(*spare), lambda x: x.isNotNull()) if spare else F.array().cast("array<string>")
-    # agents come first, their identifiers next (phase 1), the other local mentions after
-    local = required.select("resource_id", nodes.alias("nodes"), edges.alias("edges"), geo_nodes.alias("geo_nodes"), geo_edges.alias("geo_edges"), F.concat(skips, geo_skips, spare).alias("skips"))
 
-    def mentions(column: str, phase) -> DataFrame:
-        rows = local.select("resource_id", F.posexplode(column).alias("place", "m")).select("m.*", "resource_id", "place")
+    def mentions(column: Column | None, phase) -> DataFrame | None:
+        if column is None:
+            return None
+        # a column first: what stands inside of explode is not compiled
+        rows = required.select("resource_id", column.alias("ms")).select("resource_id", F.posexplode("ms").alias("place", "m")).select("m.*", "resource_id", "place")
         at = F.struct("resource_id", F.lit(phase).alias("phase") if isinstance(phase, int) else phase(rows).alias("phase"), F.lit(0).alias("rank"), "place")
         return rows.withColumn("ord", at).drop("resource_id", "place")
 
+    # agents come first, their identifiers next (phase 1), the other local mentions after
     early = lambda rows: F.when(F.col("class").isin("DatasetResource", "ResourceType", "Person") | ((F.col("class") == "Organization") & ~F.contains("evidence.sourceLocation", F.lit(":awards["))), 0).otherwise(1)
-    local_nodes = mentions("nodes", lambda rows: early(rows) * 1)
-    person_nodes, person_edges, person_skips = _person_identifiers(required, local_nodes.filter("class = 'Person'"), rules)
-    relation_nodes, relation_edges, relation_skips = _relations(required, rules, field_names or {})
-    all_nodes = local_nodes.unionByName(mentions("geo_nodes", 6)).unionByName(person_nodes).unionByName(relation_nodes)
-    all_edges = mentions("edges", 0).unionByName(mentions("geo_edges", 6)).unionByName(person_edges).unionByName(relation_edges)
-    keyed = all_edges.withColumn("id", edge_id(F.col("source"), F.col("relation"), F.col("target"), F.col("inventory_id")))
-    reasons = local.select(F.explode("skips").alias("reason")).unionByName(person_skips).unionByName(relation_skips)
-    return Graph(merge_nodes(all_nodes).drop("ord"), dedup_edges(keyed).drop("ord"), histogram(reasons, "reason"))
+    told_nodes, told_edges = [mentions(nodes, lambda rows: early(rows) * 1)], [mentions(edges, 0)]
+    reasons = required.select(F.explode(F.concat(skips, geo_skips, spare)).alias("reason"))
+    if rules.wants("HydrologicFeature", "referencesFeature"):
+        told_nodes.append(mentions(geo_nodes, 6))
+        told_edges.append(mentions(geo_edges, 6))
+    further = [_person_identifiers(required, rules)] if rules.wants("Identifier", "hasIdentifier") else []
+    if rules.wants(*_TARGETS, *(c for cs in _TARGETS.values() for c in cs)):
+        further.append(_relations(required, rules, field_names or {}))
+    for more_nodes, more_edges, more_reasons in further:
+        told_nodes.append(more_nodes)
+        told_edges.append(more_edges)
+        reasons = reasons.unionByName(more_reasons)
+    return _union(told_nodes), _union(told_edges), reasons
+
+
+def extract(records: DataFrame, artifact: str = "dataset", service: str = "service", handled: tuple[str, ...] = (), field_names: dict[str, str] | None = None) -> Graph:
+    """The graph of dataset records (see RECORD). Columns beyond RECORD that hold something are told as skipped."""
+    nodes, edges, reasons = _mentions(records, Rules(artifact, service), handled, field_names)
+    return Graph(merge_nodes(nodes).drop("ord"), merge_edges(edges).drop("ord"), histogram(reasons, "reason"))
+
+
+def extract_edges(records: DataFrame, *relations: str, artifact: str = "dataset", service: str = "service", field_names: dict[str, str] | None = None, told: bool = True) -> DataFrame:
+    """The edges of some relations of the graph (none named: of all), by their rules alone. Without told they carry neither
+    evidence nor attributes, for counts and patterns."""
+    only = frozenset(relations) or frozenset(RELATIONS)
+    return merge_edges(_mentions(records, Rules(artifact, service, only, told), field_names=field_names)[1].filter(F.col("relation").isin(*only))).drop("ord")
+
+
+def extract_nodes(records: DataFrame, *classes: str, artifact: str = "dataset", service: str = "service", field_names: dict[str, str] | None = None) -> DataFrame:
+    """The nodes of some classes of the graph, by the rules that state them alone. Mentions of one id must be of one class, as
+    they are unless a record's own id looks like the key of another class."""
+    return merge_nodes(_mentions(records, Rules(artifact, service, frozenset(classes)), field_names=field_names)[0].filter(F.col("class").isin(*classes))).drop("ord")
