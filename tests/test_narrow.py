@@ -8,7 +8,7 @@ from graphloom.plans.extraction import RECORD, extract, extract_edges, extract_n
 from .conftest import SF
 from .test_extraction import RECORDS
 
-NAMES = ["affiliatedWith", "coversPeriod", "fundedBy", "hasContributor", "hasCreator", "hasFile", "hasIdentifier", "hasLicense", "hasMember", "hasResourceType", "hasSpatialCoverage", "hasSubject", "hasToolConfig", "isExecutedBy", "isMemberOf", "launchesApp", "references", "referencesFeature", "derivedFrom"]
+NAMES = ["affiliatedWith", "coversPeriod", "fundedBy", "hasContributor", "hasCreator", "hasFile", "hasIdentifier", "hasLicense", "hasMember", "hasResourceType", "hasSpatialCoverage", "hasSubject", "hasToolConfig", "isExecutedBy", "isMemberOf", "launchesApp", "references", "referencesFeature", "derivedFrom", "Organization"]
 
 
 @pytest.fixture(scope="module")
