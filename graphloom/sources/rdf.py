@@ -99,9 +99,12 @@ class _Meaning:
 
     @staticmethod
     def once(values: Column, key) -> Column:
-        """The first member of each key."""
-        keys = F.transform(values, lambda v: key(v))
-        return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == i + 1)
+        """The first member of each key, in order: equal keys lie side by side once sorted, so no member is sought in all others.
+        The sorted array is a member of an array of one, since lambdas evaluate what they name anew for each member."""
+        named = F.array_sort(F.transform(values, lambda v, i: F.struct(key(v).alias("key"), i.alias("i"), v.alias("v"))))
+        first = F.transform(F.array(named), lambda a: F.filter(a, lambda e, n: (n == 0) | ~e["key"].eqNullSafe(F.get(a, n - 1)["key"])))[0]
+        again = F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v"))))
+        return F.transform(again, lambda e: e["v"])
 
     def typed_relations(self) -> Column:
         told = F.filter(F.transform(self.members("dc:relation"), self.relation), lambda r: r["target"].isNotNull())
