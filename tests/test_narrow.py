@@ -35,3 +35,11 @@ def test_other_rules_are_left_out(spark, name):
     plan = catalogue.QUERIES[f"extract_{kind}_{name}"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert ("hydrologic-feature:" in plan) == (name == "referencesFeature")
     assert ("resource-type:" in plan) == (name == "hasResourceType")
+
+
+def test_keys_without_evidence(corpus):
+    """Counts need neither evidence nor attributes; the edges are the same."""
+    records, _, edges = corpus
+    found = extract_edges(records, told=False).collect()
+    assert {(r.id, r.relation, r.source, r.target) for r in found} == {(r.id, r.relation, r.source, r.target) for r in edges.values()}
+    assert all(r.evidence is None and not r.attributes for r in found if r.relation == "hasFile")
