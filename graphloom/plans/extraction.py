@@ -48,6 +48,30 @@ geospatial_relations array<struct<name:string,predicate_qname:string,target:stri
 #: Relations of the graph.
 RELATIONS = ("hasResourceType", "hasCreator", "hasContributor", "affiliatedWith", "hasIdentifier", "hasLicense", "hasSubject", "hasSpatialCoverage", "coversPeriod", "fundedBy", "hasFile", "hasToolConfig", "launchesApp", "hasMember", "isMemberOf", "derivedFrom", "references", "isExecutedBy", "referencesFeature")
 
+_PEOPLE = ("creators", "creator_identifiers", "contributors", "contributor_identifiers")
+#: Fields that the rules of a relation read beside resource_id.
+READS = {
+    "hasResourceType": ("resource_type",),
+    "hasCreator": _PEOPLE[:2],
+    "hasContributor": _PEOPLE[2:],
+    "affiliatedWith": _PEOPLE,
+    "hasIdentifier": ("identifier", "url", *_PEOPLE),
+    "hasLicense": ("rights",),
+    "hasSubject": ("subjects",),
+    "hasSpatialCoverage": ("spatial_coverage",),
+    "coversPeriod": ("temporal_coverage",),
+    "fundedBy": ("awards",),
+    "hasFile": ("resource_type", "files"),
+    "hasToolConfig": ("resource_type", "title", "tool_config"),
+    "launchesApp": ("resource_type", "title", "tool_config"),
+    "hasMember": ("resource_type", "links", "typed_relations"),
+    "isMemberOf": ("resource_type", "links", "typed_relations"),
+    "derivedFrom": ("resource_type", "links", "typed_relations"),
+    "references": ("resource_type", "related_resources", "typed_relations"),
+    "isExecutedBy": ("resource_type", "title", "tool_config", "links", "typed_relations", "related_resources", "relations_from_meta"),
+    "referencesFeature": ("geospatial_relations",),
+}
+
 _EVIDENCE = "struct<evidenceText:string,sourceLocation:string,extractionMethod:string,sourceArtifact:string>"
 _NODE = f"array<struct<id:string,class:string,inventory_id:string,attributes:map<string,string>,evidence:{_EVIDENCE},curation_status:string>>"
 _EDGE = f"array<struct<relation:string,inventory_id:string,source:string,target:string,evidence:{_EVIDENCE},attributes:map<string,string>>>"
@@ -90,6 +114,7 @@ class Rules:
     def __init__(self, artifact: str = "dataset", service: str = "service", only: frozenset[str] | None = None, told: bool = True):
         """only: the classes and relations that are asked for (None: all); told: whether evidence and attributes are, too."""
         self.artifact, self.service, self.only, self.told = artifact, service, only, told
+        self.reasons = only is None  # what is skipped is told of whole graphs
         self.resource = F.col("resource_id")
 
     def wants(self, *names: str) -> bool:
@@ -111,19 +136,23 @@ class Rules:
         attributes = attributes if self.told else None
         return F.struct(F.lit(relation).alias("relation"), F.lit(inventory).alias("inventory_id"), source.alias("source"), target.alias("target"), evidence.alias("evidence"), (none if attributes is None else attributes).alias("attributes"))
 
-    def local(self) -> tuple[Column | None, Column | None, Column]:
-        """Arrays of node mentions, edge mentions and skip reasons that a record gives by itself; None where no rule is asked for."""
+    def local(self) -> tuple[Column | None, Column | None, Column | None]:
+        """Arrays of node mentions, edge mentions and skip reasons that a record gives by itself; None where no rule is asked for.
+        Expressions are made for the rules that are asked for only: each costs time on the driver."""
         nodes, edges, skips = [], [], []
         r, filled = self.resource, lambda c: F.coalesce(c != "", F.lit(False))
 
-        def one(name: str, when: Column, build, to: list, kind: str) -> None:
+        def one(name: str, when, build, to: list, kind: str) -> None:
             if self.wants(name):
-                to.append(F.when(when, F.array(build())).otherwise(F.array()).cast(kind))
+                to.append(F.when(when(), F.array(build())).otherwise(F.array()).cast(kind))
 
-        def skip(when: Column, reason) -> None:
+        def skip(when, reason) -> None:
+            if not self.reasons:
+                return
+            when, reason = when(), reason() if callable(reason) else reason
             skips.append(F.when(when, F.array(F.lit(reason) if isinstance(reason, str) else reason)).otherwise(F.array().cast("array<string>")))
 
-        def each(name: str, field: str, build, to: list, kind: str, when: Column | None = None, keep=None) -> None:
+        def each(name: str, field: str, build, to: list, kind: str, when=None, keep=None) -> None:
             """One mention a member of a list; keep filters members by what they hold."""
             if not self.wants(name):
                 return
@@ -131,16 +160,16 @@ class Rules:
             if keep is not None:
                 rows = F.filter(rows, lambda s: keep(s["x"]))
             built = F.transform(rows, lambda s: build(s["x"], _cat(f"{field}[", s["i"].cast("string"), "]")))
-            to.append((built if when is None else F.when(when, built).otherwise(F.array())).cast(kind))
+            to.append((built if when is None else F.when(when(), built).otherwise(F.array())).cast(kind))
 
         kind, title = F.col("resource_type"), F.col("title")
-        skip(~F.coalesce(kind.isin(COMPOSITE, COLLECTION, TOOL), F.lit(False)), _cat("unknown_resource_type:", F.coalesce(none_if_empty(kind), F.lit("missing"))))
-        own = _texts(resourceId=r, resourceType=kind, title=title, citation=F.col("citation"), abstract=F.col("abstract"), documentation=F.col("documentation"), language=F.col("language"), identifier=F.col("identifier"), url=F.col("url"))
-        one("DatasetResource", F.lit(True), lambda: self.node(r, "DatasetResource", "A-D01", own, self.evidence(_spaced([("title", json_text(title)), ("abstract", json_text(F.col("abstract")))]), "$")), nodes, _NODE)
-        type_key, type_said = _cat("resource-type:", slugify(kind)), self.evidence(kind, "resource_type")
-        one("ResourceType", filled(kind), lambda: self.node(type_key, "ResourceType", "A-D02", _texts(label=kind), type_said), nodes, _NODE)
-        one("hasResourceType", filled(kind), lambda: self.edge("hasResourceType", "C-D01", r, type_key, type_said), edges, _EDGE)
-        skip(~filled(kind), "missing:resource_type")
+        skip(lambda: ~F.coalesce(kind.isin(COMPOSITE, COLLECTION, TOOL), F.lit(False)), lambda: _cat("unknown_resource_type:", F.coalesce(none_if_empty(kind), F.lit("missing"))))
+        own = lambda: _texts(resourceId=r, resourceType=kind, title=title, citation=F.col("citation"), abstract=F.col("abstract"), documentation=F.col("documentation"), language=F.col("language"), identifier=F.col("identifier"), url=F.col("url"))
+        one("DatasetResource", lambda: F.lit(True), lambda: self.node(r, "DatasetResource", "A-D01", own(), self.evidence(_spaced([("title", json_text(title)), ("abstract", json_text(F.col("abstract")))]), "$")), nodes, _NODE)
+        type_key, type_said = lambda: _cat("resource-type:", slugify(kind)), lambda: self.evidence(kind, "resource_type")
+        one("ResourceType", lambda: filled(kind), lambda: self.node(type_key(), "ResourceType", "A-D02", _texts(label=kind), type_said()), nodes, _NODE)
+        one("hasResourceType", lambda: filled(kind), lambda: self.edge("hasResourceType", "C-D01", r, type_key(), type_said()), edges, _EDGE)
+        skip(lambda: ~filled(kind), "missing:resource_type")
 
         for field, relation, inventory in (("creators", "hasCreator", "C-D03"), ("contributors", "hasContributor", "C-DC05/A-AG")):
             each("Person", field, self._person, nodes, _NODE)
@@ -158,26 +187,28 @@ class Rules:
 
         for field in ("identifier", "url"):
             value = F.col(field)
-            new = filled(value) if field == "identifier" else filled(value) & ~F.coalesce(value == F.col("identifier"), F.lit(False))
-            said = self.evidence(value, field)
-            one("Identifier", new, lambda value=value, said=said: self.node(ids.identifier_key(value), "Identifier", "A-ID01", _texts(identifierValue=value, identifierType=F.lit("URL")), said), nodes, _NODE)
-            one("hasIdentifier", new, lambda value=value, said=said: self.edge("hasIdentifier", "C-D04", r, ids.identifier_key(value), said), edges, _EDGE)
+            new = lambda value=value, field=field: filled(value) if field == "identifier" else filled(value) & ~F.coalesce(value == F.col("identifier"), F.lit(False))
+            said = lambda value=value, field=field: self.evidence(value, field)
+            one("Identifier", new, lambda value=value, said=said: self.node(ids.identifier_key(value), "Identifier", "A-ID01", _texts(identifierValue=value, identifierType=F.lit("URL")), said()), nodes, _NODE)
+            one("hasIdentifier", new, lambda value=value, said=said: self.edge("hasIdentifier", "C-D04", r, ids.identifier_key(value), said()), edges, _EDGE)
 
         statement, rights_url = F.col("rights.statement"), F.col("rights.url")
-        licensed = F.col("rights").isNotNull() & (statement.isNotNull() | rights_url.isNotNull())
-        license_said = self.evidence(F.coalesce(none_if_empty(statement), rights_url), "rights")
-        license_key = ids.license_key(rights_url, statement)
-        one("License", licensed, lambda: self.node(license_key, "License", "A-D05", _texts(statement=statement, url=rights_url, spdxId=ids.spdx_of_url(rights_url)), license_said), nodes, _NODE)
-        one("hasLicense", licensed, lambda: self.edge("hasLicense", "C-D05", r, license_key, license_said), edges, _EDGE)
+        licensed = lambda: F.col("rights").isNotNull() & (statement.isNotNull() | rights_url.isNotNull())
+        license_said = lambda: self.evidence(F.coalesce(none_if_empty(statement), rights_url), "rights")
+        license_key = lambda: ids.license_key(rights_url, statement)
+        one("License", licensed, lambda: self.node(license_key(), "License", "A-D05", _texts(statement=statement, url=rights_url, spdxId=ids.spdx_of_url(rights_url)), license_said()), nodes, _NODE)
+        one("hasLicense", licensed, lambda: self.edge("hasLicense", "C-D05", r, license_key(), license_said()), edges, _EDGE)
 
         each("Subject", "subjects", lambda s, at: self.node(ids.subject_key(s), "Subject", "A-D06", _texts(label=s), self.evidence(s, at)), nodes, _NODE)
         each("hasSubject", "subjects", lambda s, at: self.edge("hasSubject", "C-D06", r, ids.subject_key(s), self.evidence(s, at)), edges, _EDGE)
 
         for field, suffix, klass, inventory, relation, edge_inventory in (("spatial_coverage", ":spatial", "SpatialCoverage", "A-D07→A-DOM09", "hasSpatialCoverage", "C-D07"), ("temporal_coverage", ":temporal", "TemporalCoverage", "A-D08→A-DOM10", "coversPeriod", "C-D08")):
+            if not self.wants(klass, relation):
+                continue
             parts = [(n, F.col(f"{field}.{n}").cast("string") if n.endswith("limit") else json_text(F.col(f"{field}.{n}"))) for n in (("eastlimit", "northlimit", "projection", "southlimit", "type", "units", "westlimit") if field == "spatial_coverage" else ("end", "start"))]
             said, key = self.evidence(_spaced(parts), field), _cat(r, suffix)
-            one(klass, F.col(field).isNotNull(), lambda key=key, klass=klass, inventory=inventory, parts=parts, said=said: self.node(key, klass, inventory, F.create_map(*[x for n, v in parts for x in (F.lit(n), v)]), said), nodes, _NODE)
-            one(relation, F.col(field).isNotNull(), lambda key=key, relation=relation, edge_inventory=edge_inventory, said=said: self.edge(relation, edge_inventory, r, key, said), edges, _EDGE)
+            one(klass, lambda field=field: F.col(field).isNotNull(), lambda key=key, klass=klass, inventory=inventory, parts=parts, said=said: self.node(key, klass, inventory, F.create_map(*[x for n, v in parts for x in (F.lit(n), v)]), said), nodes, _NODE)
+            one(relation, lambda field=field: F.col(field).isNotNull(), lambda key=key, relation=relation, edge_inventory=edge_inventory, said=said: self.edge(relation, edge_inventory, r, key, said), edges, _EDGE)
 
         award_key = lambda a: ids.award_key(a["funding_agency_name"], a["number"], a["title"])
         whole_award = lambda a: _spaced([(n, json_text(a[n])) for n in ("funding_agency_name", "funding_agency_url", "number", "title")])
@@ -190,43 +221,53 @@ class Rules:
         each("Organization", "awards", lambda a, at: self.node(agency(a)["id"], "Organization", "A-AG02", _texts(name=a["funding_agency_name"], identifierRegime=agency(a)["regime"], ror=agency(a)["ror"], url=a["funding_agency_url"]), agency_said(a, at)), nodes, _NODE, keep=has_agency)
         each("fundedBy", "awards", lambda a, at: self.edge("fundedBy", "A-AG-R2", award_key(a), agency(a)["id"], agency_said(a, at)), edges, _EDGE, keep=has_agency)
 
-        composite, tool = F.coalesce(kind == COMPOSITE, F.lit(False)), F.coalesce(kind == TOOL, F.lit(False))
+        composite, tool = lambda: F.coalesce(kind == COMPOSITE, F.lit(False)), lambda: F.coalesce(kind == TOOL, F.lit(False))
         whole_file = lambda f: _spaced([(n, json_text(f[n])) for n in ("checksum", "extension", "file_name", "file_path")])
         compact = lambda f: F.to_json(f, {"ignoreNullFields": "false"})
         file_key = lambda f: ids.file_key(r, f["file_path"], f["file_name"], compact(f))
         file_said = lambda f, at: self.evidence(F.coalesce(none_if_empty(f["file_name"]), whole_file(f)), at)
         each("DatasetFile", "files", lambda f, at: self.node(file_key(f), "DatasetFile", "A-D03", _texts(fileName=f["file_name"], filePath=f["file_path"], extension=f["extension"], checksum=f["checksum"]), file_said(f, at)), nodes, _NODE, composite)
         each("hasFile", "files", lambda f, at: self.edge("hasFile", "C-D02", r, file_key(f), file_said(f, at)), edges, _EDGE, composite)
-        shown = F.coalesce(kind, F.lit("None"))
-        skip(~composite & (F.size(F.coalesce(F.col("files"), F.array())) > 0), _cat("unexpected_files_for_type:", shown))
-
-        config = F.col("tool_config")
-        skip(~tool & config.isNotNull(), _cat("unexpected_tool_config_for_type:", shown))
-        configured, launch = tool & config.isNotNull(), F.col("tool_config.app_home_page_url")
-        name, version = F.coalesce(none_if_empty(title), F.lit(f"{self.service} tool")), none_if_empty(F.col("tool_config.tool_version"))
-        descriptor = F.coalesce(_cat(name, ", v", version), name)
-        config_key, config_said = _cat(r, ":tool-config"), self.evidence(descriptor, "tool_config")
-        listed = lambda c: F.to_json(F.col(f"tool_config.{c}"))
-        texts = {"descriptor": descriptor, "launchURL": launch} | {n: F.col(f"tool_config.{c}") for n, c in (("requestUrlBase", "request_url_base"), ("requestUrlBaseFile", "request_url_base_file"), ("toolVersion", "tool_version"), ("testingProtocolUrl", "testing_protocol_url"), ("toolIconUrl", "tool_icon_url"))}
-        lists = F.create_map(F.lit("supportedFileExtensions"), listed("supported_file_extensions"), F.lit("supportedResourceTypes"), listed("supported_resource_types"), F.lit("supportedSharingStatus"), listed("supported_sharing_status"))
-        one("ToolConfiguration", configured, lambda: self.node(config_key, "ToolConfiguration", "A-D10", F.map_concat(_texts(**texts), lists), config_said), nodes, _NODE)
-        one("hasToolConfig", configured, lambda: self.edge("hasToolConfig", "C-D10", r, config_key, config_said), edges, _EDGE)
-        launched, host = configured & filled(launch), ids.authority(launch)
-        launch_said = self.evidence(launch, "tool_config.app_home_page_url")
-        one("Tool", launched, lambda: self.node(ids.tool_key(launch, title), "Tool", "A-DOM02", _texts(name=F.coalesce(none_if_empty(title), host), launchURL=launch, host=host), launch_said), nodes, _NODE)
-        one("launchesApp", launched, lambda: self.edge("launchesApp", "C-D11", config_key, ids.tool_key(launch, title), launch_said), edges, _EDGE)
-        return _all(nodes), _all(edges), F.concat(*skips)
-
-    def geospatial(self) -> tuple[Column, Column, Column]:
+        shown = lambda: F.coalesce(kind, F.lit("None"))
+        skip(lambda: ~composite() & (F.size(F.coalesce(F.col("files"), F.array())) > 0), lambda: _cat("unexpected_files_for_type:", shown()))
+
+        config, launch = F.col("tool_config"), F.col("tool_config.app_home_page_url")
+        skip(lambda: ~tool() & config.isNotNull(), lambda: _cat("unexpected_tool_config_for_type:", shown()))
+        configured = lambda: tool() & config.isNotNull()
+
+        def descriptor() -> Column:
+            name, version = F.coalesce(none_if_empty(title), F.lit(f"{self.service} tool")), none_if_empty(F.col("tool_config.tool_version"))
+            return F.coalesce(_cat(name, ", v", version), name)
+
+        def configuration() -> Column:
+            listed = lambda c: F.to_json(F.col(f"tool_config.{c}"))
+            texts = {"descriptor": descriptor(), "launchURL": launch} | {n: F.col(f"tool_config.{c}") for n, c in (("requestUrlBase", "request_url_base"), ("requestUrlBaseFile", "request_url_base_file"), ("toolVersion", "tool_version"), ("testingProtocolUrl", "testing_protocol_url"), ("toolIconUrl", "tool_icon_url"))}
+            lists = F.create_map(F.lit("supportedFileExtensions"), listed("supported_file_extensions"), F.lit("supportedResourceTypes"), listed("supported_resource_types"), F.lit("supportedSharingStatus"), listed("supported_sharing_status"))
+            return self.node(config_key(), "ToolConfiguration", "A-D10", F.map_concat(_texts(**texts), lists), config_said())
+
+        config_key, config_said = lambda: _cat(r, ":tool-config"), lambda: self.evidence(descriptor(), "tool_config")
+        one("ToolConfiguration", configured, configuration, nodes, _NODE)
+        one("hasToolConfig", configured, lambda: self.edge("hasToolConfig", "C-D10", r, config_key(), config_said()), edges, _EDGE)
+        launched, host = lambda: configured() & filled(launch), lambda: ids.authority(launch)
+        launch_said = lambda: self.evidence(launch, "tool_config.app_home_page_url")
+        one("Tool", launched, lambda: self.node(ids.tool_key(launch, title), "Tool", "A-DOM02", _texts(name=F.coalesce(none_if_empty(title), host()), launchURL=launch, host=host()), launch_said()), nodes, _NODE)
+        one("launchesApp", launched, lambda: self.edge("launchesApp", "C-D11", config_key(), ids.tool_key(launch, title), launch_said()), edges, _EDGE)
+        return _all(nodes), _all(edges), _all(skips)
+
+    def geospatial(self) -> tuple[Column | None, Column | None, Column | None]:
         """Mentions of the geospatial relations, which come after other relations."""
         rows = F.transform(F.coalesce(F.col("geospatial_relations"), F.array()), lambda g, i: F.struct(g.alias("g"), _cat("geospatial_relations[", i.cast("string"), "]").alias("at"), F.coalesce(none_if_empty(g["target"]), ids.first_url(ids.embedded_urls(g["target"], g["embedded_urls"]))).alias("target")))
         found = F.filter(rows, lambda s: s["target"].isNotNull())
         key = lambda s: _cat("hydrologic-feature:", slugify(s["target"]))
         said = lambda s: self.evidence(F.coalesce(none_if_empty(s["g"]["name"]), s["target"]), s["at"])
-        nodes = F.transform(found, lambda s: self.node(key(s), "HydrologicFeature", "A-DOM07", _texts(identifierValue=s["target"], name=s["g"]["name"], identifierRegime=F.lit("geoconnex-url")), said(s), REFERENCED))
-        edges = F.transform(found, lambda s: self.edge("referencesFeature", "C-D15", self.resource, key(s), said(s), _texts(predicateQName=s["g"]["predicate_qname"])))
-        skips = F.transform(F.filter(rows, lambda s: s["target"].isNull()), lambda s: F.lit("unresolved_geospatial_target"))
-        return nodes.cast(_NODE), edges.cast(_EDGE), skips
+        nodes = edges = skips = None
+        if self.wants("HydrologicFeature"):
+            nodes = F.transform(found, lambda s: self.node(key(s), "HydrologicFeature", "A-DOM07", _texts(identifierValue=s["target"], name=s["g"]["name"], identifierRegime=F.lit("geoconnex-url")), said(s), REFERENCED)).cast(_NODE)
+        if self.wants("referencesFeature"):
+            edges = F.transform(found, lambda s: self.edge("referencesFeature", "C-D15", self.resource, key(s), said(s), _texts(predicateQName=s["g"]["predicate_qname"]))).cast(_EDGE)
+        if self.reasons:
+            skips = F.transform(F.filter(rows, lambda s: s["target"].isNull()), lambda s: F.lit("unresolved_geospatial_target"))
+        return nodes, edges, skips
 
     def _known(self, p: Column, named: str) -> Column:
         """A person's own identifiers and those listed for the name."""
@@ -236,8 +277,9 @@ class Rules:
     def with_keys(self, records: DataFrame) -> DataFrame:
         """Records whose people carry their key, all known identifiers and the key of their organization, found once; each only
         where a rule that is asked for reads it."""
-        for field, named in (("creators", "creator_identifiers"), ("contributors", "contributor_identifiers")):
-            records = records.withColumn(field, self._keyed(field, named))
+        for field, named, relation in (("creators", "creator_identifiers", "hasCreator"), ("contributors", "contributor_identifiers", "hasContributor")):
+            if self.wants("Person", "Organization", relation, "affiliatedWith", "hasIdentifier"):
+                records = records.withColumn(field, self._keyed(field, named))
         return records
 
     def _keyed(self, field: str, named: str) -> Column:
@@ -308,6 +350,25 @@ _RELATION_RULES = (
 _TARGETS = {"hasMember": ("DatasetResource",), "isMemberOf": ("DatasetResource",), "derivedFrom": ("DatasetResource",), "references": ("DatasetResource", "Paper", "Repository"), "isExecutedBy": ("Tool",)}
 
 
+def _asked(rules: Rules) -> list[str]:
+    """Relations whose rules give an edge or a node that is asked for."""
+    return [relation for _, relation, *_ in _RELATION_RULES if rules.wants(relation, *_TARGETS[relation])]
+
+
+_RELATION_NODES = tuple(sorted({c for cs in _TARGETS.values() for c in cs}))
+
+#: what the target of a relation can turn out to be
+_CASES = {"hasMember": ("dataset",), "isMemberOf": ("dataset",), "derivedFrom": ("dataset",), "references": ("dataset", "paper", "repository", "external_dataset", "citation"), "isExecutedBy": ("own_tool", "tool", "outside_tool")}
+
+
+def _each_of(rows: DataFrame, column: str, name: str, place: str | None = None) -> DataFrame:
+    """One row a member of an array column, none for an empty one. An inner explode of a column makes Spark infer a filter that
+    computes the whole array once more, and before rows are dealt out; an outer one does not. Members are never null."""
+    others = [c for c in rows.columns if c != column]
+    told = rows.select(*others, F.posexplode_outer(column).alias("_place", name)).filter(F.col("_place").isNotNull())
+    return told.withColumnRenamed("_place", place) if place else told.drop("_place")
+
+
 def _entries(records: DataFrame, rules: Rules, service_fields: dict[str, str]) -> DataFrame:
     """One row a relation entry and rule that is asked for, the first of each key."""
     def asked(phase: int, relation: str, inventory: str, rank: int, field: str, predicates: tuple[str, ...]) -> Column:
@@ -328,90 +389,122 @@ def _entries(records: DataFrame, rules: Rules, service_fields: dict[str, str]) -
 
         return F.filter(F.transform(F.coalesce(F.col(field), F.array()), row), lambda s: s["predicate"].isin(*predicates))
 
-    asked = [asked(phase, relation, inventory, rank, field, predicates) for phase, relation, inventory, fields, predicates in _RELATION_RULES if rules.wants(relation, *_TARGETS[relation]) for rank, field in enumerate(fields)]
-    rows = records.select("resource_id", "resource_type", F.explode(F.concat(*asked)).alias("e")).select("resource_id", "resource_type", "e.*")
+    asked = [asked(phase, relation, inventory, rank, field, predicates) for phase, relation, inventory, fields, predicates in _RELATION_RULES if relation in _asked(rules) for rank, field in enumerate(fields)]
+    rows = _each_of(records.select("resource_id", "resource_type", F.concat(*asked).alias("es")), "es", "e").select("resource_id", "resource_type", "e.*")
     rows = rows.filter((F.col("relation") != "hasMember") | (F.col("resource_type") == COLLECTION))
     return first_rows(rows, ["resource_id", "phase", "predicate", "explicit", "target"], ["field_rank", "index"])
 
 
-def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str]) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    possible = {c for relation in _asked(rules) for c in _CASES[relation]}
     entries = _entries(records, rules, service_fields)
-    dataset = dataset_target(F.col("explicit"), F.col("target"), F.col("urls"))
-    tool_target = F.coalesce(none_if_empty(F.col("explicit")), ids.resource_id(F.col("target")))
-    entries = entries.withColumn("wanted", F.when(F.col("relation") == "isExecutedBy", tool_target).otherwise(dataset))
-    corpus = records.select(F.col("resource_id").alias("known_id"), F.col("resource_type").alias("known_type"), F.col("title").alias("known_title"), F.coalesce("tool_config.app_home_page_url", F.lit("")).alias("known_launch"))
-    entries = entries.withColumn("parts", reference_parts(F.col("explicit"), F.col("target"), F.col("urls")))
-    entries = entries.withColumn("found", reference_target(F.col("predicate"), F.col("parts"))).withColumn("first", F.col("parts.first_url")).withColumn("host", ids.authority(F.col("first"))).withColumn("repo_path", F.regexp_replace(ids.url_path(F.col("first")), r"\A/+|/+\z", ""))
+    if "own_tool" in possible:
+        tool_target = F.coalesce(none_if_empty(F.col("explicit")), ids.resource_id(F.col("target")))
+        wanted = F.when(F.col("relation") == "isExecutedBy", tool_target)
+        wanted = wanted.otherwise(dataset_target(F.col("explicit"), F.col("target"), F.col("urls"))) if "dataset" in possible else wanted
+    else:
+        wanted = dataset_target(F.col("explicit"), F.col("target"), F.col("urls"))
+    entries = entries.withColumn("wanted", wanted)
+    if possible == {"dataset"}:  # nothing but what is said is sought in the target
+        entries = entries.withColumn("parts", F.struct(F.coalesce(strip(F.col("target")), F.lit("")).alias("said")))
+    else:
+        entries = entries.withColumn("parts", reference_parts(F.col("explicit"), F.col("target"), F.col("urls"))).withColumn("first", F.col("parts.first_url"))
+    if "paper" in possible:
+        entries = entries.withColumn("found", reference_target(F.col("predicate"), F.col("parts")))
+    if possible & {"repository", "outside_tool"}:
+        entries = entries.withColumn("host", ids.authority(F.col("first"))).withColumn("repo_path", F.regexp_replace(ids.url_path(F.col("first")), r"\A/+|/+\z", ""))
     # an entry without a target is shown whole
     whole = _spaced([("predicate_qname", json_text(F.col("predicate"))), ("target", json_text(F.col("target"))), ("target_resource_id", json_text(F.col("explicit"))), ("embedded_urls", F.to_json("urls"))])
     entries = entries.withColumn("shown", F.coalesce(none_if_empty(F.col("parts.said")), whole))
-    if rules.wants("isExecutedBy", *(c for cs in _TARGETS.values() for c in cs)):
+    if rules.wants("isExecutedBy", *_RELATION_NODES):
+        tools = [F.col("title").alias("known_title"), F.coalesce("tool_config.app_home_page_url", F.lit("")).alias("known_launch")] if "own_tool" in possible else []
+        corpus = records.select(F.col("resource_id").alias("known_id"), F.col("resource_type").alias("known_type"), *tools)
         rows = entries.join(corpus, F.col("wanted") == F.col("known_id"), "left")
     else:  # an edge to a dataset has its id as target, in the corpus or not
-        rows = entries.select("*", *[F.lit(None).cast("string").alias(c) for c in corpus.columns])
-    refers, executes, kind, wanted, first = F.col("relation") == "references", F.col("relation") == "isExecutedBy", F.col("found.kind"), F.col("wanted"), F.col("first")
-    case = (
-        F.when(executes & F.coalesce(F.col("known_type") == TOOL, F.lit(False)), "own_tool")
-        .when(executes & wanted.isNotNull(), "tool")
-        .when(executes & first.isNotNull(), "outside_tool")
-        .when(~executes & wanted.isNotNull(), "dataset")
-        .when(refers, F.nullif(kind, F.lit("dataset")))
-    )
+        rows = entries
+    refers, executes, wanted = F.col("relation") == "references", F.col("relation") == "isExecutedBy", F.col("wanted")
+    told = {
+        "own_tool": lambda: executes & F.coalesce(F.col("known_type") == TOOL, F.lit(False)),
+        "tool": lambda: executes & wanted.isNotNull(),
+        "outside_tool": lambda: executes & F.col("first").isNotNull(),
+        "dataset": lambda: ~executes & wanted.isNotNull(),
+    }
+    whens = [F.when(when(), name) for name, when in told.items() if name in possible]
+    case = F.coalesce(*whens, *([F.when(refers, F.nullif(F.col("found.kind"), F.lit("dataset")))] if "paper" in possible else []))
     rows = rows.withColumn("case", case)
-    choose = lambda **cs: F.coalesce(*[F.when(F.col("case") == k, v) for k, v in cs.items()])
-    launch, title, shown, host, said_doi = F.col("known_launch"), F.col("known_title"), F.col("shown"), F.col("host"), F.col("parts.doi")
-    own = F.col("case") == "own_tool"
-    key = choose(
-        own_tool=ids.tool_key(launch, title),
-        tool=_cat(f"tool:{rules.service}:", wanted),
-        outside_tool=_cat("tool:url:", short_hash(first, 20)),
-        dataset=wanted,
-        paper=_cat("paper:doi:", slugify(said_doi)),
-        repository=_cat("repository:url:", slugify(_cat(host, "/", F.col("repo_path")))),
-        external_dataset=_cat("dataset:url:", short_hash(first, 20)),
-        citation=_cat("paper:citation:", short_hash(shown, 20)),
+    shown, own = F.col("shown"), F.col("case") == "own_tool"
+    title, launch, host, first, said_doi = F.col("known_title"), F.col("known_launch"), F.col("host"), F.col("first"), F.col("parts.doi")
+    keys = {
+        "own_tool": lambda: ids.tool_key(launch, title),
+        "tool": lambda: _cat(f"tool:{rules.service}:", wanted),
+        "outside_tool": lambda: _cat("tool:url:", short_hash(first, 20)),
+        "dataset": lambda: wanted,
+        "paper": lambda: _cat("paper:doi:", slugify(said_doi)),
+        "repository": lambda: _cat("repository:url:", slugify(_cat(host, "/", F.col("repo_path")))),
+        "external_dataset": lambda: _cat("dataset:url:", short_hash(first, 20)),
+        "citation": lambda: _cat("paper:citation:", short_hash(shown, 20)),
+    }
+    key = F.coalesce(*[F.when(F.col("case") == name, build()) for name, build in keys.items() if name in possible])
+    ordered = F.struct("resource_id", "phase", F.col("field_rank").alias("rank"), F.col("index").alias("place"))
+    hit = rows.filter(F.col("case").isNotNull()).withColumn("ord", ordered)
+    nodes = edges = reasons = None
+    if rules.wants(*_RELATION_NODES):
+        nodes = _relation_nodes(hit, rules, key, possible)
+    if rules.wants(*_TARGETS):
+        here = rules.evidence(shown, F.col("at"))
+        edges = hit.select("relation", F.col("inventory").alias("inventory_id"), F.col("resource_id").alias("source"), key.alias("target"), here.alias("evidence"), _texts(predicateQName=F.col("predicate")).alias("attributes"), "ord")
+    if rules.reasons:
+        reasons = rows.filter(F.col("case").isNull()).select(_unresolved(refers, executes).alias("reason"))
+    return nodes, edges, reasons
+
+
+def _unresolved(refers: Column, executes: Column) -> Column:
+    """Why a relation entry gives no edge."""
+    return (
+        F.when(refers, _cat("deferred_to_llm:reference_target:", F.col("predicate")))
+        .when(executes, F.lit("deferred_to_llm:isExecutedBy_target"))
+        .when(F.col("relation") == "derivedFrom", _cat("unresolved_derivedFrom_target:", F.col("predicate")))
+        .otherwise(_cat("unresolved_", F.col("relation"), "_target"))
     )
-    tools, cited = F.col("case").isin("tool", "outside_tool"), F.col("case").isin("dataset", "paper", "repository", "external_dataset", "citation")
-    outside = F.col("case").isin("outside_tool", "repository", "external_dataset")
+
+
+def _relation_nodes(hit: DataFrame, rules: Rules, key: Column, possible: set[str]) -> DataFrame:
+    """Mentions of the targets of relations, from entries whose case is known."""
+    none = F.lit(None).cast("string")
+    have = lambda c, case: c if case in possible else none
+    wanted, shown, case, own = F.col("wanted"), F.col("shown"), F.col("case"), F.col("case") == "own_tool"
+    launch, title = have(F.col("known_launch"), "own_tool"), have(F.col("known_title"), "own_tool")
+    first = F.col("first") if "first" in hit.columns else none
+    host, path = (F.col(c) if c in hit.columns else none for c in ("host", "repo_path"))
+    tools, cited = case.isin("tool", "outside_tool"), case.isin("dataset", "paper", "repository", "external_dataset", "citation")
+    outside = case.isin("outside_tool", "repository", "external_dataset")
     regime = {"own_tool": f"{rules.service}-tool-resource", "tool": f"{rules.service}-resource-id", "dataset": f"{rules.service}-resource-id", "outside_tool": "external-url", "external_dataset": "external-url", "repository": "repository-url", "paper": "DOI", "citation": "citation-text"}
     klass = {"own_tool": "Tool", "tool": "Tool", "outside_tool": "Tool", "dataset": "DatasetResource", "external_dataset": "DatasetResource", "paper": "Paper", "citation": "Paper", "repository": "Repository"}
     inventory = {"Tool": "A-DOM02", "DatasetResource": "A-D01", "Paper": "A-P01", "Repository": "A-C01"}
-    named = lambda table: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("case"))
+    named = lambda table: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), case)
     attributes = _texts(
         name=F.when(own, title).when(tools, shown),
         launchURL=F.when(own, launch),
         host=F.when(own & (launch != ""), ids.authority(launch)).when(outside, host),
         identifierRegime=named(regime),
-        resourceId=F.when(F.col("case") == "dataset", wanted),
+        resourceId=F.when(case == "dataset", wanted),
         url=F.when(outside, first),
-        path=F.when(F.col("case") == "repository", F.col("repo_path")),
-        doi=F.when(F.col("case") == "paper", said_doi),
+        path=F.when(case == "repository", path),
+        doi=F.when(case == "paper", have(F.col("parts.doi"), "paper")),
         citation=F.when(cited, shown),
-        **{f"{rules.service}ResourceId": F.when(F.col("case").isin("own_tool", "tool"), wanted)},
+        **{f"{rules.service}ResourceId": F.when(case.isin("own_tool", "tool"), wanted)},
     )
-    status = F.when(own | (F.col("case").isin("tool", "dataset") & F.col("known_id").isNotNull()), CURATED).otherwise(REFERENCED)
-    here = rules.evidence(shown, F.col("at"))
+    status = F.when(own | (case.isin("tool", "dataset") & F.col("known_id").isNotNull()), CURATED).otherwise(REFERENCED)
     told = rules.evidence(
         F.when(own, F.coalesce(none_if_empty(launch), title)).otherwise(shown),
         F.when(own, F.when(launch != "", "tool_config.app_home_page_url").otherwise("title")).otherwise(F.col("at")),
         F.when(own, wanted).otherwise(F.col("resource_id")),
     )
-    element = _NODE[6:-1]
     node = rules.node(key, "", "", attributes, told, status).withField("class", named(klass)).withField("inventory_id", named({c: inventory[k] for c, k in klass.items()}))
-    ordered = F.struct("resource_id", "phase", F.col("field_rank").alias("rank"), F.col("index").alias("place"))
-    hit = rows.filter(F.col("case").isNotNull()).withColumn("ord", ordered)
-    nodes = hit.select(node.cast(element).alias("node"), "ord").select("node.*", "ord")
-    edges = hit.select("relation", F.col("inventory").alias("inventory_id"), F.col("resource_id").alias("source"), key.alias("target"), here.alias("evidence"), _texts(predicateQName=F.col("predicate")).alias("attributes"), "ord")
-    reason = (
-        F.when(refers, _cat("deferred_to_llm:reference_target:", F.col("predicate")))
-        .when(executes, F.lit("deferred_to_llm:isExecutedBy_target"))
-        .when(F.col("relation") == "derivedFrom", _cat("unresolved_derivedFrom_target:", F.col("predicate")))
-        .otherwise(_cat("unresolved_", F.col("relation"), "_target"))
-    )
-    return nodes, edges, rows.filter(F.col("case").isNull()).select(reason.alias("reason"))
+    return hit.select(node.cast(_NODE[6:-1]).alias("node"), "ord").select("node.*", "ord")
 
 
-def _person_identifiers(records: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _person_identifiers(records: DataFrame, rules: Rules) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """Identifiers of people, and the edges from the person that was first mentioned under the name until then.
 
     A person's name is the first one given; once another is given for the same person, the name matches no more."""
@@ -426,7 +519,7 @@ def _person_identifiers(records: DataFrame, rules: Rules) -> tuple[DataFrame, Da
         return F.transform(all_, row)
 
     fields = [listed(rank, field) for rank, field in enumerate(("creator_identifiers", "contributor_identifiers"))]
-    rows = records.select("resource_id", F.explode(F.concat(*fields)).alias("e")).select("resource_id", F.struct("resource_id", F.lit(1).alias("phase"), "e.rank", "e.place").alias("ord"), "e.at", "e.i.*", "e.fallback")
+    rows = _each_of(records.select("resource_id", F.concat(*fields).alias("es")), "es", "e").select("resource_id", F.struct("resource_id", F.lit(1).alias("phase"), "e.rank", "e.place").alias("ord"), "e.at", "e.i.*", "e.fallback")
     known, value = F.coalesce(F.col("id_type").isin(*PERSON_IDENTIFIERS), F.lit(False)), none_if_empty(F.col("url"))
     orcid = F.when(F.col("id_type") == "ORCID", ids.orcid(F.col("url")))
     bad = (
@@ -439,14 +532,19 @@ def _person_identifiers(records: DataFrame, rules: Rules) -> tuple[DataFrame, Da
     said = rules.evidence(F.col("url"), F.col("at"))
     key = ids.identifier_key(F.col("url"))
     element = _NODE[6:-1]
-    nodes = good.select(rules.node(key, "Identifier", "A-ID01", _texts(identifierValue=F.col("url"), identifierType=F.col("id_type"), normalizedValue=F.col("orcid")), said).cast(element).alias("n"), "ord").select("n.*", "ord")
-    edges = _person_edges(records, good, key, said) if rules.wants("hasIdentifier") else None
-    return nodes, edges, rows.filter(F.col("bad").isNotNull()).select(F.col("bad").alias("reason"))
+    nodes = edges = reasons = None
+    if rules.wants("Identifier"):
+        nodes = good.select(rules.node(key, "Identifier", "A-ID01", _texts(identifierValue=F.col("url"), identifierType=F.col("id_type"), normalizedValue=F.col("orcid")), said).cast(element).alias("n"), "ord").select("n.*", "ord")
+    if rules.wants("hasIdentifier"):
+        edges = _person_edges(records, good, key, said)
+    if rules.reasons:
+        reasons = rows.filter(F.col("bad").isNotNull()).select(F.col("bad").alias("reason"))
+    return nodes, edges, reasons
 
 
 def _person_edges(records: DataFrame, good: DataFrame, key: Column, said: Column) -> DataFrame:
     named = [F.transform(F.coalesce(F.col(field), F.array()), lambda p: F.struct(p["key"]["id"].alias("id"), p["name"].alias("name"))) for field in ("creators", "contributors")]
-    stated = records.select("resource_id", F.posexplode(F.concat(*named)).alias("place", "p")).select("p.*", F.struct("resource_id", F.lit(0).alias("phase"), F.lit(0).alias("rank"), "place").alias("ord"))
+    stated = _each_of(records.select("resource_id", F.concat(*named).alias("ps")), "ps", "p", "place").select("p.*", F.struct("resource_id", F.lit(0).alias("phase"), F.lit(0).alias("rank"), "place").alias("ord"))
     first = stated.groupBy("id").agg(F.min("ord").alias("since"), F.min_by(F.struct("name", "ord"), "ord").alias("_"), F.min(F.when(F.col("name").isNotNull(), F.struct("ord", "name"))).alias("named"))
     other = stated.join(first.select(F.col("id").alias("_id"), F.col("named.name").alias("_name")), F.col("id") == F.col("_id")).filter(F.col("name") != F.col("_name")).groupBy("id").agg(F.min("ord").alias("until"))
     valid = first.join(other, "id", "left")
@@ -458,38 +556,42 @@ def _person_edges(records: DataFrame, good: DataFrame, key: Column, said: Column
     return picked.select(F.lit("hasIdentifier").alias("relation"), F.lit("A-ID01 (ID-R1)").alias("inventory_id"), F.coalesce("person", "fallback").alias("source"), key.alias("target"), said.alias("evidence"), none.alias("attributes"), "ord")
 
 
-def _mentions(records: DataFrame, rules: Rules, handled: tuple[str, ...] = (), field_names: dict[str, str] | None = None) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
-    """Mentions of nodes and of edges that the rules asked for give (None: no rule), and the reasons of what is skipped."""
+def _mentions(records: DataFrame, rules: Rules, handled: tuple[str, ...] = (), field_names: dict[str, str] | None = None) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """Mentions of nodes and of edges that the rules asked for give (None: no rule), and the reasons of what is skipped (None: only
+    some rules are asked for)."""
     required = records.withColumn("resource_id", F.when(F.col("resource_id") != "", F.col("resource_id")).otherwise(F.raise_error(F.lit("a record has no resource_id")).cast("string")))
     required = rules.with_keys(required)
     nodes, edges, skips = rules.local()
-    geo_nodes, geo_edges, geo_skips = rules.geospatial()
+    geo = rules.wants("HydrologicFeature", "referencesFeature")
+    geo_nodes, geo_edges, geo_skips = rules.geospatial() if geo else (None, None, None)
     known = {f.split()[0] for f in ("resource_id resource_type title abstract citation documentation language identifier url creators contributors creator_identifiers contributor_identifiers rights subjects spatial_coverage temporal_coverage awards files tool_config links typed_relations related_resources relations_from_meta geospatial_relations").split()} | set(handled)
-    spare = [F.when(F.coalesce(~F.col(f.name).cast("string").isin("", "[]", "{}"), F.lit(False)), _cat("unmapped_top_level_field:", F.coalesce(none_if_empty(F.col("resource_type")), F.lit("unknown")), f":{f.name}")) for f in records.schema.fields if f.name not in known]
-    spare = F.filter(F.array(*spare), lambda x: x.isNotNull()) if spare else F.array().cast("array<string>")
+    reasons = None
+    if rules.reasons:
+        spare = [F.when(F.coalesce(~F.col(f.name).cast("string").isin("", "[]", "{}"), F.lit(False)), _cat("unmapped_top_level_field:", F.coalesce(none_if_empty(F.col("resource_type")), F.lit("unknown")), f":{f.name}")) for f in records.schema.fields if f.name not in known]
+        spare = F.filter(F.array(*spare), lambda x: x.isNotNull()) if spare else F.array().cast("array<string>")
+        reasons = required.select(F.explode(F.concat(skips, geo_skips, spare)).alias("reason"))
 
     def mentions(column: Column | None, phase) -> DataFrame | None:
         if column is None:
             return None
         # a column first: what stands inside of explode is not compiled
-        rows = required.select("resource_id", column.alias("ms")).select("resource_id", F.posexplode("ms").alias("place", "m")).select("m.*", "resource_id", "place")
+        rows = _each_of(required.select("resource_id", column.alias("ms")), "ms", "m", "place").select("m.*", "resource_id", "place")
         at = F.struct("resource_id", F.lit(phase).alias("phase") if isinstance(phase, int) else phase(rows).alias("phase"), F.lit(0).alias("rank"), "place")
         return rows.withColumn("ord", at).drop("resource_id", "place")
 
     # agents come first, their identifiers next (phase 1), the other local mentions after
     early = lambda rows: F.when(F.col("class").isin("DatasetResource", "ResourceType", "Person") | ((F.col("class") == "Organization") & ~F.contains("evidence.sourceLocation", F.lit(":awards["))), 0).otherwise(1)
     told_nodes, told_edges = [mentions(nodes, lambda rows: early(rows) * 1)], [mentions(edges, 0)]
-    reasons = required.select(F.explode(F.concat(skips, geo_skips, spare)).alias("reason"))
-    if rules.wants("HydrologicFeature", "referencesFeature"):
+    if geo:
         told_nodes.append(mentions(geo_nodes, 6))
         told_edges.append(mentions(geo_edges, 6))
     further = [_person_identifiers(required, rules)] if rules.wants("Identifier", "hasIdentifier") else []
-    if rules.wants(*_TARGETS, *(c for cs in _TARGETS.values() for c in cs)):
+    if _asked(rules):
         further.append(_relations(required, rules, field_names or {}))
     for more_nodes, more_edges, more_reasons in further:
         told_nodes.append(more_nodes)
         told_edges.append(more_edges)
-        reasons = reasons.unionByName(more_reasons)
+        reasons = _union([reasons, more_reasons])
     return _union(told_nodes), _union(told_edges), reasons
 
 

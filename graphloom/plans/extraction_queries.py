@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .extraction import RECORD, Graph, extract, extract_edges, extract_nodes
+from .extraction import READS, RECORD, Graph, extract, extract_edges, extract_nodes
 from .registry import query
 from .star import read
 
@@ -22,8 +22,9 @@ def _rid(k: Column) -> Column:
     return F.lpad(F.lower(F.hex(k)), 32, "0")
 
 
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    """One record a customer; what its key leaves after division decides its kind and which fields it fills."""
+def records(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
+    """One record a customer; what its key leaves after division decides its kind and which fields it fills. fields: those to make
+    beside the id (none: all)."""
     k, n, name, segment = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_name"), F.col("c_mktsegment")
     empty = spark.createDataFrame([], RECORD)
     none = F.lit(None).cast("string")
@@ -40,33 +41,33 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     def relation(predicate: str | None, explicit: Column = none, target: Column = none, urls: Column | None = None, label: str | None = None) -> Column:
         return struct("links", predicate_qname=F.lit(predicate), relation_label=F.lit(label), target_resource_id=explicit, target=target, embedded_urls=urls if urls is not None else F.array())
 
-    orcid = F.format_string("https://orcid.org/0000-0001-%04d-%04d", (k / 10_000).cast("int"), (k % 10_000).cast("int"))
-    ident = F.when(left(3, 0), F.array(F.struct(F.lit("ORCID").alias("id_type"), orcid.alias("url"))))
+    orcid = lambda: F.format_string("https://orcid.org/0000-0001-%04d-%04d", (k / 10_000).cast("int"), (k % 10_000).cast("int"))
+    ident = lambda: F.when(left(3, 0), F.array(F.struct(F.lit("ORCID").alias("id_type"), orcid().alias("url"))))
     given = {
-        "resource_id": _rid(k),
-        "resource_type": F.when(left(50, 8), none).when(left(50, 7), "Odd").when(left(3, 0), "CompositeResource").when(left(3, 1), "CollectionResource").otherwise("ToolResource"),
-        "title": F.when(~left(11, 0), _cat("Title ", k)),
-        "abstract": F.when(left(2, 0), _cat("Abs ", k)),
-        "language": F.lit("en"),
-        "identifier": F.when(left(4, 0), _cat("http://id.org/", k)),
-        "url": F.when(left(8, 0), _cat("http://id.org/", k)).when(left(4, 0, 1), _cat("http://u.org/", k)),
-        "creators": F.array(struct("creators", name=name, creator_order=F.lit(1), user_id=k.cast("string"), organization=_cat("Org ", n), identifiers=ident)),
-        "contributors": F.array(struct("contributors", name=_cat("Helper ", n))),
-        "creator_identifiers": some(
+        "resource_id": lambda: _rid(k),
+        "resource_type": lambda: F.when(left(50, 8), none).when(left(50, 7), "Odd").when(left(3, 0), "CompositeResource").when(left(3, 1), "CollectionResource").otherwise("ToolResource"),
+        "title": lambda: F.when(~left(11, 0), _cat("Title ", k)),
+        "abstract": lambda: F.when(left(2, 0), _cat("Abs ", k)),
+        "language": lambda: F.lit("en"),
+        "identifier": lambda: F.when(left(4, 0), _cat("http://id.org/", k)),
+        "url": lambda: F.when(left(8, 0), _cat("http://id.org/", k)).when(left(4, 0, 1), _cat("http://u.org/", k)),
+        "creators": lambda: F.array(struct("creators", name=name, creator_order=F.lit(1), user_id=k.cast("string"), organization=_cat("Org ", n), identifiers=ident())),
+        "contributors": lambda: F.array(struct("contributors", name=_cat("Helper ", n))),
+        "creator_identifiers": lambda: some(
             (left(6, 0), struct("creator_identifiers", person_name=name, id_type=F.lit("GoogleScholarID"), url=_cat("http://s/", k))),
             (left(6, 1), struct("creator_identifiers", person_name=name, id_type=F.lit("ORCID"), url=F.lit("bad"))),
             (left(6, 2), struct("creator_identifiers", person_name=name, id_type=F.lit("Other"), url=F.lit("x"))),
             (left(6, 4), struct("creator_identifiers", person_name=_cat("Nobody ", k), id_type=F.lit("ResearchGateID"), url=_cat("http://rg/", k))),
         ),
-        "rights": F.when(left(3, 0), struct("rights", statement=F.lit("CC"), url=F.lit(CC))).when(left(3, 1), struct("rights", statement=_cat("Lic ", n))).otherwise(struct("rights", url=_cat("http://lic.org/", n))),
-        "subjects": F.array(segment, F.lower(segment)),
-        "spatial_coverage": F.when(left(5, 0), struct("spatial_coverage", eastlimit=k + 0.5, type=F.lit("box"))),
-        "temporal_coverage": F.when(left(5, 1), struct("temporal_coverage", start=_cat("20", n))),
-        "awards": F.when(left(7, 0), F.array(struct("awards", title=_cat("Award ", n), number=_cat("N ", n), funding_agency_name=_cat("Agency ", n % 3), funding_agency_url=F.when(n % 2 == 0, _cat("https://ror.org/0abcdef0", n % 3))))),
-        "files": F.when(left(3, 0) & ~left(50, 7, 8), F.array(struct("files", file_name=F.lit("a.csv"), file_path=F.lit("data/a.csv"), extension=F.lit(".csv"), checksum=F.md5(k.cast("string"))), struct("files", file_name=_cat("b ", k, ".txt")))).when(left(9, 1), F.array(struct("files", file_name=F.lit("x")))),
-        "tool_config": F.when(left(3, 2) | left(9, 3), struct("tool_config", app_home_page_url=_cat("https://app", n, ".org/run/", k), tool_version=F.when(left(2, 0), _cat("1.", k % 4)), supported_file_extensions=F.when(left(2, 0), F.array(F.lit(".nc"))))),
-        "links": some((left(12, 1) & (k > 1), relation("dcterms:hasPart", explicit=_rid(k - 1), target=_cat("part of ", k))), (left(12, 7), relation("dcterms:hasPart", target=F.lit("nothing")))),
-        "typed_relations": some(
+        "rights": lambda: F.when(left(3, 0), struct("rights", statement=F.lit("CC"), url=F.lit(CC))).when(left(3, 1), struct("rights", statement=_cat("Lic ", n))).otherwise(struct("rights", url=_cat("http://lic.org/", n))),
+        "subjects": lambda: F.array(segment, F.lower(segment)),
+        "spatial_coverage": lambda: F.when(left(5, 0), struct("spatial_coverage", eastlimit=k + 0.5, type=F.lit("box"))),
+        "temporal_coverage": lambda: F.when(left(5, 1), struct("temporal_coverage", start=_cat("20", n))),
+        "awards": lambda: F.when(left(7, 0), F.array(struct("awards", title=_cat("Award ", n), number=_cat("N ", n), funding_agency_name=_cat("Agency ", n % 3), funding_agency_url=F.when(n % 2 == 0, _cat("https://ror.org/0abcdef0", n % 3))))),
+        "files": lambda: F.when(left(3, 0) & ~left(50, 7, 8), F.array(struct("files", file_name=F.lit("a.csv"), file_path=F.lit("data/a.csv"), extension=F.lit(".csv"), checksum=F.md5(k.cast("string"))), struct("files", file_name=_cat("b ", k, ".txt")))).when(left(9, 1), F.array(struct("files", file_name=F.lit("x")))),
+        "tool_config": lambda: F.when(left(3, 2) | left(9, 3), struct("tool_config", app_home_page_url=_cat("https://app", n, ".org/run/", k), tool_version=F.when(left(2, 0), _cat("1.", k % 4)), supported_file_extensions=F.when(left(2, 0), F.array(F.lit(".nc"))))),
+        "links": lambda: some((left(12, 1) & (k > 1), relation("dcterms:hasPart", explicit=_rid(k - 1), target=_cat("part of ", k))), (left(12, 7), relation("dcterms:hasPart", target=F.lit("nothing")))),
+        "typed_relations": lambda: some(
             (left(4, 3), relation("dcterms:isPartOf", target=_cat("http://s.org/resource/", _rid(k - 2)))),
             (left(10, 1), relation("prov:wasDerivedFrom", explicit=_rid(k + 1_000_000))),
             (left(10, 2), relation("dcterms:references", target=_cat("doi:10.1234/Q", n, "."))),
@@ -77,12 +78,12 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
             (left(10, 7) & (k > 5), relation("hsterms:isExecutedBy", explicit=_rid(k - 1 - k % 3), target=_cat("by ", k))),
             (left(10, 8), relation("hsterms:isExecutedBy", explicit=_rid(k + 1_000_000), target=_cat("Tool text ", k))),
         ),
-        "related_resources": some((left(10, 2), relation("dcterms:references", target=_cat("doi:10.1234/Q", n, ".")))),
-        "relations_from_meta": some((left(10, 9), relation(None, target=F.lit("https://tool.org/run"), label=RUN))),
-        "geospatial_relations": some((left(10, 0), struct("geospatial_relations", name=_cat("Gage ", n), target=_cat("https://geo.org/", n), predicate_qname=F.lit("hsterms:relation"))), (left(10, 1), struct("geospatial_relations", name=F.lit("none")))),
+        "related_resources": lambda: some((left(10, 2), relation("dcterms:references", target=_cat("doi:10.1234/Q", n, ".")))),
+        "relations_from_meta": lambda: some((left(10, 9), relation(None, target=F.lit("https://tool.org/run"), label=RUN))),
+        "geospatial_relations": lambda: some((left(10, 0), struct("geospatial_relations", name=_cat("Gage ", n), target=_cat("https://geo.org/", n), predicate_qname=F.lit("hsterms:relation"))), (left(10, 1), struct("geospatial_relations", name=F.lit("none")))),
     }
     # a small file is one task; the rules are work for all
-    return read(spark, sf, "customer").repartition("c_custkey").select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
+    return read(spark, sf, "customer").repartition("c_custkey").select(*[given.get(f.name, lambda: F.lit(None))().cast(f.dataType).alias(f.name) for f in empty.schema.fields if not fields or f.name in ("resource_id", *fields)])
 
 
 def graph(spark: SparkSession, sf: str) -> Graph:
@@ -270,7 +271,7 @@ def _register() -> None:
 
     def edges_of(relation: str):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            found = extract_edges(records(spark, sf), relation)
+            found = extract_edges(records(spark, sf, *READS[relation]), relation)
             return found.select("id", "inventory_id", "source", "target", _object().alias("attributes"), *_told())
 
         return run
