@@ -10,6 +10,7 @@ from .test_extraction import RECORDS
 
 NAMES = [
     "coversPeriod",
+    "fundedBy",
 ]
 
 
