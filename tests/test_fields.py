@@ -11,6 +11,7 @@ from .test_extraction import RECORDS
 NAMES = [
     "coversPeriod",
     "fundedBy",
+    "hasContributor",
 ]
 
 
