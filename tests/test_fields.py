@@ -12,6 +12,7 @@ NAMES = [
     "coversPeriod",
     "fundedBy",
     "hasContributor",
+    "hasCreator",
 ]
 
 
