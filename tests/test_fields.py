@@ -13,6 +13,7 @@ NAMES = [
     "fundedBy",
     "hasContributor",
     "hasCreator",
+    "hasFile",
 ]
 
 
