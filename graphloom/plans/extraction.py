@@ -545,10 +545,15 @@ def _person_identifiers(records: DataFrame, rules: Rules) -> tuple[DataFrame | N
 def _person_edges(records: DataFrame, good: DataFrame, key: Column, said: Column) -> DataFrame:
     named = [F.transform(F.coalesce(F.col(field), F.array()), lambda p: F.struct(p["key"]["id"].alias("id"), p["name"].alias("name"))) for field in ("creators", "contributors")]
     stated = _each_of(records.select("resource_id", F.concat(*named).alias("ps")), "ps", "p", "place").select("p.*", F.struct("resource_id", F.lit(0).alias("phase"), F.lit(0).alias("rank"), "place").alias("ord"))
-    first = stated.groupBy("id").agg(F.min("ord").alias("since"), F.min_by(F.struct("name", "ord"), "ord").alias("_"), F.min(F.when(F.col("name").isNotNull(), F.struct("ord", "name"))).alias("named"))
+    # each name of a person once, so that those whom many records name are few rows
+    stated = stated.groupBy("id", "name").agg(F.min("ord").alias("ord"))
+    first = stated.groupBy("id").agg(F.min("ord").alias("since"), F.min(F.when(F.col("name").isNotNull(), F.struct("ord", "name"))).alias("named"))
     other = stated.join(first.select(F.col("id").alias("_id"), F.col("named.name").alias("_name")), F.col("id") == F.col("_id")).filter(F.col("name") != F.col("_name")).groupBy("id").agg(F.min("ord").alias("until"))
     valid = first.join(other, "id", "left")
     valid = valid.select(F.col("id").alias("person"), "since", F.col("named.name").alias("valid_name"), F.coalesce("named.ord", "since").alias("from"), "until")
+    # of people who have had one name alone from the start, the first to bear it comes before all others, wherever they match
+    alone = F.col("until").isNull() & (F.col("from") == F.col("since"))
+    valid = valid.groupBy("valid_name", F.when(~alone, F.col("person")).alias("_other")).agg(F.min(F.struct("since", "person", "from", "until")).alias("_")).select("valid_name", "_.*")
     # people without a name match rows without one
     joined = good.join(valid, good["person_name"].eqNullSafe(valid["valid_name"]) & (valid["from"] < good["ord"]) & (valid["until"].isNull() | (valid["until"] > good["ord"])), "left")
     picked = joined.groupBy(*good.columns).agg(F.min_by("person", "since").alias("person"))

@@ -14,6 +14,7 @@ NAMES = [
     "hasContributor",
     "hasCreator",
     "hasFile",
+    "hasIdentifier",
 ]
 
 
