@@ -15,6 +15,7 @@ NAMES = [
     "hasCreator",
     "hasFile",
     "hasIdentifier",
+    "hasLicense",
 ]
 
 
