@@ -16,6 +16,7 @@ NAMES = [
     "hasFile",
     "hasIdentifier",
     "hasLicense",
+    "hasMember",
 ]
 
 
