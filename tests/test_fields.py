@@ -17,6 +17,7 @@ NAMES = [
     "hasIdentifier",
     "hasLicense",
     "hasMember",
+    "hasResourceType",
 ]
 
 
