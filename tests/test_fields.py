@@ -18,6 +18,7 @@ NAMES = [
     "hasLicense",
     "hasMember",
     "hasResourceType",
+    "hasSpatialCoverage",
 ]
 
 
