@@ -19,6 +19,7 @@ NAMES = [
     "hasMember",
     "hasResourceType",
     "hasSpatialCoverage",
+    "hasSubject",
 ]
 
 
