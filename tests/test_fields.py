@@ -20,6 +20,7 @@ NAMES = [
     "hasResourceType",
     "hasSpatialCoverage",
     "hasSubject",
+    "hasToolConfig",
 ]
 
 
