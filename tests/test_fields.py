@@ -21,6 +21,7 @@ NAMES = [
     "hasSpatialCoverage",
     "hasSubject",
     "hasToolConfig",
+    "isExecutedBy",
 ]
 
 
