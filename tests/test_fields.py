@@ -22,6 +22,7 @@ NAMES = [
     "hasSubject",
     "hasToolConfig",
     "isExecutedBy",
+    "isMemberOf",
 ]
 
 
