@@ -23,6 +23,7 @@ NAMES = [
     "hasToolConfig",
     "isExecutedBy",
     "isMemberOf",
+    "launchesApp",
 ]
 
 
