@@ -24,6 +24,7 @@ NAMES = [
     "isExecutedBy",
     "isMemberOf",
     "launchesApp",
+    "references",
 ]
 
 
