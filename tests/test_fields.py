@@ -25,6 +25,7 @@ NAMES = [
     "isMemberOf",
     "launchesApp",
     "references",
+    "referencesFeature",
 ]
 
 
