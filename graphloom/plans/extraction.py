@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -547,9 +547,9 @@ def _person_edges(records: DataFrame, good: DataFrame, key: Column, said: Column
     stated = _each_of(records.select("resource_id", F.concat(*named).alias("ps")), "ps", "p", "place").select("p.*", F.struct("resource_id", F.lit(0).alias("phase"), F.lit(0).alias("rank"), "place").alias("ord"))
     # each name of a person once, so that those whom many records name are few rows
     stated = stated.groupBy("id", "name").agg(F.min("ord").alias("ord"))
-    first = stated.groupBy("id").agg(F.min("ord").alias("since"), F.min(F.when(F.col("name").isNotNull(), F.struct("ord", "name"))).alias("named"))
-    other = stated.join(first.select(F.col("id").alias("_id"), F.col("named.name").alias("_name")), F.col("id") == F.col("_id")).filter(F.col("name") != F.col("_name")).groupBy("id").agg(F.min("ord").alias("until"))
-    valid = first.join(other, "id", "left")
+    named = F.min(F.when(F.col("name").isNotNull(), F.struct("ord", "name"))).over(Window.partitionBy("id"))
+    until = F.min(F.when(F.col("name") != F.col("named.name"), F.col("ord")))
+    valid = stated.withColumn("named", named).groupBy("id").agg(F.min("ord").alias("since"), F.min("named").alias("named"), until.alias("until"))
     valid = valid.select(F.col("id").alias("person"), "since", F.col("named.name").alias("valid_name"), F.coalesce("named.ord", "since").alias("from"), "until")
     # of people who have had one name alone from the start, the first to bear it comes before all others, wherever they match
     alone = F.col("until").isNull() & (F.col("from") == F.col("since"))

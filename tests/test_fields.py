@@ -45,3 +45,9 @@ def test_fields_that_rules_read_suffice(records, name):
 def test_no_filter_computes_mentions_again(spark, name):
     plan = catalogue.QUERIES[f"extract_edge_{name}"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter (size(" not in plan
+
+
+def test_people_are_found_once(spark):
+    """Three readings of the records: of their own mentions, of the identifiers listed, of the people."""
+    plan = catalogue.QUERIES["extract_edge_hasIdentifier"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3
