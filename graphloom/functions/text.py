@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 #: White space as str.strip() sees it.
 BLANK = r"(?U)[\s\x1c-\x1f]"
-_ENDS = rf"\A{BLANK[4:]}+|{BLANK[4:]}+\z"
+#: Its members, for what trims.
+_BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, "(?U)" + _ENDS, "")
+    return F.btrim(x, F.lit(_BLANKS))
 
 
 def strip_end(x: Column) -> Column:
@@ -49,9 +50,9 @@ def extract_urls(x: Column) -> Column:
 
 def slugify(x: Column) -> Column:
     """Lower-case key fragment: runs of anything but a-z and 0-9 become one dash."""
-    x = F.regexp_replace(F.lower(strip(x)), "https?://", "")
-    x = F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
-    return F.when(x == "", F.lit("unknown")).otherwise(x)
+    x = F.regexp_replace(F.lower(x), "https?://", "")  # blanks at the ends become dashes there
+    x = F.btrim(F.regexp_replace(x, "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.regexp_replace(x, r"\A\z", "unknown")  # names x once: what is named twice is computed twice
 
 
 def short_hash(x: Column, length: int = 16) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import none_if_empty, short_hash, slugify, strip
 from ..functions.values import json_text
-from ..operators.graph import CURATED, REFERENCED, merge_edges, merge_nodes
+from ..operators.graph import CURATED, REFERENCED, edge_id, merge_edges, merge_nodes
 from ..operators.records import first_rows, histogram
 
 # Vocabularies of the records.
@@ -111,9 +111,12 @@ def _union(parts: list[DataFrame | None]) -> DataFrame | None:
 class Rules:
     """Builds mention structs for records whose columns are in scope."""
 
-    def __init__(self, artifact: str = "dataset", service: str = "service", only: frozenset[str] | None = None, told: bool = True):
-        """only: the classes and relations that are asked for (None: all); told: whether evidence and attributes are, too."""
-        self.artifact, self.service, self.only, self.told = artifact, service, only, told
+    def __init__(self, artifact: str = "dataset", service: str = "service", only: frozenset[str] | None = None, told: bool = True, alone: bool = False):
+        """only: the classes and relations that are asked for (None: all); told: whether evidence and attributes are, too; alone: edges
+        are told by single rules (see _edges_alone), not by arrays of mentions."""
+        self.artifact, self.service, self.only, self.told, self.alone = artifact, service, only, told, alone
+        #: of rules alone: the list whose members give an edge each (None: the record does), whether they do, the edge, members kept
+        self.singles: list[tuple] = []
         self.reasons = only is None  # what is skipped is told of whole graphs
         self.resource = F.col("resource_id")
 
@@ -124,16 +127,27 @@ class Rules:
         if not self.told:
             return F.lit(None).cast(_EVIDENCE)
         place = F.lit(place) if isinstance(place, str) else place
-        resource = self.resource if resource is None else resource
+        if self.alone:  # the rest follows from the record, see whole()
+            return F.struct(said.alias("said"), place.alias("place"))
+        return self._whole(said, place, self.resource if resource is None else resource)
+
+    def _whole(self, said: Column, place: Column, resource: Column) -> Column:
         return F.struct(F.coalesce(strip(said), F.lit("")).alias("evidenceText"), _cat(resource, ":", place).alias("sourceLocation"), F.lit("deterministic").alias("extractionMethod"), _cat(f"{self.artifact}:", resource).alias("sourceArtifact"))
 
+    def whole(self, evidence: Column, resource: Column) -> Column:
+        """Evidence of rules alone, made of what was carried."""
+        return self._whole(evidence["said"], evidence["place"], resource) if self.told else evidence
+
     def node(self, key: Column, kind: str, inventory: str, attributes: Column, evidence: Column, status: Column | str = CURATED) -> Column:
         status = F.lit(status) if isinstance(status, str) else status
         return F.struct(key.alias("id"), F.lit(kind).alias("class"), F.lit(inventory).alias("inventory_id"), attributes.alias("attributes"), evidence.alias("evidence"), status.alias("curation_status"))
 
-    def edge(self, relation: str, inventory: str, source: Column, target: Column, evidence: Column, attributes: Column | None = None) -> Column:
+    def edge(self, relation: str, inventory: str, source: Column, target: Column, evidence: Column, attributes: Column | None = None):
+        """A struct; of rules alone: relation, inventory id, and columns."""
         none = F.create_map().cast("map<string,string>")
         attributes = attributes if self.told else None
+        if self.alone:
+            return relation, inventory, [source.alias("source"), target.alias("target"), evidence.alias("evidence"), *([] if attributes is None else [attributes.alias("attributes")])]
         return F.struct(F.lit(relation).alias("relation"), F.lit(inventory).alias("inventory_id"), source.alias("source"), target.alias("target"), evidence.alias("evidence"), (none if attributes is None else attributes).alias("attributes"))
 
     def local(self) -> tuple[Column | None, Column | None, Column | None]:
@@ -143,7 +157,9 @@ class Rules:
         r, filled = self.resource, lambda c: F.coalesce(c != "", F.lit(False))
 
         def one(name: str, when, build, to: list, kind: str) -> None:
-            if self.wants(name):
+            if self.alone and to is edges and self.wants(name):
+                self.singles.append((None, when, lambda x, at: build(), None))
+            elif self.wants(name):
                 to.append(F.when(when(), F.array(build())).otherwise(F.array()).cast(kind))
 
         def skip(when, reason) -> None:
@@ -156,6 +172,9 @@ class Rules:
             """One mention a member of a list; keep filters members by what they hold."""
             if not self.wants(name):
                 return
+            if self.alone and to is edges:
+                self.singles.append((field, when, build, keep))
+                return
             rows = F.transform(F.coalesce(F.col(field), F.array()), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
             if keep is not None:
                 rows = F.filter(rows, lambda s: keep(s["x"]))
@@ -176,7 +195,8 @@ class Rules:
 
             def authored(p, at, relation=relation, inventory=inventory, field=field):
                 order = F.when(p["creator_order"].isNotNull(), F.create_map(F.lit("creatorOrder"), p["creator_order"].cast("string"))) if field == "creators" else None
-                return self.edge(relation, inventory, r, p["key"]["id"], self.evidence(p["name"], at), F.coalesce(order, F.create_map().cast("map<string,string>")) if order is not None else None)
+                key = ids.person_key(p["name"], self._known(p, f"{field[:-1]}_identifiers")) if self.alone else p["key"]
+                return self.edge(relation, inventory, r, key["id"], self.evidence(p["name"], at), F.coalesce(order, F.create_map().cast("map<string,string>")) if order is not None else None)
 
             each(relation, field, authored, edges, _EDGE)
             has_org = lambda p: F.coalesce(p["organization"] != "", F.lit(False))
@@ -256,6 +276,15 @@ class Rules:
 
     def geospatial(self) -> tuple[Column | None, Column | None, Column | None]:
         """Mentions of the geospatial relations, which come after other relations."""
+        if self.alone:
+            meant = lambda g: F.coalesce(none_if_empty(g["target"]), ids.first_url(ids.embedded_urls(g["target"], g["embedded_urls"])))
+
+            def referred(g: Column, at: Column):
+                target = meant(g)
+                return self.edge("referencesFeature", "C-D15", self.resource, _cat("hydrologic-feature:", slugify(target)), self.evidence(F.coalesce(none_if_empty(g["name"]), target), at), _texts(predicateQName=g["predicate_qname"]))
+
+            self.singles.append(("geospatial_relations", None, referred, lambda g: meant(g).isNotNull()))
+            return None, None, None
         rows = F.transform(F.coalesce(F.col("geospatial_relations"), F.array()), lambda g, i: F.struct(g.alias("g"), _cat("geospatial_relations[", i.cast("string"), "]").alias("at"), F.coalesce(none_if_empty(g["target"]), ids.first_url(ids.embedded_urls(g["target"], g["embedded_urls"]))).alias("target")))
         found = F.filter(rows, lambda s: s["target"].isNotNull())
         key = lambda s: _cat("hydrologic-feature:", slugify(s["target"]))
@@ -369,11 +398,32 @@ def _each_of(rows: DataFrame, column: str, name: str, place: str | None = None)
     return told.withColumnRenamed("_place", place) if place else told.drop("_place")
 
 
+def _predicate(e: Column) -> Column:
+    return F.coalesce(none_if_empty(e["predicate_qname"]), F.when(F.lower(strip(e["relation_label"])) == EXECUTED_LABEL, EXECUTED))
+
+
+def _entries_alone(records: DataFrame, relation: str, service_fields: dict[str, str]) -> DataFrame:
+    """_entries of one relation. Entries are rows before anything is made of them, so what is made is compiled."""
+    phase, _, inventory, fields, predicates = next(r for r in _RELATION_RULES if r[1] == relation)
+    def listed(rank: int, field: str) -> Column:
+        return F.transform(F.coalesce(F.col(field), F.array().cast(_RELATION)), lambda e, i: F.struct(F.lit(rank).alias("field_rank"), i.alias("index"), e.alias("said")))
+
+    es = F.concat(*[listed(rank, field) for rank, field in enumerate(fields)])
+    es = F.when(F.col("resource_type") == COLLECTION, es) if relation == "hasMember" else es
+    each = _each_of(records.select("resource_id", _with_id(es).alias("es")), "es", "e")
+    rows = each.select("resource_id", F.lit(phase).alias("phase"), "e.field_rank", "e.index", _predicate(F.col("e.said")).alias("predicate"), F.col("e.said.target_resource_id").alias("explicit"), "e.said.target", F.col("e.said.embedded_urls").alias("urls"))
+    rows = first_rows(rows.filter(F.col("predicate").isin(*predicates)), ["resource_id", "phase", "predicate", "explicit", "target"], ["field_rank", "index"])
+    names = F.array(*[F.lit(service_fields.get(f, f)) for f in fields])
+    return rows.select("*", F.lit(relation).alias("relation"), F.lit(inventory).alias("inventory"), _cat(F.element_at(names, F.col("field_rank") + 1), "[", F.col("index").cast("string"), "]").alias("at"))
+
+
 def _entries(records: DataFrame, rules: Rules, service_fields: dict[str, str]) -> DataFrame:
     """One row a relation entry and rule that is asked for, the first of each key."""
+    if rules.alone:
+        return _entries_alone(records, *rules.only, service_fields)
+
     def asked(phase: int, relation: str, inventory: str, rank: int, field: str, predicates: tuple[str, ...]) -> Column:
         def row(e: Column, i: Column) -> Column:
-            predicate = F.coalesce(none_if_empty(e["predicate_qname"]), F.when(F.lower(strip(e["relation_label"])) == EXECUTED_LABEL, EXECUTED))
             return F.struct(
                 F.lit(phase).alias("phase"),
                 F.lit(relation).alias("relation"),
@@ -381,7 +431,7 @@ def _entries(records: DataFrame, rules: Rules, service_fields: dict[str, str]) -
                 F.lit(rank).alias("field_rank"),
                 i.alias("index"),
                 _cat(service_fields.get(field, field) + "[", i.cast("string"), "]").alias("at"),
-                predicate.alias("predicate"),
+                _predicate(e).alias("predicate"),
                 e["target_resource_id"].alias("explicit"),
                 e["target"].alias("target"),
                 e["embedded_urls"].alias("urls"),
@@ -419,6 +469,8 @@ def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str])
     if rules.wants("isExecutedBy", *_RELATION_NODES):
         tools = [F.col("title").alias("known_title"), F.coalesce("tool_config.app_home_page_url", F.lit("")).alias("known_launch")] if "own_tool" in possible else []
         corpus = records.select(F.col("resource_id").alias("known_id"), F.col("resource_type").alias("known_type"), *tools)
+        if rules.alone:  # whether a target that is no tool is in the corpus is told of nodes only
+            corpus = corpus.filter(F.col("known_type") == TOOL)
         rows = entries.join(corpus, F.col("wanted") == F.col("known_id"), "left")
     else:  # an edge to a dataset has its id as target, in the corpus or not
         rows = entries
@@ -446,8 +498,13 @@ def _relations(records: DataFrame, rules: Rules, service_fields: dict[str, str])
     }
     key = F.coalesce(*[F.when(F.col("case") == name, build()) for name, build in keys.items() if name in possible])
     ordered = F.struct("resource_id", "phase", F.col("field_rank").alias("rank"), F.col("index").alias("place"))
-    hit = rows.filter(F.col("case").isNotNull()).withColumn("ord", ordered)
     nodes = edges = reasons = None
+    if rules.alone:
+        # an array of one or none: a filter would seek all patterns once more
+        said = F.struct(key.alias("target"), rules.evidence(shown, F.col("at")).alias("evidence"), _texts(predicateQName=F.col("predicate")).alias("attributes"), ordered.alias("ord"))
+        found = rows.select("resource_id", F.when(F.col("case").isNotNull(), F.array(said)).alias("ms"))
+        return None, _each_of(found, "ms", "m").select(F.col("resource_id").alias("source"), "m.*"), None
+    hit = rows.filter(F.col("case").isNotNull()).withColumn("ord", ordered)
     if rules.wants(*_RELATION_NODES):
         nodes = _relation_nodes(hit, rules, key, possible)
     if rules.wants(*_TARGETS):
@@ -600,6 +657,51 @@ def _mentions(records: DataFrame, rules: Rules, handled: tuple[str, ...] = (), f
     return _union(told_nodes), _union(told_edges), reasons
 
 
+#: Relations that one extraction each finds by its rules alone.
+ALONE = ("references",)
+
+
+def _with_id(value: Column) -> Column:
+    """value of a record, which must have an id."""
+    return F.when(F.col("resource_id") != "", value).otherwise(F.raise_error(F.lit("a record has no resource_id")))
+
+
+def _edges_alone(records: DataFrame, rules: Rules, field_names: dict[str, str]) -> DataFrame:
+    """The edges of one relation. Members of lists are rows before anything is made of them, so that it is compiled, and mentions
+    are merged where records of one id lie, if they are dealt by it. Evidence is carried without what follows from the record.
+    Records without mentions go by an outer explode, since a filter would compute what it tests where a small file is one task."""
+    merged: dict[tuple[str, str], DataFrame] = {}
+
+    def add(relation: str, inventory: str, rows: DataFrame) -> None:
+        merged[relation, inventory] = _union([merged.get((relation, inventory)), rows])
+
+    if rules.only.issubset(_TARGETS):
+        (relation,) = rules.only
+        add(relation, next(r[2] for r in _RELATION_RULES if r[1] == relation), _relations(records, rules, field_names)[1])
+    elif "referencesFeature" in rules.only:
+        rules.geospatial()
+    else:
+        rules.local()
+    for rank, (field, when, build, keep) in enumerate(rules.singles):
+        relation, inventory, columns = build(F.col("x"), _cat(f"{field}[", F.col("place").cast("string"), "]"))
+        listed = F.col(field) if field else F.array(F.struct(*columns[1:]))
+        rows = _each_of(records.withColumn("_x", _with_id(listed if when is None else F.when(when(), listed))), "_x", "x", "place")
+        if keep is not None:
+            rows = rows.filter(keep(F.col("x")))
+        told = columns if field else [columns[0], "x.*"]
+        add(relation, inventory, rows.select(*told, F.struct("resource_id", F.lit(rank).alias("rank"), "place").alias("ord")))
+
+    def finished(relation: str, inventory: str, rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in ("source", "target")]
+        first = rows.groupBy("source", "target").agg(F.min_by(F.struct(*rest), "ord").alias("first"))
+        key = edge_id(F.col("source"), F.lit(relation), F.col("target"), F.lit(inventory))
+        attributes = F.col("first.attributes") if "attributes" in rest else F.create_map().cast("map<string,string>")
+        evidence = rules.whole(F.col("first.evidence"), F.col("first.ord.resource_id"))
+        return first.select(key.alias("id"), F.lit(relation).alias("relation"), F.lit(inventory).alias("inventory_id"), "source", "target", evidence.alias("evidence"), attributes.alias("attributes"))
+
+    return _union([finished(*names, rows) for names, rows in merged.items()])
+
+
 def extract(records: DataFrame, artifact: str = "dataset", service: str = "service", handled: tuple[str, ...] = (), field_names: dict[str, str] | None = None) -> Graph:
     """The graph of dataset records (see RECORD). Columns beyond RECORD that hold something are told as skipped."""
     nodes, edges, reasons = _mentions(records, Rules(artifact, service), handled, field_names)
@@ -610,6 +712,8 @@ def extract_edges(records: DataFrame, *relations: str, artifact: str = "dataset"
     """The edges of some relations of the graph (none named: of all), by their rules alone. Without told they carry neither
     evidence nor attributes, for counts and patterns."""
     only = frozenset(relations) or frozenset(RELATIONS)
+    if len(only) == 1 and only.issubset(ALONE):
+        return _edges_alone(records, Rules(artifact, service, only, told, alone=True), field_names or {})
     return merge_edges(_mentions(records, Rules(artifact, service, only, told), field_names=field_names)[1].filter(F.col("relation").isin(*only))).drop("ord")
 
 

@@ -82,8 +82,8 @@ def records(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
         "relations_from_meta": lambda: some((left(10, 9), relation(None, target=F.lit("https://tool.org/run"), label=RUN))),
         "geospatial_relations": lambda: some((left(10, 0), struct("geospatial_relations", name=_cat("Gage ", n), target=_cat("https://geo.org/", n), predicate_qname=F.lit("hsterms:relation"))), (left(10, 1), struct("geospatial_relations", name=F.lit("none")))),
     }
-    # a small file is one task; the rules are work for all
-    return read(spark, sf, "customer").repartition("c_custkey").select(*[given.get(f.name, lambda: F.lit(None))().cast(f.dataType).alias(f.name) for f in empty.schema.fields if not fields or f.name in ("resource_id", *fields)])
+    # a small file is one task; the rules are work for all, and what they find of a record meets where the record lies
+    return read(spark, sf, "customer").repartition(_rid(k)).select(*[given.get(f.name, lambda: F.lit(None))().cast(f.dataType).alias(f.name) for f in empty.schema.fields if not fields or f.name in ("resource_id", *fields)])
 
 
 def graph(spark: SparkSession, sf: str) -> Graph:
