@@ -658,7 +658,7 @@ def _mentions(records: DataFrame, rules: Rules, handled: tuple[str, ...] = (), f
 
 
 #: Relations that one extraction each finds by its rules alone.
-ALONE = ("references", "isExecutedBy")
+ALONE = ("references", "isExecutedBy", "hasCreator")
 
 
 def _with_id(value: Column) -> Column:

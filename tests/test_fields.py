@@ -58,6 +58,7 @@ def test_people_are_found_once(spark):
 TOLD_LATE = [
     "references",
     "isExecutedBy",
+    "hasCreator",
 ]
 
 
