@@ -59,6 +59,7 @@ TOLD_LATE = [
     "references",
     "isExecutedBy",
     "hasCreator",
+    "hasLicense",
 ]
 
 
