@@ -60,6 +60,7 @@ TOLD_LATE = [
     "isExecutedBy",
     "hasCreator",
     "hasLicense",
+    "hasContributor",
 ]
 
 
