@@ -61,6 +61,7 @@ TOLD_LATE = [
     "hasCreator",
     "hasLicense",
     "hasContributor",
+    "hasMember",
 ]
 
 
