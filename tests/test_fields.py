@@ -62,6 +62,7 @@ TOLD_LATE = [
     "hasLicense",
     "hasContributor",
     "hasMember",
+    "hasResourceType",
 ]
 
 
