@@ -63,6 +63,7 @@ TOLD_LATE = [
     "hasContributor",
     "hasMember",
     "hasResourceType",
+    "hasFile",
 ]
 
 
