@@ -64,6 +64,7 @@ TOLD_LATE = [
     "hasMember",
     "hasResourceType",
     "hasFile",
+    "isMemberOf",
 ]
 
 
