@@ -65,6 +65,7 @@ TOLD_LATE = [
     "hasResourceType",
     "hasFile",
     "isMemberOf",
+    "hasSubject",
 ]
 
 
