@@ -66,6 +66,7 @@ TOLD_LATE = [
     "hasFile",
     "isMemberOf",
     "hasSubject",
+    "launchesApp",
 ]
 
 
