@@ -658,7 +658,7 @@ def _mentions(records: DataFrame, rules: Rules, handled: tuple[str, ...] = (), f
 
 
 #: Relations that one extraction each finds by its rules alone.
-ALONE = ("references", "isExecutedBy", "hasCreator", "hasLicense", "hasContributor", "hasMember", "hasResourceType", "hasFile", "isMemberOf", "hasSubject", "launchesApp", "hasSpatialCoverage")
+ALONE = ("references", "isExecutedBy", "hasCreator", "hasLicense", "hasContributor", "hasMember", "hasResourceType", "hasFile", "isMemberOf", "hasSubject", "launchesApp", "hasSpatialCoverage", "hasToolConfig")
 
 
 def _with_id(value: Column) -> Column:

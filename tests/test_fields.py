@@ -68,6 +68,7 @@ TOLD_LATE = [
     "hasSubject",
     "launchesApp",
     "hasSpatialCoverage",
+    "hasToolConfig",
 ]
 
 
