@@ -69,6 +69,7 @@ TOLD_LATE = [
     "launchesApp",
     "hasSpatialCoverage",
     "hasToolConfig",
+    "fundedBy",
 ]
 
 
