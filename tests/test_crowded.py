@@ -35,7 +35,7 @@ def test_same_rows_in_blocks(spark, any_size, monkeypatch, mark):
     assert found.groupBy(F.spark_partition_id()).count().count() > 3
 
 
-@pytest.mark.parametrize("name", ["cq_e03"])
+@pytest.mark.parametrize("name", ["cq_e01", "cq_e03"])
 def test_queries_in_blocks(spark, any_size, name):
     db = duckdb.connect()
     for table in ("lineitem", "part"):
