@@ -276,6 +276,13 @@ class Rules:
 
     def geospatial(self) -> tuple[Column | None, Column | None, Column | None]:
         """Mentions of the geospatial relations, which come after other relations."""
+        if self.alone:
+            # addresses beside a target count only where it is empty, and so none of them can be it
+            target = lambda g: F.coalesce(none_if_empty(g["target"]), ids.first_url(g["embedded_urls"]))
+            said = lambda g, at: self.evidence(F.coalesce(none_if_empty(g["name"]), target(g)), at)
+            build = lambda g, at: self.edge("referencesFeature", "C-D15", self.resource, _cat("hydrologic-feature:", slugify(target(g))), said(g, at), _texts(predicateQName=g["predicate_qname"]))
+            self.singles.append(("geospatial_relations", None, build, lambda g: target(g).isNotNull()))
+            return None, None, None
         rows = F.transform(F.coalesce(F.col("geospatial_relations"), F.array()), lambda g, i: F.struct(g.alias("g"), _cat("geospatial_relations[", i.cast("string"), "]").alias("at"), F.coalesce(none_if_empty(g["target"]), ids.first_url(ids.embedded_urls(g["target"], g["embedded_urls"]))).alias("target")))
         found = F.filter(rows, lambda s: s["target"].isNotNull())
         key = lambda s: _cat("hydrologic-feature:", slugify(s["target"]))
@@ -649,7 +656,7 @@ def _mentions(records: DataFrame, rules: Rules, handled: tuple[str, ...] = (), f
 
 
 #: Relations that one extraction each finds by its rules alone.
-ALONE = ("references", "isExecutedBy", "hasCreator", "hasLicense", "hasContributor", "hasMember", "hasResourceType", "hasFile", "isMemberOf", "hasSubject", "launchesApp", "hasSpatialCoverage", "hasToolConfig", "fundedBy")
+ALONE = ("references", "isExecutedBy", "hasCreator", "hasLicense", "hasContributor", "hasMember", "hasResourceType", "hasFile", "isMemberOf", "hasSubject", "launchesApp", "hasSpatialCoverage", "hasToolConfig", "fundedBy", "referencesFeature")
 
 
 def _with_id(value: Column) -> Column:
@@ -669,6 +676,8 @@ def _edges_alone(records: DataFrame, rules: Rules, field_names: dict[str, str])
     if rules.only.issubset(_TARGETS):
         (relation,) = rules.only
         add(relation, next(r[2] for r in _RELATION_RULES if r[1] == relation), _relations(records, rules, field_names)[1])
+    elif rules.wants("referencesFeature"):
+        rules.geospatial()
     else:
         rules.local()
     for rank, (field, when, build, keep) in enumerate(rules.singles):
